@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     linked = both.join(low, "u")
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, mixing, urls
+from loomgraph.llm import chat, mixing, topk, urls
 
 QUERIES = {
+    "op1_exact_top_k": topk.op1,
     "op3_chat_formatting": chat.op3,
     "op7_url_filters": urls.op7,
     "op9_source_mixing": mixing.op9,
 }
 SQL = {
+    "op1_exact_top_k": topk.OP1_SQL,
     "op3_chat_formatting": chat.OP3_SQL,
     "op7_url_filters": urls.OP7_SQL,
     "op9_source_mixing": mixing.OP9_SQL,

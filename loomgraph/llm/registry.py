@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, mixing, topk, urls
+from loomgraph.llm import chat, langid, mixing, topk, urls
 
 QUERIES = {
     "op1_exact_top_k": topk.op1,
     "op3_chat_formatting": chat.op3,
     "op7_url_filters": urls.op7,
+    "op8_language_id": langid.op8,
     "op9_source_mixing": mixing.op9,
 }
 SQL = {

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def by_weight(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.utf8_length(batch.column(column)), 0), dtype=np.int64)
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > most:

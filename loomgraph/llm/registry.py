@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, langid, mixing, topk, urls
+from loomgraph.llm import chat, langid, mixing, topk, toxicity, urls
 
 QUERIES = {
     "op1_exact_top_k": topk.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_url_filters": urls.op7,
     "op8_language_id": langid.op8,
     "op9_source_mixing": mixing.op9,
+    "op10_toxicity": toxicity.op10,
 }
 SQL = {
     "op1_exact_top_k": topk.OP1_SQL,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, langid, mixing, topk, toxicity, urls
+from loomgraph.llm import chat, decontam, langid, mixing, topk, toxicity, urls
 
 QUERIES = {
     "op1_exact_top_k": topk.op1,
+    "op2_benchmark_decontamination": decontam.op2,
     "op3_chat_formatting": chat.op3,
     "op7_url_filters": urls.op7,
     "op8_language_id": langid.op8,

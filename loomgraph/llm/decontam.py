@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.text import by_weight
 
 #: Share of an item's characters that may differ, the length below which none may, and characters of items in a pass.
-EDIT_SHARE, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
+EDIT_SHARE, MIN_CHARS, BLOCK_CHARS = 0.06, 40, 4_000_000
 SPACES = re.compile(r"\s+")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontam, langid, mixing, ngram_join, substrings, topk, toxicity, urls
+from loomgraph.llm import chat, decontam, html_text, langid, mixing, ngram_join, substrings, topk, toxicity, urls
 
 QUERIES = {
     "op1_exact_top_k": topk.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_formatting": chat.op3,
     "op4_ngram_jaccard_join": ngram_join.op4,
     "op5_substring_dedup": substrings.op5,
+    "op6_html_extraction": html_text.op6,
     "op7_url_filters": urls.op7,
     "op8_language_id": langid.op8,
     "op9_source_mixing": mixing.op9,

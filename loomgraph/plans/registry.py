@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from loomgraph.plans import edge_queries, log_queries, metric_queries
+
+BOOKS = [m.BOOK for m in (edge_queries, metric_queries, log_queries)]
+QUERIES = {k: v for b in BOOKS for k, v in b.queries.items()}
+SQL = {k: v for b in BOOKS for k, v in b.sql.items()}
 FLAGSHIP = "h03_common_neighbours"

@@ -181,11 +181,10 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones are dropped."""
-        old = self.runs
-        rows = old[0]
-        for run in old[1:]:
-            rows = rows.unionByName(run)
-        self.runs = [self._write(rows.groupBy("a").agg(F.min("low").alias("low")))]
+        merged, *rest = self.runs
+        for run in rest:  # sorted runs of the same buckets: a merge join without a shuffle
+            merged = merged.join(run.hint("merge").withColumnRenamed("low", "other"), "a", "full").select("a", F.least("low", "other").alias("low"))
+        self.runs = [self._write(merged)]
 
 
 def batch_edges(rows: DataFrame, batches: int) -> list[int]:

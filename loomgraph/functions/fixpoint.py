@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.storage import stash
+from loomgraph.functions.storage import discard, stash
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,11 +39,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     no part, a self loop makes a component of one node, repeated edges count once.
     """
     base = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    work = stash(base.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    loops = work.where("u = v").select("u")
-    cur, state = work.where("u <> v"), None
+    first = stash(base.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    loops = first.where("u = v").select("u")
+    cur, old, state = first.where("u <> v"), None, None
     for _ in range(max_rounds):
-        cur = stash(_star(_star(cur, True), False), "stars")
+        new = stash(_star(_star(cur, True), False), "stars")
+        if old is not None:
+            discard(old)
+        cur = old = new
         now = _state(cur)
         if now == state:
             break
@@ -53,4 +56,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     found = cur.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = cur.select(F.col("v").alias("node")).unionByName(loops.withColumnRenamed("u", "node")).distinct()
     roots = roots.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return found.unionByName(roots)
+    out = stash(found.unionByName(roots), "components")
+    discard(first, cur)
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.fixpoint import connected_components
-from loomgraph.functions.storage import stash
+from loomgraph.functions.storage import discard, stash
 from loomgraph.llm.substrings import Powers, WordHashes, _words, mixed, packed
 from loomgraph.llm.text import by_weight
 
@@ -199,7 +199,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     banded = reps.select("sh", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("sh").alias("low"), F.max("sh").alias("high")).where("low <> high")
     edges = banded.join(buckets.select("band", "low"), "band").where("sh <> low").select("sh", "low").distinct()
-    comps = stash(connected_components(edges, "sh", "low"), "candidates")
+    comps = connected_components(edges, "sh", "low")
     blocks = reps.join(comps, reps["sh"] == comps["node"]).select("sh", "first", "copies", "n", F.col("component").alias("c"))
     per = blocks.groupBy("c").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     placed = blocks.join(per, "c").withColumn("blk", F.pmod(F.xxhash64("sh"), F.col("blocks")).cast("int"))
@@ -223,12 +223,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         verified(tasks.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j"), threshold), "links"
     )
     links = found.groupBy("sh").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.where("sh <> root"), "sh", "root").select(F.col("node").alias("sh"), F.col("component").alias("root"))
+    settled = connected_components(found.where("sh <> root"), "sh", "root")
+    roots = settled.select(F.col("node").alias("sh"), F.col("component").alias("root"))
     info = links.join(roots, "sh", "left").select("sh", "links", F.coalesce("root", "sh").alias("root"))
     every = reps.select("sh", "first", "copies").join(info, "sh", "left").select(
         "sh", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "sh").alias("root")
     )
-    return signed.select("id", "rid", "sh"), stash(every, "every")
+    out = stash(signed.select("id", "rid", "sh"), "rows"), stash(every, "every")
+    discard(signed, reps, comps, found, settled)
+    return out
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.storage import stash
+from loomgraph.functions.storage import discard, stash
 from loomgraph.llm.text import by_weight
 
 WINDOW, ANCHOR = 50, 12
@@ -110,17 +110,22 @@ def _words(z: bytes) -> list[bytes]:
     return zstandard.decompress(z).split()
 
 
-def packed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, rid, z): each row with its text compressed. ``rid`` tells rows apart; equal rows share it."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("rid"), F.coalesce(text, F.lit("")).alias("t"))
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", rest: bool = False) -> DataFrame:
+    """(id, rid, z[, rest]): each row with its text compressed, with ``rest`` also its other columns and whether the
+    text was null. ``rid`` tells rows apart; equal rows share it."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    more = [F.struct(*others, F.col(text).isNull().alias("_null")).alias("rest")] if rest else []
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("rid"), F.coalesce(text, F.lit("")).alias("t"), *more)
+    kind = T.StructType([f for f in rows.schema.fields if f.name != "t"] + [T.StructField("z", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3).compress
         for b in by_weight(batches, "t"):
             z = pa.array([press(t.encode("utf-8", "surrogatepass")) for t in b.column("t").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), z], names=["id", "rid", "z"])
+            names = [n for n in b.schema.names if n != "t"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], z], names=[*names, "z"])
 
-    return rows.mapInArrow(run, "id long, rid long, z binary")
+    return rows.mapInArrow(run, kind)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -160,12 +165,20 @@ class FingerprintIndex:
         self.spark, self.max_runs = spark, max_runs
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[DataFrame] = []
+        self.names: list[str] = []
 
     def _write(self, rows: DataFrame) -> DataFrame:
         name = f"loom_run_{uuid.uuid4().hex}"
         rows.repartition(self.buckets, "a").write.bucketBy(self.buckets, "a").sortBy("a").format("parquet").saveAsTable(name)
+        self.names.append(name)
         return self.spark.table(name)
 
+    def drop(self) -> None:
+        """Delete all runs: for an index that served one table only."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs, self.names = [], []
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge-join a batch (a, id) with the runs, then make it one. Returns (a): the anchors of the batch that a
         run or another document of the batch has too."""
@@ -182,9 +195,12 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one; the old ones are dropped."""
         merged, *rest = self.runs
+        old, self.names = self.names, []
         for run in rest:  # sorted runs of the same buckets: a merge join without a shuffle
             merged = merged.join(run.hint("merge").withColumnRenamed("low", "other"), "a", "full").select("a", F.least("low", "other").alias("low"))
         self.runs = [self._write(merged)]
+        for name in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def batch_edges(rows: DataFrame, batches: int) -> list[int]:
@@ -194,8 +210,8 @@ def batch_edges(rows: DataFrame, batches: int) -> list[int]:
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                     anchor: int = ANCHOR, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """(packed rows, (id, rid, copy, starts)): which rows are copies of a smaller document, and in the others the first
+                     anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
+    """(id, rid, copy, starts): which rows are copies of a smaller document, and in the others the first
     words of the windows that a smaller document has too."""
     spark = docs.sparkSession
     prints = stash(fingerprints(docs, key, text, window, anchor), "prints")
@@ -204,17 +220,17 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     # a copy has the windows of its original: neither its anchors nor its windows are needed
     originals = prints.join(first.where("low is not null"), "whole").where("id = low").select("id", "rid", F.explode("a").alias("a"))
     anchors = stash(originals, "anchors")
-    index, hits = FingerprintIndex(spark), None
+    index, hits, kept_hits = FingerprintIndex(spark), None, []
     edges = [None, *batch_edges(prints, batches), None]
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         part = anchors.select("a", "id")
         part = part.where(F.col("id") > low) if low is not None else part
         part = part.where(F.col("id") <= high) if high is not None else part
         found = index.add(part)
+        kept_hits.append(found)
         hits = found if hits is None else hits.unionByName(found)
     wanted = anchors.join(hits.distinct(), "a", "left_semi").groupBy("id", "rid").agg(F.collect_set("a").alias("a"))
-    rows = packed(docs, key, text)
-    candidates = rows.where("id is not null").join(wanted, ["id", "rid"])
+    candidates = packed(docs, key, text).where("id is not null").join(wanted, ["id", "rid"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
@@ -244,7 +260,10 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         .unionByName(starts.select("id", "rid", F.lit(False).alias("copy"), "starts"))
         .groupBy("id", "rid").agg(F.max("copy").alias("copy"), F.first("starts", ignorenulls=True).alias("starts"))
     )
-    return rows, flags
+    out = stash(flags, "flags")
+    index.drop()
+    discard(prints, anchors, found, *kept_hits)
+    return out
 
 
 def covered(n: int, starts: list[int] | np.ndarray, window: int) -> np.ndarray:
@@ -256,55 +275,69 @@ def covered(n: int, starts: list[int] | np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR,
-            batches: int = BATCHES, keep_text: bool = False) -> DataFrame:
-    """(id, rid, n_words, n_removed, kept_sha256[, kept]) of every row; ``kept`` is the text of the kept words, null
-    where nothing was removed."""
-    rows, flags = repeated_windows(docs, key, text, window, anchor, batches)
-    schema = "id long, rid long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
+def _kept_words(z: bytes, copy: bool | None, starts, window: int) -> tuple[int, list[bytes]]:
+    """Number of words and those that stay."""
+    words = _words(z)
+    if copy:
+        return len(words), []
+    if not starts.is_valid:
+        return len(words), words
+    drop = covered(len(words), starts.values.to_numpy(), window)
+    return len(words), [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
+
+
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
+    """(id, rid, n_words, n_removed, kept_sha256) of every row."""
+    flags = repeated_windows(docs, key, text, window, anchor, batches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, sha, kept = [], [], [], []
+            n, gone, sha = [], [], []
             for z, copy, starts in zip(b.column("z").to_pylist(), b.column("copy").to_pylist(), b.column("starts"), strict=True):
-                words = _words(z)
-                total = len(words)
-                if copy:
-                    words = []
-                elif starts.is_valid:
-                    drop = covered(total, starts.values.to_numpy(), window)
-                    words = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
-                text = b" ".join(words)
+                total, words = _kept_words(z, copy, starts, window)
                 n.append(total)
                 gone.append(total - len(words))
-                sha.append(hashlib.sha256(text).hexdigest())
-                if keep_text:
-                    kept.append(text.decode("utf-8", "surrogatepass") if len(words) < total else None)
-            cols = [b.column("id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
-            names = ["id", "rid", "n_words", "n_removed", "kept_sha256"]
-            if keep_text:
-                cols, names = [*cols, pa.array(kept, pa.string())], [*names, "kept"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
+                names=["id", "rid", "n_words", "n_removed", "kept_sha256"],
+            )
 
-    return rows.join(flags, ["id", "rid"], "left").select("id", "rid", "z", "copy", "starts").mapInArrow(run, schema)
+    joined = packed(docs, key, text).join(flags, ["id", "rid"], "left").select("id", "rid", "z", "copy", "starts")
+    return joined.mapInArrow(run, "id long, rid long, n_words long, n_removed long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
     """``docs`` in its own columns with the repeated words taken out of its texts; rows of which nothing is left are
-    dropped, and n_chars, where there is one, follows the new text."""
-    cut = removed(docs, key, text, keep_text=True, **how).where("n_removed > 0").select("id", "rid", "kept").distinct()
-    marked = docs.withColumn("_rid", F.xxhash64(key, text))
-    joined = marked.join(cut.toDF("_id", "_cut", "_kept"), (F.col("_rid") == F.col("_cut")) & (F.col(key) == F.col("_id")), "left")
-    changed = F.col("_cut").isNotNull()
+    dropped, and n_chars, where there is one, follows the new text. Texts without repeats stay as they are."""
+    flags = repeated_windows(docs, key, text, window, anchor, batches)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, texts, changed = [], [], []
+            for i, (z, copy, starts) in enumerate(zip(b.column("z").to_pylist(), b.column("copy").to_pylist(), b.column("starts"), strict=True)):
+                total, words = _kept_words(z, copy, starts, window)
+                if total and not words:
+                    continue
+                at.append(i)
+                changed.append(len(words) < total)
+                texts.append((b" ".join(words) if changed[-1] else zstandard.decompress(z)).decode("utf-8", "surrogatepass"))
+            rest = b.column("rest").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], names=["rest", "t", "changed"])
+
+    joined = packed(docs, key, text, rest=True).join(flags, ["id", "rid"], "left").select("rest", "z", "copy", "starts")
+    kind = T.StructType([joined.schema["rest"], T.StructField("t", T.StringType()), T.StructField("changed", T.BooleanType())])
+    new = joined.mapInArrow(run, kind)
     cols = []
     for f in docs.schema.fields:
-        c = F.col(f"`{f.name}`")
         if f.name == text:
-            c = F.when(changed, F.col("_kept")).otherwise(c)
+            c = F.when(~F.col("rest._null"), F.col("t"))
         elif f.name == "n_chars":
-            c = F.when(changed, F.length("_kept").cast(f.dataType)).otherwise(c)
+            c = F.when(F.col("changed"), F.length("t").cast(f.dataType)).otherwise(F.col("rest.n_chars"))
+        else:
+            c = F.col(f"rest.`{f.name}`")
         cols.append(c.alias(f.name))
-    return joined.where(~changed | (F.col("_kept") != "")).select(*cols)
+    return new.select(*cols)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -77,3 +77,71 @@ def endpoint_flags(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = nodes.join(links, "sample_id")
     flag = lambda c: (F.col("id") == F.col(c)).cast("double")
     return both.select("sample_id", "id", F.concat("x", F.array(flag("src"), flag("dst"))).alias("x"))
+
+
+def rewire_edges(nodes: DataFrame, edges: DataFrame, share: float, seed=0) -> DataFrame:
+    """G03. A seeded share of each graph's edges goes and as many random pairs of its nodes come."""
+    kept = drop_edges(edges, share, seed)
+    lost = edges.groupBy("graph_id").agg(F.floor(F.count(F.lit(1)) * share).cast("int").alias("k")).where("k > 0")
+    n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    draws = lost.join(n, "graph_id").select("graph_id", "n", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("draw"))
+    at = lambda c: F.pmod(F.conv(F.substring(md5_key(f"{seed}-{c}", "graph_id", "draw"), 1, 8), 16, 10).cast("long"), F.col("n")) + 1
+    idx = group_rank(nodes, ["graph_id"], [F.col("id")], "pos")
+    pick = lambda c, name: idx.select("graph_id", F.col("pos").alias(c), F.col("id").alias(name))
+    new = draws.select("graph_id", at("a").alias("a"), at("b").alias("b")).join(pick("a", "src"), ["graph_id", "a"]).join(pick("b", "dst"), ["graph_id", "b"])
+    return kept.select("graph_id", "src", "dst").unionByName(new.select("graph_id", "src", "dst"))
+
+
+def noise_features(nodes: DataFrame, share: float, replace: float, seed=0) -> DataFrame:
+    """G05. Of each graph's nodes a seeded share is masked; of these, the first share ``replace`` takes another node's
+    vector and the rest the zero vector."""
+    masked = _dropped(nodes, share, seed).withColumnRenamed("drop", "mask")
+    n = F.count(F.lit(1)).over(Window.partitionBy("graph_id", "mask"))
+    ranked = group_rank(masked, ["graph_id", "mask"], [md5_key(f"{seed}-noise", "graph_id", "id"), F.col("id")]).withColumn("_n", n)
+    noisy = F.col("mask") & (F.col("rn") <= F.floor(F.col("_n") * replace))
+    other = shuffle_features(nodes, f"{seed}-pool").select("graph_id", "id", F.col("x").alias("_y"))
+    zero = F.transform("x", lambda v: v * 0)
+    return ranked.withColumn("noisy", noisy).join(other, ["graph_id", "id"]).withColumn("x", F.when(F.col("noisy"), F.col("_y")).when(F.col("mask"), zero).otherwise(F.col("x"))).drop("rn", "_n", "_y")
+
+
+def grown_subset(nodes: DataFrame, edges: DataFrame, share: float, rounds: int, seed=0) -> DataFrame:
+    """G08. (graph_id, id): a connected subset from a seeded start; each round the whole frontier joins in seeded order
+    until the share of the graph's nodes is reached."""
+    size = nodes.groupBy("graph_id").agg(F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(1).cast("long")).alias("size"))
+    cur = group_rank(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")]).where("rn = 1").select("graph_id", "id", F.lit(0).alias("round"))
+    for r in range(1, rounds + 1):
+        near = cur.withColumnRenamed("id", "src").join(edges, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("id")).distinct()
+        new = near.join(cur, ["graph_id", "id"], "left_anti").withColumn("round", F.lit(r))
+        both = cur.unionByName(new).join(size, "graph_id")
+        cur = group_rank(both, ["graph_id"], [F.col("round"), md5_key(f"{seed}-{r}", "graph_id", "id"), F.col("id")]).where(F.col("rn") <= F.col("size")).select("graph_id", "id", "round")
+    return cur.select("graph_id", "id")
+
+
+def mask_typed_nodes(nodes: DataFrame, share: float, seed=0, mask: int = -1) -> DataFrame:
+    """G09. int(n * share + 1) seeded nodes of each graph get the mask type; the true type stays as ``original``."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("graph_id"))
+    ranked = group_rank(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")]).withColumn("_n", n)
+    hit = F.col("rn") <= F.floor(F.col("_n") * share + 1)
+    return ranked.select("graph_id", "id", F.col("type").alias("original"), F.when(hit, F.lit(mask)).otherwise(F.col("type")).alias("type"))
+
+
+def blank_neighbours(pairs: DataFrame, first: int, percent: int, seed=0, tries: int = 5) -> DataFrame:
+    """G10. (id, node, kept): the first neighbours of each node, each blanked with a probability; where all are
+    blanked, the next try decides, and the last one keeps the first neighbour."""
+    some = group_rank(pairs, ["id"], [F.col("node")]).where(F.col("rn") <= first)
+    drawn = some.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t")).withColumn("on", md5_bucket(seed, "id", "node", "t", buckets=100) >= percent)
+    good = drawn.groupBy("id", "t").agg(F.max(F.col("on").cast("int")).alias("any")).where("any = 1").groupBy("id").agg(F.min("t").alias("t"))
+    return some.join(good.withColumnRenamed("t", "pick"), "id", "left").join(drawn.select("id", "node", F.col("t").alias("pick"), "on"), ["id", "node", "pick"], "left").select("id", "node", F.coalesce("on", F.col("rn") == 1).alias("kept"))
+
+
+def episode_metagraph(episodes: DataFrame) -> DataFrame:
+    """G13. (episode, src, dst, type): the rows of an episode, numbered in order of way, role and id, linked to class
+    nodes that follow them: support rows by type 2, query rows by type 4."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("episode"))
+    pos = group_rank(episodes.withColumn("_n", n), ["episode"], [F.col("way"), F.col("role"), F.col("id")])
+    return pos.select("episode", (F.col("rn") - 1).cast("long").alias("src"), (F.col("_n") + F.col("way")).alias("dst"), F.when(F.col("role") == "support", 2).otherwise(4).alias("type"))
+
+
+def typed_link_subgraph(inside: DataFrame, relations: int) -> DataFrame:
+    """G15. (sample_id, src, dst, type): typed edges of a sample and their reverses, shifted by the relations."""
+    return inside.select("sample_id", "src", "dst", "type").unionByName(inside.select("sample_id", F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("type") + relations).alias("type")))

@@ -206,3 +206,32 @@ def dataset_mixture(tables: dict[str, DataFrame], multiples: dict[str, float], s
         one = df.withColumn("_t", F.lit(int(m)) + extra).where("_t > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("_t"))).alias("copy"), F.lit(name).alias("dataset")).drop("_t")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def anchored_episodes(queries: DataFrame, rows: DataFrame, ways: int, shots: int, seed=0) -> DataFrame:
+    """N21. (query_id, way, label, id): the query's own class first, then ``ways`` - 1 seeded others, each with
+    ``shots`` rows other than the query. Classes are few: each query meets all of them once."""
+    enough = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shots).select("label")
+    q = queries.select(F.col("id").alias("query_id"), F.col("label").alias("own")).join(enough.withColumnRenamed("label", "own"), "own", "left_semi")
+    classes = q.crossJoin(F.broadcast(enough))
+    first = (F.col("label") == F.col("own")).cast("int")
+    drawn = group_rank(classes, ["query_id"], [first.desc(), md5_key(seed, "query_id", "label"), F.col("label")], "way").where(F.col("way") <= ways)
+    shown = md5_rank(rows, f"{seed}-row", "id", ["label"]).where(F.col("rn") <= shots + 1)
+    pool = drawn.join(shown, "label").where("id <> query_id")
+    return group_rank(pool.drop("rn"), ["query_id", "label"], [md5_key(f"{seed}-row", "id"), F.col("id")]).where(F.col("rn") <= shots).select("query_id", (F.col("way") - 1).alias("way"), "label", "id")
+
+
+def multiclass_shots(rows: DataFrame, shots: int, seed=0) -> DataFrame:
+    """N22. (label, shot, id): ``shots`` train rows of each class, again from the first where a class is too small."""
+    ranked = md5_rank(rows, seed, "id", ["label"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    some = ranked.where(F.col("rn") <= shots)
+    times = some.select("label", "id", F.explode(F.sequence(F.col("rn").cast("long"), F.lit(shots).cast("long"), F.greatest(F.col("n"), F.lit(1).cast("long")))).alias("shot"))
+    return times.select("label", (F.col("shot") - 1).alias("shot"), "id")
+
+
+def neighbour_tasks(walks: DataFrame, members: int) -> DataFrame:
+    """N23. (label, member): seeds as labels with the nodes that their walks reach, for seeds with at least
+    ``members`` of them; the first ``members`` by id, the seed itself included."""
+    reached = walks.select(F.col("root").alias("label"), F.col("node").alias("member")).distinct()
+    n = F.count(F.lit(1)).over(Window.partitionBy("label"))
+    return group_rank(reached.withColumn("_n", n), ["label"], [F.col("member")]).where((F.col("_n") >= members) & (F.col("rn") <= members)).select("label", "member")

@@ -155,3 +155,64 @@ def balance_weights(tokens: DataFrame) -> DataFrame:
     inv = 1 / F.count(F.lit(1)).over(Window.partitionBy("node", "token"))
     w = tokens.withColumn("_w", inv)
     return w.withColumn("weight", F.col("_w") / F.sum("_w").over(Window.partitionBy("node"))).drop("_w")
+
+
+def sign_features(x: DataFrame, edges: DataFrame, nodes: DataFrame, copies: int, legacy: bool = False) -> DataFrame:
+    """V03. (copy, id, dim, val): x and its products with the normalised adjacency with self loops, powers 1 to
+    ``copies``; no copies give the first product only. ``legacy`` repeats the first product instead of the powers."""
+    loops = edges.where("src <> dst").select("src", "dst").unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    d = loops.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("d"))
+    w = loops.join(d, "src").join(d.toDF("dst", "d2"), "dst").select("src", "dst", (1 / F.sqrt(F.col("d") * F.col("d2"))).alias("w"))
+    if not copies:
+        return propagate(x, w, 1).withColumn("copy", F.lit(1))
+    out = x.withColumn("copy", F.lit(0))
+    cur = x
+    for c in range(1, copies + 1):
+        cur = propagate(x if legacy else cur, w, 1)
+        out = out.unionByName(cur.withColumn("copy", F.lit(c)))
+    return out
+
+
+def smoothed_similarity(x: DataFrame, weights: DataFrame, rounds: int, pairs: DataFrame) -> DataFrame:
+    """V10. (src, dst, cosine) of the pairs after smoothing."""
+    return pair_cosine(pairs, wide_form(propagate(x, weights, rounds)))
+
+
+def kmeans_clusters(x: DataFrame, k: int, seed: int = 0, rounds: int = 20) -> DataFrame:
+    """V14. (id, cluster) by Lloyd iterations of Spark ML."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = x.select("id", array_to_vector("x").alias("features"))
+    return KMeans(k=k, seed=seed, maxIter=rounds).fit(v).transform(v).select("id", F.col("prediction").alias("cluster"))
+
+
+def set_similarity(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """V15. Average over all pairs of two vector sets: cosine, dot, or negative euclidean distance. Cosine and dot
+    averages are dot products of mean vectors; only distances form the pairs."""
+    if how == "euclidean":
+        pairs = a.select(F.col("x").alias("p")).crossJoin(b.select(F.col("x").alias("q")))
+        return pairs.agg((-F.avg(F.sqrt(F.aggregate(F.zip_with("p", "q", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)))).alias("similarity"))
+    scale = lambda t: t.select("id", F.transform("x", lambda v: v / norm("x")).alias("x")) if how == "cosine" else t.select("id", "x")
+    mean = lambda t, n: long_form(scale(t)).groupBy("dim").agg(F.avg("val").alias(n))
+    return mean(a, "m").join(mean(b, "n"), "dim").agg(F.sum(F.col("m") * F.col("n")).alias("similarity"))
+
+
+def linear_probe(train: DataFrame, rows: DataFrame, rounds: int = 50) -> DataFrame:
+    """V19. (id, label, pred): multinomial logistic regression on frozen vectors."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    prep = lambda t: t.select("id", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    model = LogisticRegression(maxIter=rounds, regParam=1e-3).fit(prep(train))
+    return model.transform(prep(rows)).select("id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
+
+
+def random_vectors(rows: DataFrame, width: int, seed=0, key: str = "id") -> DataFrame:
+    """V20. (id, dim, val): standard normal values by Box and Muller from the md5 of (seed, id, dim)."""
+    from loomgraph.functions.ranking import md5_key
+
+    d = rows.select(F.col(key).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("dim"))
+    h = md5_key(seed, "id", "dim")
+    u = lambda at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 1) / float((1 << 32) + 1)
+    return d.withColumn("val", F.sqrt(-2 * F.log(u(1))) * F.cos(u(9) * 6.283185307179586))

@@ -30,14 +30,14 @@ def drop_edges(edges: DataFrame, share: float, seed=0) -> DataFrame:
 
 def mask_features(nodes: DataFrame, share: float, seed=0) -> DataFrame:
     """G04. A seeded share of each graph's nodes gets the zero vector; ``mask`` tells which."""
-    zero = F.transform("x", lambda v: v * 0)
+    zero = F.transform("x", lambda v: F.lit(0.0))
     return _dropped(nodes, share, seed).withColumn("x", F.when(F.col("drop"), zero).otherwise(F.col("x"))).withColumnRenamed("drop", "mask")
 
 
 def drop_dimensions(nodes: DataFrame, width: int, percent: int, seed=0) -> DataFrame:
     """G06. The same seeded dimensions are zero for all nodes."""
     on = F.array(*[(md5_bucket(f"{seed}-{i}", buckets=100) >= percent) for i in range(width)])
-    return nodes.withColumn("x", F.transform("x", lambda v, i: F.when(on[i], v).otherwise(v * 0)))
+    return nodes.withColumn("x", F.transform("x", lambda v, i: F.when(on[i], v).otherwise(F.lit(0.0))))
 
 
 def shuffle_features(nodes: DataFrame, seed=0) -> DataFrame:
@@ -100,7 +100,7 @@ def noise_features(nodes: DataFrame, share: float, replace: float, seed=0) -> Da
     ranked = group_rank(masked, ["graph_id", "mask"], [md5_key(f"{seed}-noise", "graph_id", "id"), F.col("id")]).withColumn("_n", n)
     noisy = F.col("mask") & (F.col("rn") <= F.floor(F.col("_n") * replace))
     other = shuffle_features(nodes, f"{seed}-pool").select("graph_id", "id", F.col("x").alias("_y"))
-    zero = F.transform("x", lambda v: v * 0)
+    zero = F.transform("x", lambda v: F.lit(0.0))
     return ranked.withColumn("noisy", noisy).join(other, ["graph_id", "id"]).withColumn("x", F.when(F.col("noisy"), F.col("_y")).when(F.col("mask"), zero).otherwise(F.col("x"))).drop("rn", "_n", "_y")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ranking import md5_key
+
 
 def structure_counts(distances: DataFrame, hops: int) -> DataFrame:
     """K07, exact. (src, dst, n_i_j): nodes at distance i from src and j from dst; n_i_0 and n_0_j count nodes within
@@ -31,9 +33,11 @@ def hll_counts(sketches: DataFrame) -> DataFrame:
     return sketches.select("id", "hop", F.hll_sketch_estimate("sketch").alias("n"))
 
 
-def minhash(nodes: DataFrame, slots: int) -> DataFrame:
-    """K01. (id, slot, h): one hash of each node for each slot."""
-    return nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")).withColumn("h", F.xxhash64("id", "slot"))
+def minhash(nodes: DataFrame, slots: int, portable: bool = False) -> DataFrame:
+    """K01. (id, slot, h): one hash of each node for each slot; ``portable`` takes it from md5, which other engines
+    have too, at a higher price."""
+    h = F.conv(F.substring(md5_key("slot", "id", "slot"), 1, 15), 16, 10).cast("long") if portable else F.xxhash64("id", "slot")
+    return nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")).withColumn("h", h)
 
 
 def minhash_propagate(hashes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -20,6 +20,13 @@ from loomgraph.plans.text_queries import FE, LV, feats, r6
 
 BOOK = X.Book()
 add = BOOK.add
+
+
+def bucket_sql_of_dim():
+    """SQL of the bucket of each dimension, whose seed holds its number."""
+    return "(('0x' || substr(md5('3-' || dim), 1, 8))::BIGINT % 100)"
+
+
 _LP = {"lp": "SELECT src, dst FROM graph UNION ALL SELECT id, id FROM nodes", "ld": "SELECT src, count(*)::DOUBLE AS n FROM lp GROUP BY 1", "lw": "SELECT lp.src, lp.dst, 1 / sqrt(a.n * b.n) AS w FROM lp JOIN ld a ON a.src = lp.src JOIN ld b ON b.src = lp.dst"}
 add("v03_sign_features", lambda s, d: r6(V.sign_features(feats(s, d), X.graph(s, d), X.nodes(s, d), 2), "val"),
     sql("SELECT 0 AS copy, id, dim, val FROM fe UNION ALL SELECT 1, id, dim, round(val, 6) FROM p UNION ALL SELECT 2, src, dim, round(sum(w * val), 6) FROM lw JOIN p ON id = dst GROUP BY 2, 3", "graph", "nodes", fe=FE, **_LP, p="SELECT src AS id, dim, sum(w * val) AS val FROM lw JOIN fe ON id = dst GROUP BY 1, 2"))
@@ -62,6 +69,10 @@ add("g05_mask_with_noise", lambda s, d: G.noise_features(_x(s, d), 0.6, 0.5, 1).
 _BI = lambda s, d: order_graphs(s, d)[0].select("graph_id", "src", "dst").unionByName(order_graphs(s, d)[0].select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
 _G0 = f"SELECT graph_id, id, 0 AS round FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {md5_sql(2, 'graph_id', 'id')}, id) AS rn FROM ln) WHERE rn = 1"
 _GR = "SELECT graph_id, id, round FROM (SELECT u.*, row_number() OVER (PARTITION BY u.graph_id ORDER BY round, {h}, u.id) AS rn FROM (SELECT * FROM {w} UNION ALL SELECT DISTINCT b.graph_id, b.dst, {r} FROM {w} w JOIN be b ON b.graph_id = w.graph_id AND b.src = w.id WHERE (b.graph_id, b.dst) NOT IN (SELECT (graph_id, id) FROM {w})) u) JOIN sz USING (graph_id) WHERE rn <= size"
+add("g06_drop_feature_dims", lambda s, d: V.long_form(G.drop_dimensions(X.vectors(s, d), 64, 50, 3)),
+    sql("SELECT id, dim, CASE WHEN " + bucket_sql_of_dim() + " >= 50 THEN val ELSE 0 END AS val FROM lv", "vectors", lv=LV))
+add("n25_support_query_mark", lambda s, d: N.few_shot_episodes(kinds(s, d), 8, 3, 2, 2, 4).groupBy("episode", "way", "role").agg(F.count(F.lit(1)).alias("n")),
+    sql("SELECT episode, way::INT AS way, role, 2 AS n FROM range(8) t(episode), range(3) w(way), (VALUES ('support'), ('query')) r(role)"))
 add("g08_walk_subgraph_aug", lambda s, d: G.grown_subset(gnodes(s, d), _BI(s, d), 0.6, 2, 2),
     sql("SELECT graph_id, id FROM r2", **ORDERS, be="SELECT graph_id, src, dst FROM oe UNION ALL SELECT graph_id, dst, src FROM oe", sz="SELECT graph_id, greatest(floor(count(*) * 0.6), 1) AS size FROM ln GROUP BY 1", r0=_G0, **{f"r{r}": _GR.format(h=md5_sql(f"2-{r}", "u.graph_id", "u.id"), w=f"r{r - 1}", r=r) for r in (1, 2)}))
 add("g09_mask_typed_nodes", lambda s, d: G.mask_typed_nodes(gnodes(s, d).withColumn("type", (F.col("id") % 4).cast("int")), 0.2, 1),

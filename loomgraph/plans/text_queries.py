@@ -13,7 +13,7 @@ from loomgraph.operators import text as T
 from loomgraph.operators import vectors as V
 from loomgraph.plans import fixtures as X
 from loomgraph.plans.fixtures import md5_sql, sql
-from loomgraph.plans.path_queries import ends, part_pairs
+from loomgraph.plans.path_queries import BALL, ends, part_pairs
 
 BOOK = X.Book()
 add = BOOK.add
@@ -146,6 +146,20 @@ def counts(s, d):
 add("k07_structure_features", counts, sql(K07, "graph", **ends(False)))
 add("k08_degree_normalised", lambda s, d: r6(K.degree_normalised(counts(s, d).select("src", "dst", "n_1_1", "n_2_2"), E.degree(X.graph(s, d), X.nodes(s, d)), ["n_1_1", "n_2_2"]), "n_1_1_norm", "n_2_2_norm"),
     sql("SELECT k.src, k.dst, n_1_1, n_2_2, round(n_1_1 / sqrt(a.n * b.n), 6) AS n_1_1_norm, round(n_2_2 / sqrt(a.n * b.n), 6) AS n_2_2_norm FROM k JOIN dg a ON a.src = k.src JOIN dg b ON b.src = k.dst", "graph", **ends(False), k=K07, dg=DEG))
-add("k04_hll_count", lambda s, d: K.hll_counts(K.hll_neighbourhoods(X.graph(s, d), X.linked(s, d), 2)))
-add("k05_minhash_jaccard", lambda s, d: K.minhash_jaccard(part_pairs(s, d), K.minhash_propagate(K.minhash(X.linked(s, d), 64), X.graph(s, d)), 64))
+MH = f"SELECT id, slot::INT AS slot, ('0x' || substr({md5_sql('slot', 'id', 'slot')}, 1, 15))::BIGINT AS h FROM linked, range(32) t(slot)"
+MP = "SELECT id, slot, min(h) AS h FROM (SELECT * FROM mh UNION ALL SELECT g.src, slot, h FROM graph g JOIN mh ON mh.id = g.dst) GROUP BY 1, 2"
+
+
+def hashes(s, d):
+    return K.minhash(X.linked(s, d), 32, portable=True)
+
+
+add("k01_minhash_init", hashes, sql("SELECT * FROM mh", "linked", mh=MH))
+# small sets are counted exactly by the sketches
+add("k02_hll_init", lambda s, d: K.hll_counts(K.hll_neighbourhoods(X.graph(s, d), X.linked(s, d), 0)).select("id", F.round("n").cast("long").alias("n")), sql("SELECT id, 1 AS n FROM linked", "linked"))
+add("k03_minhash_propagate", lambda s, d: K.minhash_propagate(hashes(s, d), X.graph(s, d)), sql("SELECT * FROM mp", "linked", mh=MH, mp=MP))
+add("k04_hll_count", lambda s, d: K.hll_counts(K.hll_neighbourhoods(X.graph(s, d), X.linked(s, d), 2)).select("id", "hop", F.round("n").cast("long").alias("n")),
+    sql("SELECT root AS id, h::INT AS hop, count(*) AS n FROM ball JOIN range(3) t(h) ON hop <= h GROUP BY 1, 2", "graph", ball=BALL))
+add("k05_minhash_jaccard", lambda s, d: K.minhash_jaccard(part_pairs(s, d), K.minhash_propagate(hashes(s, d), X.graph(s, d)), 32),
+    sql("SELECT p.src, p.dst, count(*) FILTER (a.h = b.h) / 32 AS jaccard FROM pairs p JOIN mp a ON a.id = p.src JOIN mp b ON b.id = p.dst AND b.slot = a.slot GROUP BY 1, 2", "linked", mh=MH, mp=MP))
 add("k06_khop_intersection", lambda s, d: r6(K.intersections(K.minhash_jaccard(part_pairs(s, d), K.minhash_propagate(K.minhash(X.linked(s, d), 64), X.graph(s, d)), 64), K.hll_neighbourhoods(X.graph(s, d), X.linked(s, d), 1).where("hop = 1").drop("hop")), "n"))

@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
-A small tolerant reader builds the tree of a page. Boilerplate subtrees (by tag, role, or words of class and id) are
-left out first. For every node the density is its characters per tag, lowered by the share of link characters; a
+A small tolerant reader builds the tree of a page. Boilerplate subtrees (by tag, role, or names in class and id) are
+left out first. A name counts as a whole: all its parts must be marks or their usual affixes. A mark by name, or a form,
+is overruled by the text: see :func:`overrule`. For every node the density is its characters per tag, lowered by the share of link characters; a
 node's density sum is the sum of its children's densities. The node with the largest density sum is the core. The
 lowest density on the path from the core to the body is the threshold: ancestors are taken instead of the core as long
-as they add children that reach it, and an enclosing article or main element ends the climb. The chosen subtree is
-rendered as blocks.
+as they add children that reach it. An enclosing article is taken whole; from there the climb goes on inside the main
+element, and outside of one over sibling articles only. The chosen subtree is rendered as blocks.
 
 Defined cases: null and empty html give an empty text; a page without body is read as if it had one; unclosed and
 stray tags are repaired as browsers do for paragraphs, list items and table cells; scripts, styles, comments and
@@ -35,6 +36,7 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "audio", "video"}
 DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "input", "fieldset"}
+RAW_END = {t: re.compile(f"</{t}(?![a-z0-9:-])", re.I | re.A) for t in RAW}
 BLOCKS = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary",
@@ -50,7 +52,7 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words of class or id, or roles, that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
+#: Names in class or id, or roles, that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promoted",
     "promotion", "nav", "navbar", "navigation", "menu", "topmenu", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar",
@@ -59,18 +61,32 @@ MARKS = {
     "signup", "login", "comment", "comments", "commentlist", "commentbox", "discussion", "disqus", "replies", "respond", "reply", "share",
     "sharing", "social", "related", "recommended", "recommendations", "trending", "copyright", "search", "searchbox", "skip", "legal",
 }
+#: Marks that inside an article or main element are as likely part of its text.
+WEAK = {"notice", "notices", "legal", "disclaimer", "discussion", "subscription", "search", "trending", "rail", "overlay"}
+SAID = {"comment", "comments", "commentlist", "commentbox", "discussion", "disqus", "replies", "respond", "reply"}
+#: Parts that a compound name may have beside marks; any other part (has, no, with, results, price) makes it another name.
+AFFIXES = {
+    "site", "page", "main", "top", "bottom", "left", "right", "global", "primary", "secondary", "header", "head", "section", "area", "block",
+    "box", "bar", "list", "item", "items", "container", "wrapper", "wrap", "inner", "outer", "row", "col", "column", "panel", "group",
+    "link", "links", "button", "buttons", "icons", "form", "field", "input", "text", "title", "heading", "slot", "unit", "zone", "google", "js", "mobile", "desktop",
+    "content", "contents", "posts", "articles", "stories", "post", "message", "thread", "media", "policy", "to",
+}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
+SIZES = re.compile(r"\d+x\d+")
 CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "main", "chars", "links", "tags", "density", "sums")
+    __slots__ = ("tag", "parent", "parts", "drop", "soft", "main", "chars", "links", "tags", "density", "sums")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False, main: bool = False):
-        self.tag, self.parent, self.drop, self.main = tag, parent, drop, main
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, main: bool = False, soft: str = ""):
+        self.tag, self.parent, self.drop, self.main, self.soft = tag, parent, drop, main, soft
         self.parts: list[Node | str] = []
+        self.clear()
+
+    def clear(self) -> None:
         self.chars = self.links = self.tags = 0
         self.density = self.sums = 0.0
 
@@ -79,34 +95,47 @@ def attributes(raw: str) -> dict[str, str]:
     return {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) for k, v in ATTRIBUTE.findall(raw)}
 
 
-def is_boilerplate(tag: str, raw: str, in_main: bool) -> bool:
-    if tag in DROPPED:
-        return True
+def boilerplate(tag: str, raw: str, in_main: bool) -> str:
+    """How a node is marked: hard, soft (a name or a form), said (a name of comments), or empty."""
+    if tag in DROPPED and tag not in ("form", "fieldset"):
+        return "hard"
     if tag == "header" and not in_main:
-        return True
+        return "hard"
+    soft = "soft" if tag in DROPPED else ""
     if not raw or not raw.strip(" /"):
-        return False
+        return soft
     a = attributes(raw)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES:
-        return True
+        return "hard"
     style = a.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
-        return True
+        return "hard"
+    found = marks(a)
     if tag in ("body", "html", "main", "article"):
-        return tag == "article" and bool({"comment", "comments", "reply", "ad", "ads", "related"} & marks(a))
-    return bool(MARKS & marks(a)) or (not in_main and "header" in marks(a))
+        found &= {"comment", "comments", "reply", "ad", "ads", "related"} if tag == "article" else set()
+        return "said" if found & SAID else "soft" if found else ""
+    if in_main:
+        found -= WEAK | {"header"}
+    return "said" if found & SAID else "soft" if found else soft
 
 
 def marks(a: dict[str, str]) -> set[str]:
-    said = f"{a.get('class', '')} {a.get('id', '')}"
-    return set(WORDS.findall(CAMEL.sub(r"\1 \2", said).lower())) if said != " " else set()
+    """Marks among the whole names of class and id; header is one of them."""
+    out = set()
+    for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+        parts = set(WORDS.findall(SIZES.sub("", CAMEL.sub(r"\1-\2", name).lower())))
+        found = parts & MARKS
+        if found and parts <= MARKS | AFFIXES:
+            out |= found
+        elif parts and "header" in parts and parts <= {"header", "site", "page", "main", "top", "global", "container", "wrapper", "wrap", "inner", "bar"}:
+            out.add("header")
+    return out
 
 
 def parse(html: str) -> Node:
     """Tree of the page; boilerplate subtrees are marked."""
     root = Node("html", None)
     here, at, size = root, 0, len(html)
-    lower = None
     while at < size:
         m = TOKEN.search(html, at)
         if not m:
@@ -154,15 +183,15 @@ def parse(html: str) -> Node:
                     break
                 node = node.parent
         in_main = here.main or tag in ("article", "main")
-        drop = here.drop or is_boilerplate(tag, raw, in_main and tag != "header" or here.main)
-        main = here.main or tag in ("article", "main") or (not drop and 'role="main"' in raw)
-        new = Node(tag, here, drop, main)
+        mark = boilerplate(tag, raw, in_main and tag != "header" or here.main)
+        main = here.main or tag in ("article", "main") or (mark != "hard" and 'role="main"' in raw)
+        new = Node(tag, here, bool(mark), main, "" if mark == "hard" else mark)
         here.parts.append(new)
         if tag in VOID or raw.endswith("/") and tag in RAW:
             continue
         if tag in RAW:  # its text is no markup
-            lower = html.lower() if lower is None else lower
-            end = lower.find("</" + tag, at)
+            m = RAW_END[tag].search(html, at)
+            end = m.start() if m else -1
             if end < 0 and tag in ("title", "textarea", "svg", "math", "object", "noscript"):
                 continue
             at = size if end < 0 else (html.find(">", end) + 1 or size)
@@ -171,6 +200,40 @@ def parse(html: str) -> Node:
     return root
 
 
+def overrule(root: Node) -> None:
+    """Takes back marks by name that the text speaks against: where no unmarked article or main element is elsewhere, from
+    nodes that hold one or (comments apart) most of the page's unlinked text; else from nodes, comments apart, that
+    hold both."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not node.drop or node.soft:
+            nodes.append(node)
+            todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
+    soft = [n for n in nodes if n.soft]
+    if not soft:
+        return
+    for n in soft:
+        n.drop = False
+    weigh(nodes)
+    holds, inside = set(), set()  # nodes with an unmarked article or main element; nodes at or under a marked one
+    for n in nodes:
+        if n.soft or n.parent in inside:
+            inside.add(n)
+    for n in reversed(nodes):
+        if n.tag in ("article", "main") and not n.soft and n.chars > n.links or n in holds:
+            holds.add(n)
+            if n.parent is not None:
+                holds.add(n.parent)
+    free = any(n.tag in ("article", "main") and n not in inside and n.chars > n.links for n in nodes)
+    half = (root.chars - root.links) / 2
+    for n in soft:
+        most = n.soft == "soft" and n.chars - n.links > half
+        n.drop = not (most and n in holds if free else most or n in holds)
+    for n in nodes:
+        n.clear()
+
+
 def order(root: Node) -> list[Node]:
     """Kept nodes, parents before children."""
     out, todo = [], [root]
@@ -215,14 +278,17 @@ def core(nodes: list[Node]) -> Node | None:
             break
         node = node.parent
     threshold = min(n.density for n in path)
-    inside = [n for n in path if n.tag in ("article", "main")]
-    if inside:  # the climb ends at the enclosing article, else at the main element
-        return next((n for n in reversed(inside) if n.tag == "article"), inside[-1])
-    for node in path[1:]:
-        more = [
-            p for p in node.parts
-            if isinstance(p, Node) and not p.drop and p not in path and p.density >= threshold and p.chars - p.links > 0
-        ]
+    articles = [i for i, n in enumerate(path) if n.tag == "article"]
+    mains = [i for i, n in enumerate(path) if n.tag == "main"]
+    at = articles[-1] if articles else mains[-1] if mains else 0
+    best, on_path = path[at], set(path)
+    for i, node in enumerate(path[at + 1 :], at + 1):
+        free = not articles and not mains or mains and i <= mains[-1]
+        more = any(
+            isinstance(p, Node) and not p.drop and p not in on_path and p.density >= threshold and p.chars > p.links
+            and (free or path[at].tag == p.tag == "article")
+            for p in node.parts
+        )
         if not more or node.tag == "html":
             break
         best = node
@@ -263,7 +329,9 @@ def rendered(root: Node) -> str:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    nodes = order(parse(html))
+    root = parse(html)
+    overrule(root)
+    nodes = order(root)
     weigh(nodes)
     best = core(nodes)
     return rendered(best) if best is not None else ""

@@ -257,6 +257,25 @@ def test_html_cases(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_html_marks_are_whole_names_and_yield_to_text():
+    one = "Some long sentence of the article that goes on and on."
+    body = f"<p>{one}</p><p>{one}</p>"
+    two = f"{one}\n\n{one}"
+    for attr in ("class='content has-sidebar'", "id=main class=no-sidebar", "class='post with-comments'", "id=search-results", "class=sidebarLess", "class=sidebar", "class='modal overlay'"):
+        assert html_text.main_text(f"<nav>x</nav><div {attr}><article>{body}</article></div><div class=ad-slot><p>Buy this</p></div>") == two
+        assert html_text.main_text(f"<nav>x</nav><div {attr}>{body}</div><div class=ad-300x250><p>Buy this</p></div>") == two
+    assert html_text.main_text(f"<form id=aspnetForm>{body}</form>") == two
+    inner = "".join(f"<p class='{c}'>{one}</p>" for c in ("notice", "legal", "share-price"))
+    assert html_text.main_text(f"<article>{inner}<div class=share-buttons>Tweet</div></article>") == f"{two}\n\n{one}"
+    # marks stay where the article is elsewhere
+    assert html_text.main_text(f"<article>{body}</article><section class=related><article><p>A teaser text</p></article></section><div class=comments>{body * 9}</div>") == two
+    # articles beside each other, and what main adds to its article
+    assert html_text.main_text(f"<body><article>{body}</article><article>{body}</article>") == f"{two}\n\n{two}"
+    assert html_text.main_text(f"<main><article>{body}</article><p>{one}</p></main>") == f"{two}\n\n{one}"
+    # a letter that grows when lowered does not move the end of a script
+    assert html_text.main_text("\u0130" * 30 + f"<SCRIPT>x</Script><article>{body}</article>") == two
+
+
 # ---- op7
 
 

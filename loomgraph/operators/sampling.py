@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ranking import group_rank, md5_bucket, md5_key, md5_rank
+from loomgraph.functions.storage import discard, stash
 from loomgraph.operators.edges import canonical, induced
 from loomgraph.operators.paths import khop
 
@@ -55,13 +56,23 @@ def same_source_negatives(positives: DataFrame, n_nodes: int, m: int, seed=0) ->
     return d.withColumn("neg", md5_bucket(seed, "src", "dst", "i", buckets=n_nodes))
 
 
-def complement_negatives(edges: DataFrame, nodes: DataFrame, k: int, seed=0, max_nodes: int = 5_000) -> DataFrame:
-    """N05. (src < dst): a seeded choice of ``k`` from all non-edges. All pairs are formed, so the node set is bounded."""
-    if nodes.count() > max_nodes:
-        raise ValueError(f"more than {max_nodes} nodes: draw with negative_edges")
-    a = nodes.select(F.col("id").alias("src")).crossJoin(nodes.select(F.col("id").alias("dst"))).where("src < dst")
-    free = a.join(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti")
-    return free.orderBy(md5_key(seed, "src", "dst"), "src", "dst").limit(k)
+def complement_negatives(edges: DataFrame, nodes: DataFrame, k: int, seed=0) -> DataFrame:
+    """N05. (src < dst): the ``k`` first of all non-edges in md5 order. Each pair's md5 is taken where the pair is formed;
+    only pairs below a bound, which rises until ``k`` non-edges are under it, meet the edges."""
+    n, m = nodes.count(), edges.count()
+    pairs = nodes.select(F.col("id").alias("src")).join(nodes.select(F.col("id").alias("dst")), F.expr("src < dst"))
+    gone = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    share = (2 * k + 100) / max(n * (n - 1) / 2 - m, 1)
+    while True:
+        low = pairs if share >= 1 else pairs.where(md5_key(seed, "src", "dst") < F.lit(f"{int(share * (1 << 32)):08x}"))
+        free = low.join(gone, ["src", "dst"], "left_anti").orderBy(md5_key(seed, "src", "dst"), "src", "dst").limit(k)
+        if share >= 1:
+            return free
+        found = stash(free, "complement")
+        if found.count() >= k:
+            return found
+        discard(found)
+        share *= 4
 
 
 def hard_negatives(edges: DataFrame, k: int, seed=0) -> DataFrame:

@@ -1,5 +1,7 @@
 """Golden cases and invariants of the graph operators, beside the comparisons with DuckDB."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,19 @@ def test_negatives_are_no_edges(spark):
     assert len(got) <= 4 and not {(0, 0), (0, 1), (1, 2), (2, 3)} & set(got) and all(a != b for a, b in got)
 
 
+def test_complement_negatives_of_many_nodes(spark):
+    nodes = spark.range(5_200)
+    e = edges(spark, *[(0, i) for i in range(1, 5_200)], both=False)
+    got = [tuple(r) for r in N.complement_negatives(e, nodes, 30, 4).collect()]
+    assert len(set(got)) == 30 and all(0 < a < b for a, b in got)
+    # few free pairs: the bound has to rise to all pairs
+    few = edges(spark, *[(a, b) for a in range(12) for b in range(a + 1, 12) if (a, b) not in ((2, 7), (5, 6))], both=False)
+    assert {tuple(r) for r in N.complement_negatives(few, spark.range(12), 5).collect()} == {(2, 7), (5, 6)}
+    md5 = lambda a, b: hashlib.md5(f"9|{a}|{b}".encode()).hexdigest()
+    want = sorted((md5(a, b), a, b) for a in range(300) for b in range(a + 1, 300))[:40]
+    assert [tuple(r) for r in N.complement_negatives(few.limit(0), spark.range(300), 40, 9).collect()] == [w[1:] for w in want]
+
+
 def test_drnl_values(spark):
     # 0 - 1 is the link, 2 is next to both, 3 next to 2
     e = edges(spark, (0, 1), (0, 2), (1, 2), (2, 3))

@@ -3,7 +3,8 @@
 A word's embedding is the sum of hashed rows for the whole word and its first 3, 4 and 5 letters. Filters of widths
 1, 2 and 3 run over the words of the whole text; each filter's maximum goes through a linear layer to one logit. The
 network is trained on a bounded sample of labelled rows. The logit's threshold is calibrated for each language, as
-recognised from the text by the centroids of :mod:`loomgraph.llm.langid`, so that score 0.5 is the threshold.
+recognised from the text by the centroids of :mod:`loomgraph.llm.langid`, so that score 0.5 is the threshold. All
+labelled rows that are not held out count for it, as a histogram of their logits.
 
 Defined cases: a null or empty text, or one without letters, has score 0: nothing in it can be toxic; rows whose label,
 key or text is null are never learned from; without learning rows of both classes every score is 0; repeated rows are
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.langid import CentroidModel, centroid_model, clean_counts, idf_of, letters
+from loomgraph.llm import langid
+from loomgraph.llm.langid import CentroidModel, letters
 from loomgraph.llm.text import by_weight, held_out
 
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 15, 12, 12, (1, 2, 3)
@@ -35,6 +37,8 @@ PADS = max(SPANS)
 #: Words whose projections a task keeps at once.
 KEPT_WORDS = 200_000
 MIN_CALIBRATION = 20
+#: Steps of a logit in the histogram, and the largest one that it tells apart.
+STEPS, MOST = 64, 100
 
 
 def word_rows(word: str) -> tuple[int, int, int, int]:
@@ -189,13 +193,14 @@ def best_threshold(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) ->
     return float(edges[least[len(least) // 2]])
 
 
-def train(texts: list[str], labels: np.ndarray, langs: list[str | None], class_sizes: tuple[int, int], seed: int = 0) -> ToxicityModel:
-    """Train on four fifths of the sample, calibrate on all of it by its natural class sizes. Empties ``texts``."""
+def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> TextCNN:
+    """Train on all of the sample. Empties ``texts``."""
     clean = [letters(t) for t in texts]
     texts.clear()
     labels = labels.astype(np.float32)
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number) + 1) for w in c.split()], dtype=np.int32) for c in clean]
+    del clean
     rows = np.zeros((len(number) + 1, 4), dtype=np.int32)
     for w, i in number.items():
         rows[i] = word_rows(w)
@@ -203,36 +208,55 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], class_s
     counts = [int((labels == c).sum()) for c in (0, 1)]
     balance = np.where(labels == 1, len(labels) / (2 * counts[1]), len(labels) / (2 * counts[0]))
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(clean))
-    kept, rest = order[len(order) // 5 :], order[: len(order) // 5]
+    order = rng.permutation(len(docs))
     net = TextCNN.fresh(seed)
     for _ in range(EPOCHS):
-        rng.shuffle(kept)
-        for s in range(0, len(kept), BATCH):
-            some = kept[s : s + BATCH]
+        rng.shuffle(order)
+        for s in range(0, len(order), BATCH):
+            some = order[s : s + BATCH]
             net.learn([docs[i] for i in some], rows, labels[some], balance[some])
     net.state.clear()
-    del docs, rows
-    # the language is recognised from the text; frequencies of the sample serve here
-    known = [i for i, x in enumerate(langs) if x is not None][: 400 * max(len({x for x in langs if x}), 1)]
-    tf = np.concatenate([clean_counts([clean[i] for i in known[s : s + 32]]) for s in range(0, len(known), 32)]) if known else np.zeros((0, 4096), np.float32)
-    finder = centroid_model(tf, np.array([langs[i] for i in known], dtype=object), idf_of((tf > 0).sum(axis=0), len(known)))
-    scorer = Scorer(net, 20_000)
-    logit = np.concatenate([scorer.logits([clean[i] for i in order[s : s + 64]]) for s in range(0, len(order), 64)])
-    label, natural = labels[order], np.where(labels[order] == 1, class_sizes[1] / counts[1], class_sizes[0] / counts[0])
-    natural[: len(rest)] *= 4  # rows that were not trained on weigh as much as the others together
-    found = np.array(finder.nearest([clean[i] for i in order])[0], dtype=object)
-    thresholds = {None: best_threshold(logit, label, natural)}
+    return net
+
+
+def histogram(rows: DataFrame, net: TextCNN, finder: CentroidModel) -> DataFrame:
+    """(found, toxic, trained, bin, n) of all ``rows`` (text, toxic, trained): how many have their logit in a bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(net)
+        for batch in by_weight(batches, "text", 500_000):
+            clean = [letters(t) for t in batch.column("text").to_pylist()]
+            bins = np.floor(np.clip(scorer.logits(clean), -MOST, MOST) * STEPS).astype(np.int32)
+            some = pa.array([bool(c) for c in clean])  # a text without letters has score 0 at any threshold
+            out = [pa.array(finder.nearest(clean)[0], pa.string()), batch.column("toxic"), batch.column("trained"), pa.array(bins)]
+            yield pa.RecordBatch.from_arrays(out, names=["found", "toxic", "trained", "bin"]).filter(some)
+
+    counted = rows.select("text", "toxic", "trained").mapInArrow(run, "found string, toxic int, trained boolean, bin int")
+    return counted.groupBy("found", "toxic", "trained", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def calibrated(found: np.ndarray, toxic: np.ndarray, trained: np.ndarray, bins: np.ndarray, n: np.ndarray) -> dict[str | None, float]:
+    """Threshold of each language, and of all under None, from a histogram. The rows of a class weigh what they count
+    together, those that were not trained on at least half of it."""
+    weight = n.astype(np.float64)
+    for c in (0, 1):
+        own, new = (toxic == c) & trained, (toxic == c) & ~trained
+        a, b = weight[own].sum(), weight[new].sum()
+        if 0 < b < a:
+            weight[own] *= (a + b) / (2 * a)
+            weight[new] *= (a + b) / (2 * b)
+    logit = (bins + 0.5) / STEPS
+    thresholds = {None: best_threshold(logit, toxic, weight)}
     for lang in set(found):
         some = found == lang
-        if min((label[some] == 1).sum(), (label[some] == 0).sum()) >= MIN_CALIBRATION:
-            thresholds[lang] = best_threshold(logit[some], label[some], natural[some])
-    return ToxicityModel(net, finder, thresholds)
+        if min(n[some & (toxic == c)].sum() for c in (0, 1)) >= MIN_CALIBRATION:
+            thresholds[lang] = best_threshold(logit[some], toxic[some], weight[some])
+    return thresholds
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> ToxicityModel | None:
-    """Learn from at most ``sample_each`` labelled rows of each class, none held out, chosen by the hash of the id.
-    None if a class has no row."""
+    """Learn from labelled rows, none held out: the network from four fifths of at most ``sample_each`` of each class,
+    chosen by the hash of the id; the thresholds from all. None if a class has no row."""
     learn = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")
     )
@@ -240,17 +264,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> T
     if len(n) < 2:
         return None
     share = {c: int(min(1.0, 0.95 * sample_each / x) * (1 << 30)) for c, x in n.items()}
-    picked = learn.where(F.col("h") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).limit(2 * sample_each)
-    # at most 2 * sample_each short rows are broadcast
+    below = F.col("h") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    flagged = learn.select("doc_id", "toxic", (below & (F.col("h") % 5 > 0)).alias("trained"))
+    picked = flagged.where("trained").select("doc_id", "toxic").limit(2 * sample_each)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    rows = docs.select("doc_id", "text", lang).where("text is not null").join(F.broadcast(picked), "doc_id")
-    sample = rows.select("doc_id", "text", "lang", "toxic").limit(3 * sample_each).toPandas().sort_values(["doc_id", "text", "toxic"])
+    docs = docs.select("doc_id", "text", lang).where("text is not null")
+    finder = langid.fit(docs)
+    # at most 2 * sample_each short rows are broadcast
+    sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").limit(3 * sample_each).toPandas().sort_values(["doc_id", "text", "toxic"])
     if sample["toxic"].nunique() < 2:
         return None
-    langs = [x if isinstance(x, str) else None for x in sample["lang"]]
     texts, toxic = sample["text"].tolist(), sample["toxic"].to_numpy()
     del sample
-    return train(texts, toxic, langs, (n[0], n[1]))
+    net = train(texts, toxic)
+    # labels grow with the rows: merged at every size
+    h = histogram(docs.join(flagged.hint("merge"), "doc_id"), net, finder).toPandas().sort_values(["found", "toxic", "trained", "bin"])
+    if h.empty:  # no labelled text has a letter
+        return None
+    columns = [h[c].to_numpy() for c in ("found", "toxic", "trained", "bin", "n")]
+    columns[2] = columns[2].astype(bool)
+    return ToxicityModel(net, finder, calibrated(*columns))
 
 
 def predict(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,3 +379,26 @@ def test_toxicity(spark):
     assert got[1_003].predicted == 1 and got[1_000].score == got[1_001].score == got[1_002].score == 0
     assert toxicity.fit(docs, lab.where("toxic = 0")) is None
     assert toxicity.predict(docs, None).where("score <> 0").count() == 0 and toxicity.predict(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_thresholds_see_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1_500):
+        bad, late = rng.random() < 0.3, i >= 1_300
+        w = [("zu" if late else "") + x for x in sentence(rng, rng.randint(5, 30), 300).split()]
+        w += [rng.choice(["vile", "nasty"])] * bad
+        rows.append((i, " ".join(w), "bb" if late else "aa"))
+        labels.append((i, int(bad)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = {}
+    real = toxicity.calibrated
+    monkeypatch.setattr(toxicity, "calibrated", lambda found, toxic, trained, bins, n: seen.update(n=int(n.sum()), trained=int(n[trained].sum())) or real(found, toxic, trained, bins, n))
+    model = toxicity.fit(docs, lab, sample_each=60)
+    learn = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    assert seen["n"] == len(learn) and 0 < seen["trained"] <= 120
+    # the last language by id has its own centroids and, by rows outside the sample, its own threshold
+    assert set(model.langs.langs) == {"aa", "bb"} and set(model.thresholds) == {None, "aa", "bb"}
+    n = np.array([30, 10, 5, 5])
+    got = toxicity.calibrated(np.array(["x"] * 4, dtype=object), np.array([0, 1, 0, 1]), np.array([True, True, False, False]), np.array([-64, 64, -64, 64]), n)
+    assert got[None] == 1 / 128 and set(got) == {None}

@@ -5,10 +5,12 @@ Searches keep (key, node) frontiers; a round is one join with the edges and one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.storage import stash
+from loomgraph.functions.storage import discard, stash
 
 
 def khop(roots: DataFrame, edges: DataFrame, hops: int, keys: list[str], blocked: DataFrame | None = None) -> DataFrame:
@@ -51,26 +53,36 @@ def _transition(edges: DataFrame, weight: str | None = None) -> DataFrame:
     return e.withColumn("_p", F.col("_w") / F.sum("_w").over(Window.partitionBy("node"))).drop("_w")
 
 
-def ppr_power(links: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-7, max_rounds: int = 100, cut_every: int = 5) -> DataFrame:
+def ppr_power(links: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-7, max_rounds: int | None = None, cut_every: int = 5) -> DataFrame:
     """H06. (src, dst, score): personalised PageRank of dst from src, all distinct sources in one iteration. Mass of
-    nodes without edges returns to the source. Stops when no source changes by more than ``tol`` in sum."""
+    nodes without edges returns to the source. Stops when no source changes by more than ``tol`` in sum; without
+    ``max_rounds`` as many rounds are made as that can take. It is an error if they do not do."""
+    if max_rounds is None:  # a round changes a source by 2 * damping ** (round - 1) at most
+        max_rounds = math.ceil(math.log(tol / 2) / math.log(damping)) + 1 + cut_every
     step = stash(_transition(edges), "transition")
     roots = stash(links.select(F.col("src").alias("root")).distinct(), "roots")
-    start = roots.select("root", F.col("root").alias("node"), F.lit(1.0).alias("mass"))
-    cur = start
+    home = roots.select("root", F.col("root").alias("node"), F.lit(1 - damping).alias("mass"))
+    cur, old = roots.select("root", F.col("root").alias("node"), F.lit(1.0).alias("mass")), []
     for r in range(1, max_rounds + 1):
+        last = r % cut_every == 0 or r == max_rounds
+        if last:
+            cur = stash(cur, "ppr")
+            discard(*old)
         moved = cur.join(step, "node", "left")
         arrive = moved.where("_to is not null").select("root", F.col("_to").alias("node"), (damping * F.col("mass") * F.col("_p")).alias("mass"))
         stuck = moved.where("_to is null").select("root", F.col("root").alias("node"), (damping * F.col("mass")).alias("mass"))
-        home = roots.select("root", F.col("root").alias("node"), F.lit(1 - damping).alias("mass"))
         new = arrive.unionByName(stuck).unionByName(home).groupBy("root", "node").agg(F.sum("mass").alias("mass"))
-        if r % cut_every == 0:
+        if last:
             new = stash(new, "ppr")
             change = new.withColumnRenamed("mass", "_n").join(cur, ["root", "node"], "full").groupBy("root").agg(F.sum(F.abs(F.coalesce("_n", F.lit(0.0)) - F.coalesce("mass", F.lit(0.0)))).alias("c"))
-            if (change.agg(F.max("c")).first()[0] or 0.0) <= tol:
-                cur = new
-                break
+            done = (change.agg(F.max("c")).first()[0] or 0.0) <= tol
+            discard(cur)
+            old = [new]
         cur = new
+        if last and done:
+            break
+    else:
+        raise RuntimeError(f"PageRank did not settle in {max_rounds} rounds")
     return links.join(cur.select(F.col("root").alias("src"), F.col("node").alias("dst"), "mass"), ["src", "dst"], "left").select(
         "src", "dst", F.coalesce("mass", F.lit(0.0)).alias("score")
     )
@@ -78,19 +90,26 @@ def ppr_power(links: DataFrame, edges: DataFrame, damping: float = 0.85, tol: fl
 
 def ppr_push(roots: DataFrame, edges: DataFrame, restart: float, eps: float, k: int, max_rounds: int = 50, cut_every: int = 4) -> DataFrame:
     """H07. (root, node, score, rank): approximate PageRank by rounds of residual pushes: every node whose residual is at
-    least restart * eps * degree keeps the restart share and spreads the rest; the best ``k`` of each root."""
+    least restart * eps * degree keeps the restart share and spreads the rest, until none is; the best ``k`` of each root.
+    It is an error if ``max_rounds`` do not do."""
     step = stash(_transition(edges), "transition")
     deg = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
     state = roots.select("root", F.col("root").alias("node"), F.lit(0.0).alias("p"), F.lit(1.0).alias("r"))
+    old = []
+    over = F.col("r") >= restart * eps * F.greatest(F.coalesce("deg", F.lit(1)), F.lit(1))
     for i in range(1, max_rounds + 1):
-        ready = state.join(deg, "node", "left").withColumn("_push", F.col("r") >= restart * eps * F.greatest(F.coalesce("deg", F.lit(1)), F.lit(1)))
+        ready = state.join(deg, "node", "left").withColumn("_push", over)
         kept = ready.select("root", "node", (F.col("p") + F.when(F.col("_push"), restart * F.col("r")).otherwise(0.0)).alias("p"), F.when(F.col("_push"), 0.0).otherwise(F.col("r")).alias("r"))
         spread = ready.where("_push").join(step, "node").select("root", F.col("_to").alias("node"), F.lit(0.0).alias("p"), ((1 - restart) * F.col("r") * F.col("_p")).alias("r"))
         state = kept.unionByName(spread).groupBy("root", "node").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-        if i % cut_every == 0:
+        if i % cut_every == 0 or i == max_rounds:
             state = stash(state, "push")
-            if state.join(deg, "node").where(F.col("r") >= restart * eps * F.col("deg")).limit(1).count() == 0:
+            discard(*old)
+            old = [state]
+            if state.join(deg, "node", "left").where(over).limit(1).count() == 0:
                 break
+    else:
+        raise RuntimeError(f"residuals did not settle in {max_rounds} rounds")
     ranked = state.where("p > 0").withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("p"), "node")))
     return ranked.where(F.col("rank") <= k).select("root", "node", F.col("p").alias("score"), "rank")
 

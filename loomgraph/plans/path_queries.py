@@ -43,8 +43,8 @@ add("h02_spd", lambda s, d: P.shortest_distances(X.nodes(s, d).select(F.col("id"
     s_("SELECT p.src, p.dst, CASE WHEN p.src = p.dst THEN 0 ELSE coalesce(hop, -1) END::INT AS spd FROM (SELECT id AS src, id + 1 AS dst FROM nodes UNION SELECT src, dst FROM graph) p LEFT JOIN ball ON root = p.src AND node = p.dst", "nodes"))
 add("h02_neighbours_by_distance", lambda s, d: P.neighbours_by_distance(ball(s, d), ["root"]).select("root", "hop", F.array_join("nodes", ",").alias("nodes")),
     s_("SELECT root, hop, string_agg(node::VARCHAR, ',' ORDER BY node) AS nodes FROM ball GROUP BY 1, 2"))
-add("h06_ppr_power", lambda s, d: P.ppr_power(part_pairs(s, d), X.graph(s, d), max_rounds=10).withColumn("score", F.round("score", 6)))
-add("h07_ppr_push_topk", lambda s, d: P.ppr_push(roots(s, d), X.graph(s, d), 0.25, 1e-3, 10, max_rounds=12).withColumn("score", F.round("score", 6)))
+add("h06_ppr_power", lambda s, d: P.ppr_power(part_pairs(s, d), X.graph(s, d)).withColumn("score", F.round("score", 6)))
+add("h07_ppr_push_topk", lambda s, d: P.ppr_push(roots(s, d), X.graph(s, d), 0.25, 1e-3, 10).withColumn("score", F.round("score", 6)))
 
 
 def shares(s, d):

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from loomgraph.operators import metrics as M
 from loomgraph.operators import paths as P
 from loomgraph.operators import sampling as N
 from loomgraph.operators import splits as S
+from loomgraph.plans import fixtures as X
+from loomgraph.plans import path_queries
 
 
 def edges(spark, *pairs, both=True):
@@ -87,6 +90,33 @@ def test_ppr_mass(spark):
     assert abs(near[0, 1] - got[0, 1]) < 1e-2
 
 
+def test_ppr_queries_against_dense_solve(spark, monkeypatch):
+    pairs = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (3, 4)]
+    e = edges(spark, *pairs)
+    monkeypatch.setattr(X, "graph", lambda s, d: e)
+    monkeypatch.setattr(X, "pairs", lambda s, d: e.where("src < dst"))
+    ids = sorted({x for p in pairs for x in p})
+    at = {x: i for i, x in enumerate(ids)}
+    p = np.zeros((len(ids), len(ids)))
+    for a, b in pairs:
+        p[at[a], at[b]] = p[at[b], at[a]] = 1
+    deg = p.sum(axis=1)
+    p /= deg[:, None]
+    exact = lambda restart: restart * np.linalg.inv(np.eye(len(ids)) - (1 - restart) * p)
+    power, want = path_queries.BOOK.queries["h06_ppr_power"](spark, "").collect(), exact(0.15)
+    assert len(power) == len(pairs) and all(abs(r.score - want[at[r.src], at[r.dst]]) < 2e-6 for r in power)
+    # a push leaves less than restart * eps * degree at each node, so each score is short by less than that
+    pushed, want = path_queries.BOOK.queries["h07_ppr_push_topk"](spark, "").collect(), exact(0.25)
+    assert len({r.root for r in pushed}) == len(ids)
+    for r in pushed:
+        assert -1e-6 <= want[at[r.root], at[r.node]] - r.score <= 1e-3 * 0.25 * deg[at[r.node]] + 1e-6
+    roots = e.select(F.col("src").alias("root")).distinct()
+    with pytest.raises(RuntimeError):
+        P.ppr_power(e.select("src", "dst"), e, max_rounds=10)
+    with pytest.raises(RuntimeError):
+        P.ppr_push(roots, e, 0.25, 1e-3, 10, max_rounds=4)
+
+
 def test_heuristics_without_edges(spark):
     e = edges(spark, (1, 2)).limit(0)
     links = spark.createDataFrame([(1, 2)], "src long, dst long")

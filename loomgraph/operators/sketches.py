@@ -52,10 +52,23 @@ def minhash_jaccard(links: DataFrame, hashes: DataFrame, slots: int) -> DataFram
     return links.join(a, "src").join(b, ["dst", "slot"]).groupBy("src", "dst").agg((F.count_if(F.col("_a") == F.col("_b")) / slots).alias("jaccard"))
 
 
-def intersections(jaccards: DataFrame, sketches: DataFrame) -> DataFrame:
-    """K06. (src, dst, n): jaccard times the estimated size of the union."""
-    a, b = sketches.select(F.col("id").alias("src"), F.col("sketch").alias("_a")), sketches.select(F.col("id").alias("dst"), F.col("sketch").alias("_b"))
-    return jaccards.join(a, "src").join(b, "dst").select("src", "dst", (F.col("jaccard") * F.hll_sketch_estimate(F.hll_union("_a", "_b"))).alias("n"))
+def minhash_neighbourhoods(hashes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """K03. (id, hop, slot, h): slot-wise minima over the nodes within each number of hops, from 0."""
+    cur, out = hashes, hashes.select("id", F.lit(0).alias("hop"), "slot", "h")
+    for h in range(1, hops + 1):
+        cur = minhash_propagate(cur, edges)
+        out = out.unionByName(cur.select("id", F.lit(h).alias("hop"), "slot", "h"))
+    return out
+
+
+def intersections(links: DataFrame, hashes: DataFrame, sketches: DataFrame, slots: int) -> DataFrame:
+    """K06. (src, dst, k1, k2, n) for every two hops but 0: jaccard of the balls of src and dst times the estimated size
+    of their union, from hashes (id, hop, slot, h) and sketches (id, hop, sketch)."""
+    row = F.transform(F.array_sort(F.collect_list(F.struct("slot", "h"))), lambda x: x["h"])  # one element for each slot
+    both = hashes.where("hop > 0").groupBy("id", "hop").agg(row.alias("h")).join(sketches, ["id", "hop"])
+    end = lambda c, k: both.select(F.col("id").alias(c), F.col("hop").alias(k), F.col("h").alias(f"_h{k}"), F.col("sketch").alias(f"_s{k}"))
+    same = F.size(F.filter(F.zip_with("_hk1", "_hk2", lambda x, y: x == y), lambda x: x)) / slots
+    return links.join(end("src", "k1"), "src").join(end("dst", "k2"), "dst").select("src", "dst", "k1", "k2", (same * F.hll_sketch_estimate(F.hll_union("_sk1", "_sk2"))).alias("n"))
 
 
 def degree_normalised(counts: DataFrame, degrees: DataFrame, names: list[str]) -> DataFrame:

@@ -162,4 +162,4 @@ add("k04_hll_count", lambda s, d: K.hll_counts(K.hll_neighbourhoods(X.graph(s, d
     sql("SELECT root AS id, h::INT AS hop, count(*) AS n FROM ball JOIN range(3) t(h) ON hop <= h GROUP BY 1, 2", "graph", ball=BALL))
 add("k05_minhash_jaccard", lambda s, d: K.minhash_jaccard(part_pairs(s, d), K.minhash_propagate(hashes(s, d), X.graph(s, d)), 32),
     sql("SELECT p.src, p.dst, count(*) FILTER (a.h = b.h) / 32 AS jaccard FROM pairs p JOIN mp a ON a.id = p.src JOIN mp b ON b.id = p.dst AND b.slot = a.slot GROUP BY 1, 2", "linked", mh=MH, mp=MP))
-add("k06_khop_intersection", lambda s, d: r6(K.intersections(K.minhash_jaccard(part_pairs(s, d), K.minhash_propagate(K.minhash(X.linked(s, d), 64), X.graph(s, d)), 64), K.hll_neighbourhoods(X.graph(s, d), X.linked(s, d), 1).where("hop = 1").drop("hop")), "n"))
+add("k06_khop_intersection", lambda s, d: r6(K.intersections(part_pairs(s, d), K.minhash_neighbourhoods(K.minhash(X.linked(s, d), 64), X.graph(s, d), 2), K.hll_neighbourhoods(X.graph(s, d), X.linked(s, d), 2), 64), "n"))

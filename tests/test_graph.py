@@ -14,6 +14,7 @@ from loomgraph.operators import logs as L
 from loomgraph.operators import metrics as M
 from loomgraph.operators import paths as P
 from loomgraph.operators import sampling as N
+from loomgraph.operators import sketches as K
 from loomgraph.operators import splits as S
 from loomgraph.plans import fixtures as X
 from loomgraph.plans import path_queries
@@ -117,6 +118,18 @@ def test_ppr_queries_against_dense_solve(spark, monkeypatch):
         P.ppr_push(roots, e, 0.25, 1e-3, 10, max_rounds=4)
 
 
+def test_intersections_of_all_hops(spark):
+    pairs = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (4, 5), (1, 6), (6, 7)]
+    e, nodes, slots = edges(spark, *pairs), spark.range(8), 1_024
+    ball = {i: {1: {i} | {b for p in pairs for a, b in (p, p[::-1]) if a == i}} for i in range(8)}
+    for b in ball.values():
+        b[2] = set().union(*(ball[x][1] for x in b[1]))
+    hashes = K.minhash_neighbourhoods(K.minhash(nodes, slots), e, 2)
+    got = {(r.src, r.dst, r.k1, r.k2): r.n for r in K.intersections(e.where("src < dst").select("src", "dst"), hashes, K.hll_neighbourhoods(e, nodes, 2), slots).collect()}
+    assert set(got) == {(a, b, i, j) for a, b in pairs for i in (1, 2) for j in (1, 2)}
+    assert all(abs(n - len(ball[a][i] & ball[b][j])) < 0.6 for (a, b, i, j), n in got.items())
+
+
 def test_heuristics_without_edges(spark):
     e = edges(spark, (1, 2)).limit(0)
     links = spark.createDataFrame([(1, 2)], "src long, dst long")

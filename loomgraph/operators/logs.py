@@ -3,7 +3,10 @@ messages array<array<string>>)."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +62,16 @@ def reject_counts(log: DataFrame) -> DataFrame:
     )
 
 
-def elo_fold(a, b, win, k: float = 4.0, scale: float = 400.0, base: float = 10.0, start: float = 1000.0) -> dict[str, float]:
+def elo_fold(a, b, win, **how) -> dict[str, float]:
     """Ratings after a sequence of votes."""
+    return elo_steps(zip(a, b, win, strict=True), **how)
+
+
+def elo_steps(votes: Iterable[tuple], k: float = 4.0, scale: float = 400.0, base: float = 10.0, start: float = 1000.0) -> dict[str, float]:
+    """The same of (a, b, win), one at a time."""
     rating: dict[str, float] = {}
     gain = {"model_a": 1.0, "model_b": 0.0, "tie": 0.5, "tie (bothbad)": 0.5}
-    for x, y, w in zip(a, b, win, strict=True):
+    for x, y, w in votes:
         rx, ry = rating.get(x, start), rating.get(y, start)
         expected = 1 / (1 + base ** ((ry - rx) / scale))
         back = 1 / (1 + base ** ((rx - ry) / scale))
@@ -73,14 +81,22 @@ def elo_fold(a, b, win, k: float = 4.0, scale: float = 400.0, base: float = 10.0
 
 
 def elo(battles: DataFrame, board: str, order: list[str], **how) -> DataFrame:
-    """L02. (board, model, rating): one sequential fold for each board, in the given order."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        r = elo_fold(pdf["model_a"], pdf["model_b"], pdf["win"], **how)
-        return pd.DataFrame({"board": str(pdf[board].iloc[0]), "model": list(r), "rating": list(r.values())})
-
-    return battles.groupBy(board).applyInPandas(fold, "board string, model string, rating double")
+    """L02. (board, model, rating): one sequential fold for each board, in the given order. Spark sorts, so a board may
+    exceed a task's memory; the fold holds the ratings of its models."""
+    rows = battles.select(F.col(board).cast("string").alias("_board"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "model_a", "model_b", "win")
+    rows = rows.repartition("_board").sortWithinPartitions("_board", *[F.col(f"_o{i}").asc_nulls_last() for i in range(len(order))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("_board", "model_a", "model_b", "win")
+        votes = (v for batch in batches for v in zip(*[batch.column(n).to_pylist() for n in names], strict=True))
+        for name, own in groupby(votes, key=lambda v: v[0]):
+            r = elo_steps((v[1:] for v in own), **how)
+            yield pa.RecordBatch.from_pydict(
+                {"board": [name] * len(r), "model": list(r), "rating": list(r.values())},
+                schema=pa.schema([("board", pa.string()), ("model", pa.string()), ("rating", pa.float64())]),
+            )
+
+    return rows.select("_board", "model_a", "model_b", "win").mapInArrow(fold, "board string, model string, rating double")
 
 
 def elo_bootstrap(battles: DataFrame, rounds: int, seed: int = 0, **how) -> DataFrame:

@@ -162,3 +162,17 @@ def test_elo_fold_and_boards(spark):
     df = spark.createDataFrame([("x", 1, "a", "b", "model_a"), ("y", 1, "a", "b", "model_b"), ("x", 2, "a", "b", "tie")], "board string, t int, model_a string, model_b string, win string")
     got = {(q.board, q.model): q.rating for q in L.elo(df, "board", ["t"]).collect()}
     assert abs(got["x", "a"] - r["a"]) < 1e-9 and got["y", "a"] == 998.0
+
+
+def test_elo_streams_many_boards(spark):
+    votes = [(i % 3, (i * 7) % 5_000, i, f"m{i % 4}", f"m{(i + 1 + i % 2) % 4}", ["model_a", "model_b", "tie"][i * i % 3]) for i in range(6_000)]
+    df = spark.createDataFrame(votes, "board int, t int, i int, model_a string, model_b string, win string").repartition(5)
+    out = L.elo(df.coalesce(2), "board", ["t", "i"])
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan  # no board is one frame
+    got = {(r.board, r.model): r.rating for r in out.collect()}
+    for board in range(3):
+        own = sorted((v for v in votes if v[0] == board), key=lambda v: v[1:3])
+        want = L.elo_fold(*zip(*[v[3:] for v in own]))
+        assert {m: got[str(board), m] for m in want} == want
+    assert len(got) == 12

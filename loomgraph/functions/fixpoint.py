@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from loomgraph.functions.skew import join_by_count
 from loomgraph.functions.storage import discard, stash
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _stored(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edges written, with their number and a checksum that the write itself has taken."""
+    seen = Observation()
+    out = stash(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), name)
+    got = seen.get
+    return out, (got["n"], got["sum"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One star step. ``large``: every larger neighbour is linked to the node's smallest neighbour;
-    else every smaller neighbour and the node itself are."""
+    else every smaller neighbour and the node itself are. ``total`` bounds the number of rows."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = both.join(low, "u")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    linked = join_by_count(both, low, ["u"], total)
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -34,20 +38,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
-    Alternating large-star and small-star steps: rounds grow with the logarithm of the component size, a hub's
-    smallest neighbour is found by a partially aggregated minimum, and no group is gathered anywhere. Nulls take
-    no part, a self loop makes a component of one node, repeated edges count once.
+    Alternating large-star and small-star steps: rounds grow with the logarithm of the component size, a node's
+    smallest neighbour is found by a partially aggregated minimum and joined back with the hubs kept out of the
+    shuffle, and no group is gathered anywhere. Nulls take no part, a self loop makes a component of one node,
+    repeated edges count once; without edges nothing is iterated.
     """
     base = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    first = stash(base.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    first, state = _stored(base.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if not state[0]:
+        return first.select(F.col("u").alias("node"), F.col("v").alias("component"))
     loops = first.where("u = v").select("u")
-    cur, old, state = first.where("u <> v"), None, None
+    cur, old, state = first.where("u <> v"), None, (state[0], None)
     for _ in range(max_rounds):
-        new = stash(_star(_star(cur, True), False), "stars")
-        if old is not None:
-            discard(old)
+        total = 2 * state[0]
+        large = stash(_star(cur, True, total), "large")
+        new, now = _stored(_star(large, False, total), "stars")
+        discard(large, *([old] if old is not None else []))
         cur = old = new
-        now = _state(cur)
         if now == state:
             break
         state = now

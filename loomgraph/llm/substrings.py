@@ -2,18 +2,23 @@
 
 A window is ``WINDOW`` consecutive words. Each window is represented by its smallest hash of ``ANCHOR`` consecutive
 words inside it (its anchor): equal windows have equal anchors, and neighbouring windows mostly share theirs, so a
-document needs few fingerprints. The index is a list of immutable runs of anchors, each bucketed and sorted by hash.
-A new batch is merge-joined with the runs and with itself; anchors that are found in another document are hits. The
-batch then becomes a run, and runs are compacted into one when there are too many.
-
-Hits are verified on the windows themselves: only windows with a hit anchor are hashed (64 bits and an independent
-32), the smallest document of each window is found by a partially aggregated minimum, and a window is repeated if that
-document is smaller than its own and the second hash agrees. Whole copies of a document are settled beforehand by a
-hash of all their words. Words covered by a repeated window are removed.
+document needs few fingerprints. The index is a folder of immutable runs. A run has the postings of a batch (the
+anchors of each document) and two bucketed tables sorted by hash: how many documents have an anchor, and the smallest
+document with a given whole text. A new batch is merge-joined with the runs and with itself; anchors that another
+document has are hits. The batch then becomes a run, and where there are too many they are merged into one.
+The folder can be opened again by another application, which then reads old texts only of documents with a hit.
+
+Hits are verified on the windows themselves: only windows with a hit anchor are hashed, by two independent 64-bit
+hashes of all their words, the smallest document of each pair of hashes is found by a partially aggregated minimum,
+and a window is repeated if that document is smaller than its own. Whole copies of a document are settled beforehand
+by a 128-bit digest of their text. Words covered by a repeated window are removed. Texts are compressed and dealt into
+buckets once; candidates and results are joined with those buckets. Hot keys (a text, an anchor, a window that many
+documents have) are joined by :func:`loomgraph.functions.skew.join_by_count`.
 
 Defined cases: a null text has no words; a null id is neither smaller nor larger than any, so its document is kept
 whole and removes nothing; rows that repeat an id do not remove each other's words; texts shorter than a window are
-kept; texts are read whole; an empty table gives an empty result; other columns pass through ``deduplicated``.
+kept; texts are read whole; an empty table gives an empty result; other columns, whatever their names, pass through
+``deduplicated``. In an index only the documents of the new batch are judged: by smaller ids, old or new.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.storage import discard, stash
+from loomgraph.functions.columns import quoted
+from loomgraph.functions.skew import join_by_count
+from loomgraph.functions.storage import _delete, discard, folders, open_bucketed, shared_folder, stash, stash_bucketed
 from loomgraph.llm.text import by_weight
 
 WINDOW, ANCHOR = 50, 12
@@ -41,7 +48,7 @@ BASE = 0x9E3779B97F4A7C15
 
 
 class WordHashes(dict):
-    """Word -> (64-bit hash, 32-bit hash) as row numbers of two growing arrays."""
+    """Word -> two 64-bit hashes, as row numbers of two growing arrays."""
 
     def __init__(self):
         super().__init__()
@@ -113,8 +120,8 @@ def _words(z: bytes) -> list[bytes]:
 def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", rest: bool = False) -> DataFrame:
     """(id, rid, z[, rest]): each row with its text compressed, with ``rest`` also its other columns and whether the
     text was null. ``rid`` tells rows apart; equal rows share it."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    more = [F.struct(*others, F.col(text).isNull().alias("_null")).alias("rest")] if rest else []
+    others = F.struct(*quoted([c for c in docs.columns if c != text])) if len(docs.columns) > 1 else F.struct()
+    more = [F.struct(others.alias("row"), F.col(text).isNull().alias("null")).alias("rest")] if rest else []
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("rid"), F.coalesce(text, F.lit("")).alias("t"), *more)
     kind = T.StructType([f for f in rows.schema.fields if f.name != "t"] + [T.StructField("z", T.BinaryType())])
 
@@ -159,48 +166,98 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (a, low): each anchor and the smallest id that has it."""
+    """Immutable runs in ``folder``: run-<number>-<buckets> with ``anchors`` (a, n) and ``wholes`` (whole, low), bucketed
+    and sorted, and posts-<number> (id, rid, whole, a). A run exists from the moment its postings are written.
+    Without a folder the index lives in the application's own folder."""
+
+    ANCHORS, WHOLES = "a bigint, n bigint", "whole binary, low bigint"
 
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
+    def __init__(self, spark: SparkSession, folder: str | None = None, max_runs: int = MAX_RUNS):
         self.spark, self.max_runs = spark, max_runs
+        self.folder = folder or f"{shared_folder(spark)}/loom-{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[DataFrame] = []
-        self.names: list[str] = []
-
-    def _write(self, rows: DataFrame) -> DataFrame:
-        name = f"loom_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "a").write.bucketBy(self.buckets, "a").sortBy("a").format("parquet").saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
-
-    def drop(self) -> None:
-        """Delete all runs: for an index that served one table only."""
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs, self.names = [], []
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Merge-join a batch (a, id) with the runs, then make it one. Returns (a): the anchors of the batch that a
-        run or another document of the batch has too."""
-        new = self._write(batch.groupBy("a").agg(F.min("id").alias("low"), F.max("id").alias("high")))
-        hits = new.where("low <> high").select("a")
-        for run in self.runs:
-            hits = hits.unionByName(new.join(run.hint("merge"), "a", "left_semi").select("a"))
-        hits = stash(hits, "hits")
-        self.runs.append(new.select("a", "low"))
+        names = folders(spark, self.folder)
+        runs = sorted((int(x.split("-")[1]), int(x.split("-")[2])) for x in names if x.startswith("run-") and x.endswith("-done"))
+        if runs:  # one number of buckets for all runs: merge joins need no shuffle
+            self.buckets = runs[0][1]
+        self.next = max([int(x.split("-")[1]) for x in names], default=0) + 1
+        self.runs = [self._open(n) for n, _ in runs]
+        self.posts = [n for n in names if n.startswith("posts-")]
+
+    def _path(self, number: int, kind: str) -> str:
+        return f"{self.folder}/run-{number}-{self.buckets}-{kind}"
+
+    def _open(self, number: int) -> tuple[int, DataFrame, DataFrame]:
+        return (
+            number,
+            open_bucketed(self.spark, self._path(number, "anchors"), self.ANCHORS, ["a"], self.buckets),
+            open_bucketed(self.spark, self._path(number, "wholes"), self.WHOLES, ["whole"], self.buckets),
+        )
+
+    def _write(self, anchors: DataFrame, wholes: DataFrame) -> tuple[int, DataFrame, DataFrame]:
+        number, self.next = self.next, self.next + 1
+        run = (
+            number,
+            stash_bucketed(anchors, ["a"], "anchors", self.buckets, self._path(number, "anchors")),
+            stash_bucketed(wholes, ["whole"], "wholes", self.buckets, self._path(number, "wholes")),
+        )
+        # the mark that makes the run complete
+        self.spark.range(1).write.mode("overwrite").parquet(self._path(number, "done"))
+        return run
+
+    def postings(self) -> DataFrame:
+        """(id, rid, whole, a) of every document of the index that is no copy of a smaller one."""
+        kind = "id bigint, rid bigint, whole binary, a array<bigint>"
+        paths = [f"{self.folder}/{p}" for p in self.posts]
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
+    def add(self, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Merge-join a batch (id, rid, whole, a) with the runs, then make it one. Returns ((id, rid) of the rows that are
+        copies of a smaller document, (a, n): the anchors of the batch that several documents have, and how many)."""
+        total = prints.count()
+        own = prints.groupBy("whole").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+        for _, _, old in self.runs:
+            own = own.join(old.hint("merge").withColumnRenamed("low", "old"), "whole", "left").select("whole", F.least("low", "old").alias("low"), "n")
+        own = stash(own, "wholes")
+        marked = stash(join_by_count(prints, own, ["whole"], total), "marked")
+        copies = marked.where("id > low").select("id", "rid").distinct()
+        # a copy has the windows of its original: neither its anchors nor its windows are needed
+        number = self.next
+        kept = marked.where("id = low").select("id", "rid", "whole", "a")
+        kept.write.parquet(f"{self.folder}/posts-{number}")
+        self.posts.append(f"posts-{number}")
+        posted = self.spark.read.schema(kept.schema).parquet(f"{self.folder}/posts-{number}")
+        counted = posted.select("id", F.explode("a").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        run = self._write(counted, own.select("whole", "low"))
+        found = run[1]
+        for _, old, _ in self.runs:
+            found = found.join(old.hint("merge").withColumnRenamed("n", "more"), "a", "left").select("a", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        hits = stash(found.where("n > 1"), "hits")
+        copies = stash(copies, "copies")
+        discard(own, marked)
+        self.runs.append(run)
         if len(self.runs) > self.max_runs:
             self.compact()
-        return hits
+        return copies, hits
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones are dropped."""
-        merged, *rest = self.runs
-        old, self.names = self.names, []
-        for run in rest:  # sorted runs of the same buckets: a merge join without a shuffle
-            merged = merged.join(run.hint("merge").withColumnRenamed("low", "other"), "a", "full").select("a", F.least("low", "other").alias("low"))
-        self.runs = [self._write(merged)]
-        for name in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        """Merge all runs into one; the old ones are deleted afterwards. Postings stay as they are."""
+        old = self.runs
+        (_, anchors, wholes), *rest = old
+        for _, a, w in rest:  # sorted runs of the same buckets: merge joins without a shuffle
+            anchors = anchors.join(a.hint("merge").withColumnRenamed("n", "more"), "a", "full").select(
+                "a", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n")
+            )
+            wholes = wholes.join(w.hint("merge").withColumnRenamed("low", "other"), "whole", "full").select("whole", F.least("low", "other").alias("low"))
+        self.runs = [self._write(anchors, wholes)]
+        for number, a, w in old:
+            _delete(self.spark, self._path(number, "done"))
+            discard(a, w)
+
+    def drop(self) -> None:
+        """Delete the index."""
+        discard(*[t for _, *both in self.runs for t in both])
+        _delete(self.spark, self.folder)
 
 
 def batch_edges(rows: DataFrame, batches: int) -> list[int]:
@@ -209,28 +266,12 @@ def batch_edges(rows: DataFrame, batches: int) -> list[int]:
     return sorted({int(c) for c in cuts})
 
 
-def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                     anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
-    """(id, rid, copy, starts): which rows are copies of a smaller document, and in the others the first
-    words of the windows that a smaller document has too."""
-    spark = docs.sparkSession
-    prints = stash(fingerprints(docs, key, text, window, anchor), "prints")
-    first = prints.groupBy("whole").agg(F.min("id").alias("low"))
-    marked = prints.select("id", "rid", "whole").join(first, "whole").select("id", "rid", (F.col("id") > F.col("low")).alias("copy")).distinct()
-    # a copy has the windows of its original: neither its anchors nor its windows are needed
-    originals = prints.join(first.where("low is not null"), "whole").where("id = low").select("id", "rid", F.explode("a").alias("a"))
-    anchors = stash(originals, "anchors")
-    index, hits, kept_hits = FingerprintIndex(spark), None, []
-    edges = [None, *batch_edges(prints, batches), None]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        part = anchors.select("a", "id")
-        part = part.where(F.col("id") > low) if low is not None else part
-        part = part.where(F.col("id") <= high) if high is not None else part
-        found = index.add(part)
-        kept_hits.append(found)
-        hits = found if hits is None else hits.unionByName(found)
-    wanted = anchors.join(hits.distinct(), "a", "left_semi").groupBy("id", "rid").agg(F.collect_set("a").alias("a"))
-    candidates = packed(docs, key, text).where("id is not null").join(wanted, ["id", "rid"])
+def repeated_starts(texts: DataFrame, postings: DataFrame, hits: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(id, rid, starts): in each document the first words of the windows that a smaller one has too. ``texts``: (id,
+    rid, z); of them only those with a hit anchor (a, n) are read."""
+    counted = stash(postings.select("id", "rid", F.explode("a").alias("a")), "posted")
+    wanted = join_by_count(counted, hits, ["a"], counted.count(), how="left_semi").groupBy("id", "rid").agg(F.collect_set("a").alias("a"))
+    candidates = texts.where("id is not null").join(wanted, ["id", "rid"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
@@ -239,33 +280,93 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
                 at = hashes.of(_words(z))
                 wide, check = hashes.wide[at], hashes.check[at]
                 hit = np.flatnonzero(np.isin(window_anchors(wide, powers, window, anchor).view(np.int64), a.values.to_numpy()))
-                full = mixed(powers.rolling(wide, window))[hit].view(np.int64)
-                # the upper half checks, the lower half is the window's first word
-                tail = ((mixed(powers.rolling(check, window))[hit] >> np.uint64(33)) << np.uint64(32)).view(np.int64) | hit
+                full, second = (mixed(powers.rolling(h, window))[hit].view(np.int64) for h in (wide, check))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full), pa.array(np.full(len(hit), i)), pa.array(np.full(len(hit), r)), pa.array(tail)],
-                    names=["w", "id", "rid", "tail"],
+                    [pa.array(full), pa.array(second), pa.array(np.full(len(hit), i)), pa.array(np.full(len(hit), r)), pa.array(hit.astype(np.int32))],
+                    names=["w", "v", "id", "rid", "at"],
                 )
 
     found = stash(
-        candidates.select("id", "rid", "z", "a").mapInArrow(windows, "w long, id long, rid long, tail long"), "windows"
-    )
-    lowest = found.groupBy("w").agg(F.min(F.struct("id", "tail")).alias("low"), F.max("id").alias("high")).where("low.id < high")
-    repeated = found.join(lowest.select("w", "low"), "w").where(
-        "low.id < id and shiftright(low.tail, 32) = shiftright(tail, 32)"
+        candidates.select("id", "rid", "z", "a").mapInArrow(windows, "w long, v long, id long, rid long, at int"), "windows"
     )
-    starts = repeated.groupBy("id", "rid").agg(F.collect_set((F.col("tail").bitwiseAND(0xFFFFFFFF)).cast("int")).alias("starts"))
-    flags = (
-        marked.where("copy").select("id", "rid", "copy", F.lit(None).cast("array<int>").alias("starts"))
-        .unionByName(starts.select("id", "rid", F.lit(False).alias("copy"), "starts"))
-        .groupBy("id", "rid").agg(F.max("copy").alias("copy"), F.first("starts", ignorenulls=True).alias("starts"))
+    lowest = found.groupBy("w", "v").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    lowest = stash(lowest.select("w", "v", "low", "n"), "lowest")
+    repeated = join_by_count(found, lowest, ["w", "v"], found.count()).where("low < id")
+    out = stash(repeated.groupBy("id", "rid").agg(F.collect_set("at").alias("starts")), "starts")
+    discard(counted, found, lowest)
+    return out
+
+
+def flagged(copies: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, rid, copy, starts), one row for each row that loses words."""
+    both = copies.select("id", "rid", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts")).unionByName(
+        starts.select("id", "rid", F.lit(False).alias("copy"), "starts")
     )
-    out = stash(flags, "flags")
+    return both.groupBy("id", "rid").agg(F.max("copy").alias("copy"), F.first("starts", ignorenulls=True).alias("starts"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def repeated_windows(docs: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                     anchor: int = ANCHOR, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
+    """(id, rid, copy, starts): which rows of a whole table are copies of a smaller document, and in the others the first
+    words of the windows that a smaller document has too. The table is fed to an index of its own in batches by id."""
+    prints = stash(fingerprints(docs, key, text, window, anchor), "prints")
+    index, found = FingerprintIndex(docs.sparkSession, max_runs=max_runs), []
+    edges = [None, *batch_edges(prints, batches), None]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        part = prints
+        part = part.where(F.col("id") > low) if low is not None else part
+        part = part.where(F.col("id") <= high) if high is not None else part
+        found.append(index.add(part))
+    # an anchor may be a hit of several batches: the last count covers all of them
+    hits = _union([h for _, h in found]).groupBy("a").agg(F.max("n").alias("n"))
+    starts = repeated_starts(texts, index.postings(), hits, window, anchor)
+    out = stash(flagged(_union([c for c, _ in found]), starts), "flags")
     index.drop()
-    discard(prints, anchors, found, *kept_hits)
+    discard(prints, starts, *[t for both in found for t in both])
     return out
 
 
+def removed_of(texts: DataFrame, flags: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(id, rid, n_words, n_removed, kept_sha256) of every row of ``texts`` (id, rid, z)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, gone, sha = [], [], []
+            for z, copy, starts in zip(b.column("z").to_pylist(), b.column("copy").to_pylist(), b.column("starts"), strict=True):
+                total, words = _kept_words(z, copy, starts, window)
+                n.append(total)
+                gone.append(total - len(words))
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
+                names=["id", "rid", "n_words", "n_removed", "kept_sha256"],
+            )
+
+    joined = texts.join(flags, ["id", "rid"], "left").select("id", "rid", "z", "copy", "starts")
+    return joined.mapInArrow(run, "id long, rid long, n_words long, n_removed long, kept_sha256 string")
+
+
+def add_batch(index: FingerprintIndex, new: DataFrame, old: DataFrame | None, key: str = "doc_id", text: str = "text",
+              window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """Judge the documents of a new batch against all that the index has and make the batch a run. (id, rid, n_words,
+    n_removed, kept_sha256) of each row of ``new``. ``old`` has the texts of the documents in the index; only rows with
+    a hit anchor are joined and hashed."""
+    copies, hits = index.add(fingerprints(new, key, text, window, anchor))
+    texts = stash_bucketed(packed(new, key, text), ["id", "rid"], "texts")
+    both = texts if old is None else texts.unionByName(packed(old, key, text))
+    starts = repeated_starts(both, index.postings(), hits, window, anchor)
+    flags = stash(flagged(copies, starts), "flags")
+    discard(copies, hits, starts)
+    return removed_of(texts, flags, window)
+
+
 def covered(n: int, starts: list[int] | np.ndarray, window: int) -> np.ndarray:
     """Which of n words lie in a window that begins at one of ``starts``."""
     delta = np.zeros(n + 1, dtype=np.int64)
@@ -288,29 +389,15 @@ def _kept_words(z: bytes, copy: bool | None, starts, window: int) -> tuple[int,
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
     """(id, rid, n_words, n_removed, kept_sha256) of every row."""
-    flags = repeated_windows(docs, key, text, window, anchor, batches)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, gone, sha = [], [], []
-            for z, copy, starts in zip(b.column("z").to_pylist(), b.column("copy").to_pylist(), b.column("starts"), strict=True):
-                total, words = _kept_words(z, copy, starts, window)
-                n.append(total)
-                gone.append(total - len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("rid"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
-                names=["id", "rid", "n_words", "n_removed", "kept_sha256"],
-            )
-
-    joined = packed(docs, key, text).join(flags, ["id", "rid"], "left").select("id", "rid", "z", "copy", "starts")
-    return joined.mapInArrow(run, "id long, rid long, n_words long, n_removed long, kept_sha256 string")
+    texts = stash_bucketed(packed(docs, key, text), ["id", "rid"], "texts")
+    return removed_of(texts, repeated_windows(docs, texts, key, text, window, anchor, batches), window)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
     """``docs`` in its own columns with the repeated words taken out of its texts; rows of which nothing is left are
     dropped, and n_chars, where there is one, follows the new text. Texts without repeats stay as they are."""
-    flags = repeated_windows(docs, key, text, window, anchor, batches)
+    whole = stash_bucketed(packed(docs, key, text, rest=True), ["id", "rid"], "texts")
+    flags = repeated_windows(docs, whole.select("id", "rid", "z"), key, text, window, anchor, batches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,17 +412,18 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
             rest = b.column("rest").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], names=["rest", "t", "changed"])
 
-    joined = packed(docs, key, text, rest=True).join(flags, ["id", "rid"], "left").select("rest", "z", "copy", "starts")
+    joined = whole.join(flags, ["id", "rid"], "left").select("rest", "z", "copy", "starts")
     kind = T.StructType([joined.schema["rest"], T.StructField("t", T.StringType()), T.StructField("changed", T.BooleanType())])
     new = joined.mapInArrow(run, kind)
     cols = []
     for f in docs.schema.fields:
+        old = F.col("rest")["row"][f.name]
         if f.name == text:
-            c = F.when(~F.col("rest._null"), F.col("t"))
+            c = F.when(~F.col("rest.null"), F.col("t"))
         elif f.name == "n_chars":
-            c = F.when(F.col("changed"), F.length("t").cast(f.dataType)).otherwise(F.col("rest.n_chars"))
+            c = F.when(F.col("changed"), F.length("t").cast(f.dataType)).otherwise(old)
         else:
-            c = F.col(f"rest.`{f.name}`")
+            c = old
         cols.append(c.alias(f.name))
     return new.select(*cols)
 

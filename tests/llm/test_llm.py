@@ -220,14 +220,45 @@ def test_substrings_match_brute_force(spark, batches):
         assert r.n_chars == len(r.text or "") and r.kept == "y"
 
 
+def test_substring_index_serves_later_batches(spark, tmp_path):
+    """Three batches through an index that is closed and opened between them equal one pass over all; of old texts only
+    documents with a hit are read."""
+    texts = mixed_texts(3)
+    want = {i: w[:3] for i, w in brute_removed(texts).items()}
+    docs = docs_of(spark, texts)
+    folder, got = f"file://{tmp_path}/index", {}
+    for low, high in ((0, 9), (9, 20), (20, len(texts))):
+        index = substrings.FingerprintIndex(spark, folder, max_runs=1)
+        assert index.buckets == 4 and len(index.runs) <= 1
+        out = substrings.add_batch(index, docs.where(f"doc_id >= {low} and doc_id < {high}"), docs.where(f"doc_id < {low}") if low else None)
+        got |= {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()}
+    assert got == want
+    index = substrings.FingerprintIndex(spark, folder)
+    assert len(index.runs) == 1 and len(index.posts) == 3
+    n = {r.a: r.n for r in index.runs[0][1].collect()}
+    counts = defaultdict(int)
+    for r in index.postings().collect():
+        for a in r.a:
+            counts[a] += 1
+    assert n == dict(counts) and index.postings().count() < len(texts)
+    # only documents with a hit anchor are joined with old texts
+    hits = spark.createDataFrame([(a, k) for a, k in n.items() if k > 1], "a long, n long")
+    reached = index.postings().select("id", F.explode("a").alias("a")).join(hits, "a").select("id").distinct().count()
+    assert 0 < reached < index.postings().count()
+    index.drop()
+    assert substrings.FingerprintIndex(spark, folder).runs == []
+
+
 def test_substring_index_runs_and_cases(spark):
     index = substrings.FingerprintIndex(spark, max_runs=2)
-    batch = lambda *rows: spark.createDataFrame(list(rows), "a long, id long")
-    assert index.add(batch((1, 10), (2, 10), (2, 11))).collect()[0].a == 2
-    assert {r.a for r in index.add(batch((1, 12), (3, 12))).collect()} == {1}
+    batch = lambda *rows: spark.createDataFrame([(i, i, str(i).encode(), a) for i, a in rows], "id long, rid long, whole binary, a array<long>")
+    assert {(r.a, r.n) for r in index.add(batch((10, [1, 2]), (11, [2])))[1].collect()} == {(2, 2)}
+    assert {(r.a, r.n) for r in index.add(batch((12, [1, 3])))[1].collect()} == {(1, 2)}
     assert len(index.runs) == 2
-    assert {r.a for r in index.add(batch((3, 13), (4, 13))).collect()} == {3}
-    assert len(index.runs) == 1 and {(r.a, r.low) for r in index.runs[0].collect()} == {(1, 10), (2, 10), (3, 12), (4, 13)}
+    assert {(r.a, r.n) for r in index.add(batch((13, [3, 4])))[1].collect()} == {(3, 2)}
+    assert len(index.runs) == 1 and {(r.a, r.n) for r in index.runs[0][1].collect()} == {(1, 2), (2, 2), (3, 2), (4, 1)}
+    again = spark.createDataFrame([(14, 1, b"12", [1])], "id long, rid long, whole binary, a array<long>")
+    assert [tuple(r) for r in index.add(again)[0].collect()] == [(14, 1)]
     t = sentence(random.Random(9), 60)
     docs = docs_of(spark, [t, t, t, t + " more"], [5, 5, None, 6])
     got = sorted((r.id or -1, r.n_removed) for r in substrings.removed(docs).collect())

@@ -242,14 +242,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     )
     banded = reps.select("first", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = stash(shared, "buckets")
+    # merged at every size: whether Spark would broadcast depends on the rows at hand
+    buckets = stash(shared, "buckets").hint("merge")
     n_rows = reps.count() * bands
     edges = join_by_count(banded, buckets, ["band"], n_rows, "members").where("first <> low").select("first", "low").distinct()
     comps = connected_components(edges, "first", "low")
     placed, pairs = blocks(reps, banded, buckets, comps, n_rows, block_shingles, block_classes)
     members = placed.select(F.col("first.id").alias("id"), F.col("first.rid").alias("rid"), "first", "copies", "c", "blk")
     # the first row of a class may be repeated, so the join may yield its set again: the tasks drop repeats
-    texts = packed(docs, key, text).join(members, ["id", "rid"]).select("z", "first", "copies", "c", "blk")
+    texts = packed(docs, key, text).join(members.hint("merge"), ["id", "rid"]).select("z", "first", "copies", "c", "blk")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
@@ -274,7 +275,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         "sh", "first", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "first").alias("root")
     )
     out = stash(signed.select("id", "rid", "sh"), "rows"), stash(every, "every")
-    discard(signed, reps, buckets, placed, pairs, found)
+    discard(signed, reps, placed, pairs, found)
     return out
 
 
@@ -283,7 +284,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     that are similar to this one, equal ones included."""
     signed, every = classes(docs, key, text, **how)
     named = every.select("sh", F.col("root.id").alias("class_id"), "n_links", "copies")
-    out = join_by_count(signed, named, ["sh"], signed.count(), "copies").select("id", "class_id", "n_links")
+    out = join_by_count(signed, named.hint("merge"), ["sh"], signed.count(), "copies").select("id", "class_id", "n_links")
     wordless = docs.where(F.col(key).isNull() | ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return out.unionByName(
         wordless.select(F.col(key).cast("long").alias("id"), F.col(key).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

@@ -6,12 +6,13 @@ each hit the item is verified by Myers' bit-parallel distance, with the pattern'
 
 Texts and items are compared in lower case with runs of white space as one space.
 
-The items are sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters; each block is one pass over the
-documents, so a larger benchmark costs more passes and never more memory.
+The items are sent to the tasks in blocks of about ``BLOCK_CHARS`` characters, one pass over the documents for each.
+Only one block is on the driver at a time: the results of a pass are stored before the next block is read.
 
-Defined cases: null and empty items match nothing, nor do null texts; an item shorter than ``MIN_CHARS`` must occur
-exactly; repeated items and rows are reported as often as they occur; the span is the first of those with the least
-distance; texts are read whole; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty items match nothing, nor do null texts; an item too short for one edit must occur
+exactly; repeated rows are reported as often as they occur, each id of a repeated item once; the span is the first of
+those with the least distance; texts are read whole; an empty table gives an empty result; other columns pass through
+``clean`` and are ignored otherwise. Item ids may have any type that a string can be cast back to.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.storage import discard, stash
 from loomgraph.llm.text import by_weight
 
-#: Share of an item's characters that may differ, the length below which none may, and characters of items in a pass.
-EDIT_SHARE, MIN_CHARS, BLOCK_CHARS = 0.06, 40, 4_000_000
+#: Share of an item's characters that may differ, and characters of items in a pass.
+EDIT_SHARE, BLOCK_CHARS = 0.06, 4_000_000
 SPACES = re.compile(r"\s+")
 
 
@@ -38,7 +40,7 @@ def normalised(text: str | None) -> str:
 
 def budget(n: int, share: float = EDIT_SHARE) -> int:
     """Allowed edits of an item of n characters."""
-    return int(n * share) if n >= MIN_CHARS else 0
+    return int(n * share)
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -81,7 +83,7 @@ def bits(pattern: str) -> dict[str, int]:
 class Matcher:
     """Finds the items of a block in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE):
+    def __init__(self, items: list[tuple[str, str]], share: float = EDIT_SHARE):
         self.items = [(k, t) for k, t in items if t]
         self.edits = [budget(len(t), share) for _, t in self.items]
         self.bits = [bits(t) for _, t in self.items]
@@ -137,26 +139,29 @@ class Matcher:
         return out
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The normalised items in blocks of about ``block_chars`` characters, chosen by the hash of the text."""
-    items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = -(-size // block_chars)
-    for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield [(r["item_id"], normalised(r["text"])) for r in rows]
+def n_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> int:
+    """Blocks that the items make."""
+    return -(-(benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // block_chars)
+
+
+def item_block(benchmark: DataFrame, at: int, blocks: int) -> list[tuple[str, str]]:
+    """The distinct normalised items of a block, chosen by the hash of the text; ids as strings."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("text is not null").distinct()
+    rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == at).collect()
+    return sorted({(r["id"] or "", r["id"] is None, normalised(r["text"])) for r in rows})
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, span_start, span_end): each item that occurs in a document within its budget,
     with the span in the normalised text."""
     docs = docs.select("doc_id", F.col("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance int, span_start long, span_end long"
-    out = None
-    for items in item_blocks(benchmark, block_chars):
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, distance int, span_start long, span_end long"
+    blocks, out = n_blocks(benchmark, block_chars), None
+    for at in range(blocks):
+        items = item_block(benchmark, at, blocks)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, share)
+            matcher = Matcher([(None if null else k, t) for k, null, t in items], share)
             for batch in by_weight(batches, "text"):
                 row, hits = [], []
                 for r, text in enumerate(batch.column("text").to_pylist()):
@@ -165,33 +170,39 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE,
                         hits.append((matcher.items[i][0], d, a, b))
                 if row:
                     cols = list(zip(*hits, strict=True))
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").take(pa.array(row)), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
                         names=["doc_id", "item_id", "distance", "span_start", "span_end"],
                     )
 
         part = docs.mapInArrow(run, schema)
+        if at < blocks - 1:  # the pass is over before the next block is read
+            part = stash(part, "items")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = docs.select("doc_id").where(F.lit(False)).select(
-            "doc_id", *[F.lit(None).cast(k).alias(c) for c, k in (("item_id", "long"), ("distance", "int"), ("span_start", "long"), ("span_end", "long"))]
-        )
-    return out
+        out = docs.sparkSession.createDataFrame([], schema)
+    return out.withColumn("item_id", F.col("item_id").cast(benchmark.schema["item_id"].dataType))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, in the same columns."""
-    out = docs
-    for items in item_blocks(benchmark):
+    blocks, out, old = n_blocks(benchmark, block_chars), docs, None
+    for at in range(blocks):
+        items = item_block(benchmark, at, blocks)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, share)
+            matcher = Matcher([(k, t) for k, _, t in items], share)
             for batch in by_weight(batches, "text"):
                 keep = np.array([not matcher.matches(normalised(t)) for t in batch.column("text").to_pylist()], dtype=bool)
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(run, out.schema)
+        if at < blocks - 1:
+            new = stash(out, "clean")
+            if old is not None:
+                discard(old)
+            out = old = new
     return out
 
 

@@ -3,6 +3,9 @@
 The longest common turn prefix of a chosen and a rejected conversation is rendered once as the prompt; what is left
 of each is its completion, whose assistant turns carry loss 1 and all other turns loss 0.
 
+A conversation, its prompt and its completions are one row each, as their output is one text. A ``<|`` inside a role or
+text is written ``<\\|``, so no text can open or end a turn.
+
 Defined cases: a null role renders as an empty role and a null text as an empty text; two nulls are equal; equal
 conversations share every turn and have empty completions; a missing conversation is an empty one; rows without a
 conversation id take no part; repeated turns are all kept, in the order of turn, role, text; input columns beyond
@@ -14,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.columns import quoted, unused
+
 TURN = "struct<role:string,text:string>"
 
 
@@ -27,12 +32,14 @@ def conversations(turns: DataFrame) -> DataFrame:
     )
 
 
+def escaped(text: Column) -> Column:
+    """The text, empty for null, without turn markers."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<\\|"))
+
+
 def render(turn: Column) -> Column:
     """One turn in chat markup."""
-    empty = F.lit("")
-    return F.concat(
-        F.lit("<|"), F.coalesce(turn["role"], empty), F.lit("|>\n"), F.coalesce(turn["text"], empty), F.lit("<|end|>\n")
-    )
+    return F.concat(F.lit("<|"), escaped(turn["role"]), F.lit("|>\n"), escaped(turn["text"]), F.lit("<|end|>\n"))
 
 
 def rendered(turns: Column) -> Column:
@@ -46,20 +53,16 @@ def loss_mask(turns: Column) -> Column:
 
 def spans(turns: Column) -> Column:
     """(start, end) of each assistant text in the rendered completion, in characters."""
-    lengths = F.transform(turns, lambda x: F.length(render(x)))
-    return F.filter(
-        F.transform(
-            turns,
-            lambda x, i: F.when(
-                x["role"] == "assistant",
-                F.struct(
-                    (F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b) + F.length(x["role"]) + 5).alias("start"),
-                    (F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, b: a + b) - 8).alias("end"),
-                ),
-            ),
-        ),
-        lambda s: s.isNotNull(),
-    )
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    first = F.struct(F.lit(0).alias("at"), none.alias("found"))
+
+    def step(state, turn):  # one pass: the offset so far travels with the spans
+        end = state["at"] + F.length(render(turn))
+        own = F.struct((state["at"] + F.length(escaped(turn["role"])) + 5).alias("start"), (end - 8).alias("end"))
+        found = F.when(turn["role"] == "assistant", F.concat(state["found"], F.array(own))).otherwise(state["found"])
+        return F.struct(end.alias("at"), found.alias("found"))
+
+    return F.aggregate(turns, first, step, lambda state: state["found"])
 
 
 def preference(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
@@ -72,19 +75,21 @@ def preference(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reject
     n = F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
     made = (chosen, rejected, "n_shared", "prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask",
             "chosen_spans", "rejected_spans")
-    rest = [F.col(f"`{c}`") for c in pairs.columns if c not in made]
-    cut = pairs.select(*rest, a.alias("_a"), b.alias("_b"), least_two(n, a, b).alias("n_shared"))
+    kept = [c for c in pairs.columns if c.lower() not in made]
+    left, right = unused([*pairs.columns, *made], "left", "right")
+    cut = pairs.select(*quoted(kept), a.alias(left), b.alias(right), least_two(n, a, b).alias("n_shared"))
+    rest = quoted(kept)
     tail = lambda c: F.slice(c, F.col("n_shared") + 1, F.greatest(F.size(c), F.lit(1)))
     return cut.select(
         *rest,
         "n_shared",
-        rendered(F.slice("_a", F.lit(1), F.col("n_shared"))).alias("prompt"),
-        rendered(tail(F.col("_a"))).alias("chosen_text"),
-        rendered(tail(F.col("_b"))).alias("rejected_text"),
-        loss_mask(tail(F.col("_a"))).alias("chosen_mask"),
-        loss_mask(tail(F.col("_b"))).alias("rejected_mask"),
-        spans(tail(F.col("_a"))).alias("chosen_spans"),
-        spans(tail(F.col("_b"))).alias("rejected_spans"),
+        rendered(F.slice(left, F.lit(1), F.col("n_shared"))).alias("prompt"),
+        rendered(tail(F.col(left))).alias("chosen_text"),
+        rendered(tail(F.col(right))).alias("rejected_text"),
+        loss_mask(tail(F.col(left))).alias("chosen_mask"),
+        loss_mask(tail(F.col(right))).alias("rejected_mask"),
+        spans(tail(F.col(left))).alias("chosen_spans"),
+        spans(tail(F.col(right))).alias("rejected_spans"),
     )
 
 
@@ -120,9 +125,18 @@ def swapped_replies(convs: DataFrame) -> DataFrame:
 def op3(spark, sf_dir: str) -> DataFrame:
     """Preference rows of every conversation."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return preference(swapped_replies(conversations(turns))).drop("chosen_spans", "rejected_spans")
-
-
+    out = preference(swapped_replies(conversations(turns)))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return out.withColumns({c: told(c) for c in ("chosen_spans", "rejected_spans")})
+
+
+_RENDER = r"""'<|' || replace(coalesce(x.role, ''), '<|', '<\|') || '|>' || chr(10) || replace(coalesce(x.text, ''), '<|', '<\|') || '<|end|>' || chr(10)"""
+_TEXT = "coalesce(array_to_string(list_transform({turns}, lambda x: " + _RENDER + "), ''), '')"
+_MASK = "coalesce(array_to_string(list_transform({turns}, lambda x: CASE WHEN x.role = 'assistant' THEN '1' ELSE '0' END), ''), '')"
+# where each turn of the completion ends: the lengths before it, summed
+_SPANS = """(SELECT coalesce(string_agg((upto - size + 14) || '-' || (upto - 8), ',' ORDER BY i), '') FROM (SELECT i, role, size,
+    sum(size) OVER (ORDER BY i) AS upto FROM (SELECT unnest(range(1, len({turns}) + 1)) AS i, unnest(list_transform({turns}, lambda x: x.role)) AS role,
+    unnest(list_transform({turns}, lambda x: length(""" + _RENDER + """))) AS size)) WHERE role = 'assistant')"""
 OP3_SQL = r"""
 WITH c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS t
     FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
@@ -136,12 +150,10 @@ p AS (SELECT l.conv_id, list_transform(t, lambda x: {'role': x.role, 'text': x.t
     ELSE list_transform(t[1:pos - 1], lambda x: {'role': x.role, 'text': x.text}) END AS b
     FROM l LEFT JOIN o ON l.conv_id = o.conv_id),
 n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1),
-    lambda i: a[i] IS DISTINCT FROM b[i])) - 1, least(len(a), len(b))) AS k FROM p)
+    lambda i: a[i] IS DISTINCT FROM b[i])) - 1, least(len(a), len(b))) AS k FROM p),
+d AS (SELECT conv_id, k, a[1:k] AS head, a[k + 1:] AS ta, b[k + 1:] AS tb FROM n)
 SELECT conv_id, k::INT AS n_shared,
-    coalesce(array_to_string(list_transform(a[1:k], lambda x: '<|' || coalesce(x.role, '') || '|>' || chr(10) || coalesce(x.text, '') || '<|end|>' || chr(10)), ''), '') AS prompt,
-    coalesce(array_to_string(list_transform(a[k + 1:], lambda x: '<|' || coalesce(x.role, '') || '|>' || chr(10) || coalesce(x.text, '') || '<|end|>' || chr(10)), ''), '') AS chosen_text,
-    coalesce(array_to_string(list_transform(b[k + 1:], lambda x: '<|' || coalesce(x.role, '') || '|>' || chr(10) || coalesce(x.text, '') || '<|end|>' || chr(10)), ''), '') AS rejected_text,
-    coalesce(array_to_string(list_transform(a[k + 1:], lambda x: CASE WHEN x.role = 'assistant' THEN '1' ELSE '0' END), ''), '') AS chosen_mask,
-    coalesce(array_to_string(list_transform(b[k + 1:], lambda x: CASE WHEN x.role = 'assistant' THEN '1' ELSE '0' END), ''), '') AS rejected_mask
-FROM n
-"""
+    """ + ",\n    ".join(
+    [_TEXT.format(turns="head") + " AS prompt"]
+    + [f"{how.format(turns=t)} AS {side}_{name}" for how, name in ((_TEXT, "text"), (_MASK, "mask"), (_SPANS, "spans")) for t, side in (("ta", "chosen"), ("tb", "rejected"))]
+) + "\nFROM d\n"

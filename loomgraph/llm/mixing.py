@@ -3,11 +3,13 @@
 Every document has a 40-bit hash of its key. For each source the words are summed by hash bucket; the bucket in
 which the running sum passes the source's budget is refined by the next bits, three times in all. What comes out
 is one hash cutoff per source, so that documents are chosen by a comparison: nothing is sorted, and a larger
-budget always takes a superset of what a smaller one takes.
+budget always takes a superset of what a smaller one takes. The state, one row for each source, is stored between
+the levels.
 
 Defined cases: a null text has 0 words and takes nothing; a null source is a source of its own, after all others;
 repeated rows share their hash and are taken together; an empty table gives an empty mix; columns of the input
-that have the name of an output column are replaced; a null key hashes as an empty string.
+that have the name of an output column (size, source_size, target, taken) are replaced, all others pass through; a
+null key hashes as an empty string.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.columns import quoted, unused
 from loomgraph.functions.storage import stash
 
 #: Bits of each histogram level: 4,096 buckets, then 16,384 in the boundary bucket, twice.
 LEVELS = (12, 14, 14)
 WORDS = r"[^\x20\x09-\x0D]+"
+MADE = ("size", "source_size", "target", "taken")
 
 
 def word_count(text: str | Column) -> Column:
@@ -37,7 +41,8 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap:
     ``cap`` x its own words; what is cut off is shared again by weight among the others.
 
     Sources are capped in the order of cap / weight. ``level`` is what a unit of weight gets when exactly the
-    sources before this one are capped; the first at which this one is not above its cap is the water level.
+    sources before this one are capped; the first at which this one is not above its cap is the water level. The
+    windows run over one row for each source.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_fill = Window.orderBy("fill", F.col("source").asc_nulls_last())
@@ -72,7 +77,7 @@ def hash_cutoffs(sized: DataFrame, targets: DataFrame) -> DataFrame:
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).alias("times"),
     ).withColumn("need", F.col("target") - F.col("times") * F.col("source_size"))
-    state = state.withColumn("cell", F.lit(0).cast("long"))
+    state = stash(state.withColumn("cell", F.lit(0).cast("long")), "budgets")
     used = 0
     for bits in LEVELS:
         part = F.shiftright("h", 40 - used - bits)
@@ -90,14 +95,17 @@ def hash_cutoffs(sized: DataFrame, targets: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("next", "sum", "upto")).alias("edge"))
         )
         used += bits
-        state = met.select(
-            "source",
-            "source_size",
-            "target",
-            "times",
-            (F.col("need") - F.coalesce(F.col("edge.upto") - F.col("edge.sum"), F.lit(0))).alias("need"),
-            F.coalesce(F.col("edge.next"), F.lit(0).cast("long")).alias("cell"),
-            F.coalesce(F.col("edge.sum"), F.lit(0)).alias("words"),
+        state = stash(
+            met.select(
+                "source",
+                "source_size",
+                "target",
+                "times",
+                (F.col("need") - F.coalesce(F.col("edge.upto") - F.col("edge.sum"), F.lit(0))).alias("need"),
+                F.coalesce(F.col("edge.next"), F.lit(0).cast("long")).alias("cell"),
+                F.coalesce(F.col("edge.sum"), F.lit(0)).alias("words"),
+            ),
+            "budgets",
         )
     nearer = F.col("need") * 2 > F.col("words")
     return state.select(
@@ -112,30 +120,38 @@ def measured(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     )
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id",
-        source: str = "source", text: str = "text", sized: DataFrame | None = None) -> DataFrame:
-    """All rows of ``docs`` plus size, source_size, target and ``taken``: the words that the mix takes of each
-    document, repeats counted. ``sized`` may pass the stored output of :func:`measured`."""
-    sized = sized if sized is not None else stash(measured(docs, key, source, text), "mix")
+def cutoffs(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(source, source_size, target, times, cutoff) of each source of the stored output of :func:`measured`."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    cut = hash_cutoffs(sized, source_targets(sizes, weights, share, cap)).withColumnRenamed("source", "_of")
-    made = ("size", "h", "source_size", "target", "taken", "times", "cutoff", "_of")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    if "size" in docs.columns and "h" in docs.columns and text not in docs.columns:
-        full = docs
-    else:
-        full = docs.select(*keep, word_count(text).alias("size"), hash40(key).alias("h"))
-    taken = F.col("size") * (F.col("times") + F.when(F.col("h") < F.col("cutoff"), 1).otherwise(0))
-    return full.join(cut, F.col(source).eqNullSafe(F.col("_of")), "left").select(
-        *keep, "size", "source_size", "target", taken.cast("long").alias("taken")
+    return hash_cutoffs(sized, source_targets(sizes, weights, share, cap))
+
+
+def applied(rows: DataFrame, cut: DataFrame, source: str, size: str, h: str) -> DataFrame:
+    """``rows`` (with their size and hash in the named columns) plus size, source_size, target and taken."""
+    rest = [c for c in rows.columns if c.lower() not in MADE and c not in (size, h)]
+    of, total, goal, times, below = unused([*rows.columns, *MADE], "of", "total", "goal", "times", "below")
+    told = cut.toDF(of, total, goal, times, below)
+    taken = F.col(size) * (F.col(times) + F.when(F.col(h) < F.col(below), 1).otherwise(0))
+    return rows.join(told, F.col(source).eqNullSafe(F.col(of)), "left").select(
+        *quoted(rest), F.col(size).alias("size"), F.col(total).alias("source_size"), F.col(goal).alias("target"), taken.cast("long").alias("taken")
     )
 
 
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id",
+        source: str = "source", text: str = "text") -> DataFrame:
+    """All rows of ``docs`` plus size, source_size, target and ``taken``: the words that the mix takes of each
+    document, repeats counted."""
+    cut = cutoffs(stash(measured(docs, key, source, text), "mix"), weights, share, cap)
+    size, h = unused([*docs.columns, *MADE], "n", "h")
+    rows = docs.select("*", word_count(text).alias(size), hash40(key).alias(h))
+    return applied(rows, cut, source, size, h)
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = stash(measured(docs), "mix")
-    return mix(sized, sized=sized).select("doc_id", "size", "source_size", "target", "taken")
+    sized = stash(measured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "mix")
+    rows = sized.withColumnRenamed("size", "n")
+    return applied(rows, cutoffs(sized), "source", "n", "h").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.columns import quoted
+from loomgraph.functions.columns import quoted, unused
 
 #: A key with more than one in so many of all rows is hot; so there are fewer hot keys than this.
 HOT_KEYS = 1_000
@@ -18,7 +18,7 @@ def join_by_count(rows: DataFrame, per_key: DataFrame, on: list[str], total: int
     because their counts sum to ``total`` at most. All others are shuffled, and none of their keys can fill a task.
     ``how`` is inner or left_semi; ``n`` is not in the result, null keys find nothing.
     """
-    flag = "_hot_key"
+    flag, = unused([*rows.columns, *per_key.columns], "hot")
     hot = per_key.where(F.col(n) * HOT_KEYS > total).drop(n).withColumn(flag, F.lit(True))
     cold = per_key.where(F.col(n) * HOT_KEYS <= total).drop(n)
     # both branches read the same broadcast; null keys find nothing in either

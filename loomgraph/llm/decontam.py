@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.storage import discard, stash
-from loomgraph.llm.text import by_weight
+from loomgraph.llm.text import by_weight, map_rows
 
 #: Share of an item's characters that may differ, and characters of items in a pass.
 EDIT_SHARE, BLOCK_CHARS = 0.06, 4_000_000
@@ -197,7 +197,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, bloc
                 keep = np.array([not matcher.matches(normalised(t)) for t in batch.column("text").to_pylist()], dtype=bool)
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, out.schema)
+        out = map_rows(out, run, out.schema)
         if at < blocks - 1:
             new = stash(out, "clean")
             if old is not None:

@@ -3,15 +3,16 @@
 A small tolerant reader builds the tree of a page. Boilerplate subtrees (by tag, role, or names in class and id) are
 left out first. A name counts as a whole: all its parts must be marks or their usual affixes. A mark by name, or a form,
 is overruled by the text: see :func:`overrule`. For every node the density is its characters per tag, lowered by the share of link characters; a
-node's density sum is the sum of its children's densities. The node with the largest density sum is the core. The
-lowest density on the path from the core to the body is the threshold: ancestors are taken instead of the core as long
-as they add children that reach it. An enclosing article is taken whole; from there the climb goes on inside the main
-element, and outside of one over sibling articles only. The chosen subtree is rendered as blocks.
+node's density sum is the sum of its children's densities. The node with the largest density sum is the core, on a tie
+an article or main element, else the first. The lowest density on the path from the core to the body is the threshold:
+ancestors are taken instead of the core as long as they add children that reach it. Where the core holds most of the
+text of an article around it, the climb takes that article even if what it adds is thinner; and out of an article or
+main element it only climbs over siblings of the same kind. The chosen subtree is rendered as blocks.
 
 Defined cases: null and empty html give an empty text; a page without body is read as if it had one; unclosed and
 stray tags are repaired as browsers do for paragraphs, list items and table cells; scripts, styles, comments and
 hidden elements never count; pages are read whole; repeated rows give equal results; extra columns pass through
-except those named text or n_chars, which are replaced; deep nesting does not recurse.
+except html, and those named text or n_chars, which are replaced; deep nesting does not recurse.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.text import by_weight
+from loomgraph.functions.columns import quoted, unused
+from loomgraph.llm.text import by_weight, map_rows
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -184,7 +186,7 @@ def parse(html: str) -> Node:
                 node = node.parent
         in_main = here.main or tag in ("article", "main")
         mark = boilerplate(tag, raw, in_main and tag != "header" or here.main)
-        main = here.main or tag in ("article", "main") or (mark != "hard" and 'role="main"' in raw)
+        main = here.main or tag in ("article", "main") or (mark != "hard" and "main" in raw and attributes(raw).get("role") == "main")
         new = Node(tag, here, bool(mark), main, "" if mark == "hard" else mark)
         here.parts.append(new)
         if tag in VOID or raw.endswith("/") and tag in RAW:
@@ -270,7 +272,7 @@ def core(nodes: list[Node]) -> Node | None:
     some = [n for n in nodes if n.chars > n.links and (n.tag in BLOCKS or n.parent is None)]
     if not some:
         return None
-    best = max(some, key=lambda n: n.sums)
+    best = max(some, key=lambda n: (n.sums, n.tag in ("article", "main")))
     path, node = [], best
     while node is not None:
         path.append(node)
@@ -278,21 +280,24 @@ def core(nodes: list[Node]) -> Node | None:
             break
         node = node.parent
     threshold = min(n.density for n in path)
-    articles = [i for i, n in enumerate(path) if n.tag == "article"]
-    mains = [i for i, n in enumerate(path) if n.tag == "main"]
-    at = articles[-1] if articles else mains[-1] if mains else 0
-    best, on_path = path[at], set(path)
-    for i, node in enumerate(path[at + 1 :], at + 1):
-        free = not articles and not mains or mains and i <= mains[-1]
+    plain, on_path = best.chars - best.links, set(path)
+    at = 0
+    for i, node in enumerate(path[1:], 1):
+        if node.tag == "html":
+            break
+        # out of an article or main element that the climb has reached, only its like count
+        edge = {n.tag for n in path[: i] if n.tag in ("article", "main")}
+        inside = any(n.tag == "main" for n in path[i:])
         more = any(
             isinstance(p, Node) and not p.drop and p not in on_path and p.density >= threshold and p.chars > p.links
-            and (free or path[at].tag == p.tag == "article")
+            and (not edge or p.tag in edge or inside and "main" not in edge)
             for p in node.parts
         )
-        if not more or node.tag == "html":
+        if more or node.tag == "article" and 2 * plain >= node.chars - node.links:
+            at = i
+        elif edge or node.tag not in BLOCKS:
             break
-        best = node
-    return best
+    return path[at]
 
 
 def rendered(root: Node) -> str:
@@ -341,17 +346,18 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns of ``pages`` but the html, plus text and n_chars."""
     keep = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", html)]
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    rows = pages.select(*[F.col(f"`{f.name}`") for f in keep], F.col(html).alias("_html"))
+    source, = unused([f.name for f in keep], "html")
+    rows = pages.select(*quoted([f.name for f in keep]), F.col(html).alias(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_weight(batches, "_html"):
-            text = [main_text(h) for h in b.column("_html").to_pylist()]
+        for b in by_weight(batches, source):
+            text = [main_text(h) for h in b.column(source).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(f.name) for f in keep], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
                 names=[*[f.name for f in keep], "text", "n_chars"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return map_rows(rows, run, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

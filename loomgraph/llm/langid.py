@@ -4,7 +4,10 @@ A text becomes lower-case letters with single spaces between words; its 1- to 3-
 dimensions, weighed by (1 + ln tf) * idf and normalised. Each language has several centroids, found by spherical
 k-means on a bounded sample of its learning rows; the document frequencies cover all learning rows. The prediction
 is the language of the centroid with the largest cosine. A text farther than ``max_distance`` (1 - cosine) from all
-centroids is rejected as ``und``.
+centroids is rejected as ``und``. Letters are the characters of the Unicode categories L and, after one, M.
+
+:func:`op8` has to name a learned language for every text with a letter, so there nothing is rejected: its
+``max_distance`` is 1, which no cosine is beyond.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows without a language or key are never
 learned from; with no learning row at all everything is ``und``; ties go to the language first in code point order;
@@ -14,30 +17,31 @@ those named lang_pred or score, which are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.functions.columns import quoted
 from loomgraph.functions.storage import stash
-from loomgraph.llm.text import by_weight, held_out
+from loomgraph.llm.text import by_weight, held_out, map_rows
 
 DIMS = 4096
 #: Rows of the k-means sample, for all languages together, and centroids of each language.
 SAMPLE_ROWS, CENTROIDS = 4_000, 4
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 CHUNK = 32
 
 
 def letters(text: str | None) -> str:
-    """Lower-case letters, words set off by single spaces; empty without a letter."""
+    """Lower-case letters and their marks, words set off by single spaces; empty without a letter."""
     words = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    return f" {words} " if words else ""
+    return f" {words} " if words and LETTER.search(words) else ""
 
 
 def term_counts(texts: list[str | None]) -> np.ndarray:
@@ -174,7 +178,7 @@ def predict(docs: DataFrame, model: CentroidModel, text: str = "text", max_dista
     """All columns of ``docs`` plus lang_pred and score."""
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in keep])
+    docs = docs.select(*quoted([f.name for f in keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_weight(batches, text):
@@ -184,7 +188,7 @@ def predict(docs: DataFrame, model: CentroidModel, text: str = "text", max_dista
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -30,3 +31,15 @@ def by_weight(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+
+
+def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` for columns of any name: it does not find names with dots itself."""
+    names = rows.columns
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns(plain.names)
+
+    return rows.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, plain).toDF(*schema.names)

@@ -2,7 +2,9 @@
 
 A word's embedding is the sum of hashed rows for the whole word and its first 3, 4 and 5 letters. Filters of widths
 1, 2 and 3 run over the words of the whole text; each filter's maximum goes through a linear layer to one logit. The
-network is trained on a bounded sample of labelled rows. The logit's threshold is calibrated for each language, as
+network is trained on a bounded sample of labelled rows, of which only the numbers of embedding rows reach the driver:
+at most ``SAMPLE_EACH`` of each class, those with the smallest hashes of their ids, none longer than ``SAMPLE_CHARS``.
+The logit's threshold is calibrated for each language, as
 recognised from the text by the centroids of :mod:`loomgraph.llm.langid`, so that score 0.5 is the threshold. All
 labelled rows that are not held out count for it, as a histogram of their logits.
 
@@ -24,14 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.functions.columns import quoted
+from loomgraph.functions.storage import discard, stash
 from loomgraph.llm import langid
 from loomgraph.llm.langid import CentroidModel, letters
-from loomgraph.llm.text import by_weight, held_out
+from loomgraph.llm.text import by_weight, held_out, map_rows
 
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 15, 12, 12, (1, 2, 3)
-#: Labelled rows of each class that are learned from, at most.
-SAMPLE_EACH = 5_000
+#: Labelled rows of each class that the network learns from, at most, and characters of the longest of them.
+SAMPLE_EACH, SAMPLE_CHARS = 5_000, 20_000
 EPOCHS, BATCH, RATE = 4, 32, 0.08
+#: Embedding rows of a word.
+PARTS = 4
 #: Padding after each text: a filter of the largest width fits in it.
 PADS = max(SPANS)
 #: Words whose projections a task keeps at once.
@@ -73,13 +79,13 @@ class TextCNN:
             seen[rows] += grad * grad
             param[rows] -= RATE * grad / np.sqrt(seen[rows])
 
-    def learn(self, docs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-        """One step. docs: word numbers of each text; rows: embedding rows of each word number (0: padding)."""
-        pads = np.zeros(PADS, dtype=np.int32)
-        ids = np.concatenate([p for d in docs for p in (d, pads)] + [pads])
+    def learn(self, docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> None:
+        """One step. docs: the embedding rows of each word of each text (0: padding)."""
+        pads = np.zeros((PADS, PARTS), dtype=docs[0].dtype)
+        rows = np.concatenate([p for d in docs for p in (d, pads)] + [pads])
         starts = np.concatenate([[0], np.cumsum([len(d) + PADS for d in docs])])[:-1]
         ends = starts + np.array([len(d) for d in docs]) + 1
-        x = self.emb[rows[ids]].sum(axis=1)
+        x = self.emb[rows].sum(axis=1)
         pooled, where = [], []
         for n, w, b in zip(SPANS, self.filters, self.bias, strict=True):
             wide = np.concatenate([x[i : len(x) - n + 1 + i] for i in range(n)], axis=1)
@@ -102,7 +108,7 @@ class TextCNN:
                 part = x[at + i]  # docs x FILTERS x WIDTH
                 dw[i * WIDTH : (i + 1) * WIDTH] = np.einsum("dfw,df->wf", part, g)
                 back = g[:, :, None] * w[i * WIDTH : (i + 1) * WIDTH].T[None]
-                touched.append(rows[ids[at + i]].reshape(-1, rows.shape[1]))
+                touched.append(rows[at + i].reshape(-1, PARTS))
                 grads.append(back.reshape(-1, WIDTH))
             self._adagrad(f"w{n}", w, dw)
             self._adagrad(f"b{n}", self.bias[k], g.sum(axis=0))
@@ -193,18 +199,14 @@ def best_threshold(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) ->
     return float(edges[least[len(least) // 2]])
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> TextCNN:
-    """Train on all of the sample. Empties ``texts``."""
-    clean = [letters(t) for t in texts]
-    texts.clear()
+def word_table(clean: str) -> bytes:
+    """The embedding rows of the words of a cleaned text, as 16-bit numbers."""
+    return np.array([word_rows(w) for w in clean.split()], dtype=np.uint16).tobytes()
+
+
+def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> TextCNN:
+    """Train on the embedding rows (words x PARTS) of all texts of the sample."""
     labels = labels.astype(np.float32)
-    number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number) + 1) for w in c.split()], dtype=np.int32) for c in clean]
-    del clean
-    rows = np.zeros((len(number) + 1, 4), dtype=np.int32)
-    for w, i in number.items():
-        rows[i] = word_rows(w)
-    number.clear()
     counts = [int((labels == c).sum()) for c in (0, 1)]
     balance = np.where(labels == 1, len(labels) / (2 * counts[1]), len(labels) / (2 * counts[0]))
     rng = np.random.default_rng(seed)
@@ -214,38 +216,51 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> TextCNN:
         rng.shuffle(order)
         for s in range(0, len(order), BATCH):
             some = order[s : s + BATCH]
-            net.learn([docs[i] for i in some], rows, labels[some], balance[some])
+            net.learn([docs[i] for i in some], labels[some], balance[some])
     net.state.clear()
     return net
 
 
-def histogram(rows: DataFrame, net: TextCNN, finder: CentroidModel) -> DataFrame:
-    """(found, toxic, trained, bin, n) of all ``rows`` (text, toxic, trained): how many have their logit in a bin."""
+def logits(docs: DataFrame, net: TextCNN, finder: CentroidModel) -> DataFrame:
+    """(doc_id, found, logit) of every row of ``docs`` (doc_id, text): the recognised language, and null where the text has
+    no letter."""
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("found", T.StringType()), T.StructField("logit", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in by_weight(batches, "text", 500_000):
             clean = [letters(t) for t in batch.column("text").to_pylist()]
-            bins = np.floor(np.clip(scorer.logits(clean), -MOST, MOST) * STEPS).astype(np.int32)
-            some = pa.array([bool(c) for c in clean])  # a text without letters has score 0 at any threshold
-            out = [pa.array(finder.nearest(clean)[0], pa.string()), batch.column("toxic"), batch.column("trained"), pa.array(bins)]
-            yield pa.RecordBatch.from_arrays(out, names=["found", "toxic", "trained", "bin"]).filter(some)
+            none = np.array([not c for c in clean])
+            out = [batch.column("doc_id"), pa.array(finder.nearest(clean)[0], pa.string()), pa.array(scorer.logits(clean).astype(np.float64), pa.float64(), mask=none)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "found", "logit"])
 
-    counted = rows.select("text", "toxic", "trained").mapInArrow(run, "found string, toxic int, trained boolean, bin int")
-    return counted.groupBy("found", "toxic", "trained", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(run, kind)
+
+
+def histogram(scored: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(found, toxic, trained, bin, n): how many labelled rows (doc_id, toxic, trained) have their logit in a bin."""
+    at = F.floor(F.least(F.greatest("logit", F.lit(-float(MOST))), F.lit(float(MOST))) * STEPS).cast("int")
+    # no text is joined, only logits; labels grow with the rows: merged at every size
+    both = scored.where("logit is not null").join(flagged.hint("merge"), "doc_id")
+    return both.groupBy("found", "toxic", "trained", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def calibrated(found: np.ndarray, toxic: np.ndarray, trained: np.ndarray, bins: np.ndarray, n: np.ndarray) -> dict[str | None, float]:
-    """Threshold of each language, and of all under None, from a histogram. The rows of a class weigh what they count
-    together, those that were not trained on at least half of it."""
+    """Threshold of each language, and of all under None, from a histogram. Of each class only the rows count that were
+    not trained on; where those are fewer than ``MIN_CALIBRATION`` they weigh half of the class, the others the rest."""
     weight = n.astype(np.float64)
     for c in (0, 1):
         own, new = (toxic == c) & trained, (toxic == c) & ~trained
         a, b = weight[own].sum(), weight[new].sum()
-        if 0 < b < a:
+        if b >= MIN_CALIBRATION:
+            weight[own] = 0
+            weight[new] *= (a + b) / b
+        elif 0 < b < a:
             weight[own] *= (a + b) / (2 * a)
             weight[new] *= (a + b) / (2 * b)
     logit = (bins + 0.5) / STEPS
+    used = weight > 0
+    found, toxic, logit, weight, n = found[used], toxic[used], logit[used], weight[used], n[used]
     thresholds = {None: best_threshold(logit, toxic, weight)}
     for lang in set(found):
         some = found == lang
@@ -254,43 +269,75 @@ def calibrated(found: np.ndarray, toxic: np.ndarray, trained: np.ndarray, bins:
     return thresholds
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> ToxicityModel | None:
-    """Learn from labelled rows, none held out: the network from four fifths of at most ``sample_each`` of each class,
-    chosen by the hash of the id; the thresholds from all. None if a class has no row."""
+def fit_scored(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> tuple[ToxicityModel, DataFrame] | None:
+    """Learn from labelled rows, none held out, and score: the model, and the stored :func:`logits` of ``docs``. The
+    network learns from at most ``sample_each`` rows of each class, chosen by the hash of the id, a fifth of all left
+    out; the thresholds from all labelled rows. None if a class has no row."""
     learn = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")
     )
     n = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
-    share = {c: int(min(1.0, 0.95 * sample_each / x) * (1 << 30)) for c, x in n.items()}
+    share = {c: int(min(1.0, 1.2 * sample_each / x) * (1 << 30)) for c, x in n.items()}
     below = F.col("h") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
-    flagged = learn.select("doc_id", "toxic", (below & (F.col("h") % 5 > 0)).alias("trained"))
-    picked = flagged.where("trained").select("doc_id", "toxic").limit(2 * sample_each)
+    # near the bound a few of these are not trained on, and count as if they were
+    flagged = learn.select("doc_id", "toxic", "h", (below & (F.col("h") % 5 > 0)).alias("trained"))
+    # 4 * sample_each short rows at most are broadcast: those with the smallest hashes
+    picked = flagged.where("trained").orderBy("h", "doc_id", "toxic").limit(4 * sample_each).select("doc_id", "toxic", "h")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    docs = docs.select("doc_id", "text", lang).where("text is not null")
-    finder = langid.fit(docs)
-    # at most 2 * sample_each short rows are broadcast
-    sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").limit(3 * sample_each).toPandas().sort_values(["doc_id", "text", "toxic"])
-    if sample["toxic"].nunique() < 2:
+    docs = docs.select("doc_id", "text", lang)
+    finder = langid.fit(docs.where("text is not null"))
+    drawn = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").select("toxic", "h", "text")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_weight(batches, "text"):
+            words = pa.array([word_table(letters(t)) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("h"), words], names=["toxic", "h", "words"])
+
+    sample = stash(drawn.mapInArrow(tables, "toxic int, h long, words binary"), "sample")
+    texts, toxic = [], []
+    for c in (0, 1):
+        rows = sample.where(F.col("toxic") == c).orderBy("h", "words").limit(sample_each).select("words").toPandas()
+        texts += [np.frombuffer(w, dtype=np.uint16).reshape(-1, PARTS) for w in rows["words"]]
+        toxic += [c] * len(rows)
+    discard(sample)
+    if len(set(toxic)) < 2:
         return None
-    texts, toxic = sample["text"].tolist(), sample["toxic"].to_numpy()
-    del sample
-    net = train(texts, toxic)
-    # labels grow with the rows: merged at every size
-    h = histogram(docs.join(flagged.hint("merge"), "doc_id"), net, finder).toPandas().sort_values(["found", "toxic", "trained", "bin"])
-    if h.empty:  # no labelled text has a letter
+    net = train(texts, np.array(toxic))
+    scored = stash(logits(docs, net, finder), "logits")
+    h = histogram(scored, flagged.drop("h")).toPandas().sort_values(["found", "toxic", "trained", "bin"])
+    if h["toxic"].nunique() < 2:  # no labelled text of a class has a letter
         return None
     columns = [h[c].to_numpy() for c in ("found", "toxic", "trained", "bin", "n")]
     columns[2] = columns[2].astype(bool)
-    return ToxicityModel(net, finder, calibrated(*columns))
+    return ToxicityModel(net, finder, calibrated(*columns)), scored
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> ToxicityModel | None:
+    """The model of :func:`fit_scored`."""
+    found = fit_scored(docs, labels, sample_each)
+    if found is None:
+        return None
+    discard(found[1])
+    return found[0]
+
+
+def from_logits(scored: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(doc_id, score, predicted) from stored logits."""
+    at = F.lit(model.thresholds[None])
+    for lang, x in model.thresholds.items():
+        at = F.when(F.col("found") == lang, x).otherwise(at) if lang is not None else at
+    z = F.least(F.greatest(F.lit(model.slope) * (F.col("logit") - at), F.lit(-30.0)), F.lit(30.0))
+    rows = scored.select("doc_id", F.when(F.col("logit").isNull(), 0.0).otherwise(1 / (1 + F.exp(-z))).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def predict(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus score and predicted."""
     keep = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in keep])
+    docs = docs.select(*quoted([f.name for f in keep]))
     if model is None:
         return docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
 
@@ -303,13 +350,26 @@ def predict(docs: DataFrame, model: ToxicityModel | None, text: str = "text") ->
                 names=[*batch.schema.names, "score", "predicted"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, in the same columns."""
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.net)
+        for batch in by_weight(batches, "text", 500_000):
+            yield batch.filter(pa.array(model.scores(scorer, batch.column("text").to_pylist()) < 0.5))
+
+    return map_rows(docs, run, docs.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(docs.select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return predict(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out().alias("held_out"), "score", "predicted"
-    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    found = fit_scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = predict(docs.select("doc_id", "text"), None) if found is None else from_logits(found[1], found[0])
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")

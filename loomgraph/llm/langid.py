@@ -109,14 +109,15 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 8) -> n
     return c.astype(np.float32)
 
 
-def centroid_model(counts: np.ndarray, langs: np.ndarray, idf: np.ndarray, k: int = CENTROIDS) -> CentroidModel:
-    """Centroids of each language from sampled term counts."""
+def centroid_model(vectors: np.ndarray, langs: np.ndarray, idf: np.ndarray, k: int = CENTROIDS) -> CentroidModel:
+    """Centroids of each language from sampled unit vectors, one language in memory at a time."""
     model = CentroidModel([], np.zeros((0, DIMS), dtype=np.float32), idf.astype(np.float32))
-    vectors, names, rows = model.vectors(counts), [], []
+    names, rows = [], []
     for lang in sorted(set(langs)):
-        some = (langs == lang) & counts.any(axis=1)
-        if some.any():
-            c = spherical_kmeans(vectors[some], k)
+        x = vectors[langs == lang].astype(np.float32)
+        x = x[x.any(axis=1)]
+        if len(x):
+            c = spherical_kmeans(x, k)
             rows.append(c)
             names += [lang] * len(c)
     if rows:
@@ -131,7 +132,7 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> CentroidModel:
     """Learn from the rows that have a language and are not held out. One pass over all of them counts document
     frequencies (an array of DIMS sums for each task, summed by dimension) and rows of each language; a second one
-    brings the term counts of a sample of at most ``sample_rows`` rows, chosen by the hash of the key."""
+    brings the vectors of a sample of at most ``sample_rows`` rows, chosen by the hash of the key, in 16 bits a dimension."""
     learn = docs.where(F.col(lang).isNotNull() & ~held_out(key)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h")
     )
@@ -162,16 +163,21 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     for x, n in by_lang.items():
         below = F.when(F.col("lang") == x, int(min(1.0, 0.9 * each / n) * (1 << 30))).otherwise(below)
 
+    weigh = CentroidModel([], np.zeros((0, DIMS), dtype=np.float32), idf.astype(np.float32)).vectors
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_weight(batches, "text"):
             texts = batch.column("text").to_pylist()
             for s in range(0, len(texts), CHUNK):
-                c = term_counts(texts[s : s + CHUNK])
-                yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(s, CHUNK), "c": pa.array([r.tobytes() for r in c], pa.binary())})
-
-    sample = learn.where(F.col("h") < below).select("lang", "text").mapInArrow(vectors, "lang string, c binary").limit(sample_rows).toPandas()
-    counts = np.frombuffer(b"".join(sample["c"]), dtype=np.float32).reshape(-1, DIMS) if len(sample) else np.zeros((0, DIMS))
-    return centroid_model(counts, sample["lang"].to_numpy(dtype=object), idf)
+                v = weigh(term_counts(texts[s : s + CHUNK])).astype(np.float16)
+                yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(s, CHUNK), "v": pa.array([r.tobytes() for r in v], pa.binary())})
+
+    sample = learn.where(F.col("h") < below).select("lang", "text").mapInArrow(vectors, "lang string, v binary").limit(sample_rows).toArrow()
+    langs = np.array(sample.column("lang").to_pylist(), dtype=object)
+    found = np.zeros((len(langs), DIMS), dtype=np.float16)
+    for i, v in enumerate(sample.column("v")):
+        found[i] = np.frombuffer(v.as_buffer(), dtype=np.float16)
+    return centroid_model(found, langs, idf)
 
 
 def predict(docs: DataFrame, model: CentroidModel, text: str = "text", max_distance: float = 1.0) -> DataFrame:

@@ -22,11 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.columns import quoted
+from loomgraph.functions.columns import quoted, unused
 from loomgraph.functions.storage import discard, stash
 from loomgraph.llm import langid
 from loomgraph.llm.langid import CentroidModel, letters
@@ -221,20 +221,22 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> TextCNN:
     return net
 
 
-def logits(docs: DataFrame, net: TextCNN, finder: CentroidModel) -> DataFrame:
-    """(doc_id, found, logit) of every row of ``docs`` (doc_id, text): the recognised language, and null where the text has
-    no letter."""
-    kind = T.StructType([docs.schema["doc_id"], T.StructField("found", T.StringType()), T.StructField("logit", T.DoubleType())])
+def logits(docs: DataFrame, net: TextCNN, finder: CentroidModel, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` with two more: the recognised language, and the logit, null where the
+    text has no letter. They are found and logit, lengthened where such a column is there."""
+    found, logit = unused(keep, "found", "logit")
+    rows = docs.select(*quoted([*keep, *([] if "text" in keep else ["text"])]))
+    kind = T.StructType([*[rows.schema[c] for c in keep], T.StructField(found, T.StringType()), T.StructField(logit, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in by_weight(batches, "text", 500_000):
             clean = [letters(t) for t in batch.column("text").to_pylist()]
             none = np.array([not c for c in clean])
-            out = [batch.column("doc_id"), pa.array(finder.nearest(clean)[0], pa.string()), pa.array(scorer.logits(clean).astype(np.float64), pa.float64(), mask=none)]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "found", "logit"])
+            out = [pa.array(finder.nearest(clean)[0], pa.string()), pa.array(scorer.logits(clean).astype(np.float64), pa.float64(), mask=none)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *out], names=[*keep, found, logit])
 
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return map_rows(rows, run, kind)
 
 
 def histogram(scored: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -269,8 +271,9 @@ def calibrated(found: np.ndarray, toxic: np.ndarray, trained: np.ndarray, bins:
     return thresholds
 
 
-def fit_scored(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> tuple[ToxicityModel, DataFrame] | None:
-    """Learn from labelled rows, none held out, and score: the model, and the stored :func:`logits` of ``docs``. The
+def fit_scored(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, keep: tuple[str, ...] = ("doc_id",)) -> tuple[ToxicityModel, DataFrame] | None:
+    """Learn from labelled rows, none held out, and score: the model, and the stored :func:`logits` of ``docs`` with its
+    columns ``keep``, of which doc_id is one. The
     network learns from at most ``sample_each`` rows of each class, chosen by the hash of the id, a fifth of all left
     out; the thresholds from all labelled rows. None if a class has no row."""
     learn = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select(
@@ -286,7 +289,7 @@ def fit_scored(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EAC
     # 4 * sample_each short rows at most are broadcast: those with the smallest hashes
     picked = flagged.where("trained").orderBy("h", "doc_id", "toxic").limit(4 * sample_each).select("doc_id", "toxic", "h")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    docs = docs.select("doc_id", "text", lang)
+    full, docs = docs, docs.select("doc_id", "text", lang)
     finder = langid.fit(docs.where("text is not null"))
     drawn = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").select("toxic", "h", "text")
 
@@ -298,15 +301,16 @@ def fit_scored(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EAC
     sample = stash(drawn.mapInArrow(tables, "toxic int, h long, words binary"), "sample")
     texts, toxic = [], []
     for c in (0, 1):
-        rows = sample.where(F.col("toxic") == c).orderBy("h", "words").limit(sample_each).select("words").toPandas()
-        texts += [np.frombuffer(w, dtype=np.uint16).reshape(-1, PARTS) for w in rows["words"]]
+        rows = sample.where(F.col("toxic") == c).orderBy("h", "words").limit(sample_each).select("words").toArrow().column("words")
+        texts += [np.frombuffer(w.as_buffer(), dtype=np.uint16).reshape(-1, PARTS) for w in rows]
         toxic += [c] * len(rows)
     discard(sample)
     if len(set(toxic)) < 2:
         return None
     net = train(texts, np.array(toxic))
-    scored = stash(logits(docs, net, finder), "logits")
-    h = histogram(scored, flagged.drop("h")).toPandas().sort_values(["found", "toxic", "trained", "bin"])
+    scored = stash(logits(full, net, finder, list(keep)), "logits")
+    found, logit = scored.columns[-2:]
+    h = histogram(scored.select("doc_id", F.col(found).alias("found"), F.col(logit).alias("logit")), flagged.drop("h")).toPandas().sort_values(["found", "toxic", "trained", "bin"])
     if h["toxic"].nunique() < 2:  # no labelled text of a class has a letter
         return None
     columns = [h[c].to_numpy() for c in ("found", "toxic", "trained", "bin", "n")]
@@ -323,14 +327,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> T
     return found[0]
 
 
-def from_logits(scored: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score, predicted) from stored logits."""
+def score_of(model: ToxicityModel, found: str, logit: str) -> Column:
+    """The score from stored logits."""
     at = F.lit(model.thresholds[None])
     for lang, x in model.thresholds.items():
-        at = F.when(F.col("found") == lang, x).otherwise(at) if lang is not None else at
-    z = F.least(F.greatest(F.lit(model.slope) * (F.col("logit") - at), F.lit(-30.0)), F.lit(30.0))
-    rows = scored.select("doc_id", F.when(F.col("logit").isNull(), 0.0).otherwise(1 / (1 + F.exp(-z))).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        at = F.when(F.col(found) == lang, x).otherwise(at) if lang is not None else at
+    z = F.least(F.greatest(F.lit(model.slope) * (F.col(logit) - at), F.lit(-30.0)), F.lit(30.0))
+    return F.when(F.col(logit).isNull(), 0.0).otherwise(1 / (1 + F.exp(-z)))
 
 
 def predict(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
@@ -354,22 +357,18 @@ def predict(docs: DataFrame, model: ToxicityModel | None, text: str = "text") ->
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, in the same columns."""
-    model = fit(docs, labels)
-    if model is None:
+    """The rows of ``docs`` that the classifier does not reject, in the same columns. Rows are stored beside their logits,
+    so texts are scored once and shuffled never."""
+    got = fit_scored(docs, labels, keep=tuple(docs.columns))
+    if got is None:
         return docs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.net)
-        for batch in by_weight(batches, "text", 500_000):
-            yield batch.filter(pa.array(model.scores(scorer, batch.column("text").to_pylist()) < 0.5))
-
-    return map_rows(docs, run, docs.schema)
+    model, scored = got
+    return scored.where(score_of(model, *scored.columns[-2:]) < 0.5).select(*quoted(docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    found = fit_scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = predict(docs.select("doc_id", "text"), None) if found is None else from_logits(found[1], found[0])
-    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    got = fit_scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = predict(docs.select("doc_id", "text"), None) if got is None else got[1].select("doc_id", score_of(got[0], "found", "logit").alias("score"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

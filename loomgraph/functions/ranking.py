@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.columns import unused
 from loomgraph.functions.storage import stash
 
 
@@ -32,6 +33,37 @@ def md5_rank(df: DataFrame, seed, key: str, group: list[str], name: str = "rn")
     return group_rank(df, group, [md5_key(seed, key), F.col(key)], name)
 
 
+def wide_group_rank(df: DataFrame, group: list[str], order: list, name: str = "rn") -> DataFrame:
+    """1-based row number in each group where a group may hold most rows: a range partitioning by group and order, a row
+    number in each partition's part of the group, and the count of the group's rows in the partitions before it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pid, own, ahead = unused(df.columns, "pid", "own", "ahead")
+    keys = [F.col(g) for g in group]
+    dealt = stash(df.repartitionByRange(n, *keys, *order).withColumn(pid, F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*group).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each group and partition
+    counts = dealt.groupBy(pid, *group).agg(F.count(F.lit(1)).alias(own)).withColumn(ahead, F.coalesce(F.sum(own).over(before), F.lit(0)))
+    names = unused([*df.columns, pid, own, ahead], *group, "p")
+    told = counts.select(pid, *group, ahead).toDF(names[-1], *names[:-1], ahead)
+    same = F.col(pid) == F.col(names[-1])
+    for g, other in zip(group, names, strict=False):
+        same = same & F.col(g).eqNullSafe(F.col(other))
+    inside = dealt.withColumn(own, F.row_number().over(Window.partitionBy(pid, *group).orderBy(*order)))
+    return inside.join(told, same).withColumn(name, F.col(ahead) + F.col(own)).drop(pid, own, ahead, *names)
+
+
+def wide_md5_rank(df: DataFrame, seed, key: str, group: list[str], name: str = "rn") -> DataFrame:
+    """1-based seeded random rank in groups of any size."""
+    h, = unused(df.columns, "h")
+    return wide_group_rank(df.withColumn(h, md5_key(seed, key)), group, [F.col(h), F.col(key)], name).drop(h)
+
+
+def first_rows(df: DataFrame, order: list, k: int) -> DataFrame:
+    """The ``k`` first rows in order, for a k that grows with the data: no task holds them all."""
+    rn, = unused(df.columns, "rn")
+    return global_rank(df, order, rn).where(F.col(rn) <= k).drop(rn)
+
+
 def global_rank(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
     """1-based row number over all rows without a one-task window: a range partitioning, a row number in each
     partition, and the running count of the partitions before it."""

@@ -125,10 +125,10 @@ def agreement(preds: DataFrame) -> DataFrame:
     )
 
 
-def confidence_bins(ranked: DataFrame, total: Column, bins: int) -> DataFrame:
-    """M12. Rows ranked by confidence (rn from 1) in chunks of ceil(n / bins); accuracy of two models in each."""
+def confidence_bins(ranked: DataFrame, total: Column, bins: int, keys: list[str] | None = None) -> DataFrame:
+    """M12. Rows ranked by confidence (rn from 1, in each of ``keys``) in chunks of ceil(n / bins); accuracy of two models."""
     width = F.ceil(total / bins)
-    return ranked.groupBy(F.floor((F.col("rn") - 1) / width).alias("bin")).agg(
+    return ranked.groupBy(*(keys or []), F.floor((F.col("rn") - 1) / width).alias("bin")).agg(
         F.avg((F.col("a") == F.col("y")).cast("double")).alias("acc_a"), F.avg((F.col("b") == F.col("y")).cast("double")).alias("acc_b")
     )
 

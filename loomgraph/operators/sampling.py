@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.ranking import group_rank, md5_bucket, md5_key, md5_rank
+from loomgraph.functions.ranking import first_rows, global_rank, group_rank, md5_bucket, md5_key, md5_rank, wide_group_rank, wide_md5_rank
 from loomgraph.functions.storage import discard, stash
 from loomgraph.operators.edges import canonical, induced
 from loomgraph.operators.paths import khop
@@ -18,7 +18,7 @@ def negative_edges(edges: DataFrame, n_nodes: int, k: int, seed=0, over: float =
     if undirected:
         draws = draws.select("id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     fresh = draws.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("id").alias("id"))
-    return fresh.orderBy("id").limit(k).select("src", "dst")
+    return first_rows(fresh, [F.col("id")], k).select("src", "dst")
 
 
 def batched_negatives(edges: DataFrame, nodes: DataFrame, per_graph: int, seed=0, over: int = 3) -> DataFrame:
@@ -57,29 +57,32 @@ def same_source_negatives(positives: DataFrame, n_nodes: int, m: int, seed=0) ->
 
 
 def complement_negatives(edges: DataFrame, nodes: DataFrame, k: int, seed=0) -> DataFrame:
-    """N05. (src < dst): the ``k`` first of all non-edges in md5 order. Each pair's md5 is taken where the pair is formed;
-    only pairs below a bound, which rises until ``k`` non-edges are under it, meet the edges."""
-    n, m = nodes.count(), edges.count()
-    pairs = nodes.select(F.col("id").alias("src")).join(nodes.select(F.col("id").alias("dst")), F.expr("src < dst"))
-    gone = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    share = (2 * k + 100) / max(n * (n - 1) / 2 - m, 1)
+    """N05. (src < dst): ``k`` of all non-edges, the first in the order of seeded draws of two nodes. Draws are doubled until
+    enough differ from the edges and each other. Where ``k`` is more than half of all non-edges these are all formed,
+    which is no more than four times the result and the edges; then the first in md5 order are taken."""
+    ids = stash(global_rank(nodes.select("id").distinct(), [F.col("id")], "at"), "ids")
+    gone = stash(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "linked")
+    n, m = ids.count(), gone.count()
+    free = n * (n - 1) // 2 - m
+    if 2 * k >= free:
+        pairs = ids.select(F.col("id").alias("src")).join(ids.select(F.col("id").alias("dst")), F.expr("src < dst"))
+        return first_rows(pairs.join(gone, ["src", "dst"], "left_anti"), [md5_key(seed, "src", "dst"), F.col("src"), F.col("dst")], k)
+    draws = int(1.5 * k * n * n / (2 * free)) + 100
     while True:
-        low = pairs if share >= 1 else pairs.where(md5_key(seed, "src", "dst") < F.lit(f"{int(share * (1 << 32)):08x}"))
-        free = low.join(gone, ["src", "dst"], "left_anti").orderBy(md5_key(seed, "src", "dst"), "src", "dst").limit(k)
-        if share >= 1:
-            return free
-        found = stash(free, "complement")
-        if found.count() >= k:
-            return found
-        discard(found)
-        share *= 4
+        drawn = edges.sparkSession.range(draws).select("id", (md5_bucket(f"{seed}-a", "id", buckets=n) + 1).alias("a"), (md5_bucket(f"{seed}-b", "id", buckets=n) + 1).alias("b")).where("a <> b")
+        named = drawn.join(ids.toDF("x", "a"), "a").join(ids.toDF("y", "b"), "b").select("id", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+        fresh = stash(named.join(gone, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("id").alias("id")), "drawn")
+        if fresh.count() >= k:
+            return first_rows(fresh, [F.col("id")], k).select("src", "dst")
+        discard(fresh)
+        draws *= 2
 
 
 def hard_negatives(edges: DataFrame, k: int, seed=0) -> DataFrame:
     """N07. (src < dst): a seeded choice of ``k`` unlinked pairs that share a neighbour."""
     wedge = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").where("src < dst").select("src", "dst").distinct()
     free = wedge.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    return free.orderBy(md5_key(seed, "src", "dst"), "src", "dst").limit(k)
+    return first_rows(free, [md5_key(seed, "src", "dst"), F.col("src"), F.col("dst")], k)
 
 
 def far_negative(roots: DataFrame, edges: DataFrame, n_nodes: int, hops: int, tries: int, seed=0) -> DataFrame:
@@ -120,7 +123,7 @@ def enclosing_subgraphs(links: DataFrame, edges: DataFrame, hops: int) -> DataFr
 def fixed_tree(roots: DataFrame, edges: DataFrame, fanouts: list[int], pad: int = -1, seed=0) -> DataFrame:
     """N12. (root, nodes): the root and, level by level, ``s`` seeded neighbours of each position, padded; every root
     gets the same number of positions."""
-    ranked = md5_rank(edges.withColumn("_k", F.concat_ws("-", "src", "dst")), seed, "_k", ["src"]).select(F.col("src").alias("node"), "rn", F.col("dst").alias("_to"))
+    ranked = wide_md5_rank(edges.withColumn("_k", F.concat_ws("-", "src", "dst")), seed, "_k", ["src"]).select(F.col("src").alias("node"), "rn", F.col("dst").alias("_to"))
     level = roots.select("root", F.lit(0).alias("pos"), F.col("root").alias("node"))
     out, base, width = level, 1, 1
     for s in fanouts:
@@ -154,7 +157,7 @@ def one_edge_per_node(edges: DataFrame, seed=0) -> DataFrame:
 
 def random_walk(roots: DataFrame, edges: DataFrame, steps: int, seed=0) -> DataFrame:
     """N15. (root, step, node): uniform steps; a walk ends where there is no edge."""
-    adj = group_rank(edges.select("src", "dst").distinct(), ["src"], [F.col("dst")]).select(F.col("src").alias("node"), (F.col("rn") - 1).alias("_i"), F.col("dst").alias("_to"))
+    adj = wide_group_rank(edges.select("src", "dst").distinct(), ["src"], [F.col("dst")]).select(F.col("src").alias("node"), (F.col("rn") - 1).alias("_i"), F.col("dst").alias("_to"))
     deg = edges.select("src", "dst").distinct().groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_d"))
     out = at = roots.select("root", F.lit(0).alias("step"), F.col("root").alias("node"))
     for t in range(1, steps + 1):

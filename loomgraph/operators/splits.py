@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.ranking import global_rank, group_rank, md5_bucket, md5_key, md5_rank, seeded_rank
+from loomgraph.functions.columns import unused
+from loomgraph.functions.ranking import first_rows, global_rank, group_rank, md5_bucket, md5_key, md5_rank, seeded_rank, wide_group_rank, wide_md5_rank
+from loomgraph.functions.storage import stash
 
 
 def _cut(ranked: DataFrame, n: int, ratios: tuple[float, float], names=("train", "valid", "test")) -> DataFrame:
@@ -29,7 +34,7 @@ def all_train(rows: DataFrame) -> DataFrame:
 def per_class_split(rows: DataFrame, per_class: int, n_valid: int, n_test: int, seed=0, key: str = "id") -> DataFrame:
     """P02. In random order the first ``per_class`` rows of each class are train, then valid until full, then test
     (-1: all the rest); rows beyond are dropped."""
-    ranked = md5_rank(rows, seed, key, ["label"], "own")
+    ranked = wide_md5_rank(rows, seed, key, ["label"], "own")
     rest = seeded_rank(ranked.where(F.col("own") > per_class), seed, key)
     tagged = rest.withColumn("split", F.when(F.col("rn") <= n_valid, "valid").when((F.lit(n_test) < 0) | (F.col("rn") <= n_valid + n_test), "test"))
     train = ranked.where(F.col("own") <= per_class).withColumn("split", F.lit("train"))
@@ -38,7 +43,7 @@ def per_class_split(rows: DataFrame, per_class: int, n_valid: int, n_test: int,
 
 def kfold(rows: DataFrame, k: int, seed=0, key: str = "id") -> DataFrame:
     """P03. ``fold`` 0..k-1, stratified by label."""
-    return md5_rank(rows, seed, key, ["label"]).withColumn("fold", (F.col("rn") - 1) % k).drop("rn")
+    return wide_md5_rank(rows, seed, key, ["label"]).withColumn("fold", (F.col("rn") - 1) % k).drop("rn")
 
 
 def fold_splits(folded: DataFrame, k: int) -> DataFrame:
@@ -75,9 +80,10 @@ def time_split(rows: DataFrame, ratios: tuple[float, float], time: str = "year",
 def nested_subsample(rows: DataFrame, ratios: tuple[float, float, float], keep: dict[str, float], seed=0, key: str = "id") -> DataFrame:
     """P09. A ratio split of which each part keeps a random share (rounded down)."""
     tagged = ratio_split(rows, ratios, seed, key)
-    ranked = md5_rank(tagged, f"{seed}-keep", key, ["split"]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("split")))
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in keep.items() for x in kv]), F.col("split"))
-    return ranked.where(F.col("rn") <= F.floor(F.col("_n") * share)).drop("rn", "_n")
+    tagged = stash(tagged, "tagged")
+    sizes = {r["split"]: r["n"] for r in tagged.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}  # three at most
+    most = F.element_at(F.create_map(*[F.lit(x) for part, share in keep.items() for x in (part, int(sizes.get(part, 0) * share))]), F.col("split"))
+    return wide_md5_rank(tagged, f"{seed}-keep", key, ["split"]).where(F.col("rn") <= most).drop("rn")
 
 
 def mask_to_split(rows: DataFrame, masks: dict[str, str], key: str = "id") -> DataFrame:
@@ -107,8 +113,8 @@ def ordered_split_ids(parts: dict[str, DataFrame], order: list) -> DataFrame:
 
 def low_rate_split(rows: DataFrame, per_class: int, limits: dict[str, int], seed=0, key: str = "id") -> DataFrame:
     """P12. ``per_class`` train rows of each class; valid and test cut to their limits."""
-    train = md5_rank(rows.where("split = 'train'"), seed, key, ["label"]).where(F.col("rn") <= per_class)
-    rest = md5_rank(rows.where("split <> 'train'"), seed, key, ["split"])
+    train = wide_md5_rank(rows.where("split = 'train'"), seed, key, ["label"]).where(F.col("rn") <= per_class)
+    rest = wide_md5_rank(rows.where("split <> 'train'"), seed, key, ["split"])
     cap = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("split"))
     return train.unionByName(rest.where(F.col("rn") <= cap)).drop("rn")
 
@@ -122,7 +128,7 @@ def polarity_classes(rows: DataFrame) -> DataFrame:
 
 def stratified_subset(rows: DataFrame, sizes: dict[str, int], seed=0, key: str = "id") -> DataFrame:
     """P14. For each split in turn the next rows of each label from those that are left."""
-    ranked, low, parts = md5_rank(rows, seed, key, ["label"]), 0, None
+    ranked, low, parts = wide_md5_rank(rows, seed, key, ["label"]), 0, None
     for name, n in sizes.items():
         one = ranked.where((F.col("rn") > low) & (F.col("rn") <= low + n)).withColumn("split", F.lit(name))
         parts, low = one if parts is None else parts.unionByName(one), low + n
@@ -132,51 +138,66 @@ def stratified_subset(rows: DataFrame, sizes: dict[str, int], seed=0, key: str =
 def hub_few_shot(rows: DataFrame, shots: int, seed=0, key: str = "id") -> DataFrame:
     """P15. Of the train rows the ``shots`` of highest degree in each class are train; the others are halved by class
     into valid and test."""
-    ranked = group_rank(rows, ["label"], [F.desc("degree"), F.col(key)], "_hub")
-    rest = md5_rank(ranked.where(F.col("_hub") > shots), seed, key, ["label"])
+    ranked = wide_group_rank(rows, ["label"], [F.desc("degree"), F.col(key)], "_hub")
+    rest = wide_md5_rank(ranked.where(F.col("_hub") > shots), seed, key, ["label"])
     halves = rest.withColumn("split", F.when(F.col("rn") % 2 == 1, "valid").otherwise("test")).drop("rn")
     return ranked.where(F.col("_hub") <= shots).withColumn("split", F.lit("train")).unionByName(halves).drop("_hub")
 
 
-def _packed(groups: DataFrame, order: list[Column], fits) -> DataFrame:
-    """(g, split): an ordered fold over the groups in one row. ``fits(acc, n)`` names the part that takes a group."""
-    one = groups.agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("g"), F.col("n")))).alias("gs"), F.sum("n").alias("all"))
-    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.array().cast("array<struct<g:string,split:string>>").alias("out"))
+def _packed(groups: DataFrame, order: list[Column], total: int, fits: Callable[[int, int, int], str]) -> DataFrame:
+    """(g, split): an ordered fold over the groups (g, n). ``fits(train, valid, n)`` names the part that takes a group. What
+    a group gets depends on all before it, so one task reads the groups, one row each, in Spark's order, and holds two sums."""
+    rows = groups.select("g", "n", *[o.alias(f"o{i}") for i, o in enumerate(order)]).repartition(1).sortWithinPartitions(*[f"o{i}" for i in range(len(order))])
 
-    def step(acc, x):
-        part = fits(acc, x["n"], F.col("all"))
-        return F.struct(
-            (acc["a"] + F.when(part == "train", x["n"]).otherwise(0)).alias("a"), (acc["b"] + F.when(part == "valid", x["n"]).otherwise(0)).alias("b"),
-            F.concat(acc["out"], F.array(F.struct(x["g"].cast("string").alias("g"), part.alias("split")))).alias("out"),
-        )
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had = {"train": 0, "valid": 0, "test": 0}
+        for b in batches:
+            out = []
+            for n in b.column("n").to_pylist():
+                out.append(fits(had["train"], had["valid"], n))
+                had[out[-1]] += n
+            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(out, pa.string())], names=["g", "split"])
 
-    return one.select(F.inline(F.aggregate("gs", zero, step)["out"]))
+    return rows.select("g", "n").mapInArrow(fold, "g string, split string")
 
 
 def _sizes(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(F.col(group).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _by_group(rows: DataFrame, group: str, packed: DataFrame) -> DataFrame:
+    g, = unused(rows.columns, "g")
+    return rows.join(packed.withColumnRenamed("g", g), F.col(group).cast("string") == F.col(g)).drop(g)
+
+
 def group_greedy_split(rows: DataFrame, group: str, ratios: tuple[float, float]) -> DataFrame:
     """P16. Whole groups, largest first: train while they fit, else valid, else test."""
+    sizes = stash(_sizes(rows, group), "groups")
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    most, both = total * ratios[0], total * (ratios[0] + ratios[1])
 
-    def fits(acc, n, total):
-        train, both = total * ratios[0], total * (ratios[0] + ratios[1])
-        return F.when(acc["a"] + n <= train, "train").when(acc["a"] + acc["b"] + n <= both, "valid").otherwise("test")
+    def fits(train: int, valid: int, n: int) -> str:
+        return "train" if train + n <= most else "valid" if train + valid + n <= both else "test"
 
-    packed = _packed(_sizes(rows, group), [-F.col("n"), F.col("g")], fits)
-    return rows.join(packed, rows[group].cast("string") == packed["g"]).drop("g")
+    return _by_group(rows, group, _packed(sizes, [-F.col("n"), F.col("g")], total, fits))
 
 
 def group_random_split(rows: DataFrame, group: str, ratios: tuple[float, float, float], seed=0) -> DataFrame:
     """P17. Groups in random order: valid while they fit, else test, else train."""
+    sizes = stash(_sizes(rows, group), "groups")
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    limits = int(total * ratios[1]), int(total * ratios[2])
+    had = {"test": 0}
 
-    def fits(acc, n, total):
-        return F.when(acc["b"] + n <= F.floor(total * ratios[1]), "valid").when(acc["a"] + n <= F.floor(total * ratios[2]), "train").otherwise("test")
+    def fits(train: int, valid: int, n: int) -> str:
+        if valid + n <= limits[0]:
+            return "valid"
+        if had["test"] + n <= limits[1]:
+            had["test"] += n
+            return "test"
+        return "train"
 
-    # the fold's first counter serves the test part here
-    packed = _packed(_sizes(rows, group), [md5_key(seed, "g"), F.col("g")], fits).withColumn("split", F.when(F.col("split") == "train", "test").when(F.col("split") == "test", "train").otherwise(F.col("split")))
-    return rows.join(packed, rows[group].cast("string") == packed["g"]).drop("g")
+    return _by_group(rows, group, _packed(sizes, [md5_key(seed, "g"), F.col("g")], total, fits))
 
 
 def nonnull_random_split(rows: DataFrame, task: int, ratios: tuple[float, float, float], null_value=None, seed=0) -> DataFrame:
@@ -228,7 +249,7 @@ def within_node_tail(tokens: DataFrame, node: str, order: list, share: float = 0
 def sample_rows(rows: DataFrame, amount: float, seed=0, key: str = "id") -> DataFrame:
     """P25. A fraction below 1 or a number of rows, in seeded order."""
     n = int(rows.count() * amount) if amount < 1 else int(amount)
-    return rows.orderBy(md5_key(seed, key), F.col(key)).limit(n)
+    return first_rows(rows, [md5_key(seed, key), F.col(key)], n)
 
 
 def drop_rare_classes(rows: DataFrame, batch: int) -> DataFrame:

@@ -5,25 +5,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import epoch_micros
 from loomgraph.functions.ranking import md5_bucket
-from loomgraph.functions.storage import table
+from loomgraph.functions.storage import stash, table
 from loomgraph.operators import edges as E
 
 MIN_SHARED = 2
 
 
+#: Fixtures of the query that is being built, by name and folder; empty between queries.
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def once(name: str, d: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A fixture that a query mentions several times: stored at the first mention, read at the others."""
+    if (name, d) not in _stored:
+        _stored[name, d] = stash(make(), name)
+    return _stored[name, d]
+
+
 def pairs(s: SparkSession, d: str) -> DataFrame:
     """Parts that were ordered together at least twice: (src < dst, weight)."""
-    return E.bipartite_projection(table(s, d, "lineitem"), "l_orderkey", "l_partkey", MIN_SHARED)
+    return once("pairs", d, lambda: E.bipartite_projection(table(s, d, "lineitem"), "l_orderkey", "l_partkey", MIN_SHARED))
 
 
 def graph(s: SparkSession, d: str) -> DataFrame:
     """The same in both directions."""
-    return E.to_undirected(pairs(s, d), "sum")
+    return once("graph", d, lambda: E.to_undirected(pairs(s, d), "sum"))
 
 
 def nodes(s: SparkSession, d: str) -> DataFrame:
@@ -114,7 +127,14 @@ class Book:
         self.sql: dict = {}
 
     def add(self, name: str, query, oracle: str | None = None) -> None:
-        self.queries[name] = query
+        def run(s: SparkSession, d: str) -> DataFrame:
+            _stored.clear()
+            try:
+                return query(s, d)
+            finally:
+                _stored.clear()
+
+        self.queries[name] = run
         if oracle:
             self.sql[name] = oracle
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions.ranking import group_rank
+from loomgraph.functions.ranking import wide_group_rank
 from loomgraph.functions.storage import table
 from loomgraph.operators import metrics as M
 from loomgraph.plans import fixtures as X
@@ -37,20 +37,16 @@ add("m06_hits_at_k", lambda s, d: rounded(M.hits_at_k(X.scored(s, d), [20, 800,
 
 
 def _one_positive(s, d):
-    """Each order's first line is its positive, the others its negatives."""
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("score"), (F.col("l_linenumber") == 1).cast("int").alias("y")).dropDuplicates(["q", "line"])
+    """Each order's first line is its positive, the others its negatives; lines of the same key are one candidate with
+    their largest quantity."""
+    rows = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("line")).agg(F.max("l_quantity").alias("score"))
+    return rows.withColumn("y", (F.col("line") == 1).cast("int"))
 
 
-_ONE = "SELECT l_orderkey AS q, l_linenumber AS line, any_value(l_quantity) AS score, (l_linenumber = 1)::INT AS y FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) = 1"
-add("m07_mrr", lambda s, d: rounded(M.mrr(_one_positive(s, d).join(_singles(s, d), ["q", "line"], "left_semi"), "q")),
+_ONE = "SELECT l_orderkey AS q, l_linenumber AS line, max(l_quantity) AS score, (l_linenumber = 1)::INT AS y FROM lineitem GROUP BY l_orderkey, l_linenumber"
+add("m07_mrr", lambda s, d: rounded(M.mrr(_one_positive(s, d), "q")),
     sql("SELECT round(avg(1 / ((b + e) / 2 + 1)), 6) AS mrr, count(*)::DOUBLE AS n FROM (SELECT p.q, p.score, coalesce(sum((n.score > p.score)::INT), 0)::DOUBLE AS b, coalesce(sum((n.score >= p.score)::INT), 0)::DOUBLE AS e FROM o p LEFT JOIN o n ON p.q = n.q AND n.y = 0 WHERE p.y = 1 GROUP BY 1, 2)", o=_ONE))
-
-
-def _singles(s, d):
-    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("line")).count().where("count = 1")
-
-
-add("m08_task_rank_metrics", lambda s, d: rounded(M.task_ranks(_one_positive(s, d).join(_singles(s, d), ["q", "line"], "left_semi"), "q", [F.desc("score"), F.col("line")])),
+add("m08_task_rank_metrics", lambda s, d: rounded(M.task_ranks(_one_positive(s, d), "q", [F.desc("score"), F.col("line")])),
     sql("SELECT round(avg((r <= 1)::INT), 6) AS hits_1, round(avg((r <= 5)::INT), 6) AS hits_5, round(avg((r <= 10)::INT), 6) AS hits_10, round(avg(1 / r), 6) AS mrr FROM (SELECT min(r) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, line) AS r FROM o) WHERE y = 1 GROUP BY q)", o=_ONE))
 
 
@@ -76,13 +72,13 @@ add("m11_model_agreement", lambda s, d: rounded(M.agreement(X.preds(s, d)), "agr
 
 
 def _ranked(s, d):
+    """Parts ranked by price within their brand."""
     p = table(s, d, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), "p_retailprice", (F.col("p_size") % 3).alias("y"), (F.col("p_partkey") % 3).alias("a"), (F.length("p_name") % 3).alias("b"))
-    one = p.where("g = 'Brand#1'")
-    return group_rank(one, ["g"], [F.col("p_retailprice"), F.col("id")]).join(one.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
+    return wide_group_rank(p, ["g"], [F.col("p_retailprice"), F.col("id")]).join(p.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
 
 
-add("m12_confidence_bins", lambda s, d: rounded(M.confidence_bins(_ranked(s, d), F.col("n"), 10), "acc_a", "acc_b"),
-    "WITH p AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rn, count(*) OVER () AS n, p_size % 3 AS y, p_partkey % 3 AS a, length(p_name) % 3 AS b FROM part WHERE p_brand = 'Brand#1') SELECT floor((rn - 1) / ceil(n / 10))::BIGINT AS bin, round(avg((a = y)::INT), 6) AS acc_a, round(avg((b = y)::INT), 6) AS acc_b FROM p GROUP BY 1")
+add("m12_confidence_bins", lambda s, d: rounded(M.confidence_bins(_ranked(s, d), F.col("n"), 10, ["g"]), "acc_a", "acc_b"),
+    "WITH p AS (SELECT p_brand AS g, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS rn, count(*) OVER (PARTITION BY p_brand) AS n, p_size % 3 AS y, p_partkey % 3 AS a, length(p_name) % 3 AS b FROM part) SELECT g, floor((rn - 1) / ceil(n / 10))::BIGINT AS bin, round(avg((a = y)::INT), 6) AS acc_a, round(avg((b = y)::INT), 6) AS acc_b FROM p GROUP BY 1, 2")
 
 
 def _choices(s, d):

@@ -55,7 +55,11 @@ def shares(s, d):
 for _how, _f in (("row", "1"), ("col", "a.n / b.n"), ("sym", "sqrt(a.n) / sqrt(b.n)")):
     add(f"h08_ppr_normalise_{_how}", lambda s, d, how=_how: P.ppr_normalise(shares(s, d), X.graph(s, d), how).withColumn("score", F.round("score", 6)),
         sql(f"SELECT g.src AS root, g.dst AS node, round(weight / 10 * {_f}, 6) AS score FROM graph g JOIN n a ON a.src = g.src JOIN n b ON b.src = g.dst", "graph", n="SELECT src, count(*)::DOUBLE AS n FROM graph GROUP BY 1"))
-add("h09_ppr_truncated", lambda s, d: P.ppr_truncated(roots(s, d), X.graph(s, d), 2, 0.85, 8))
+add("h09_ppr_truncated", lambda s, d: P.ppr_truncated(roots(s, d), X.graph(s, d), 2, 0.85, 8),
+    sql("SELECT root, node, rank::INT AS rank FROM (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY (node = root) DESC, round(mass / (n + 1e-9), 12) DESC, node) AS rank FROM m2 JOIN p ON p.src = node) WHERE rank <= 8", "graph",
+        p="SELECT src, count(*)::DOUBLE AS n FROM graph GROUP BY 1",
+        m1="SELECT root, node, sum(mass) AS mass FROM (SELECT g.src AS root, dst AS node, 0.85::DOUBLE * 1.0 * (1 / n) AS mass FROM graph g JOIN p USING (src) UNION ALL SELECT src, src, 1 - 0.85::DOUBLE FROM p) GROUP BY 1, 2",
+        m2="SELECT root, node, sum(mass) AS mass FROM (SELECT root, dst AS node, 0.85::DOUBLE * mass * (1 / n) AS mass FROM m1 JOIN p ON p.src = m1.node JOIN graph g ON g.src = m1.node UNION ALL SELECT src, src, 1 - 0.85::DOUBLE FROM p) GROUP BY 1, 2"))
 add("h10_row_rank", lambda s, d: P.row_rank(X.graph(s, d).select(F.col("src").alias("row"), F.col("dst").alias("col"), (F.col("weight") - 2).alias("value")), 3),
     sql("SELECT row, col, rank::INT AS rank FROM (SELECT src AS row, dst AS col, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM graph WHERE weight <> 2) WHERE rank <= 3", "graph"))
 add("h11_ranked_khop_neighbours", lambda s, d: P.ranked_neighbours(ball(s, d), shares(s, d), 6).select("root", F.array_join("nodes", ",").alias("nodes")),
@@ -85,8 +89,17 @@ add("h15_demo_selection", lambda s, d: P.select_demos(X.nodes(s, d).select("id",
     sql("SELECT id, label, degree FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY degree DESC, id) AS rn FROM (SELECT id, label, count(src) AS degree FROM nodes LEFT JOIN graph ON id = src GROUP BY 1, 2)) WHERE rn <= 4", "nodes", "graph"))
 
 # ---- samplers
-add("n01_negative_edges", lambda s, d: N.negative_edges(X.graph(s, d), 1000, 2000, 3, undirected=True),
-    sql("SELECT src, dst FROM (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(id) AS id FROM q WHERE a <> b GROUP BY 1, 2) t WHERE NOT EXISTS (SELECT 1 FROM graph g WHERE g.src = t.src AND g.dst = t.dst) ORDER BY id LIMIT 2000", "graph", q=f"SELECT id, {bucket_sql('3-a', 'id', buckets=1000)} AS a, {bucket_sql('3-b', 'id', buckets=1000)} AS b FROM range(4000) t(id)"))
+def n_parts(s, d):
+    """Parts are numbered from 0 on; as many ids can be drawn."""
+    return table(s, d, "part").count()
+
+
+PARTS = "(SELECT count(*) FROM part)"
+_DRAWN = "SELECT id, {a} AS a, {b} AS b FROM (SELECT unnest(range({times} * (SELECT count(*) FROM pairs))) AS id)"
+_FRESH = "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY id) AS rn FROM (SELECT {src} AS src, {dst} AS dst, min(id) AS id FROM q WHERE a <> b GROUP BY 1, 2) t WHERE NOT EXISTS (SELECT 1 FROM graph g WHERE g.src = t.src AND g.dst = t.dst)) WHERE rn <= (SELECT count(*) FROM pairs)"
+# as many negatives as there are undirected edges
+add("n01_negative_edges", lambda s, d: N.negative_edges(X.graph(s, d), n_parts(s, d), X.pairs(s, d).count(), 3, undirected=True),
+    sql(_FRESH.format(src="least(a, b)", dst="greatest(a, b)"), "graph", q=_DRAWN.format(a=bucket_sql("3-a", "id", buckets=PARTS), b=bucket_sql("3-b", "id", buckets=PARTS), times=2)))
 
 
 def order_graphs(s, d):
@@ -100,10 +113,10 @@ _AT = "(('0x' || substr({}, 1, 8))::BIGINT % n + 1)"
 add("n02_batched_negatives", lambda s, d: N.batched_negatives(*order_graphs(s, d), 2, 5),
     sql("SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY draw) AS rn FROM (SELECT t.graph_id, x.id AS src, y.id AS dst, min(draw) AS draw FROM t JOIN i x ON x.graph_id = t.graph_id AND x.pos = a JOIN i y ON y.graph_id = t.graph_id AND y.pos = b WHERE x.id <> y.id GROUP BY 1, 2, 3) u WHERE NOT EXISTS (SELECT 1 FROM oe WHERE oe.graph_id = u.graph_id AND oe.src = u.src AND oe.dst = u.dst)) WHERE rn <= 2",
         **ORDERS, i="SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY id) AS pos FROM ln", t=f"SELECT graph_id, draw, {_AT.format(md5_sql('5-a', 'graph_id', 'draw'))} AS a, {_AT.format(md5_sql('5-b', 'graph_id', 'draw'))} AS b FROM (SELECT graph_id, count(*) AS n FROM ln GROUP BY 1), range(6) r(draw)"))
-add("n03_structured_negatives", lambda s, d: N.structured_negatives(X.graph(s, d), 1000, 4, 2),
-    sql("SELECT g.src, g.dst, arg_min(neg, t) FILTER (neg <> g.src AND h.src IS NULL) AS neg FROM (SELECT src, dst, t, " + bucket_sql(2, "src", "dst", "t", buckets=1000) + " AS neg FROM graph, range(4) r(t)) g LEFT JOIN graph h ON h.src = g.src AND h.dst = neg GROUP BY 1, 2", "graph"))
-add("n03_feasible", lambda s, d: N.structured_feasible(X.graph(s, d), 14), sql("SELECT max(n) < 13 AS feasible FROM (SELECT count(*) AS n FROM graph GROUP BY src)", "graph"))
-add("n04_same_source_negatives", lambda s, d: N.same_source_negatives(part_pairs(s, d), 1000, 3, 1), sql(f"SELECT src, dst, i::INT AS i, {bucket_sql(1, 'src', 'dst', 'i', buckets=1000)} AS neg FROM pairs, range(1, 4) t(i)", "pairs"))
+add("n03_structured_negatives", lambda s, d: N.structured_negatives(X.graph(s, d), n_parts(s, d), 4, 2),
+    sql("SELECT g.src, g.dst, arg_min(neg, t) FILTER (neg <> g.src AND h.src IS NULL) AS neg FROM (SELECT src, dst, t, " + bucket_sql(2, "src", "dst", "t", buckets=PARTS) + " AS neg FROM graph, range(4) r(t)) g LEFT JOIN graph h ON h.src = g.src AND h.dst = neg GROUP BY 1, 2", "graph"))
+add("n03_feasible", lambda s, d: N.structured_feasible(X.graph(s, d), n_parts(s, d)), sql(f"SELECT max(n) < {PARTS} - 1 AS feasible FROM (SELECT count(*) AS n FROM graph GROUP BY src)", "graph"))
+add("n04_same_source_negatives", lambda s, d: N.same_source_negatives(part_pairs(s, d), n_parts(s, d), 3, 1), sql(f"SELECT src, dst, i::INT AS i, {bucket_sql(1, 'src', 'dst', 'i', buckets=PARTS)} AS neg FROM pairs, range(1, 4) t(i)", "pairs"))
 
 
 def suppliers(s, d):
@@ -111,13 +124,16 @@ def suppliers(s, d):
     return t, t.withColumnRenamed("id", "src").join(t.withColumnRenamed("id", "dst"), "s_nationkey").where("src < dst").select("src", "dst")
 
 
-add("n05_complement_negatives", lambda s, d: N.complement_negatives(suppliers(s, d)[1], suppliers(s, d)[0], 500, 4),
-    f"SELECT src, dst FROM (SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey <> b.s_nationkey) ORDER BY {md5_sql(4, 'src', 'dst')}, src, dst LIMIT 500")
-add("n06_half_negatives", lambda s, d: N.negative_edges(X.graph(s, d), 1000, 500, 6, over=5.0),
-    sql("SELECT src, dst FROM (SELECT a AS src, b AS dst, min(id) AS id FROM q WHERE a <> b GROUP BY 1, 2) t WHERE NOT EXISTS (SELECT 1 FROM graph g WHERE g.src = t.src AND g.dst = t.dst) ORDER BY id LIMIT 500", "graph", q=f"SELECT id, {bucket_sql('6-a', 'id', buckets=1000)} AS a, {bucket_sql('6-b', 'id', buckets=1000)} AS b FROM range(2500) t(id)"))
-add("n07_hard_negatives", lambda s, d: N.hard_negatives(X.graph(s, d), 1000, 2), sql(f"SELECT src, dst FROM cand ORDER BY {md5_sql(2, 'src', 'dst')}, src, dst LIMIT 1000", "cand"))
-add("n08_far_negative_node", lambda s, d: N.far_negative(roots(s, d), X.graph(s, d), 1000, 2, 4, 1),
-    s_(f"SELECT q.root, arg_min(neg, t) AS neg FROM (SELECT root, t, {bucket_sql(1, 'root', 't', buckets=1000)} AS neg FROM (SELECT DISTINCT src AS root FROM graph), range(4) r(t)) q LEFT JOIN ball b ON b.root = q.root AND b.node = neg WHERE b.node IS NULL GROUP BY 1"))
+# as many as there are suppliers; the draws of the SQL are more than enough for any table whose complement is half of all pairs
+_SUPPLIERS = {"r": "SELECT s_suppkey AS id, s_nationkey AS nat, row_number() OVER (ORDER BY s_suppkey) AS at, count(*) OVER () AS n FROM supplier",
+    "q": f"SELECT id, {bucket_sql('4-a', 'id', buckets='(SELECT max(n) FROM r)')} + 1 AS a, {bucket_sql('4-b', 'id', buckets='(SELECT max(n) FROM r)')} + 1 AS b FROM (SELECT unnest(range(6 * (SELECT max(n) FROM r) + 200)) AS id)"}
+add("n05_complement_negatives", lambda s, d: N.complement_negatives(suppliers(s, d)[1], suppliers(s, d)[0], suppliers(s, d)[0].count(), 4),
+    sql("SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY id) AS rn FROM (SELECT least(x.id, y.id) AS src, greatest(x.id, y.id) AS dst, min(q.id) AS id FROM q JOIN r x ON x.at = a JOIN r y ON y.at = b WHERE x.nat <> y.nat GROUP BY 1, 2)) WHERE rn <= (SELECT max(n) FROM r)", **_SUPPLIERS))
+add("n06_half_negatives", lambda s, d: N.negative_edges(X.graph(s, d), n_parts(s, d), X.pairs(s, d).count(), 6, over=5.0),
+    sql(_FRESH.format(src="a", dst="b"), "graph", q=_DRAWN.format(a=bucket_sql("6-a", "id", buckets=PARTS), b=bucket_sql("6-b", "id", buckets=PARTS), times=5)))
+add("n07_hard_negatives", lambda s, d: N.hard_negatives(X.graph(s, d), X.pairs(s, d).count(), 2), sql(f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY {md5_sql(2, 'src', 'dst')}, src, dst) AS rn FROM cand) WHERE rn <= (SELECT count(*) FROM pairs)", "cand"))
+add("n08_far_negative_node", lambda s, d: N.far_negative(roots(s, d), X.graph(s, d), n_parts(s, d), 2, 16, 1),
+    s_(f"SELECT q.root, arg_min(neg, t) AS neg FROM (SELECT root, t, {bucket_sql(1, 'root', 't', buckets=PARTS)} AS neg FROM (SELECT DISTINCT src AS root FROM graph), range(16) r(t)) q LEFT JOIN ball b ON b.root = q.root AND b.node = neg WHERE b.node IS NULL GROUP BY 1"))
 add("n09_supervision_edges", lambda s, d: N.supervision_edges(part_pairs(s, d), part_pairs(s, d).select("src", F.array(F.col("dst") + 1, F.col("dst") + 2).alias("negs"))),
     sql("SELECT src, dst, 1 AS y FROM pairs UNION ALL SELECT src, dst + i, 0 FROM pairs, range(1, 3) t(i)", "pairs"))
 _R = lambda h, key="root, node": f"row_number() OVER (PARTITION BY root ORDER BY {md5_sql(h, 'root', 'node')}, node)"

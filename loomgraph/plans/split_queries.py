@@ -98,8 +98,17 @@ add("p24_within_node_tail_split", lambda s, d: P.within_node_tail(table(s, d, "l
     "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN rn <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS split FROM (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n >= 2")
 add("p25_sample_rows", lambda s, d: P.sample_rows(rows(s, d), 0.1, 7), sql("SELECT id, label FROM r WHERE rn <= floor(n * 0.1)", "nodes", r=RANK))
 add("p26_rare_class_drop", lambda s, d: P.drop_rare_classes(X.nodes(s, d).select("id", F.col("kind").alias("label")), 40), sql("SELECT id, kind AS label FROM nodes WHERE kind IN (SELECT kind FROM nodes GROUP BY 1 HAVING count(*) >= 80)", "nodes"))
-add("p27_multitask_label_matrix", lambda s, d: P.label_matrix(table(s, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("task"), F.when(F.col("l_returnflag") == "R", "Yes").when(F.col("l_returnflag") == "N", "No").alias("value")), [1, 2, 3]),
-    "SELECT l_orderkey AS item, " + ", ".join(f"max(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 0 END) FILTER (l_linenumber = {k}) AS \"{k}\"" for k in (1, 2, 3)) + " FROM lineitem GROUP BY 1")
+
+
+def _tasks(s, d):
+    """Line numbers as tasks of their order: (item, task, value), and all tasks there are."""
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("task"), F.when(F.col("l_returnflag") == "R", "Yes").when(F.col("l_returnflag") == "N", "No").alias("value"))
+    return P.label_matrix(lines, sorted(r["task"] for r in lines.select("task").distinct().collect()))
+
+
+# orders have up to seven lines
+add("p27_multitask_label_matrix", _tasks,
+    "SELECT l_orderkey AS item, " + ", ".join(f"max(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 0 END) FILTER (l_linenumber = {k}) AS \"{k}\"" for k in range(1, 8)) + " FROM lineitem GROUP BY 1")
 add("p28_label_recode", lambda s, d: P.recode(molecules(s, d)).select("id", F.col("y")[0].alias("a"), F.col("y")[1].alias("b")), sql("SELECT id, CASE WHEN y0 IS NULL THEN 0 WHEN y0 = 0 THEN -1 ELSE y0 END AS a, CASE WHEN y1 IS NULL THEN 0 WHEN y1 = 0 THEN -1 ELSE y1 END AS b FROM m", m=MOL))
 add("p29_label_pad_union", lambda s, d: P.pad_union(molecules(s, d).where("id % 2 = 0"), 2, molecules(s, d).where("id % 2 = 1").select("id", F.slice("y", 1, 1).alias("y")), 1).select("id", *[F.col("y")[i].alias(f"y{i}") for i in range(3)]),
     sql("SELECT id, CASE WHEN id % 2 = 0 THEN y0 ELSE 0 END AS y0, CASE WHEN id % 2 = 0 THEN y1 ELSE 0 END AS y1, CASE WHEN id % 2 = 0 THEN 0 ELSE y0 END AS y2 FROM m", m=MOL))

@@ -17,22 +17,25 @@ def _stored(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
     return out, (got["n"], got["sum"])
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> tuple[DataFrame, DataFrame]:
     """One star step. ``large``: every larger neighbour is linked to the node's smallest neighbour;
-    else every smaller neighbour and the node itself are. ``total`` bounds the number of rows."""
+    else every smaller neighbour and the node itself are. ``total`` bounds the number of rows. The second table is the
+    stored one that the step reads."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    seen = Observation()
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    linked = join_by_count(both, low, ["u"], total)
+    low = stash(low.observe(seen, F.max("n").alias("n")), "low")
+    linked = join_by_count(both, low, ["u"], total, largest=seen.get["n"] or 0)
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
-    return out.where("u <> v").distinct()
+    return out.where("u <> v").distinct(), low
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -51,9 +54,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     cur, old, state = first.where("u <> v"), None, (state[0], None)
     for _ in range(max_rounds):
         total = 2 * state[0]
-        large = stash(_star(cur, True, total), "large")
-        new, now = _stored(_star(large, False, total), "stars")
-        discard(large, *([old] if old is not None else []))
+        step, low = _star(cur, True, total)
+        large = stash(step, "large")
+        step, low_small = _star(large, False, total)
+        new, now = _stored(step, "stars")
+        discard(large, low, low_small, *([old] if old is not None else []))
         cur = old = new
         if now == state:
             break

@@ -11,13 +11,18 @@ from loomgraph.functions.columns import quoted, unused
 HOT_KEYS = 1_000
 
 
-def join_by_count(rows: DataFrame, per_key: DataFrame, on: list[str], total: int, n: str = "n", how: str = "inner") -> DataFrame:
+def join_by_count(rows: DataFrame, per_key: DataFrame, on: list[str], total: int, n: str = "n", how: str = "inner", largest: int | None = None) -> DataFrame:
     """``rows`` joined with ``per_key``: one row for each key, in ``n`` how many of the ``total`` rows have it.
 
     Rows of hot keys stay where they are: the keys' rows are broadcast, and there are at most ``HOT_KEYS`` of them,
     because their counts sum to ``total`` at most. All others are shuffled, and none of their keys can fill a task.
-    ``how`` is inner or left_semi; ``n`` is not in the result, null keys find nothing.
+    ``how`` is inner or left_semi; ``n`` is not in the result, null keys find nothing. Without a hot key it is a plain
+    join: the largest count is looked up first unless given, so ``per_key`` should be stored or cheap.
     """
+    if largest is None:
+        largest = per_key.agg(F.max(n).alias("n")).first()["n"] or 0
+    if largest * HOT_KEYS <= total:
+        return rows.join(per_key.drop(n), on, how)
     flag, = unused([*rows.columns, *per_key.columns], "hot")
     hot = per_key.where(F.col(n) * HOT_KEYS > total).drop(n).withColumn(flag, F.lit(True))
     cold = per_key.where(F.col(n) * HOT_KEYS <= total).drop(n)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.columns import local_time
+from loomgraph.functions.columns import local_time, quoted
 
 # Vote types, their outcomes, and the words that give a model away.
 OUTCOMES = {"leftvote": "model_a", "rightvote": "model_b", "tievote": "tie", "bothbad_vote": "tie (bothbad)"}
@@ -125,6 +125,16 @@ def win_fraction(battles: DataFrame) -> DataFrame:
     return both.groupBy("model", "other").agg(F.avg("w").alias("fraction"))
 
 
+def win_matrix(battles: DataFrame, models: list[str]) -> DataFrame:
+    """L04. The fractions as a matrix: a row for each model in the order of its mean fraction, best first, and a column for
+    each of ``models``; null where two have not met."""
+    long = win_fraction(battles)
+    wide = long.groupBy("model").pivot("other", models).agg(F.first("fraction"))
+    w = Window.orderBy(F.desc("_mean"), "model")  # one row for each model
+    means = long.groupBy("model").agg(F.avg("fraction").alias("_mean"))
+    return wide.join(means.select("model", F.row_number().over(w).alias("place")), "model").select("place", "model", *quoted(models))
+
+
 def average_win_rate(battles: DataFrame) -> DataFrame:
     """L04. Mean fraction of each model over its opponents."""
     return win_fraction(battles).groupBy("model").agg(F.avg("fraction").alias("rate"))

@@ -105,16 +105,36 @@ def capped_khop(roots: DataFrame, edges: DataFrame, hops: int, cap: int, seed=0)
     front, seen, out = kept, kept.select("root", "node"), kept
     for h in range(1, hops + 1):
         ring = front.join(step, "node").select("root", F.col("_to").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
+        ring = stash(ring, "ring") if h < hops else ring
         seen = seen.unionByName(ring)
         front = group_rank(ring, ["root"], [md5_key(f"{seed}-{h}", "root", "node"), F.col("node")]).where(F.col("rn") <= cap).select("root", "node", F.lit(h).alias("hop"))
+        front = stash(front, "front") if h < hops else front
         out = out.unionByName(front)
     return out
 
 
-def enclosing_subgraphs(links: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """N11. (sample_id, src, dst): edges among the nodes within ``hops`` of either end of a link, without the link."""
-    ends = links.select("sample_id", F.explode(F.array("src", "dst")).alias("node"))
-    ball = khop(ends, edges, hops, ["sample_id"]).select("sample_id", F.col("node").alias("id"))
+def enclosing_subgraphs(links: DataFrame, edges: DataFrame, hops: int, ratio: float = 1.0, cap: int | None = None, directed: bool = False, seed=0) -> DataFrame:
+    """N11. (sample_id, src, dst): edges among the nodes found within ``hops`` of either end of a link, without the link.
+    Of each ring a seeded share ``ratio`` (rounded down) is kept, at most ``cap`` nodes; only kept nodes are expanded, and
+    no node of a ring is met again. ``directed`` rings follow the edges both ways, while else the edges hold both ways."""
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
+    if directed:
+        step = step.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("_to"))).distinct()
+    key = ["sample_id", "node"]
+    seen = front = links.select("sample_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    kept = front
+    for h in range(1, hops + 1):
+        ring = front.join(step, "node").select("sample_id", F.col("_to").alias("node")).distinct().join(seen, key, "left_anti")
+        front = ring
+        if ratio < 1 or cap is not None:
+            ring = stash(ring, "ring")  # the cut and what was seen must agree, whatever is computed again
+            n = ring.groupBy("sample_id").agg(F.floor(F.count(F.lit(1)) * ratio).alias("_n"))
+            ranked = wide_group_rank(ring.join(n, "sample_id"), ["sample_id"], [md5_key(f"{seed}-{h}", "sample_id", "node"), F.col("node")])
+            front = ranked.where(F.col("rn") <= F.least("_n", F.lit(cap if cap is not None else 1 << 62))).select(*key)
+        if h < hops:
+            seen, front = stash(seen.unionByName(ring), "seen"), stash(front, "front")
+        kept = kept.unionByName(front)
+    ball = kept.select("sample_id", F.col("node").alias("id"))
     inside = ball.withColumnRenamed("id", "src").join(edges.select("src", "dst"), "src").join(ball.withColumnRenamed("id", "dst"), ["sample_id", "dst"], "left_semi")
     gone = links.select("sample_id", *canonical())
     return inside.withColumns({"_lo": F.least("src", "dst"), "_hi": F.greatest("src", "dst")}).join(gone, ["sample_id", "_lo", "_hi"], "left_anti").select("sample_id", "src", "dst")
@@ -145,6 +165,7 @@ def fanout_sample(roots: DataFrame, edges: DataFrame, sizes: list[int], limit: i
         near = front.join(step, "node")
         kept = group_rank(near, ["root", "node"], [md5_key(f"{seed}-{h}", "root", "node", "_to"), F.col("_to")]).where(F.col("rn") <= size)
         front = kept.select("root", F.col("_to").alias("node")).distinct().join(out.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(h).alias("hop"))
+        front = stash(front, "front") if h < len(sizes) else front
         out = out.unionByName(front)
     return group_rank(out, ["root"], [F.col("hop"), F.col("node")]).where(F.col("rn") <= limit).drop("rn")
 

@@ -145,6 +145,15 @@ add("n10_capped_khop", lambda s, d: N.capped_khop(roots(s, d), X.graph(s, d), 2,
 add("n11_enclosing_subgraph", lambda s, d: N.enclosing_subgraphs(part_pairs(s, d).select(F.concat_ws("-", "src", "dst").alias("sample_id"), "src", "dst"), X.graph(s, d), 1),
     sql("SELECT a.k AS sample_id, g.src, g.dst FROM b a JOIN graph g ON g.src = a.node JOIN b c ON c.k = a.k AND c.node = g.dst WHERE a.k <> least(g.src, g.dst) || '-' || greatest(g.src, g.dst)", "graph",
         b="SELECT src || '-' || dst AS k, src AS node FROM pairs UNION SELECT src || '-' || dst, dst FROM pairs UNION SELECT p.src || '-' || p.dst, g.dst FROM pairs p JOIN graph g ON g.src IN (p.src, p.dst)"))
+_KEY = "p.src || '-' || p.dst"
+_CUT = "SELECT k, node FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {md5}, node) AS rn, count(*) OVER (PARTITION BY k) AS n FROM ({ring})) WHERE rn <= least(floor(n * 0.5), 3)"
+add("n11_capped_enclosing_subgraph", lambda s, d: N.enclosing_subgraphs(part_pairs(s, d).select(F.concat_ws("-", "src", "dst").alias("sample_id"), "src", "dst"), part_pairs(s, d), 2, 0.5, 3, True, 5),
+    sql("SELECT a.k AS sample_id, g.src, g.dst FROM b a JOIN pairs g ON g.src = a.node JOIN b c ON c.k = a.k AND c.node = g.dst WHERE a.k <> g.src || '-' || g.dst", "graph",
+        b0=f"SELECT {_KEY} AS k, src AS node FROM pairs p UNION SELECT {_KEY}, dst FROM pairs p",
+        r1="SELECT DISTINCT k, dst AS node FROM b0 JOIN graph ON src = node EXCEPT SELECT k, node FROM b0",
+        b1=_CUT.format(md5=md5_sql("5-1", "k", "node"), ring="SELECT * FROM r1"),
+        r2="(SELECT DISTINCT k, dst AS node FROM b1 JOIN graph ON src = node EXCEPT SELECT k, node FROM b0) EXCEPT SELECT k, node FROM r1",
+        b2=_CUT.format(md5=md5_sql("5-2", "k", "node"), ring="SELECT * FROM r2"), b="SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2"))
 _RANKED = f"SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {md5_sql(2, 'k')}, k) AS rn FROM (SELECT src, dst, src || '-' || dst AS k FROM graph)"
 add("n12_fixed_tree_sequence", lambda s, d: N.fixed_tree(roots(s, d), X.graph(s, d), [3, 2], -1, 2).select("root", F.array_join("nodes", ",").alias("nodes")),
     sql("SELECT root, concat_ws(',', root, x[1], x[2], x[3], y[1], y[2], y[3], y[4], y[5], y[6]) AS nodes FROM (SELECT l1.root, list(l1.node ORDER BY l1.i) AS x, any_value(l2.y) AS y FROM l1 JOIN l2 USING (root) GROUP BY 1)", "graph",

@@ -36,10 +36,12 @@ for _n, _a in (("s01_csv_scan", (",", True, "none")), ("s02_tsv_scan", ("\t", Fa
 
 
 def _docs_json(s, d):
-    """One document for each brand: its parts as an array of structs."""
+    """A file for each brand with one document over several lines: its parts as an array of structs."""
     p = place(s, "json")
-    table(s, d, "part").groupBy("p_brand").agg(F.collect_list(F.struct("p_partkey", "p_name")).alias("nodes")).repartition("p_brand").write.json(p)
-    got = S.read_jsonl(s, p, "p_brand string, nodes array<struct<p_partkey:long,p_name:string>>")
+    doc = F.to_json(F.struct("p_brand", "nodes"), {"pretty": "true"})
+    brands = table(s, d, "part").groupBy("p_brand").agg(F.collect_list(F.struct("p_partkey", "p_name")).alias("nodes"))
+    brands.select(F.col("p_brand").alias("of"), doc.alias("value")).write.partitionBy("of").option("maxRecordsPerFile", 1).text(p)
+    got = S.read_json_documents(s, f"{p}/of=*", "p_brand string, nodes array<struct<p_partkey:long,p_name:string>>")
     return got.select("p_brand", F.inline("nodes"))
 
 

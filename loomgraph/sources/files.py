@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
+from loomgraph.functions.storage import folders
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
     """S01, S02, S03. Quoted fields may hold separators and line ends; .gz files are read as they are, one task for
@@ -14,7 +16,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S04. One JSON document for each file."""
+    """S04. One JSON document for each file, over several lines; a task reads whole files, so large ones do not split."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
@@ -44,10 +46,13 @@ def clean_utf8(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def dated_logs(spark: SparkSession, path: str, schema: str, last: int) -> DataFrame:
-    """S09. The newest ``last`` days of logs laid out as date=.../server=...; older folders are never opened."""
-    logs = spark.read.schema(schema + ", date string, server int").json(path)
-    days = [r["date"] for r in logs.select("date").distinct().orderBy(F.desc("date")).limit(last).collect()]
-    return logs.where(F.col("date").isin(days))
+    """S09. The newest ``last`` days of logs laid out as date=.../server=...: the days are the names of the folders, and
+    only theirs are listed further and read."""
+    days = sorted(n for n in folders(spark, path) if n.startswith("date="))[-last:]
+    kind = schema + ", date string, server int"
+    if not days:
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).option("basePath", path).json([f"{path}/{n}" for n in days])
 
 
 def read_split_lists(df: DataFrame, column: str) -> DataFrame:

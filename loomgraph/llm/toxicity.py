@@ -35,6 +35,8 @@ from loomgraph.llm.text import by_weight, held_out, map_rows
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 15, 12, 12, (1, 2, 3)
 #: Labelled rows of each class that the network learns from, at most, and characters of the longest of them.
 SAMPLE_EACH, SAMPLE_CHARS = 5_000, 20_000
+#: Rows that the language finder draws for its centroids.
+FINDER_ROWS = 1_600
 EPOCHS, BATCH, RATE = 4, 32, 0.08
 #: Embedding rows of a word.
 PARTS = 4
@@ -290,7 +292,7 @@ def fit_scored(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EAC
     picked = flagged.where("trained").orderBy("h", "doc_id", "toxic").limit(4 * sample_each).select("doc_id", "toxic", "h")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     full, docs = docs, docs.select("doc_id", "text", lang)
-    finder = langid.fit(docs.where("text is not null"))
+    finder = langid.fit(docs.where("text is not null"), sample_rows=FINDER_ROWS)
     drawn = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").select("toxic", "h", "text")
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,12 +310,14 @@ def fit_scored(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EAC
     if len(set(toxic)) < 2:
         return None
     net = train(texts, np.array(toxic))
+    del texts
     scored = stash(logits(full, net, finder, list(keep)), "logits")
     found, logit = scored.columns[-2:]
-    h = histogram(scored.select("doc_id", F.col(found).alias("found"), F.col(logit).alias("logit")), flagged.drop("h")).toPandas().sort_values(["found", "toxic", "trained", "bin"])
-    if h["toxic"].nunique() < 2:  # no labelled text of a class has a letter
+    counted = histogram(scored.select("doc_id", F.col(found).alias("found"), F.col(logit).alias("logit")), flagged.drop("h"))
+    h = counted.toArrow().sort_by([(c, "ascending") for c in ("found", "toxic", "trained", "bin")])
+    columns = [h.column(c).to_numpy() for c in ("found", "toxic", "trained", "bin", "n")]
+    if len(set(columns[1].tolist())) < 2:  # no labelled text of a class has a letter
         return None
-    columns = [h[c].to_numpy() for c in ("found", "toxic", "trained", "bin", "n")]
     columns[2] = columns[2].astype(bool)
     return ToxicityModel(net, finder, calibrated(*columns)), scored
 

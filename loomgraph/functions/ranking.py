@@ -33,23 +33,35 @@ def md5_rank(df: DataFrame, seed, key: str, group: list[str], name: str = "rn")
     return group_rank(df, group, [md5_key(seed, key), F.col(key)], name)
 
 
-def wide_group_rank(df: DataFrame, group: list[str], order: list, name: str = "rn") -> DataFrame:
-    """1-based row number in each group where a group may hold most rows: a range partitioning by group and order, a row
-    number in each partition's part of the group, and the count of the group's rows in the partitions before it."""
+def wide_running_sums(df: DataFrame, group: list[str], order: list, sums: dict[str, str]) -> DataFrame:
+    """For each (name: column) of ``sums`` the column's sum over the rows of the group up to the row itself, where a group
+    may hold most rows: a range partitioning by group and order, a running sum in each partition's part of the group, and
+    the sums of the group's parts in the partitions before it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pid, own, ahead = unused(df.columns, "pid", "own", "ahead")
+    pid, *own = unused(df.columns, "pid", *[f"ahead_{k}" for k in range(len(sums))])
     keys = [F.col(g) for g in group]
     dealt = stash(df.repartitionByRange(n, *keys, *order).withColumn(pid, F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*group).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     # a row for each group and partition
-    counts = dealt.groupBy(pid, *group).agg(F.count(F.lit(1)).alias(own)).withColumn(ahead, F.coalesce(F.sum(own).over(before), F.lit(0)))
-    names = unused([*df.columns, pid, own, ahead], *group, "p")
-    told = counts.select(pid, *group, ahead).toDF(names[-1], *names[:-1], ahead)
+    parts = dealt.groupBy(pid, *group).agg(*[F.sum(c).alias(o) for o, c in zip(own, sums.values(), strict=True)])
+    names = unused([*df.columns, pid, *own], *group, "p")
+    told = parts.select(pid, *group, *[F.coalesce(F.sum(o).over(before), F.lit(0)).alias(o) for o in own]).toDF(names[-1], *names[:-1], *own)
     same = F.col(pid) == F.col(names[-1])
     for g, other in zip(group, names, strict=False):
         same = same & F.col(g).eqNullSafe(F.col(other))
-    inside = dealt.withColumn(own, F.row_number().over(Window.partitionBy(pid, *group).orderBy(*order)))
-    return inside.join(told, same).withColumn(name, F.col(ahead) + F.col(own)).drop(pid, own, ahead, *names)
+    here = Window.partitionBy(pid, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = unused([*df.columns, pid, *own, *names], *sums)
+    inside = dealt.select("*", *[F.sum(c).over(here).alias(f) for f, c in zip(found, sums.values(), strict=True)])
+    out = inside.join(told, same)
+    for name, f, o in zip(sums, found, own, strict=True):
+        out = out.withColumn(name, F.col(f) + F.col(o))
+    return out.drop(pid, *own, *names, *[f for f in found if f not in sums])
+
+
+def wide_group_rank(df: DataFrame, group: list[str], order: list, name: str = "rn") -> DataFrame:
+    """1-based row number in each group where a group may hold most rows."""
+    one, = unused(df.columns, "one")
+    return wide_running_sums(df.withColumn(one, F.lit(1)), group, order, {name: one}).drop(one)
 
 
 def wide_md5_rank(df: DataFrame, seed, key: str, group: list[str], name: str = "rn") -> DataFrame:

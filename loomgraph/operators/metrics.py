@@ -1,10 +1,13 @@
-"""Evaluation aggregates. Rank metrics aggregate by score first, so their windows run over distinct scores."""
+"""Evaluation aggregates. Rank metrics aggregate by score first; running sums over the scores are taken by ranges, so that
+no task holds all scores of a group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ranking import wide_running_sums
+
 
 def accuracy(preds: DataFrame, keys: list[str]) -> DataFrame:
     """M01. Share of pred = y in each group."""
@@ -29,18 +32,16 @@ def _by_score(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def roc_auc(scored: DataFrame, keys: list[str]) -> DataFrame:
     """M03. Tie-averaged AUC of each group; null where a class is missing."""
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    counted = _by_score(scored, keys).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    counted = wide_running_sums(_by_score(scored, keys), keys, [F.col("score")], {"upto": "neg"})
     p, n = F.sum("pos"), F.sum("neg")
     return counted.groupBy(*keys).agg(
-        F.when((p > 0) & (n > 0), F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (p * n)).alias("auc")
+        F.when((p > 0) & (n > 0), F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)) / (p * n)).alias("auc")
     )
 
 
 def average_precision(scored: DataFrame, keys: list[str]) -> DataFrame:
     """M04. Sum over falling distinct scores of the gained recall times the precision; null where a class is missing."""
-    above = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = _by_score(scored, keys).withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above)})
+    counted = wide_running_sums(_by_score(scored, keys), keys, [F.desc("score")], {"tp": "pos", "fp": "neg"})
     p = F.sum("pos")
     return counted.groupBy(*keys).agg(
         F.when((p > 0) & (F.sum("neg") > 0), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / p).alias("ap")
@@ -58,8 +59,7 @@ def hits_at_k(scored: DataFrame, ks: list[int], keys: list[str]) -> DataFrame:
     one = [F.lit(1).alias("_all")] if not keys else []
     counted = _by_score(scored, keys).select("*", *one)
     keys = keys or ["_all"]
-    above = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = counted.withColumn("negs", F.sum("neg").over(above))
+    counted = wide_running_sums(counted, keys, [F.desc("score")], {"negs": "neg"})
     hit = [F.sum(F.when(F.col("negs") < k, F.col("pos")).otherwise(0.0)) for k in ks]
     out = counted.groupBy(*keys).agg(*[
         F.when(F.sum("neg") < k, 1.0).otherwise(h / F.sum("pos")).alias(f"hits_{k}") for k, h in zip(ks, hit, strict=True)

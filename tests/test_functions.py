@@ -9,6 +9,7 @@ from loomgraph.functions import ranking, storage
 from loomgraph.functions.columns import unused
 from loomgraph.functions.fixpoint import connected_components
 from loomgraph.functions.skew import HOT_KEYS, join_by_count
+from loomgraph.operators import metrics as M
 from loomgraph.operators import sampling as N
 from loomgraph.operators import splits as P
 
@@ -42,6 +43,26 @@ def test_ranks_of_any_group_size(spark):
     assert ranking.wide_group_rank(named, ["pid"], [F.col("own"), F.col("id")]).columns == ["id", "pid", "own", "rn"]
 
 
+def test_running_sums_and_rank_metrics_without_groups(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(300) / 7, rng.randrange(2)) for _ in range(2_000)]
+    df = spark.createDataFrame(rows, "score double, y int").repartition(5)
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(M.roc_auc(df, []).first().auc - want) < 1e-12
+    tp = fp = 0
+    ap = 0.0
+    for s in sorted({s for s, _ in rows}, reverse=True):
+        here = pos.count(s)
+        tp, fp = tp + here, fp + neg.count(s)
+        ap += here / len(pos) * tp / (tp + fp)
+    assert abs(M.average_precision(df, []).first().ap - ap) < 1e-12
+    bound = sorted(neg, reverse=True)[49]
+    assert abs(M.hits_at_k(df, [50], []).first().hits_50 - sum(p > bound for p in pos) / len(pos)) < 1e-12
+    summed = ranking.wide_running_sums(spark.createDataFrame([("a", 1, 5), ("a", 2, 7), (None, 1, 1)], "g string, o int, v int"), ["g"], [F.col("o")], {"s": "v"})
+    assert sorted((r.g or "", r.o, r.s) for r in summed.collect()) == [("", 1, 1), ("a", 1, 5), ("a", 2, 12)]
+
+
 def test_components_of_hubs_chains_and_loops(spark):
     edges = [(5_000, i) for i in range(6_000, 6_400)] + [(9_000 + i, 9_001 + i) for i in range(40)] + [(1, None), (99, 99), (3, 2), (2, 3), (2, 3)]
     df = spark.createDataFrame(edges, "src long, dst long")

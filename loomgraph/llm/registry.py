@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontam, html_text, langid, mixing, ngram_join, substrings, topk, toxicity, urls
+from loomgraph.llm import chat, decontam, html_text, langid, merkle, mixing, ngram_join, spelling, substrings, token_files, topk, toxicity, urls
 
 QUERIES = {
     "op1_exact_top_k": topk.op1,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_language_id": langid.op8,
     "op9_source_mixing": mixing.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_token_files": token_files.op11,
+    "op12_merkle_manifest": merkle.op12,
+    "op13_spelling_variants": spelling.op13,
 }
 SQL = {
     "op1_exact_top_k": topk.OP1_SQL,
     "op3_chat_formatting": chat.OP3_SQL,
     "op7_url_filters": urls.OP7_SQL,
     "op9_source_mixing": mixing.OP9_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }

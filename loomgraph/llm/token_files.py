@@ -13,8 +13,9 @@ that has ``shard_tokens`` ids, so no task holds more than one shard and one batc
 task attempt; the manifest, a stored table of the attempts that ended well, names the files that count. Tasks open files by
 ``pyarrow.fs``, in the folder that the cluster shares (local or mounted paths, hdfs, s3).
 
-An encoder need not see a word twice: byte-level BPE never joins tokens over a single space between two other characters,
-so texts are cut there, and the tokenizer encodes each distinct piece once a batch of pieces.
+An encoder need not see a word twice: byte-level BPE never joins tokens over a single space between two other characters, nor
+over the border of a letter and a mark, so texts are cut there, and the tokenizer encodes each distinct piece once in a while;
+what is a word already goes straight to its model.
 
 Defined cases: a null text is an empty one, and an empty text has the end id alone; null keys come first; rows with the same
 key are ordered by their texts; a special token's name inside a text is ordinary text; a document longer than a shard is one
@@ -24,11 +25,13 @@ shard; an empty table writes no file; other columns, of any name, are ignored.
 from __future__ import annotations
 
 import io
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +52,18 @@ from loomgraph.llm.text import by_weight
 MAGIC = b"LWM1"
 #: Ids of a shard at which it is closed, and bits of a chunk.
 SHARD_TOKENS, CHUNK_BITS = 1 << 24, 1 << 18
-#: Distinct pieces that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST_PIECE = 400_000, 64
+#: Distinct pieces at which a worker begins to learn them anew.
+REMEMBERED = 500_000
 END_ID = 2
 #: Unicode white space, and the four separators that some engines count as such.
 SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNSAFE = "^ | $|[S] | [S]".replace("S", regex.sub(r"\\u(....)", r"\\x{\1}", SPACE))
+_CLASS = regex.sub(r"\\u(....)", r"\\x{\1}", SPACE)
+_ODD = f"^ | $|[{_CLASS}] | [{_CLASS}]|\\x1f"
 _CUT = regex.compile(f"(?<=[^{SPACE}])(?= [^{SPACE}])", regex.V1)
+#: Letters of the first 256 code points, and marks beside which no token goes on (the apostrophe may begin one).
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~\n"
+_WORD = f"^ ?[{_LETTER}]+$"
+_BORDER = "\x1f"
 
 
 # ---- the matrix ----
@@ -200,6 +208,7 @@ class TokenFile:
 
 @lru_cache(2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
@@ -213,66 +222,87 @@ def id_bits(path: str) -> int:
     return max(1, max(_tokenizer(path).get_vocab(with_added_tokens=True).values()).bit_length())
 
 
+def _byte_names() -> list[str]:
+    """The character by which byte-level BPE names each byte: itself where it is printable, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
+@lru_cache(2)
+def _word_model(path: str):
+    """The model of the tokenizer file without its search for words, and the names of what a word may hold."""
+    from tokenizers import Tokenizer
+
+    names = _byte_names()
+    # the letter that is itself part of other letters' names first
+    letters = [0xC3, 32, *(c for c in range(0xC0, 0x100) if c != 0xC3)]
+    return Tokenizer(_tokenizer(path).model), [(chr(c), "".join(names[b] for b in chr(c).encode())) for c in letters]
+
+
 class PieceEncoder:
-    """Ids of texts by the tokenizer file at ``path`` (byte-level BPE), each distinct piece between spaces encoded once."""
+    """Ids of texts by the tokenizer file at ``path`` (byte-level BPE), each distinct piece encoded once in a while."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.path, self.remembered, self.known = path, remembered, {}
-
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        new = list({p for p in pieces if p not in self.known})
-        got = {}
-        for s in range(0, len(new), 20_000):
-            part = new[s : s + 20_000]
-            for p, e in zip(part, _tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-                got[p] = np.array(e.ids, dtype=np.uint32)
-        out = [got[p] if p in got else self.known[p] for p in pieces]
-        if len(self.known) + len(got) > self.remembered:
-            self.known = {}
-        self.known.update((p, v) for p, v in got.items() if len(p) <= LONGEST_PIECE)
-        return out
+        self.path, self.remembered = path, remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes, self.pool = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+
+    def _learn(self, pieces: list[str], encodings: list) -> None:
+        """Number the pieces on and keep their ids."""
+        start, ids = len(self.known), [e.ids for e in encodings]
+        self.known.update(zip(pieces, range(start, start + len(pieces)), strict=True))
+        self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.pool.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(self.sizes[-1].sum())))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece, after the unknown ones were encoded."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        word = np.asarray(pc.match_substring_regex(pa.array(new, pa.large_string()), _WORD))
+        words = [p for p, w in zip(new, word, strict=True) if w]
+        model, names = _word_model(self.path)
+        for s in range(0, len(words), 20_000):
+            part = words[s : s + 20_000]
+            named = "\n".join(part)
+            for letter, name in names:
+                named = named.replace(letter, name)
+            self._learn(part, model.encode_batch_fast(named.split("\n"), add_special_tokens=False))
+        others = [p for p, w in zip(new, word, strict=True) if not w]
+        for s in range(0, len(others), 20_000):
+            part = others[s : s + 20_000]
+            self._learn(part, _tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
+        if len(self.known) > self.remembered:
+            self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.asarray(pc.match_substring_regex(texts, _UNSAFE))
-        split = pc.split_pattern(texts, " ")
-        if odd.any():  # other white space beside a space: cut these texts at the safe spaces alone
-            rows = [_CUT.split(t) if o else None for o, t in zip(odd, texts.to_pylist() if odd.all() else [t.as_py() if o else None for o, t in zip(odd, texts)], strict=True)]
-        bounds = np.asarray(split.offsets, dtype=np.int64)
+        odd = np.asarray(pc.match_substring_regex(texts, _ODD))
+        even = texts.filter(pa.array(~odd)) if odd.any() else texts
+        cut = pc.replace_substring_regex(even, f"([{_LETTER}])([{_MARK}])", f"\\1{_BORDER}\\2")
+        cut = pc.replace_substring_regex(cut, f"([^{_CLASS}])\n([^{_CLASS}])", f"\\1{_BORDER}\n{_BORDER}\\2")
+        split = pc.split_pattern(pc.replace_substring(cut, " ", f"{_BORDER} "), _BORDER)
         coded = pc.dictionary_encode(split.values)
-        words = coded.dictionary.to_pylist()
-        heads = np.asarray(coded.indices, dtype=np.int64)[bounds[:-1]] if len(words) else np.zeros(0, dtype=np.int64)
-        plain = np.flatnonzero(~odd)
-        # codes: " word" for each word, then word for each first word, then the pieces of the odd texts
-        firsts, first_of = np.unique(heads[plain], return_inverse=True)
-        loose = [p for i in np.flatnonzero(odd) for p in rows[i]]
-        used = np.zeros(len(words), dtype=bool)
-        codes = np.asarray(coded.indices, dtype=np.int64)
-        n_pieces = np.diff(bounds)
-        keep = np.repeat(~odd, n_pieces)
-        used[codes[keep]] = True
-        at = np.flatnonzero(used)
-        place = np.full(len(words), -1, dtype=np.int64)
-        place[at] = np.arange(len(at))
-        arrays = self._pieces([" " + words[i] for i in at] + [words[i] for i in firsts] + loose)
-        sizes = np.array([len(a) for a in arrays], dtype=np.int64)
-        pool = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        counts = np.where(odd, 0, n_pieces)
-        if odd.any():
-            counts[odd] = [len(rows[i]) for i in np.flatnonzero(odd)]
-        starts = np.cumsum(counts) - counts
-        seq = np.empty(int(counts.sum()), dtype=np.int64)
-        seq_odd = np.repeat(odd, counts)
-        seq[~seq_odd] = place[codes[keep]]
-        seq[starts[plain]] = len(at) + first_of
-        seq[seq_odd] = len(at) + len(firsts) + np.arange(len(loose))
-        lens = sizes[seq]
-        total = int(lens.sum())
-        index = np.repeat(begin[seq] - (np.cumsum(lens) - lens), lens) + np.arange(total)
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        return pool[index], upto[starts + counts] - upto[starts]
+        numbers = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices, dtype=np.int64)]
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[~odd] = np.diff(np.asarray(split.offsets, dtype=np.int64))
+        if odd.any():  # other white space beside a space: these texts are cut at the safe spaces alone
+            rows = [_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+            counts[odd] = [len(r) for r in rows]
+            of_odd = np.repeat(odd, counts)
+            seq = np.empty(len(of_odd), dtype=np.int64)
+            seq[~of_odd], seq[of_odd] = numbers, self._numbers([p for r in rows for p in r])
+            numbers = seq
+        self.sizes, self.pool = [np.concatenate(self.sizes)], [np.concatenate(self.pool)]
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(self.sizes[0])]), pa.array(self.pool[0]))
+        taken = lists.take(pa.array(numbers))
+        upto = np.asarray(taken.offsets, dtype=np.int64)
+        ends = np.cumsum(counts)
+        return np.asarray(taken.values), upto[ends] - upto[ends - counts]
 
 
 # ---- files of a corpus ----
@@ -315,7 +345,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, key:
                 n = write_matrix(out, ids, bits, table)
             return pa.RecordBatch.from_pydict({"path": [path], "part": [task.partitionId()], "seq": [seq], "n_docs": [table.num_rows], "n_tokens": [len(ids)], "bytes": [n]}, schema=MANIFEST_ARROW)
 
-        for batch in by_weight(batches, "text"):
+        for batch in by_weight(batches, "text", 8_000_000):
             ids, counts = encoder.encode(batch.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)

@@ -41,7 +41,7 @@ def test_matrix(n, bits, chunk):
         assert f.count(t, lo, hi) == len(part) and f.occurrences(t, lo, hi).tolist() == part.tolist()
 
 
-piece = st.sampled_from(["a", "the", "it's", "'ll", " ", "  ", "\n", " \n", "\t", "\x85", " ", " ", "\x1c", "é", "你好", "123", "!?", "<|endoftext|>", "́", "\U0001f600", "x" * 70])
+piece = st.sampled_from(["a", "the", "it's", "'ll", " ", "  ", "\n", " \n", "\t", "\x85", " ", " ", "\x1c", "é", "你好", "123", "!?", ".", "'", "_", "A1", "x,y.\nZ", "word.\n", "ÿ", "×", "\x1f", "ß", "<|endoftext|>", "́", "\U0001f600", "x" * 70])
 
 
 @settings(max_examples=300, deadline=None)

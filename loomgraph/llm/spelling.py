@@ -1,4 +1,4 @@
-r"""Spelling variants of corpus words by permuterm rotations (DataFrame functions, and one scan of sorted groups).
+r"""Spelling variants of corpus words by permuterm rotations (DataFrame functions only).
 
 A word with a terminator has a rotation for each of its characters. Two words that differ in one character have rotations
 that begin behind that character and are the same but for their last; a word with one character less has a whole rotation
@@ -18,10 +18,7 @@ name, are ignored. Words hold letters alone, so the terminator cannot occur in o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import quoted
@@ -63,34 +60,11 @@ def rotations(words: DataFrame) -> DataFrame:
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, n, near, m): all ordered pairs of words that differ by one inserted, deleted or replaced character; a pair that differs
-    so in several ways is met several times."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, int]] = []  # the rows of one prefix, at most one for each letter and one whole rotation
-        last, found = None, []
-
-        def pairs() -> None:
-            if len(held) > 1:
-                found.extend((a, n, b, m) for a, n in held for b, m in held if a != b)
-
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*found, strict=True)) if found else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["word", "n", "near", "m"])
-
-        for batch in batches:
-            for prefix, word, n in zip(*(batch.column(c).to_pylist() for c in ("prefix", "word", "n")), strict=True):
-                if prefix != last:
-                    pairs()
-                    held, last = [], prefix
-                held.append((word, n))
-                if len(found) > 50_000:
-                    yield out()
-                    found.clear()
-        pairs()
-        yield out()
-
-    dealt = rotations(words).repartition("prefix").sortWithinPartitions("prefix", "last")
-    return dealt.select("prefix", "word", "n").mapInArrow(scan, "word string, n long, near string, m long")
+    so in several ways is met several times. Rotations are dealt by prefix and sorted; a window passes over the sorted rows
+    and gives each the words of its prefix, 91 at most."""
+    scan = Window.partitionBy("prefix").orderBy("last").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = rotations(words).withColumn("all", F.collect_list(F.struct(F.col("word").alias("near"), F.col("n").alias("m"))).over(scan))
+    return met.where(F.size("all") > 1).select("word", "n", F.inline("all")).where("word <> near")
 
 
 def forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -122,27 +123,29 @@ def links_within(sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray,
     """Verify the pairs between rows ``left`` and rows ``right`` (equal: all pairs among them). Returns the summed
     weights of each row's partners and each row's smallest row number in its group of links."""
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], dtype=np.float32)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    kind = np.float32 if sizes.max() < 2**24 else np.float64  # counts stay whole
     value, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(m), sizes.astype(np.int64))
+    row = np.repeat(np.arange(m), sizes)
     shared = np.bincount(at, minlength=len(value)) > 1
     column = np.cumsum(shared) - 1
     keep = shared[at]
     row, at = row[keep], column[at[keep]]
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
-    total, inter = int(shared.sum()), np.zeros((len(left), len(right)), dtype=np.float32)
+    total, inter = int(shared.sum()), np.zeros((len(left), len(right)), dtype=kind)
     width = max(256, 4_000_000 // m)
     for c in range(0, total, width):
         a, b = np.searchsorted(at, [c, c + width])
-        grid = np.zeros((m, min(width, total - c)), dtype=np.float32)
+        grid = np.zeros((m, min(width, total - c)), dtype=kind)
         grid[row[a:b], at[a:b] - c] = 1
         inter += grid[left] @ grid[right].T
-    # |a & b| >= t * (|a| + |b| - |a & b|), without a third grid
-    inter *= 1 + threshold
-    inter -= (threshold * sizes[left])[:, None]
-    inter -= (threshold * sizes[right])[None]
-    hit = inter >= -1e-3
+    # |a & b| >= t * (|a| + |b| - |a & b|) in whole numbers, t as a fraction: a tie is a link at every length
+    p, q = Fraction(str(threshold)).limit_denominator(1_000_000).as_integer_ratio()
+    hit = np.empty(inter.shape, dtype=bool)
+    for s in range(0, len(left), 256):
+        both = np.rint(inter[s : s + 256]).astype(np.int64)
+        hit[s : s + 256] = (p + q) * both >= p * (sizes[left[s : s + 256], None] + sizes[right][None])
     del inter
     same = left is right or (len(left) == len(right) and (left == right).all())
     if same:

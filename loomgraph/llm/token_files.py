@@ -305,6 +305,12 @@ class PieceEncoder:
         return np.asarray(taken.values), upto[ends] - upto[ends - counts]
 
 
+@lru_cache(2)
+def _encoder(path: str) -> PieceEncoder:
+    """A worker's encoder: what one task has learned serves the next."""
+    return PieceEncoder(path)
+
+
 # ---- files of a corpus ----
 
 
@@ -333,7 +339,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get(), 0
-        encoder = PieceEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         held, keys, sizes, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:

@@ -80,18 +80,18 @@ def global_rank(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
     """1-based row number over all rows without a one-task window: a range partitioning, a row number in each
     partition, and the running count of the partitions before it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stash(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pid, own, before = unused([*df.columns, name], "pid", "own", "before")
+    dealt = stash(df.repartitionByRange(n, *order).withColumn(pid, F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each partition
-    offsets = dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).select(
-        "_pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")
-    )
-    own = Window.partitionBy("_pid").orderBy(*order)
-    return dealt.withColumn("_own", F.row_number().over(own)).join(F.broadcast(offsets), "_pid").withColumn(
-        name, F.col("_before") + F.col("_own")
-    ).drop("_pid", "_own", "_before")
+    parts = dealt.groupBy(pid).agg(F.count(F.lit(1)).alias(own))
+    offsets = parts.select(pid, F.coalesce(F.sum(own).over(ahead), F.lit(0)).alias(before))
+    inside = Window.partitionBy(pid).orderBy(*order)
+    ranked = dealt.withColumn(own, F.row_number().over(inside)).join(F.broadcast(offsets), pid)
+    return ranked.withColumn(name, F.col(before) + F.col(own)).drop(pid, own, before)
 
 
 def seeded_rank(df: DataFrame, seed, key: str, name: str = "rn") -> DataFrame:
     """1-based seeded random rank over all rows."""
-    return global_rank(df.withColumn("_md5", md5_key(seed, key)), [F.col("_md5"), F.col(key)], name).drop("_md5")
+    h, = unused([*df.columns, name], "h")
+    return global_rank(df.withColumn(h, md5_key(seed, key)), [F.col(h), F.col(key)], name).drop(h)

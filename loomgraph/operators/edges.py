@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ranking
 from loomgraph.functions.fixpoint import connected_components  # noqa: F401  (E08)
+from loomgraph.functions.skew import join_by_count
+from loomgraph.functions.storage import stash
 
 
 def flipped(edges: DataFrame) -> DataFrame:
@@ -124,13 +126,43 @@ def flatten_relations(relations: dict[int, DataFrame]) -> DataFrame:
     return out
 
 
-def bipartite_projection(links: DataFrame, key: str, node: str, min_shared: int = 1) -> DataFrame:
-    """E13. (src < dst, weight): nodes that share at least ``min_shared`` keys. Pairs are made inside a key, so keys
-    should be narrow; AQE splits a hot one."""
-    one = links.select(F.col(key).alias("_k"), F.col(node).alias("_n")).where("_k is not null and _n is not null").distinct()
-    pairs = one.withColumnRenamed("_n", "src").join(one.withColumnRenamed("_n", "dst"), "_k").where("src < dst")
-    counted = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    return counted.where(F.col("weight") >= min_shared) if min_shared > 1 else counted
+#: Nodes of a key from which it counts as wide, and rows of a block of a wide key.
+WIDE, BLOCK = 1_000, 1_000
+
+
+def bipartite_projection(links: DataFrame, key: str, node: str, min_shared: int = 1, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
+    """E13. (src < dst, weight): nodes that share at least ``min_shared`` keys, and how many.
+
+    Pairs inside narrow keys are made and counted at once. Wide keys, of more than ``wide`` nodes, make few pairs: two nodes
+    that share no narrow key need ``min_shared`` wide ones, so all but the ``min_shared - 1`` widest keys of each node can
+    find them, and only pairs found so, or by a narrow key, are looked up in the wide keys. What makes pairs of a wide
+    key is dealt as pairs of blocks, so no task has more than about ``block`` x ``block`` of them. With ``min_shared`` 1 every pair
+    of a wide key is in the result."""
+    one = stash(links.select(F.col(key).alias("_k"), F.col(node).alias("_n")).where("_k is not null and _n is not null").distinct(), "members")
+    pairs = lambda rows: rows.withColumnRenamed("_n", "src").join(rows.withColumnRenamed("_n", "dst"), "_k").where("src < dst")
+    sizes = one.groupBy("_k").agg(F.count(F.lit(1)).alias("_c"))
+    widest = sizes.agg(F.max("_c").alias("m")).first()["m"] or 0
+    if widest <= wide:
+        counted = pairs(one).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+        return counted.where(F.col("weight") >= min_shared) if min_shared > 1 else counted
+    wides = stash(sizes.where(F.col("_c") > wide), "wide")  # a key for each ``wide`` rows at most
+    total = one.count()
+    narrow = one.join(wides.select("_k"), "_k", "left_anti")
+    members = stash(join_by_count(one, wides.withColumn("n", F.col("_c")), ["_k"], total, largest=widest), "wide_members")
+    counted = pairs(narrow).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_w"))
+    # each node's wide keys but its widest few
+    rank = F.row_number().over(Window.partitionBy("_n").orderBy(F.desc("_c"), F.desc("_k")))
+    makers = stash(members.withColumn("_r", rank).where(F.col("_r") >= min_shared).select("_k", "_n"), "makers")
+    left = makers.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).withColumn("_b", F.ceil(F.col("n") / block).cast("int"))
+    dealt = join_by_count(makers, left, ["_k"], total, largest=widest).withColumn("_i", F.pmod(F.xxhash64("_n"), F.col("_b")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
+    met = dealt.select("_k", F.col("_n").alias("src"), F.col("_i").alias("_x"), others.alias("_y")).join(
+        dealt.select("_k", F.col("_n").alias("dst"), F.col("_i").alias("_y"), others.alias("_x")), ["_k", "_x", "_y"]).where("src < dst")
+    found = stash(counted.unionByName(met.select("src", "dst").distinct().withColumn("_w", F.lit(0).cast("long"))).groupBy("src", "dst").agg(F.sum("_w").alias("_w")), "candidates")
+    also = found.select("src", "dst").join(members.select(F.col("_n").alias("src"), "_k"), "src").join(members.select(F.col("_n").alias("dst"), "_k"), ["dst", "_k"])
+    extra = also.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_e"))
+    out = found.join(extra, ["src", "dst"], "left").select("src", "dst", (F.col("_w") + F.coalesce("_e", F.lit(0))).alias("weight"))
+    return out.where(F.col("weight") >= min_shared)
 
 
 def year_filtered(edges: DataFrame, year: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,36 +13,80 @@ from loomgraph.operators.edges import canonical, induced
 from loomgraph.operators.paths import khop
 
 
-def negative_edges(edges: DataFrame, n_nodes: int, k: int, seed=0, over: float = 2.0, undirected: bool = False, keys=None, group: DataFrame | None = None) -> DataFrame:
-    """N01, N06. (src, dst): at most ``k`` distinct non-edges without self loops from ``over`` * k seeded draws of
-    dense ids, in draw order; undirected ones are src < dst."""
-    draws = edges.sparkSession.range(int(k * over)).select("id", md5_bucket(f"{seed}-a", "id", buckets=n_nodes).alias("src"), md5_bucket(f"{seed}-b", "id", buckets=n_nodes).alias("dst")).where("src <> dst")
-    if undirected:
-        draws = draws.select("id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    fresh = draws.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("id").alias("id"))
-    return first_rows(fresh, [F.col("id")], k).select("src", "dst")
+def _first_drawn(draw: Callable[[int], DataFrame], gone: DataFrame, k: int, start: int, most: int, rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(src, dst): the first ``k`` distinct drawn pairs that are not in ``gone``, in the order of the draws. ``draw(n)`` is the first n
+    of one sequence (id, src, dst), so a larger k only goes on. Draws are doubled up to ``most``, about twice as many as there
+    are pairs; what they have not met by then, ``rest(met)``, follows in the md5 order of its column ``h``."""
+    draws = min(start, most)
+    while True:
+        fresh = stash(draw(draws).join(gone, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("id").alias("id")), "drawn")
+        found = fresh.count()
+        if found >= k or draws >= most:
+            break
+        discard(fresh)
+        draws = min(2 * draws, most)
+    first = first_rows(fresh, [F.col("id")], k).select("src", "dst")
+    if found >= k:
+        return first
+    return first.unionByName(first_rows(rest(fresh.select("src", "dst")), [F.col("h"), F.col("src"), F.col("dst")], k - found).select("src", "dst"))
+
+
+def negative_edges(edges: DataFrame, n_nodes: int, k: int, seed=0, over: float = 2.0, undirected: bool = False) -> DataFrame:
+    """N01, N06. (src, dst): ``k`` distinct non-edges without self loops, or all where there are fewer, in the order of
+    seeded draws of dense ids; undirected ones are src < dst. ``over`` * k draws are made at first, more where they do not do."""
+    def draw(n: int) -> DataFrame:
+        d = edges.sparkSession.range(n).select("id", md5_bucket(f"{seed}-a", "id", buckets=n_nodes).alias("src"), md5_bucket(f"{seed}-b", "id", buckets=n_nodes).alias("dst")).where("src <> dst")
+        return d.select("id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")) if undirected else d
+
+    def rest(met: DataFrame) -> DataFrame:
+        ids = edges.sparkSession.range(n_nodes)
+        pairs = ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(n_nodes - 1))).cast("long").alias("dst")).where("src < dst" if undirected else "src <> dst")
+        return pairs.join(gone, ["src", "dst"], "left_anti").join(met, ["src", "dst"], "left_anti").withColumn("h", md5_key(f"{seed}-c", "src", "dst"))
+
+    gone = edges.select("src", "dst").distinct()
+    return _first_drawn(draw, gone, k, int(k * over) + 1, 2 * n_nodes * n_nodes, rest)
 
 
 def batched_negatives(edges: DataFrame, nodes: DataFrame, per_graph: int, seed=0, over: int = 3) -> DataFrame:
-    """N02. (graph_id, src, dst): up to ``per_graph`` non-edges in each graph among its nodes (graph_id, id)."""
-    idx = group_rank(nodes, ["graph_id"], [F.col("id")], "pos")
+    """N02. (graph_id, src, dst): ``per_graph`` non-edges in each graph among its nodes (graph_id, id), or all where there are fewer.
+    The first are found by ``over`` x ``per_graph`` draws; graphs that these leave short go on through their other pairs in md5
+    order, which are few in small graphs and about as many as the edges in dense ones."""
+    idx = wide_group_rank(nodes, ["graph_id"], [F.col("id")], "pos")
     n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     draws = n.select("graph_id", "n", F.explode(F.sequence(F.lit(0), F.lit(per_graph * over - 1))).alias("draw"))
     at = lambda c: (F.pmod(F.conv(F.substring(md5_key(f"{seed}-{c}", "graph_id", "draw"), 1, 8), 16, 10).cast("long"), F.col("n")) + 1).alias(c)
     named = draws.select("graph_id", "draw", at("a"), at("b"))
     pick = lambda c, name: idx.select("graph_id", F.col("pos").alias(c), F.col("id").alias(name))
     pairs = named.join(pick("a", "src"), ["graph_id", "a"]).join(pick("b", "dst"), ["graph_id", "b"]).where("src <> dst")
-    fresh = pairs.join(edges.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti").groupBy("graph_id", "src", "dst").agg(F.min("draw").alias("draw"))
-    return group_rank(fresh, ["graph_id"], [F.col("draw")]).where(F.col("rn") <= per_graph).select("graph_id", "src", "dst")
+    gone = edges.select("graph_id", "src", "dst")
+    fresh = stash(pairs.join(gone, ["graph_id", "src", "dst"], "left_anti").groupBy("graph_id", "src", "dst").agg(F.min("draw").alias("draw")), "drawn")
+    found = fresh.groupBy("graph_id").agg(F.count(F.lit(1)).alias("found"))
+    short = n.join(found, "graph_id", "left").where(F.coalesce("found", F.lit(0)) < per_graph).select("graph_id")
+    left = nodes.join(short, "graph_id", "left_semi").select("graph_id", F.col("id").alias("src"))
+    rest = left.join(left.withColumnRenamed("src", "dst"), "graph_id").where("src <> dst").join(gone, ["graph_id", "src", "dst"], "left_anti")
+    rest = rest.join(fresh.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti")
+    # drawn ones first, then by hash
+    every = fresh.select("graph_id", "src", "dst", F.lpad(F.col("draw").cast("string"), 19, "0").alias("h")).unionByName(
+        rest.withColumn("h", F.concat(F.lit("r"), md5_key(f"{seed}-c", "graph_id", "src", "dst"))))
+    return group_rank(every, ["graph_id"], [F.col("h"), F.col("src"), F.col("dst")]).where(F.col("rn") <= per_graph).select("graph_id", "src", "dst")
 
 
 def structured_negatives(edges: DataFrame, n_nodes: int, tries: int, seed=0) -> DataFrame:
-    """N03. (src, dst, neg): for each edge the first of ``tries`` drawn nodes that src is not linked to; null if none."""
-    draws = edges.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
+    """N03. (src, dst, neg): for each edge a drawn node that src is not linked to, the first of ``tries``; where all miss, one of
+    the nodes that are free for src, by hash. Null only where src is linked to all others."""
+    links = edges.select("src", "dst")
+    draws = links.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
     drawn = draws.withColumn("neg", md5_bucket(seed, "src", "dst", "t", buckets=n_nodes)).where("neg <> src")
-    ok = drawn.join(edges.select("src", F.col("dst").alias("neg")).distinct(), ["src", "neg"], "left_anti")
-    first = ok.groupBy("src", "dst").agg(F.min_by("neg", "t").alias("neg"))
-    return edges.select("src", "dst").join(first, ["src", "dst"], "left")
+    known = edges.select("src", F.col("dst").alias("neg")).distinct()
+    first = drawn.join(known, ["src", "neg"], "left_anti").groupBy("src", "dst").agg(F.min_by("neg", "t").alias("neg"))
+    told = stash(links.join(first, ["src", "dst"], "left"), "negatives")
+    missed = told.where("neg is null").select("src", "dst")
+    free = missed.select("src").distinct().select("src", F.explode(F.sequence(F.lit(0), F.lit(n_nodes - 1))).cast("long").alias("neg")).where("neg <> src").join(known, ["src", "neg"], "left_anti")
+    ranked = wide_group_rank(free.withColumn("h", md5_key(f"{seed}-r", "src", "neg")), ["src"], [F.col("h"), F.col("neg")], "pos").drop("h")
+    count = ranked.groupBy("src").agg(F.max("pos").alias("c"))
+    at = F.pmod(F.conv(F.substring(md5_key(f"{seed}-p", "src", "dst"), 1, 8), 16, 10).cast("long"), F.col("c")) + 1
+    second = missed.join(count, "src", "left").withColumn("pos", at).join(ranked, ["src", "pos"], "left").select("src", "dst", "neg")
+    return told.where("neg is not null").unionByName(second)
 
 
 def structured_feasible(edges: DataFrame, n_nodes: int, loops: bool = False) -> DataFrame:
@@ -57,25 +103,27 @@ def same_source_negatives(positives: DataFrame, n_nodes: int, m: int, seed=0) ->
 
 
 def complement_negatives(edges: DataFrame, nodes: DataFrame, k: int, seed=0) -> DataFrame:
-    """N05. (src < dst): ``k`` of all non-edges, the first in the order of seeded draws of two nodes. Draws are doubled until
-    enough differ from the edges and each other. Where ``k`` is more than half of all non-edges these are all formed,
-    which is no more than four times the result and the edges; then the first in md5 order are taken."""
+    """N05. (src < dst): ``k`` of all non-edges, or all where there are fewer, in the order of seeded draws of two nodes; one order
+    for every k, so a larger k takes a superset. Draws are doubled until enough differ from the edges and each other; what twice
+    as many draws as there are ordered pairs have not met follows in md5 order, which is needed only where k is most of the
+    non-edges or these are few beside the edges."""
     ids = stash(global_rank(nodes.select("id").distinct(), [F.col("id")], "at"), "ids")
     gone = stash(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "linked")
     n, m = ids.count(), gone.count()
-    free = n * (n - 1) // 2 - m
-    if 2 * k >= free:
-        pairs = ids.select(F.col("id").alias("src")).join(ids.select(F.col("id").alias("dst")), F.expr("src < dst"))
-        return first_rows(pairs.join(gone, ["src", "dst"], "left_anti"), [md5_key(seed, "src", "dst"), F.col("src"), F.col("dst")], k)
-    draws = int(1.5 * k * n * n / (2 * free)) + 100
-    while True:
+    free = max(n * (n - 1) // 2 - m, 1)
+
+    def draw(draws: int) -> DataFrame:
         drawn = edges.sparkSession.range(draws).select("id", (md5_bucket(f"{seed}-a", "id", buckets=n) + 1).alias("a"), (md5_bucket(f"{seed}-b", "id", buckets=n) + 1).alias("b")).where("a <> b")
-        named = drawn.join(ids.toDF("x", "a"), "a").join(ids.toDF("y", "b"), "b").select("id", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
-        fresh = stash(named.join(gone, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("id").alias("id")), "drawn")
-        if fresh.count() >= k:
-            return first_rows(fresh, [F.col("id")], k).select("src", "dst")
-        discard(fresh)
-        draws *= 2
+        return drawn.join(ids.toDF("x", "a"), "a").join(ids.toDF("y", "b"), "b").select("id", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+
+    def rest(met: DataFrame) -> DataFrame:
+        pairs = ids.select(F.col("id").alias("src"), "at", F.explode(F.sequence(F.lit(1), F.lit(n))).cast("long").alias("to")).where(F.col("to") > F.col("at"))
+        named = pairs.join(ids.select(F.col("id").alias("dst"), F.col("at").alias("to")), "to").select("src", "dst")
+        return named.join(gone, ["src", "dst"], "left_anti").join(met, ["src", "dst"], "left_anti").withColumn("h", md5_key(f"{seed}-c", "src", "dst"))
+
+    if n < 2:
+        return gone.limit(0)
+    return _first_drawn(draw, gone, k, int(1.5 * min(k, free) * n * n / (2 * free)) + 100, 2 * n * n, rest)
 
 
 def hard_negatives(edges: DataFrame, k: int, seed=0) -> DataFrame:
@@ -86,10 +134,17 @@ def hard_negatives(edges: DataFrame, k: int, seed=0) -> DataFrame:
 
 
 def far_negative(roots: DataFrame, edges: DataFrame, n_nodes: int, hops: int, tries: int, seed=0) -> DataFrame:
-    """N08. (root, neg): the first of ``tries`` drawn nodes outside the root's ball."""
-    ball = khop(roots.select("root", F.col("root").alias("node")), edges, hops, ["root"])
+    """N08. (root, neg): the first of ``tries`` drawn nodes outside the root's ball; where all miss, the first of the nodes outside
+    in md5 order. Null only where the ball holds all nodes."""
+    ball = stash(khop(roots.select("root", F.col("root").alias("node")), edges, hops, ["root"]).select("root", "node"), "balls")
     draws = roots.select("root", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t")).withColumn("node", md5_bucket(seed, "root", "t", buckets=n_nodes))
-    return draws.join(ball.select("root", "node"), ["root", "node"], "left_anti").groupBy("root").agg(F.min_by("node", "t").alias("neg"))
+    first = draws.join(ball, ["root", "node"], "left_anti").groupBy("root").agg(F.min_by("node", "t").alias("neg"))
+    told = stash(roots.select("root").join(first, "root", "left"), "negatives")
+    missed = told.where("neg is null").select("root")
+    # a ball that all draws hit holds most nodes
+    free = missed.select("root", F.explode(F.sequence(F.lit(0), F.lit(n_nodes - 1))).cast("long").alias("node")).join(ball, ["root", "node"], "left_anti")
+    second = free.groupBy("root").agg(F.min_by("node", F.struct(md5_key(f"{seed}-r", "root", "node"), "node")).alias("neg"))
+    return told.where("neg is not null").unionByName(missed.join(second, "root", "left"))
 
 
 def supervision_edges(positives: DataFrame, negatives: DataFrame) -> DataFrame:

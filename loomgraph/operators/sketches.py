@@ -71,6 +71,39 @@ def intersections(links: DataFrame, hashes: DataFrame, sketches: DataFrame, slot
     return links.join(end("src", "k1"), "src").join(end("dst", "k2"), "dst").select("src", "dst", "k1", "k2", (same * F.hll_sketch_estimate(F.hll_union("_sk1", "_sk2"))).alias("n"))
 
 
+def cells(hops: int) -> list[tuple[int, int]]:
+    """The (i, j) of the structure features in the usual order: 3, 8 or 15 of them."""
+    both = {1: [(1, 1)], 2: [(1, 1), (2, 1), (1, 2), (2, 2)], 3: [(1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3), (3, 2), (2, 3), (3, 3)]}[hops]
+    return both + [c for k in range(1, hops + 1) for c in ((0, k), (k, 0))]
+
+
+def sketch_features(links: DataFrame, hashes: DataFrame, sketches: DataFrame, slots: int, hops: int, zero_one: bool = True, floor: bool = False) -> DataFrame:
+    """K07 from sketches. (src, dst, n_i_j): estimated nodes at distance i from src and j from dst, n_0_j those at j from dst
+    and farther than ``hops`` from src, by inclusion and exclusion over the intersections of K06 and the sizes of K04; both
+    ends count as near themselves. ``zero_one`` off sets what a linked pair cannot have to 0: n_0_1 and n_1_0 from two hops,
+    n_0_2 and n_2_0 too from three. ``floor`` sets negative estimates to 0. A link of an unknown node has no row."""
+    met = intersections(links.select("src", "dst").distinct(), hashes.where(F.col("hop") <= hops), sketches.where(F.col("hop") <= hops), slots)
+    inter = met.groupBy("src", "dst").agg(*[F.max(F.when((F.col("k1") == i) & (F.col("k2") == j), F.col("n"))).alias(f"_i{i}{j}") for i in range(1, hops + 1) for j in range(1, hops + 1)])
+    sizes = hll_counts(sketches.where((F.col("hop") > 0) & (F.col("hop") <= hops))).groupBy("id").agg(*[F.max(F.when(F.col("hop") == k, F.col("n"))).cast("double").alias(f"c{k}") for k in range(1, hops + 1)])
+    a = sizes.select(F.col("id").alias("src"), *[F.col(f"c{k}").alias(f"_a{k}") for k in range(1, hops + 1)])
+    b = sizes.select(F.col("id").alias("dst"), *[F.col(f"c{k}").alias(f"_b{k}") for k in range(1, hops + 1)])
+    ball = lambda i, j: F.col(f"_i{i}{j}") if i and j else F.lit(0.0)
+    size = lambda c, k: F.col(f"_{c}{k}") if k else F.lit(0.0)
+
+    def cell(i: int, j: int) -> Column:
+        if i and j:
+            v = ball(i, j) - ball(i - 1, j) - ball(i, j - 1) + ball(i - 1, j - 1)
+        elif j:
+            v = size("b", j) - size("b", j - 1) - ball(hops, j) + ball(hops, j - 1)
+        else:
+            v = size("a", i) - size("a", i - 1) - ball(i, hops) + ball(i - 1, hops)
+        if not zero_one and 0 in (i, j) and hops > 1 and max(i, j) < hops:
+            v = F.lit(0.0)
+        return F.greatest(v, F.lit(0.0)) if floor else v
+
+    return inter.join(a, "src").join(b, "dst").select("src", "dst", *[cell(i, j).alias(f"n_{i}_{j}") for i, j in cells(hops)])
+
+
 def degree_normalised(counts: DataFrame, degrees: DataFrame, names: list[str]) -> DataFrame:
     """K08. Each count over the root of the product of both degrees, 0 where that is 0, next to the counts."""
     a, b = degrees.select(F.col("id").alias("src"), F.col("degree").alias("_a")), degrees.select(F.col("id").alias("dst"), F.col("degree").alias("_b"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import unused
-from loomgraph.functions.ranking import first_rows, global_rank, group_rank, md5_bucket, md5_key, md5_rank, seeded_rank, wide_group_rank, wide_md5_rank
-from loomgraph.functions.storage import stash
+from loomgraph.functions.ranking import first_rows, global_rank, group_rank, md5_bucket, md5_key, md5_rank, seeded_rank, wide_group_rank, wide_md5_rank, wide_running_sums
+from loomgraph.functions.storage import discard, stash
 
 
 def _cut(ranked: DataFrame, n: int, ratios: tuple[float, float], names=("train", "valid", "test")) -> DataFrame:
@@ -144,23 +143,6 @@ def hub_few_shot(rows: DataFrame, shots: int, seed=0, key: str = "id") -> DataFr
     return ranked.where(F.col("_hub") <= shots).withColumn("split", F.lit("train")).unionByName(halves).drop("_hub")
 
 
-def _packed(groups: DataFrame, order: list[Column], total: int, fits: Callable[[int, int, int], str]) -> DataFrame:
-    """(g, split): an ordered fold over the groups (g, n). ``fits(train, valid, n)`` names the part that takes a group. What
-    a group gets depends on all before it, so one task reads the groups, one row each, in Spark's order, and holds two sums."""
-    rows = groups.select("g", "n", *[o.alias(f"o{i}") for i, o in enumerate(order)]).repartition(1).sortWithinPartitions(*[f"o{i}" for i in range(len(order))])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had = {"train": 0, "valid": 0, "test": 0}
-        for b in batches:
-            out = []
-            for n in b.column("n").to_pylist():
-                out.append(fits(had["train"], had["valid"], n))
-                had[out[-1]] += n
-            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(out, pa.string())], names=["g", "split"])
-
-    return rows.select("g", "n").mapInArrow(fold, "g string, split string")
-
-
 def _sizes(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(F.col(group).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -171,33 +153,56 @@ def _by_group(rows: DataFrame, group: str, packed: DataFrame) -> DataFrame:
 
 
 def group_greedy_split(rows: DataFrame, group: str, ratios: tuple[float, float]) -> DataFrame:
-    """P16. Whole groups, largest first: train while they fit, else valid, else test."""
+    """P16. Whole groups, largest first: train while they fit, else valid, else test.
+
+    Groups of one size come together, and once one does not fit, none of its size does; so what is folded is one row for
+    each distinct size, with the number of groups of that size that each part takes. N rows have fewer than sqrt(2 N) sizes."""
     sizes = stash(_sizes(rows, group), "groups")
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    most, both = total * ratios[0], total * (ratios[0] + ratios[1])
-
-    def fits(train: int, valid: int, n: int) -> str:
-        return "train" if train + n <= most else "valid" if train + valid + n <= both else "test"
-
-    return _by_group(rows, group, _packed(sizes, [-F.col("n"), F.col("g")], total, fits))
+    most, both = math.floor(total * ratios[0]), math.floor(total * (ratios[0] + ratios[1]))
+    train = valid = 0
+    cut = []
+    for n, count in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("n")).toLocalIterator():
+        a = max(0, min(count, (most - train) // n))
+        train += a * n
+        b = max(0, min(count - a, (both - train - valid) // n))
+        valid += b * n
+        cut.append((n, a, a + b))
+    told = sizes.sparkSession.createDataFrame(cut, "n long, _a long, _b long")
+    ranked = wide_group_rank(sizes, ["n"], [F.col("g")]).join(told, "n")
+    split = F.when(F.col("rn") <= F.col("_a"), "train").when(F.col("rn") <= F.col("_b"), "valid").otherwise("test")
+    return _by_group(rows, group, ranked.select("g", split.alias("split")))
+
+
+def _fill(ranked: DataFrame, room: int) -> Column:
+    """Whether the fold over (rn, n) takes a row: it does when the row fits what is left of ``room``.
+
+    Each round sums what may still fit from its place on, finds the first row that does not fit, takes all before it and goes on
+    behind it with what is small enough for the rest. A row that does not fit is larger than the rest, so rounds are few: as many as
+    distinct sizes at most, and about a logarithm in a random order."""
+    taken, at = F.lit(False), 0
+    while True:
+        here = stash(ranked.where((F.col("rn") > at) & (F.col("n") <= room)).select("rn", "n"), "fitting")
+        sums = wide_running_sums(here, [], [F.col("rn")], {"upto": "n"})
+        miss = sums.where(F.col("upto") > room).agg(F.min(F.struct("rn", (F.col("upto") - F.col("n")).alias("before"))).alias("m")).first()["m"]
+        mine = (F.col("rn") > at) & (F.col("n") <= room)
+        discard(here)
+        if miss is None:
+            return taken | mine
+        taken = taken | (mine & (F.col("rn") < miss["rn"]))
+        at, room = miss["rn"], room - miss["before"]
 
 
 def group_random_split(rows: DataFrame, group: str, ratios: tuple[float, float, float], seed=0) -> DataFrame:
-    """P17. Groups in random order: valid while they fit, else test, else train."""
+    """P17. Groups in random order: valid while they fit, else test, else train. What valid takes does not depend on test,
+    so the two are filled one after the other, each in few rounds over the groups."""
     sizes = stash(_sizes(rows, group), "groups")
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    limits = int(total * ratios[1]), int(total * ratios[2])
-    had = {"test": 0}
-
-    def fits(train: int, valid: int, n: int) -> str:
-        if valid + n <= limits[0]:
-            return "valid"
-        if had["test"] + n <= limits[1]:
-            had["test"] += n
-            return "test"
-        return "train"
-
-    return _by_group(rows, group, _packed(sizes, [md5_key(seed, "g"), F.col("g")], total, fits))
+    ranked = stash(seeded_rank(sizes, seed, "g").select("g", "n", "rn"), "ordered")
+    first = stash(ranked.withColumn("valid", _fill(ranked, int(total * ratios[1]))), "ordered")
+    test = _fill(first.where(~F.col("valid")), int(total * ratios[2]))
+    split = F.when(F.col("valid"), "valid").when(test, "test").otherwise("train")
+    return _by_group(rows, group, first.select("g", split.alias("split")))
 
 
 def nonnull_random_split(rows: DataFrame, task: int, ratios: tuple[float, float, float], null_value=None, seed=0) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import reduction
+
 
 def long_form(x: DataFrame, key: str = "id", vector: str = "x") -> DataFrame:
     return x.select(F.col(key).alias("id"), F.posexplode(vector).alias("dim", "val"))
@@ -193,11 +195,10 @@ def kmeans_clusters(x: DataFrame, k: int, seed: int = 0, rounds: int = 20) -> Da
 
 
 def set_similarity(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """V15. Average over all pairs of two vector sets: cosine, dot, or negative euclidean distance. Cosine and dot
-    averages are dot products of mean vectors; only distances form the pairs."""
-    if how == "euclidean":
-        pairs = a.select(F.col("x").alias("p")).crossJoin(b.select(F.col("x").alias("q")))
-        return pairs.agg((-F.avg(F.sqrt(F.aggregate(F.zip_with("p", "q", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)))).alias("similarity"))
+    """V15. Average over all pairs of two vector sets: cosine, dot, negative euclidean distance or mmd. Cosine and dot
+    averages are dot products of mean vectors; the others meet the pairs in blocks."""
+    if how in ("euclidean", "mmd"):
+        return (reduction.mmd if how == "mmd" else reduction.mean_distance)(a, b)
     scale = lambda t: t.select("id", F.transform("x", lambda v: v / norm("x")).alias("x")) if how == "cosine" else t.select("id", "x")
     mean = lambda t, n: long_form(scale(t)).groupBy("dim").agg(F.avg("val").alias(n))
     return mean(a, "m").join(mean(b, "n"), "dim").agg(F.sum(F.col("m") * F.col("n")).alias("similarity"))

@@ -172,8 +172,8 @@ def bucket_sql(seed, *keys: str, buckets: int) -> str:
     return f"(('0x' || substr({md5_sql(seed, *keys)}, 1, 8))::BIGINT % {buckets})"
 
 
-def sql(body: str, *names: str, recursive: bool = False, **more: str) -> str:
-    """``body`` after the named fixtures and further CTEs."""
+def sql(body: str, *names: str, recursive: bool = False, stored: bool = False, **more: str) -> str:
+    """``body`` after the named fixtures and further CTEs, which DuckDB forms once each where they are ``stored``."""
     done: dict[str, str] = {}
 
     def add(n: str) -> None:
@@ -185,7 +185,7 @@ def sql(body: str, *names: str, recursive: bool = False, **more: str) -> str:
     for n in names:
         add(n)
     done |= more
-    head = ", ".join(f"{n if n not in ('pairs',) else n} AS ({q})" for n, q in done.items())
+    head = ", ".join(f"{n} AS {'MATERIALIZED ' if stored else ''}({q})" for n, q in done.items())
     return f"WITH {'RECURSIVE ' if recursive else ''}{head} {body}" if head else body
 
 

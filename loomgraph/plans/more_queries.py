@@ -37,6 +37,9 @@ add("v14_kmeans", lambda s, d: V.kmeans_clusters(X.vectors(s, d), 8, 1))
 for _h, _e in (("dot", "list_dot_product(a.x, b.x)"), ("cosine", "list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x))"), ("euclidean", "-list_distance(a.x, b.x)")):
     add(f"v15_dataset_similarity_{_h}", lambda s, d, h=_h: r6(V.set_similarity(X.vectors(s, d).where("label < 5"), X.vectors(s, d).where("label >= 5"), h), "similarity"),
         sql(f"SELECT round(avg({_e}), 6) AS similarity FROM vectors a, vectors b WHERE a.label < 5 AND b.label >= 5", "vectors"))
+add("v15_dataset_similarity_mmd", lambda s, d: r6(V.set_similarity(X.vectors(s, d).where("label < 5"), X.vectors(s, d).where("label >= 5"), "mmd"), "similarity"),
+    sql("SELECT round(-(avg(k) FILTER (p AND q) - 2 * avg(k) FILTER (p AND NOT q) + avg(k) FILTER (NOT p AND NOT q)), 6) AS similarity FROM (SELECT p, q, " + " + ".join(f"exp(-e / (w * {f}))" for f in (0.25, 0.5, 1, 2, 4)) + " AS k FROM z2)", "vectors",
+        z="SELECT a.label < 5 AS p, b.label < 5 AS q, list_distance(a.x, b.x) ** 2 AS e FROM vectors a, vectors b", z2="SELECT p, q, e, sum(e) OVER () / (count(*) OVER () - sqrt(count(*) OVER ())) AS w FROM z"))
 add("v19_linear_probe", lambda s, d: V.linear_probe(X.vectors(s, d).where(md5_bucket("probe", "id", buckets=5) > 0), X.vectors(s, d)))
 _U = lambda at: f"(('0x' || substr({md5_sql(2, 'id', 'dim')}, {at}, 8))::BIGINT + 1)::DOUBLE / 4294967297"
 add("v20_random_vectors", lambda s, d: r6(V.random_vectors(X.nodes(s, d), 4, 2), "val"), sql(f"SELECT id, dim::INT AS dim, round(sqrt(-2 * ln({_U(1)})) * cos({_U(9)} * 6.283185307179586), 6) AS val FROM nodes, range(4) t(dim)", "nodes"))

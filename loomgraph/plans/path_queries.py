@@ -97,9 +97,9 @@ def n_parts(s, d):
 PARTS = "(SELECT count(*) FROM part)"
 _DRAWN = "SELECT id, {a} AS a, {b} AS b FROM (SELECT unnest(range({times} * (SELECT count(*) FROM pairs))) AS id)"
 _FRESH = "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY id) AS rn FROM (SELECT {src} AS src, {dst} AS dst, min(id) AS id FROM q WHERE a <> b GROUP BY 1, 2) t WHERE NOT EXISTS (SELECT 1 FROM graph g WHERE g.src = t.src AND g.dst = t.dst)) WHERE rn <= (SELECT count(*) FROM pairs)"
-# as many negatives as there are undirected edges
+# as many negatives as there are undirected edges; eight draws for each are more than enough on these sparse graphs
 add("n01_negative_edges", lambda s, d: N.negative_edges(X.graph(s, d), n_parts(s, d), X.pairs(s, d).count(), 3, undirected=True),
-    sql(_FRESH.format(src="least(a, b)", dst="greatest(a, b)"), "graph", q=_DRAWN.format(a=bucket_sql("3-a", "id", buckets=PARTS), b=bucket_sql("3-b", "id", buckets=PARTS), times=2)))
+    sql(_FRESH.format(src="least(a, b)", dst="greatest(a, b)"), "graph", q=_DRAWN.format(a=bucket_sql("3-a", "id", buckets=PARTS), b=bucket_sql("3-b", "id", buckets=PARTS), times=8)))
 
 
 def order_graphs(s, d):
@@ -111,10 +111,14 @@ def order_graphs(s, d):
 ORDERS = {"ln": "SELECT DISTINCT l_orderkey AS graph_id, l_linenumber AS id FROM lineitem", "oe": "SELECT a.graph_id, a.id AS src, b.id AS dst FROM ln a JOIN ln b ON a.graph_id = b.graph_id AND b.id = a.id + 1"}
 _AT = "(('0x' || substr({}, 1, 8))::BIGINT % n + 1)"
 add("n02_batched_negatives", lambda s, d: N.batched_negatives(*order_graphs(s, d), 2, 5),
-    sql("SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY draw) AS rn FROM (SELECT t.graph_id, x.id AS src, y.id AS dst, min(draw) AS draw FROM t JOIN i x ON x.graph_id = t.graph_id AND x.pos = a JOIN i y ON y.graph_id = t.graph_id AND y.pos = b WHERE x.id <> y.id GROUP BY 1, 2, 3) u WHERE NOT EXISTS (SELECT 1 FROM oe WHERE oe.graph_id = u.graph_id AND oe.src = u.src AND oe.dst = u.dst)) WHERE rn <= 2",
-        **ORDERS, i="SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY id) AS pos FROM ln", t=f"SELECT graph_id, draw, {_AT.format(md5_sql('5-a', 'graph_id', 'draw'))} AS a, {_AT.format(md5_sql('5-b', 'graph_id', 'draw'))} AS b FROM (SELECT graph_id, count(*) AS n FROM ln GROUP BY 1), range(6) r(draw)"))
+    sql("SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY draw NULLS LAST, h, src, dst) AS rn FROM (SELECT graph_id, src, dst, draw, NULL AS h FROM f UNION ALL SELECT x.graph_id, x.id, y.id, NULL, "
+        + md5_sql("5-c", "x.graph_id", "x.id", "y.id") + " FROM ln x JOIN ln y ON y.graph_id = x.graph_id AND x.id <> y.id WHERE NOT EXISTS (SELECT 1 FROM oe WHERE oe.graph_id = x.graph_id AND oe.src = x.id AND oe.dst = y.id) AND NOT EXISTS (SELECT 1 FROM f WHERE f.graph_id = x.graph_id AND f.src = x.id AND f.dst = y.id))) WHERE rn <= 2",
+        **ORDERS, i="SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY id) AS pos FROM ln", t=f"SELECT graph_id, draw, {_AT.format(md5_sql('5-a', 'graph_id', 'draw'))} AS a, {_AT.format(md5_sql('5-b', 'graph_id', 'draw'))} AS b FROM (SELECT graph_id, count(*) AS n FROM ln GROUP BY 1), range(6) r(draw)",
+        f="SELECT * FROM (SELECT t.graph_id, x.id AS src, y.id AS dst, min(draw) AS draw FROM t JOIN i x ON x.graph_id = t.graph_id AND x.pos = a JOIN i y ON y.graph_id = t.graph_id AND y.pos = b WHERE x.id <> y.id GROUP BY 1, 2, 3) u WHERE NOT EXISTS (SELECT 1 FROM oe WHERE oe.graph_id = u.graph_id AND oe.src = u.src AND oe.dst = u.dst)"))
 add("n03_structured_negatives", lambda s, d: N.structured_negatives(X.graph(s, d), n_parts(s, d), 4, 2),
-    sql("SELECT g.src, g.dst, arg_min(neg, t) FILTER (neg <> g.src AND h.src IS NULL) AS neg FROM (SELECT src, dst, t, " + bucket_sql(2, "src", "dst", "t", buckets=PARTS) + " AS neg FROM graph, range(4) r(t)) g LEFT JOIN graph h ON h.src = g.src AND h.dst = neg GROUP BY 1, 2", "graph"))
+    sql("SELECT q.src, q.dst, coalesce(q.neg, f.neg) AS neg FROM q LEFT JOIN (SELECT src, max(pos) AS c FROM f GROUP BY 1) c ON c.src = q.src AND q.neg IS NULL LEFT JOIN f ON f.src = q.src AND f.pos = ('0x' || substr(" + md5_sql("2-p", "q.src", "q.dst") + ", 1, 8))::BIGINT % c + 1", "graph",
+        q="SELECT g.src, g.dst, arg_min(neg, t) FILTER (neg <> g.src AND h.src IS NULL) AS neg FROM (SELECT src, dst, t, " + bucket_sql(2, "src", "dst", "t", buckets=PARTS) + " AS neg FROM graph, range(4) r(t)) g LEFT JOIN graph h ON h.src = g.src AND h.dst = neg GROUP BY 1, 2",
+        f="SELECT src, neg, row_number() OVER (PARTITION BY src ORDER BY " + md5_sql("2-r", "src", "neg") + f", neg) AS pos FROM (SELECT DISTINCT src FROM q WHERE neg IS NULL) m, range({PARTS}) r(neg) WHERE neg <> src AND NOT EXISTS (SELECT 1 FROM graph g WHERE g.src = m.src AND g.dst = neg)"))
 add("n03_feasible", lambda s, d: N.structured_feasible(X.graph(s, d), n_parts(s, d)), sql(f"SELECT max(n) < {PARTS} - 1 AS feasible FROM (SELECT count(*) AS n FROM graph GROUP BY src)", "graph"))
 add("n04_same_source_negatives", lambda s, d: N.same_source_negatives(part_pairs(s, d), n_parts(s, d), 3, 1), sql(f"SELECT src, dst, i::INT AS i, {bucket_sql(1, 'src', 'dst', 'i', buckets=PARTS)} AS neg FROM pairs, range(1, 4) t(i)", "pairs"))
 
@@ -130,10 +134,11 @@ _SUPPLIERS = {"r": "SELECT s_suppkey AS id, s_nationkey AS nat, row_number() OVE
 add("n05_complement_negatives", lambda s, d: N.complement_negatives(suppliers(s, d)[1], suppliers(s, d)[0], suppliers(s, d)[0].count(), 4),
     sql("SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY id) AS rn FROM (SELECT least(x.id, y.id) AS src, greatest(x.id, y.id) AS dst, min(q.id) AS id FROM q JOIN r x ON x.at = a JOIN r y ON y.at = b WHERE x.nat <> y.nat GROUP BY 1, 2)) WHERE rn <= (SELECT max(n) FROM r)", **_SUPPLIERS))
 add("n06_half_negatives", lambda s, d: N.negative_edges(X.graph(s, d), n_parts(s, d), X.pairs(s, d).count(), 6, over=5.0),
-    sql(_FRESH.format(src="a", dst="b"), "graph", q=_DRAWN.format(a=bucket_sql("6-a", "id", buckets=PARTS), b=bucket_sql("6-b", "id", buckets=PARTS), times=5)))
+    sql(_FRESH.format(src="a", dst="b"), "graph", q=_DRAWN.format(a=bucket_sql("6-a", "id", buckets=PARTS), b=bucket_sql("6-b", "id", buckets=PARTS), times=8)))
 add("n07_hard_negatives", lambda s, d: N.hard_negatives(X.graph(s, d), X.pairs(s, d).count(), 2), sql(f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY {md5_sql(2, 'src', 'dst')}, src, dst) AS rn FROM cand) WHERE rn <= (SELECT count(*) FROM pairs)", "cand"))
 add("n08_far_negative_node", lambda s, d: N.far_negative(roots(s, d), X.graph(s, d), n_parts(s, d), 2, 16, 1),
-    s_(f"SELECT q.root, arg_min(neg, t) AS neg FROM (SELECT root, t, {bucket_sql(1, 'root', 't', buckets=PARTS)} AS neg FROM (SELECT DISTINCT src AS root FROM graph), range(16) r(t)) q LEFT JOIN ball b ON b.root = q.root AND b.node = neg WHERE b.node IS NULL GROUP BY 1"))
+    s_("SELECT root, coalesce(neg, (SELECT arg_min(node, (" + md5_sql("1-r", "root", "node") + f", node)) FROM range({PARTS}) r(node) WHERE NOT EXISTS (SELECT 1 FROM ball b WHERE b.root = q.root AND b.node = r.node))) AS neg FROM q",
+        q=f"SELECT q.root, arg_min(neg, t) FILTER (b.node IS NULL) AS neg FROM (SELECT root, t, {bucket_sql(1, 'root', 't', buckets=PARTS)} AS neg FROM (SELECT DISTINCT src AS root FROM graph), range(16) r(t)) q LEFT JOIN ball b ON b.root = q.root AND b.node = neg GROUP BY 1"))
 add("n09_supervision_edges", lambda s, d: N.supervision_edges(part_pairs(s, d), part_pairs(s, d).select("src", F.array(F.col("dst") + 1, F.col("dst") + 2).alias("negs"))),
     sql("SELECT src, dst, 1 AS y FROM pairs UNION ALL SELECT src, dst + i, 0 FROM pairs, range(1, 3) t(i)", "pairs"))
 _R = lambda h, key="root, node": f"row_number() OVER (PARTITION BY root ORDER BY {md5_sql(h, 'root', 'node')}, node)"
@@ -148,7 +153,7 @@ add("n11_enclosing_subgraph", lambda s, d: N.enclosing_subgraphs(part_pairs(s, d
 _KEY = "p.src || '-' || p.dst"
 _CUT = "SELECT k, node FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {md5}, node) AS rn, count(*) OVER (PARTITION BY k) AS n FROM ({ring})) WHERE rn <= least(floor(n * 0.5), 3)"
 add("n11_capped_enclosing_subgraph", lambda s, d: N.enclosing_subgraphs(part_pairs(s, d).select(F.concat_ws("-", "src", "dst").alias("sample_id"), "src", "dst"), part_pairs(s, d), 2, 0.5, 3, True, 5),
-    sql("SELECT a.k AS sample_id, g.src, g.dst FROM b a JOIN pairs g ON g.src = a.node JOIN b c ON c.k = a.k AND c.node = g.dst WHERE a.k <> g.src || '-' || g.dst", "graph",
+    sql("SELECT a.k AS sample_id, g.src, g.dst FROM b a JOIN pairs g ON g.src = a.node JOIN b c ON c.k = a.k AND c.node = g.dst WHERE a.k <> g.src || '-' || g.dst", "graph", stored=True,
         b0=f"SELECT {_KEY} AS k, src AS node FROM pairs p UNION SELECT {_KEY}, dst FROM pairs p",
         r1="SELECT DISTINCT k, dst AS node FROM b0 JOIN graph ON src = node EXCEPT SELECT k, node FROM b0",
         b1=_CUT.format(md5=md5_sql("5-1", "k", "node"), ring="SELECT * FROM r1"),

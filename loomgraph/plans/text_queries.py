@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.storage import table
 from loomgraph.operators import edges as E
 from loomgraph.operators import paths as P
+from loomgraph.operators import reduction as R
 from loomgraph.operators import sketches as K
 from loomgraph.operators import splits as S
 from loomgraph.operators import text as T
@@ -110,6 +111,15 @@ for _h in ("sum", "avg", "max"):
     add(f"v07_segment_pool_{_h}", lambda s, d, h=_h: r6(V.segment_pool(feats(s, d), X.nodes(s, d).select("id", F.col("kind").alias("g")), h), "val"), sql(f"SELECT kind AS g, dim, round({_h}(val), 6) AS val FROM fe JOIN nodes USING (id) GROUP BY 1, 2", "nodes", fe=FE))
 add("v08_tfidf", lambda s, d: r6(V.tfidf(part(s, d).select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))), "weight"),
     "WITH w AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name || ' ' || p_brand), ' ')) AS term FROM part), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2), q AS (SELECT id, term, tf * (ln((1.0 + (SELECT count(*) FROM part)) / (1 + count(*) OVER (PARTITION BY term))) + 1) AS x FROM tf) SELECT id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS weight FROM q")
+def texts(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+TERMS = "SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents) GROUP BY 1, 2"
+add("v08_tfidf_terms", lambda s, d: r6(R.limited_tfidf(texts(s, d)), "weight"),
+    sql("SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM (SELECT id, term, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN k USING (term))", tf=TERMS,
+        k="SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 3000"))
+add("v08_tfidf_svd", lambda s, d: R.tfidf_svd(texts(s, d))[0])
 add("v09_cosine_topk_graph", lambda s, d: r6(V.cosine_top_k(X.vectors(s, d), 5), "sim"),
     sql("SELECT id, other, round(sim, 6) AS sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rank FROM (SELECT a.id, b.id AS other, round(list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x)) / sqrt(list_dot_product(b.x, b.x)), 9) AS sim FROM vectors a JOIN vectors b ON a.id <> b.id) WHERE sim > 0) WHERE rank <= 5", "vectors"))
 add("v11_pair_cosine", lambda s, d: r6(V.pair_cosine(part_pairs(s, d), X.nodes(s, d).select("id", F.array(F.col("size").cast("double"), F.lit(3.0)).alias("x"))), "cosine"),
@@ -163,3 +173,12 @@ add("k04_hll_count", lambda s, d: K.hll_counts(K.hll_neighbourhoods(X.graph(s, d
 add("k05_minhash_jaccard", lambda s, d: K.minhash_jaccard(part_pairs(s, d), K.minhash_propagate(hashes(s, d), X.graph(s, d)), 32),
     sql("SELECT p.src, p.dst, count(*) FILTER (a.h = b.h) / 32 AS jaccard FROM pairs p JOIN mp a ON a.id = p.src JOIN mp b ON b.id = p.dst AND b.slot = a.slot GROUP BY 1, 2", "linked", mh=MH, mp=MP))
 add("k06_khop_intersection", lambda s, d: r6(K.intersections(part_pairs(s, d), K.minhash_neighbourhoods(K.minhash(X.linked(s, d), 64), X.graph(s, d), 2), K.hll_neighbourhoods(X.graph(s, d), X.linked(s, d), 2), 64), "n"))
+
+
+def features(s, d, hops):
+    g, n = X.graph(s, d), X.linked(s, d)
+    return K.sketch_features(part_pairs(s, d), K.minhash_neighbourhoods(K.minhash(n, 128), g, hops), K.hll_neighbourhoods(g, n, hops, 12), 128, hops)
+
+
+for _h in (1, 2, 3):
+    add(f"k07_sketch_features_{_h}", lambda s, d, h=_h: r6(features(s, d, h), *[f"n_{i}_{j}" for i, j in K.cells(h)]))

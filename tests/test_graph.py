@@ -67,9 +67,37 @@ def test_complement_negatives_of_many_nodes(spark):
     # few free pairs: the bound has to rise to all pairs
     few = edges(spark, *[(a, b) for a in range(12) for b in range(a + 1, 12) if (a, b) not in ((2, 7), (5, 6))], both=False)
     assert {tuple(r) for r in N.complement_negatives(few, spark.range(12), 5).collect()} == {(2, 7), (5, 6)}
-    md5 = lambda a, b: hashlib.md5(f"9|{a}|{b}".encode()).hexdigest()
-    want = sorted((md5(a, b), a, b) for a in range(300) for b in range(a + 1, 300))[:40]
-    assert [tuple(r) for r in N.complement_negatives(few.limit(0), spark.range(300), 40, 9).collect()] == [w[1:] for w in want]
+    # one order for every k: a larger k goes on where a smaller one stops, through the draws and then the rest
+    known = {(0, 1), (3, 4)}
+    e = edges(spark, *known, both=False)
+    free = {(a, b) for a in range(10) for b in range(a + 1, 10)} - known
+    runs = {k: [tuple(r) for r in N.complement_negatives(e, spark.range(10), k, 9).collect()] for k in (5, 21, 22, 40, 43, 99)}
+    for k, got in runs.items():
+        assert len(got) == len(set(got)) == min(k, 43) and set(got) <= free
+        assert all(set(runs[j]) <= set(got) for j in runs if j < k)
+    draw = lambda side, i: int(hashlib.md5(f"9-{side}|{i}".encode()).hexdigest()[:8], 16) % 10
+    want = dict.fromkeys(p for i in range(200) if (p := tuple(sorted((draw("a", i), draw("b", i))))) in free)
+    assert set(runs[21]) == set(list(want)[:21])
+
+
+def test_negatives_are_complete(spark):
+    # all but a few pairs are linked: draws alone would miss the rest
+    n = 12
+    free = {(2, 7), (7, 2), (5, 6)}
+    e = edges(spark, *[(a, b) for a in range(n) for b in range(n) if a != b and (a, b) not in free], both=False)
+    assert {tuple(r) for r in N.negative_edges(e, n, 9, 1).collect()} == free
+    assert len(N.negative_edges(e, n, 2, 1).collect()) == 2
+    got = N.structured_negatives(e, n, 2).collect()
+    assert len(got) == n * (n - 1) - 3 and {(r.src, r.neg) for r in got if r.neg is not None} == free
+    assert all(r.neg is None for r in got if r.src not in (2, 5, 7))
+    hub = edges(spark, *[(0, i) for i in range(1, n - 1)])
+    far = {r.root: r.neg for r in N.far_negative(spark.createDataFrame([(0,), (3,)], "root long"), hub, n, 2, 1).collect()}
+    assert far == {0: 11, 3: 11}
+    assert N.far_negative(spark.createDataFrame([(0,)], "root long"), hub, n - 1, 2, 1).first().neg is None
+    g = e.withColumn("graph_id", F.lit(1)).unionByName(e.where("false").withColumn("graph_id", F.lit(2)))
+    nodes = spark.createDataFrame([(1, i) for i in range(n)] + [(2, 8), (2, 9), (3, 4)], "graph_id int, id long")
+    got = [tuple(r) for r in N.batched_negatives(g, nodes, 4).collect()]
+    assert {r[1:] for r in got if r[0] == 1} == free and {r[1:] for r in got if r[0] == 2} == {(8, 9), (9, 8)} and len(got) == 5
 
 
 def test_drnl_values(spark):

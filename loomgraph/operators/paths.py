@@ -121,7 +121,8 @@ def ppr_power(links: DataFrame, edges: DataFrame, damping: float = 0.85, tol: fl
     dead = nodes.join(share.select("node").distinct(), "node", "left_anti").select("node", F.lit(None).cast("string").alias("to"), F.lit(damping).alias("p"))
     home = roots.select(F.concat(F.lit("h"), "blk").alias("node"), of("root").alias("to"), F.lit(1.0).alias("p"), "at")
     moves = share.unionByName(dead).withColumn("at", F.lit(-1)).unionByName(home)
-    step = stash(moves.unionByName(nodes.select("node", F.col("node").alias("to"), F.lit(0.0).alias("p"), F.lit(-2).alias("at"))), "transition")
+    every = nodes.unionByName(home.select("node").distinct())
+    step = stash(moves.unionByName(every.select("node", F.col("node").alias("to"), F.lit(0.0).alias("p"), F.lit(-2).alias("at"))), "transition")
     start = roots.select("blk", of("root").alias("node"), F.lit(0.0).alias("p"), (-3 - F.col("at")).alias("at"), F.lit(None).cast("binary").alias("v"))
 
     def round_of(state: DataFrame, weight: float) -> DataFrame:

@@ -44,6 +44,7 @@ BLOCKS = {
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What an opening tag closes when it is the innermost open element of its kind, up to the given borders.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -267,6 +268,35 @@ def weigh(nodes: list[Node]) -> None:
             node.sums = max(node.sums, node.density if node.tag not in ("a", "li") else 0.0)
 
 
+def titled(node: Node, child: Node) -> bool:
+    """Whether what stands beside ``child`` in ``node`` belongs to the same article though it is short: all of it is plain text, at
+    least one heading stands before the child, and in the body itself there is no other division."""
+    seen = False
+    for p in node.parts:
+        if not isinstance(p, Node) or p.drop or not p.chars:
+            seen = seen or p is child
+            continue
+        if p is child:
+            if not head_before(node, child):
+                return False
+            seen = True
+        elif 2 * p.links > p.chars or node.tag in ("body", "html") and p.tag in ("div", "section", "header", "main", "article", "table"):
+            return False
+    return seen
+
+
+def head_before(node: Node, child: Node) -> bool:
+    """Whether a kept heading stands before the child, alone or in a header or group."""
+    for p in node.parts:
+        if p is child:
+            return False
+        if isinstance(p, Node) and not p.drop and p.chars > p.links:
+            inner = [p, *(q for q in p.parts if isinstance(q, Node))] if p.tag in ("header", "hgroup") else [p]
+            if any(q.tag in HEADINGS and not q.drop for q in inner):
+                return True
+    return False
+
+
 def core(nodes: list[Node]) -> Node | None:
     """The chosen subtree."""
     some = [n for n in nodes if n.chars > n.links and (n.tag in BLOCKS or n.parent is None)]
@@ -293,6 +323,10 @@ def core(nodes: list[Node]) -> Node | None:
             and (not edge or p.tag in edge or inside and "main" not in edge)
             for p in node.parts
         )
+        child = path[i - 1]
+        # what stands beside the article in its own parent is judged with the parent, short as it may be
+        like = "article" in edge and node.tag == "main" and any(isinstance(p, Node) and not p.drop and p is not child and p.tag == "article" and p.chars > p.links for p in node.parts)
+        more = more or like or not edge and titled(node, child)
         if more or node.tag == "article" and 2 * plain >= node.chars - node.links:
             at = i
         elif edge or node.tag not in BLOCKS:
@@ -344,7 +378,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns of ``pages`` but the html, plus text and n_chars."""
-    keep = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", html)]
+    keep = [f for f in pages.schema.fields if f.name.lower() not in ("text", "n_chars") and f.name != html]
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     source, = unused([f.name for f in keep], "html")
     rows = pages.select(*quoted([f.name for f in keep]), F.col(html).alias(source))

@@ -182,7 +182,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def predict(docs: DataFrame, model: CentroidModel, text: str = "text", max_distance: float = 1.0) -> DataFrame:
     """All columns of ``docs`` plus lang_pred and score."""
-    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    keep = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
     schema = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     docs = docs.select(*quoted([f.name for f in keep]))
 

@@ -342,7 +342,7 @@ def score_of(model: ToxicityModel, found: str, logit: str) -> Column:
 
 def predict(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus score and predicted."""
-    keep = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
+    keep = [f for f in docs.schema.fields if f.name.lower() not in ("score", "predicted")]
     schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     docs = docs.select(*quoted([f.name for f in keep]))
     if model is None:

@@ -29,11 +29,15 @@ def _home(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/loom-{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_delete = delete  # as loomgraph.llm imports it
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back with its schema: no lineage, any number of reads."""
     spark = df.sparkSession
@@ -73,12 +77,12 @@ def discard(*stashed: DataFrame) -> None:
     for df in stashed:
         if df._stash_table:
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._stash_table}")
-        _delete(df.sparkSession, df._stash_path)
+        delete(df.sparkSession, df._stash_path)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete every table that this application has stashed. Results that were not written elsewhere are lost."""
-    _delete(spark, _home(spark))
+    delete(spark, _home(spark))
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:

@@ -67,9 +67,9 @@ def elo_fold(a, b, win, **how) -> dict[str, float]:
     return elo_steps(zip(a, b, win, strict=True), **how)
 
 
-def elo_steps(votes: Iterable[tuple], k: float = 4.0, scale: float = 400.0, base: float = 10.0, start: float = 1000.0) -> dict[str, float]:
-    """The same of (a, b, win), one at a time."""
-    rating: dict[str, float] = {}
+def elo_steps(votes: Iterable[tuple], k: float = 4.0, scale: float = 400.0, base: float = 10.0, start: float = 1000.0, rating: dict[str, float] | None = None) -> dict[str, float]:
+    """The same of (a, b, win), one at a time; ``rating`` are the ratings before the first, which are changed in place."""
+    rating = {} if rating is None else rating
     gain = {"model_a": 1.0, "model_b": 0.0, "tie": 0.5, "tie (bothbad)": 0.5}
     for x, y, w in votes:
         rx, ry = rating.get(x, start), rating.get(y, start)
@@ -80,23 +80,35 @@ def elo_steps(votes: Iterable[tuple], k: float = 4.0, scale: float = 400.0, base
     return rating
 
 
-def elo(battles: DataFrame, board: str, order: list[str], **how) -> DataFrame:
-    """L02. (board, model, rating): one sequential fold for each board, in the given order. Spark sorts, so a board may
-    exceed a task's memory; the fold holds the ratings of its models."""
-    rows = battles.select(F.col(board).cast("string").alias("_board"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "model_a", "model_b", "win")
-    rows = rows.repartition("_board").sortWithinPartitions("_board", *[F.col(f"_o{i}").asc_nulls_last() for i in range(len(order))])
+def elo(battles: DataFrame, board: str, order: list[str], before: DataFrame | None = None, **how) -> DataFrame:
+    """L02. (board, model, rating): one sequential fold for each board, in the given order, from the ratings ``before`` (board, model,
+    rating) on. Spark sorts, so a board may exceed a task's memory; the fold holds the ratings of its models."""
+    keys = [f"_o{i}" for i in range(len(order))]
+    rows = battles.select(F.col(board).cast("string").alias("_board"), F.lit(1).alias("_k"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], "model_a", "model_b", "win", F.lit(None).cast("double").alias("_r"))
+    if before is not None:  # a board's ratings come first
+        told = before.select(F.col("board").alias("_board"), F.lit(0).alias("_k"), F.col("model").alias("model_a"), F.col("rating").alias("_r"))
+        rows = rows.unionByName(told, allowMissingColumns=True)
+    rows = rows.repartition("_board").sortWithinPartitions("_board", "_k", *[F.col(k).asc_nulls_last() for k in keys])
+
+    def votes_of(rows: Iterable[tuple], known: dict[str, float]) -> Iterator[tuple]:
+        for _, k, a, b, win, r in rows:
+            if k:
+                yield a, b, win
+            else:
+                known[a] = r
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("_board", "model_a", "model_b", "win")
-        votes = (v for batch in batches for v in zip(*[batch.column(n).to_pylist() for n in names], strict=True))
-        for name, own in groupby(votes, key=lambda v: v[0]):
-            r = elo_steps((v[1:] for v in own), **how)
+        names = ("_board", "_k", "model_a", "model_b", "win", "_r")
+        rows = (v for batch in batches for v in zip(*[batch.column(n).to_pylist() for n in names], strict=True))
+        for name, own in groupby(rows, key=lambda v: v[0]):
+            known: dict[str, float] = {}
+            r = elo_steps(votes_of(own, known), rating=known, **how)
             yield pa.RecordBatch.from_pydict(
                 {"board": [name] * len(r), "model": list(r), "rating": list(r.values())},
                 schema=pa.schema([("board", pa.string()), ("model", pa.string()), ("rating", pa.float64())]),
             )
 
-    return rows.select("_board", "model_a", "model_b", "win").mapInArrow(fold, "board string, model string, rating double")
+    return rows.select("_board", "_k", "model_a", "model_b", "win", "_r").mapInArrow(fold, "board string, model string, rating double")
 
 
 def elo_bootstrap(battles: DataFrame, rounds: int, seed: int = 0, **how) -> DataFrame:

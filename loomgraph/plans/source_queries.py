@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions.storage import shared_folder, table
+from loomgraph.functions.ranking import global_rank
+from loomgraph.functions.storage import shared_folder, stash, table
 from loomgraph.operators import augment as G
 from loomgraph.plans import fixtures as X
+from loomgraph.plans import log_queries as Q
 from loomgraph.plans.fixtures import md5_sql, sql
 from loomgraph.plans.path_queries import ORDERS, order_graphs
 from loomgraph.sources import files as S
@@ -141,3 +143,25 @@ def _live_usage(s, d):
 
 add("w01_live_usage_refresh", _live_usage, "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 add("w02_live_votes", lambda s, d: W.run_available(W.live_votes(_event_files(s, d, X.vote_log(s, d)), late="400 days"), place(s, "votes")), sql("SELECT * FROM battles", "battles"))
+
+
+def _live_counts(s, d):
+    return W.live_counts(_event_files(s, d, Q.usage(s, d)), place(s, "counts"), timezone="America/Bogota")
+
+
+add("w01_live_recency", lambda s, d: W.live_recency(_live_counts(s, d)).withColumnRenamed("kind", "type"), Q.BOOK.sql["l07_recency_by_type"])
+add("w01_live_days", lambda s, d: W.live_days(_live_counts(s, d)).withColumn("day", F.col("day").cast("string")), Q.BOOK.sql["l09_daily_counts"])
+add("w01_live_hours", lambda s, d: W.live_hours(_live_counts(s, d), "click"), Q.BOOK.sql["l10_hourly_buckets"])
+
+
+def _vote_files(s, d, parts=3):
+    """The clean votes by time, a file for each of ``parts`` stretches, the older ones first."""
+    votes = Q.battles(s, d).withColumn("board", (F.col("vote_id") % 4).cast("string"))
+    ranked, p = stash(global_rank(votes, [F.col("tstamp"), F.col("vote_id")], "pos"), "votes"), place(s, "votes")
+    n = ranked.count()
+    for k in range(parts):
+        ranked.where(F.floor((F.col("pos") - 1) * parts / n) == k).drop("pos").coalesce(1).write.mode("append").parquet(p)
+    return s.readStream.schema(votes.schema).option("maxFilesPerTrigger", 1).parquet(p)
+
+
+add("w02_live_ratings", lambda s, d: W.live_ratings(_vote_files(s, d), place(s, "ratings")).withColumn("rating", F.round("rating", 6)), Q.BOOK.sql["l02_elo"])

@@ -72,14 +72,14 @@ _BORDER = "\x1f"
 def planes(ids: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     """(bits of the plane as booleans, number of zeros) from the highest bit down."""
     for b in reversed(range(bits)):
-        on = (ids >> b & 1).astype(bool)
+        on = (ids & ids.dtype.type(1 << b)) != 0
         yield on, int(len(on) - np.count_nonzero(on))
         ids = np.concatenate([ids[~on], ids[on]])
 
 
 def write_matrix(out, ids: np.ndarray, bits: int, docs: pa.Table, chunk_bits: int = CHUNK_BITS) -> int:
     """Write one shard to a binary stream; returns its bytes. ``docs``: key and n_tokens of its documents in order."""
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=1)
     at = out.write(MAGIC) or len(MAGIC)
     zeros, offsets, ones = [], [], []
     for on, z in planes(ids, bits):
@@ -245,11 +245,24 @@ class PieceEncoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.path, self.remembered = path, remembered
+        self.known: dict[str, int] = {}
+        self.last: tuple[list[str], np.ndarray] = [], np.zeros(0, dtype=np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.sizes, self.pool = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+        """Keeps only what the last texts had."""
+        if not self.known:
+            self.sizes, self.pool = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+            return
+        pieces, numbers = self.last
+        self.known = dict(zip(pieces, range(len(pieces)), strict=True))
+        kept = self._lists().take(pa.array(numbers))
+        self.sizes, self.pool = [np.diff(np.asarray(kept.offsets, dtype=np.int64))], [np.asarray(kept.flatten())]
+
+    def _lists(self) -> pa.LargeListArray:
+        """The ids of all known pieces by their numbers."""
+        self.sizes, self.pool = [np.concatenate(self.sizes)], [np.concatenate(self.pool)]
+        return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(self.sizes[0])]), pa.array(self.pool[0]))
 
     def _learn(self, pieces: list[str], encodings: list) -> None:
         """Number the pieces on and keep their ids."""
@@ -259,22 +272,29 @@ class PieceEncoder:
         self.pool.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(self.sizes[-1].sum())))
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """The number of each piece, after the unknown ones were encoded."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        word = np.asarray(pc.match_substring_regex(pa.array(new, pa.large_string()), _WORD))
-        words = [p for p, w in zip(new, word, strict=True) if w]
-        model, names = _word_model(self.path)
-        for s in range(0, len(words), 20_000):
-            part = words[s : s + 20_000]
-            named = "\n".join(part)
-            for letter, name in names:
-                named = named.replace(letter, name)
-            self._learn(part, model.encode_batch_fast(named.split("\n"), add_special_tokens=False))
-        others = [p for p, w in zip(new, word, strict=True) if not w]
-        for s in range(0, len(others), 20_000):
-            part = others[s : s + 20_000]
-            self._learn(part, _tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False))
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        """The number of each of different pieces, after the unknown ones were encoded."""
+        found = list(map(self.known.get, pieces))
+        at = [i for i, n in enumerate(found) if n is None]
+        if at:
+            new = pa.array([pieces[i] for i in at], pa.large_string())
+            word = np.asarray(pc.match_substring_regex(new, _WORD))
+            model, names = _word_model(self.path)
+            start = len(self.known)
+            words, others = new.filter(pa.array(word)).to_pylist(), new.filter(pa.array(~word)).to_pylist()
+            for s in range(0, len(words), 20_000):
+                part = words[s : s + 20_000]
+                named = "\n".join(part)
+                for letter, name in names:
+                    named = named.replace(letter, name)
+                self._learn(part, model.encode_batch_fast(named.split("\n"), add_special_tokens=False))
+            for s in range(0, len(others), 20_000):
+                part = others[s : s + 20_000]
+                self._learn(part, _tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False))
+            fresh = np.empty(len(at), dtype=np.int64)
+            fresh[word], fresh[~word] = start + np.arange(len(words)), start + len(words) + np.arange(len(others))
+            for i, n in zip(at, fresh.tolist(), strict=True):
+                found[i] = n
+        return np.fromiter(found, np.int64, len(found))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -287,7 +307,10 @@ class PieceEncoder:
         cut = pc.replace_substring_regex(cut, f"([^{_CLASS}])\n([^{_CLASS}])", f"\\1{_BORDER}\n{_BORDER}\\2")
         split = pc.split_pattern(pc.replace_substring(cut, " ", f"{_BORDER} "), _BORDER)
         coded = pc.dictionary_encode(split.values)
-        numbers = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices, dtype=np.int64)]
+        pieces = coded.dictionary.to_pylist()
+        own = self._numbers(pieces)
+        self.last = pieces, own
+        numbers = pa.array(own).take(coded.indices)
         counts = np.zeros(len(texts), dtype=np.int64)
         counts[~odd] = np.diff(np.asarray(split.offsets, dtype=np.int64))
         if odd.any():  # other white space beside a space: these texts are cut at the safe spaces alone
@@ -295,11 +318,11 @@ class PieceEncoder:
             counts[odd] = [len(r) for r in rows]
             of_odd = np.repeat(odd, counts)
             seq = np.empty(len(of_odd), dtype=np.int64)
-            seq[~of_odd], seq[of_odd] = numbers, self._numbers([p for r in rows for p in r])
-            numbers = seq
-        self.sizes, self.pool = [np.concatenate(self.sizes)], [np.concatenate(self.pool)]
-        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(self.sizes[0])]), pa.array(self.pool[0]))
-        taken = lists.take(pa.array(numbers))
+            loose = [p for r in rows for p in r]
+            place = {p: i for i, p in enumerate(dict.fromkeys(loose))}
+            seq[~of_odd], seq[of_odd] = np.asarray(numbers), self._numbers(list(place))[[place[p] for p in loose]] if loose else 0
+            numbers = pa.array(seq)
+        taken = self._lists().take(numbers)
         upto = np.asarray(taken.offsets, dtype=np.int64)
         ends = np.cumsum(counts)
         return np.asarray(taken.values), upto[ends] - upto[ends - counts]

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.columns import unused
 from loomgraph.functions.ranking import first_rows, global_rank, group_rank, md5_bucket, md5_key, md5_rank, wide_group_rank, wide_md5_rank
 from loomgraph.functions.storage import discard, stash
 from loomgraph.operators.edges import canonical, induced
 from loomgraph.operators.paths import khop
 
 
+def _with_ids(rows: DataFrame, first: int, last: int, name: str, step: int = 100_000) -> DataFrame:
+    """Each row with every id from ``first`` to ``last``, in stretches of ``step``."""
+    at, = unused([*rows.columns, name], "at")
+    far = rows.withColumn(at, F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"), F.lit(step).cast("long"))))
+    return far.withColumn(name, F.explode(F.sequence(F.col(at), F.least(F.col(at) + step - 1, F.lit(last).cast("long"))))).drop(at)
+
+
 def _first_drawn(draw: Callable[[int], DataFrame], gone: DataFrame, k: int, start: int, most: int, rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(src, dst): the first ``k`` distinct drawn pairs that are not in ``gone``, in the order of the draws. ``draw(n)`` is the first n
     of one sequence (id, src, dst), so a larger k only goes on. Draws are doubled up to ``most``, about twice as many as there
@@ -40,7 +48,7 @@ def negative_edges(edges: DataFrame, n_nodes: int, k: int, seed=0, over: float =
 
     def rest(met: DataFrame) -> DataFrame:
         ids = edges.sparkSession.range(n_nodes)
-        pairs = ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(n_nodes - 1))).cast("long").alias("dst")).where("src < dst" if undirected else "src <> dst")
+        pairs = _with_ids(ids.select(F.col("id").alias("src")), 0, n_nodes - 1, "dst").where("src < dst" if undirected else "src <> dst")
         return pairs.join(gone, ["src", "dst"], "left_anti").join(met, ["src", "dst"], "left_anti").withColumn("h", md5_key(f"{seed}-c", "src", "dst"))
 
     gone = edges.select("src", "dst").distinct()
@@ -81,7 +89,7 @@ def structured_negatives(edges: DataFrame, n_nodes: int, tries: int, seed=0) ->
     first = drawn.join(known, ["src", "neg"], "left_anti").groupBy("src", "dst").agg(F.min_by("neg", "t").alias("neg"))
     told = stash(links.join(first, ["src", "dst"], "left"), "negatives")
     missed = told.where("neg is null").select("src", "dst")
-    free = missed.select("src").distinct().select("src", F.explode(F.sequence(F.lit(0), F.lit(n_nodes - 1))).cast("long").alias("neg")).where("neg <> src").join(known, ["src", "neg"], "left_anti")
+    free = _with_ids(missed.select("src").distinct(), 0, n_nodes - 1, "neg").where("neg <> src").join(known, ["src", "neg"], "left_anti")
     ranked = wide_group_rank(free.withColumn("h", md5_key(f"{seed}-r", "src", "neg")), ["src"], [F.col("h"), F.col("neg")], "pos").drop("h")
     count = ranked.groupBy("src").agg(F.max("pos").alias("c"))
     at = F.pmod(F.conv(F.substring(md5_key(f"{seed}-p", "src", "dst"), 1, 8), 16, 10).cast("long"), F.col("c")) + 1
@@ -117,7 +125,7 @@ def complement_negatives(edges: DataFrame, nodes: DataFrame, k: int, seed=0) ->
         return drawn.join(ids.toDF("x", "a"), "a").join(ids.toDF("y", "b"), "b").select("id", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
 
     def rest(met: DataFrame) -> DataFrame:
-        pairs = ids.select(F.col("id").alias("src"), "at", F.explode(F.sequence(F.lit(1), F.lit(n))).cast("long").alias("to")).where(F.col("to") > F.col("at"))
+        pairs = _with_ids(ids.select(F.col("id").alias("src"), "at"), 1, n, "to").where(F.col("to") > F.col("at"))
         named = pairs.join(ids.select(F.col("id").alias("dst"), F.col("at").alias("to")), "to").select("src", "dst")
         return named.join(gone, ["src", "dst"], "left_anti").join(met, ["src", "dst"], "left_anti").withColumn("h", md5_key(f"{seed}-c", "src", "dst"))
 
@@ -142,7 +150,7 @@ def far_negative(roots: DataFrame, edges: DataFrame, n_nodes: int, hops: int, tr
     told = stash(roots.select("root").join(first, "root", "left"), "negatives")
     missed = told.where("neg is null").select("root")
     # a ball that all draws hit holds most nodes
-    free = missed.select("root", F.explode(F.sequence(F.lit(0), F.lit(n_nodes - 1))).cast("long").alias("node")).join(ball, ["root", "node"], "left_anti")
+    free = _with_ids(missed, 0, n_nodes - 1, "node").join(ball, ["root", "node"], "left_anti")
     second = free.groupBy("root").agg(F.min_by("node", F.struct(md5_key(f"{seed}-r", "root", "node"), "node")).alias("neg"))
     return told.where("neg is not null").unionByName(missed.join(second, "root", "left"))
 

@@ -203,8 +203,8 @@ def enclosing_subgraphs(links: DataFrame, edges: DataFrame, hops: int, ratio: fl
     return inside.withColumns({"_lo": F.least("src", "dst"), "_hi": F.greatest("src", "dst")}).join(gone, ["sample_id", "_lo", "_hi"], "left_anti").select("sample_id", "src", "dst")
 
 
-def fixed_tree(roots: DataFrame, edges: DataFrame, fanouts: list[int], pad: int = -1, seed=0) -> DataFrame:
-    """N12. (root, nodes): the root and, level by level, ``s`` seeded neighbours of each position, padded; every root
+def tree_positions(roots: DataFrame, edges: DataFrame, fanouts: list[int], pad: int = -1, seed=0) -> DataFrame:
+    """N12. (root, pos, node): the root and, level by level, ``s`` seeded neighbours of each position, padded; every root
     gets the same number of positions."""
     ranked = wide_md5_rank(edges.withColumn("_k", F.concat_ws("-", "src", "dst")), seed, "_k", ["src"]).select(F.col("src").alias("node"), "rn", F.col("dst").alias("_to"))
     level = roots.select("root", F.lit(0).alias("pos"), F.col("root").alias("node"))
@@ -216,7 +216,12 @@ def fixed_tree(roots: DataFrame, edges: DataFrame, fanouts: list[int], pad: int
         out = out.unionByName(level)
         width *= s
         base += width
-    return out.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("nodes"))
+    return out
+
+
+def fixed_tree(roots: DataFrame, edges: DataFrame, fanouts: list[int], pad: int = -1, seed=0) -> DataFrame:
+    """N12. (root, nodes): the nodes of :func:`tree_positions` in their order."""
+    return tree_positions(roots, edges, fanouts, pad, seed).groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("nodes"))
 
 
 def fanout_sample(roots: DataFrame, edges: DataFrame, sizes: list[int], limit: int, seed=0) -> DataFrame:

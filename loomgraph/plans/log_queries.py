@@ -43,7 +43,7 @@ add("l01_reject_counts", lambda s, d: L.reject_counts(X.vote_log(s, d)),
     sql("SELECT count(*) AS votes, count(*) FILTER (reason = 'invalid') AS invalid, count(*) FILTER (reason = 'leaked') AS leaked, count(*) FILTER (reason IS NULL) AS battles, count(*) FILTER (reason IS NULL AND anony) AS anony FROM judged", "judged"))
 add("l02_elo", lambda s, d: L.elo(battles(s, d).withColumn("board", (F.col("vote_id") % 4).cast("string")), "board", ["tstamp", "vote_id"]).withColumn("rating", F.round("rating", 6)),
     sql("SELECT board, m AS model, round(x, 6) AS rating FROM (SELECT board, unnest([" + ", ".join(f"'{m}'" for m in MODELS) + "]) AS m, unnest(r) AS x FROM e WHERE pos = (SELECT max(pos) FROM o WHERE o.board = e.board)) WHERE x IS NOT NULL", "battles", recursive=True, **_fold("(vote_id % 4)::VARCHAR", "battles", "tstamp, vote_id")))
-add("l03_elo_bootstrap", lambda s, d: L.elo_bootstrap(battles(s, d), 20).select("model", *[F.round(c, 4).alias(c) for c in ("lower", "rating", "upper")]))
+add("l03_elo_bootstrap", lambda s, d: L.elo_bootstrap(battles(s, d), 200).select("model", *[F.round(c, 4).alias(c) for c in ("lower", "rating", "upper")]))
 _WIN = "SELECT model, other, avg(w) AS fraction FROM (SELECT model_a AS model, model_b AS other, (win = 'model_a')::INT AS w FROM battles UNION ALL SELECT model_b, model_a, (win = 'model_b')::INT FROM battles) GROUP BY 1, 2"
 add("l04_win_fraction", lambda s, d: L.win_fraction(battles(s, d)).withColumn("fraction", F.round("fraction", 6)), sql("SELECT model, other, round(fraction, 6) AS fraction FROM w", "battles", w=_WIN))
 add("l04_win_matrix", lambda s, d: L.win_matrix(battles(s, d), MODELS).select("place", "model", *[F.round(F.col(f"`{m}`"), 6).alias(m) for m in MODELS]),

@@ -13,6 +13,8 @@ from loomgraph.operators import splits as S
 from loomgraph.operators import text as T
 from loomgraph.operators import vectors as V
 from loomgraph.plans import fixtures as X
+from loomgraph.plans import metric_queries as MQ
+from loomgraph.plans import path_queries as PQ
 from loomgraph.plans.fixtures import bucket_sql, md5_sql, sql
 from loomgraph.plans.path_queries import ORDERS, order_graphs, part_pairs, roots
 from loomgraph.plans.source_queries import gnodes
@@ -101,3 +103,6 @@ add("u03_encoder_hook", lambda s, d: U.encode(X.nodes(s, d).select("id", "name")
     sql("SELECT id, length(name)::FLOAT AS x0, ascii(name)::FLOAT AS x1 FROM nodes", "nodes"))
 add("u04_custom_metric", lambda s, d: r6(U.metric(X.preds(s, d).withColumn("pred", F.col("a")), ["split"], lambda p, y: F.avg(F.abs(p - y))), "value"), sql("SELECT split, round(avg(abs(a - y)), 6) AS value FROM preds GROUP BY 1", "preds"))
 add("u05_expand_rows", lambda s, d: U.expand(X.nodes(s, d).select("id", "name"), lambda r: F.split("name", " ")).select("id", "pos", "item"), sql("SELECT id, (generate_subscripts(w, 1) - 1)::INT AS pos, unnest(w) AS item FROM (SELECT id, string_split(name, ' ') AS w FROM nodes)", "nodes"))
+add("u04_stateful_metric", lambda s, d: r6(U.metric_with_state(X.scored(s, d).withColumnRenamed("score", "pred"), ["task"], U.HitsAtK(800)), "value"),
+    MQ.BOOK.sql["m06_hits_at_k"].replace("SELECT task, round", "SELECT task, value FROM (SELECT task, round", 1).replace("AS hits_800", "AS value") + ")")
+add("u05_table_function", lambda s, d: U.expand_table(N.tree_positions(PQ.roots(s, d), X.graph(s, d), [3, 2], -1, 2), U.NodeSequence, ["root"], ["pos"]).select("root", F.array_join("nodes", ",").alias("nodes")), PQ.BOOK.sql["n12_fixed_tree_sequence"])

@@ -64,8 +64,8 @@ add("t13_first_seen_names", lambda s, d: T.first_seen_names(part(s, d).select(F.
     "SELECT p_brand AS label, arg_min(p_name, p_partkey) AS name, min(p_partkey) AS pos FROM part GROUP BY 1")
 add("t14_choice_codes", lambda s, d: T.choice_codes(table(s, d, "nation").select(F.col("n_nationkey").alias("label"))), "SELECT n_nationkey AS label, n_nationkey AS label_id, chr(65 + n_nationkey) AS choice FROM nation")
 add("t14_choice_numbers", lambda s, d: T.choice_codes(table(s, d, "supplier").select(F.col("s_suppkey").alias("label"))), "SELECT s_suppkey AS label, r AS label_id, CASE WHEN n <= 26 THEN chr((65 + r)::INT) ELSE '<c' || r || '>' END AS choice FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS r, count(*) OVER () AS n FROM supplier)")
-add("t15_polarity_label_text", lambda s, d: T.polarity_texts(table(s, d, "documents").select(F.col("doc_id").alias("idx"), F.col("text")), 100000),
-    "SELECT doc_id AS idx, 'The molecule is effective to the following assay. ' || text[1:greatest(length(text) - 41, 0)] AS text FROM documents UNION ALL SELECT doc_id + 100000, 'The molecule is not effective to the following assay. ' || text[1:greatest(length(text) - 41, 0)] FROM documents")
+add("t15_polarity_label_text", lambda s, d: T.polarity_texts(table(s, d, "documents").select(F.col("doc_id").alias("idx"), F.col("text")), table(s, d, "documents").agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]),
+    "SELECT doc_id AS idx, 'The molecule is effective to the following assay. ' || text[1:greatest(length(text) - 41, 0)] AS text FROM documents UNION ALL SELECT doc_id + (SELECT max(doc_id) + 1 FROM documents), 'The molecule is not effective to the following assay. ' || text[1:greatest(length(text) - 41, 0)] FROM documents")
 add("t16_label_alias_map", lambda s, d: T.alias_labels(table(s, d, "documents").select("doc_id", "lang"), s.createDataFrame([("en", "English"), ("fr", "French")], "raw string, name string"), "lang"),
     "SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE lang END AS name FROM documents")
 add("t16_subject_name", lambda s, d: table(s, d, "documents").select("doc_id", T.subject_name(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("arxiv cs "), "lang")).otherwise(F.col("lang"))).alias("name")),

@@ -311,6 +311,27 @@ def dataset_mixture(tables: dict[str, DataFrame], multiples: dict[str, float], s
     return out
 
 
+def mixture_multiples(metrics: DataFrame, members: DataFrame, settings: DataFrame, window: int = 3) -> DataFrame:
+    """N27. (dataset, round, waited, multiple): the multiple of each dataset after each evaluation round, for :func:`dataset_mixture`.
+
+    ``metrics`` (round, task, value), ``members`` (dataset, task, mode: 1 for larger is better, -1 for smaller), ``settings`` (dataset,
+    multiple, floor, patience). A round is a gain where the dataset's values, relative to their mean over the ``window`` rounds before,
+    sum to more than 0; ``waited`` counts the rounds since the last gain, and each round that waits more than ``patience`` halves
+    the multiple, down to the floor. The first ``window`` rounds are not judged; a mean of 0 or null is no gain. A dataset's windows
+    hold a row for each round."""
+    per = metrics.join(members, "task").groupBy("dataset", "round").agg(
+        F.sum("value").alias("s"), F.count("value").alias("n"), F.sum(F.col("mode") * F.col("value")).alias("sv"), F.sum("mode").alias("sm"))
+    rounds = Window.partitionBy("dataset").orderBy("round")
+    before, upto = rounds.rowsBetween(-window, -1), rounds.rowsBetween(Window.unboundedPreceding, 0)
+    seen = per.select("dataset", "round", "sv", "sm", (F.sum("s").over(before) / F.sum("n").over(before)).alias("mean"), F.row_number().over(rounds).alias("pos"))
+    gain = (F.col("pos") > window) & (F.try_divide(F.col("sv") - F.col("mean") * F.col("sm"), F.col("mean")) > 0)
+    last = F.coalesce(F.max(F.when(gain, F.col("pos"))).over(upto), F.lit(window))
+    waiting = seen.withColumn("waited", F.greatest(F.col("pos") - last, F.lit(0))).join(settings, "dataset")
+    halved = F.sum((F.col("waited") > F.col("patience")).cast("int")).over(upto)
+    multiple = F.when(halved > 0, F.greatest("floor", F.col("multiple") * F.pow(F.lit(0.5), halved))).otherwise(F.col("multiple"))
+    return waiting.select("dataset", "round", "waited", multiple.alias("multiple"))
+
+
 def anchored_episodes(queries: DataFrame, rows: DataFrame, ways: int, shots: int, seed=0) -> DataFrame:
     """N21. (query_id, way, label, id): the query's own class first, then ``ways`` - 1 seeded others, each with
     ``shots`` rows other than the query. Classes are few: each query meets all of them once."""

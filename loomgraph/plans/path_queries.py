@@ -199,3 +199,20 @@ add("n24_task_way_split", lambda s, d: N.task_ways(X.nodes(s, d).select("id", F.
 add("n26_ragged_select", lambda s, d: N.ragged_select(table(s, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("pos")), 30, 1), f"SELECT l_orderkey AS g, l_linenumber AS pos FROM lineitem WHERE {bucket_sql(1, 'l_orderkey', 'l_linenumber', buckets=100)} < 30")
 add("n27_dataset_mixture", lambda s, d: N.dataset_mixture({"c": table(s, d, "customer").select(F.col("c_custkey").alias("id")), "p": table(s, d, "part").select(F.col("p_partkey").alias("id"))}, {"c": 1.5, "p": 0.25}),
     f"SELECT c_custkey AS id, unnest(range(1, 2 + ({bucket_sql('0-c', 'c_custkey', buckets=1000)} < 500)::INT))::INT AS copy, 'c' AS dataset FROM customer UNION ALL SELECT p_partkey, 1, 'p' FROM part WHERE {bucket_sql('0-p', 'p_partkey', buckets=1000)} < 250")
+
+
+def evaluations(s, d):
+    """Days of the log as rounds, users modulo 6 as tasks of three datasets: metrics, members, settings."""
+    e = table(s, d, "events").select(F.unix_date(F.col("ts").cast("date")).alias("round"), (F.col("user_id") % 6).cast("int").alias("task"), "value")
+    members = s.range(6).select((F.col("id") % 3).cast("int").alias("dataset"), F.col("id").cast("int").alias("task"), F.when(F.col("id") < 3, 1).otherwise(-1).alias("mode"))
+    settings = s.range(3).select(F.col("id").cast("int").alias("dataset"), (F.col("id") + 1.0).alias("multiple"), F.lit(0.1).alias("floor"), F.col("id").cast("int").alias("patience"))
+    return e.groupBy("round", "task").agg(F.avg("value").alias("value")), members.where("task <> 5"), settings
+
+
+add("n27_mixture_patience", lambda s, d: N.mixture_multiples(*evaluations(s, d)).withColumn("multiple", F.round("multiple", 6)),
+    sql("SELECT dataset, round, waited, round(multiple, 6) AS multiple FROM w", recursive=True,
+        e="SELECT ts::DATE - DATE '1970-01-01' AS round, (user_id % 6)::INT AS task, (user_id % 3)::INT AS dataset, CASE WHEN user_id % 6 < 3 THEN 1 ELSE -1 END AS mode, avg(value) AS value FROM events WHERE user_id % 6 <> 5 GROUP BY 1, 2, 3, 4",
+        p="SELECT dataset, round, sum(value) AS s, count(*) AS n, sum(mode * value) AS sv, sum(mode) AS sm, row_number() OVER (PARTITION BY dataset ORDER BY round) AS pos FROM e GROUP BY 1, 2",
+        m="SELECT p.*, (SELECT sum(q.s) / sum(q.n) FROM p q WHERE q.dataset = p.dataset AND q.pos BETWEEN p.pos - 3 AND p.pos - 1) AS mean FROM p",
+        w="""SELECT dataset, round, pos, 0::BIGINT AS waited, dataset + 1.0::DOUBLE AS multiple FROM m WHERE pos = 1
+        UNION ALL SELECT m.dataset, m.round, m.pos, x, CASE WHEN x > m.dataset THEN greatest(0.1, multiple / 2) ELSE multiple END FROM (SELECT m.*, w.multiple, CASE WHEN m.pos <= 3 THEN 0 WHEN (sv - mean * sm) / mean > 0 THEN 0 ELSE waited + 1 END AS x FROM w JOIN m ON m.dataset = w.dataset AND m.pos = w.pos + 1) m"""))

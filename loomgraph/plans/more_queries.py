@@ -12,6 +12,7 @@ from loomgraph.operators import sampling as N
 from loomgraph.operators import splits as S
 from loomgraph.operators import text as T
 from loomgraph.operators import vectors as V
+from loomgraph.operators.probe import probe
 from loomgraph.plans import fixtures as X
 from loomgraph.plans import metric_queries as MQ
 from loomgraph.plans import path_queries as PQ
@@ -106,3 +107,14 @@ add("u05_expand_rows", lambda s, d: U.expand(X.nodes(s, d).select("id", "name"),
 add("u04_stateful_metric", lambda s, d: r6(U.metric_with_state(X.scored(s, d).withColumnRenamed("score", "pred"), ["task"], U.HitsAtK(800)), "value"),
     MQ.BOOK.sql["m06_hits_at_k"].replace("SELECT task, round", "SELECT task, value FROM (SELECT task, round", 1).replace("AS hits_800", "AS value") + ")")
 add("u05_table_function", lambda s, d: U.expand_table(N.tree_positions(PQ.roots(s, d), X.graph(s, d), [3, 2], -1, 2), U.NodeSequence, ["root"], ["pos"]).select("root", F.array_join("nodes", ",").alias("nodes")), PQ.BOOK.sql["n12_fixed_tree_sequence"])
+
+
+def probed(s, d):
+    """Labels of the vectors as classes; a fifth of the ids are valid rows, a fifth test rows."""
+    v, b = X.vectors(s, d), md5_bucket("probe", "id", buckets=5)
+    split = F.when(b == 0, "test").when(b == 1, "valid").otherwise("train")
+    one = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("int"))
+    return v.select("id", "x", one.alias("y"), split.alias("split"))
+
+
+add("v19_probe_early_choice", lambda s, d: probe(probed(s, d), 10)[0].select("id", "split", F.array_position("p", F.array_max("p")).cast("int").alias("pred"), F.round(F.array_max("p"), 6).alias("p")))

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.ranking import group_rank, md5_bucket, md5_key
+from loomgraph.functions.ranking import group_rank, md5_bucket, md5_key, wide_group_rank
 from loomgraph.operators.edges import induced
 
 
+def _ranked(rows: DataFrame, group: list[str], order: list) -> DataFrame:
+    """Rows with their number ``rn`` in the group and the group's size ``_n``; a group may hold most rows."""
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    return wide_group_rank(rows, group, order).join(sizes, group)
+
+
 def _dropped(nodes: DataFrame, share: float, seed) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy("graph_id"))
-    ranked = group_rank(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")]).withColumn("_n", n)
+    ranked = _ranked(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")])
     return ranked.withColumn("drop", F.col("rn") <= F.floor(F.col("_n") * share)).drop("rn", "_n")
 
 
@@ -23,8 +28,7 @@ def drop_nodes(nodes: DataFrame, edges: DataFrame, share: float, seed=0) -> tupl
 
 def drop_edges(edges: DataFrame, share: float, seed=0) -> DataFrame:
     """G02. A seeded share of each graph's edges goes."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("graph_id"))
-    ranked = group_rank(edges, ["graph_id"], [md5_key(seed, "graph_id", "src", "dst"), F.col("src"), F.col("dst")]).withColumn("_n", n)
+    ranked = _ranked(edges, ["graph_id"], [md5_key(seed, "graph_id", "src", "dst"), F.col("src"), F.col("dst")])
     return ranked.where(F.col("rn") > F.floor(F.col("_n") * share)).drop("rn", "_n")
 
 
@@ -42,8 +46,8 @@ def drop_dimensions(nodes: DataFrame, width: int, percent: int, seed=0) -> DataF
 
 def shuffle_features(nodes: DataFrame, seed=0) -> DataFrame:
     """G07. Vectors permuted among the nodes of each graph."""
-    own = group_rank(nodes, ["graph_id"], [F.col("id")]).select("graph_id", "id", "rn")
-    other = group_rank(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")]).select("graph_id", "rn", "x")
+    own = wide_group_rank(nodes, ["graph_id"], [F.col("id")]).select("graph_id", "id", "rn")
+    other = wide_group_rank(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")]).select("graph_id", "rn", "x")
     return own.join(other, ["graph_id", "rn"]).drop("rn")
 
 
@@ -86,7 +90,7 @@ def rewire_edges(nodes: DataFrame, edges: DataFrame, share: float, seed=0) -> Da
     n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     draws = lost.join(n, "graph_id").select("graph_id", "n", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("draw"))
     at = lambda c: F.pmod(F.conv(F.substring(md5_key(f"{seed}-{c}", "graph_id", "draw"), 1, 8), 16, 10).cast("long"), F.col("n")) + 1
-    idx = group_rank(nodes, ["graph_id"], [F.col("id")], "pos")
+    idx = wide_group_rank(nodes, ["graph_id"], [F.col("id")], "pos")
     pick = lambda c, name: idx.select("graph_id", F.col("pos").alias(c), F.col("id").alias(name))
     new = draws.select("graph_id", at("a").alias("a"), at("b").alias("b")).join(pick("a", "src"), ["graph_id", "a"]).join(pick("b", "dst"), ["graph_id", "b"])
     return kept.select("graph_id", "src", "dst").unionByName(new.select("graph_id", "src", "dst"))
@@ -96,8 +100,7 @@ def noise_features(nodes: DataFrame, share: float, replace: float, seed=0) -> Da
     """G05. Of each graph's nodes a seeded share is masked; of these, the first share ``replace`` takes another node's
     vector and the rest the zero vector."""
     masked = _dropped(nodes, share, seed).withColumnRenamed("drop", "mask")
-    n = F.count(F.lit(1)).over(Window.partitionBy("graph_id", "mask"))
-    ranked = group_rank(masked, ["graph_id", "mask"], [md5_key(f"{seed}-noise", "graph_id", "id"), F.col("id")]).withColumn("_n", n)
+    ranked = _ranked(masked, ["graph_id", "mask"], [md5_key(f"{seed}-noise", "graph_id", "id"), F.col("id")])
     noisy = F.col("mask") & (F.col("rn") <= F.floor(F.col("_n") * replace))
     other = shuffle_features(nodes, f"{seed}-pool").select("graph_id", "id", F.col("x").alias("_y"))
     zero = F.transform("x", lambda v: F.lit(0.0))
@@ -108,19 +111,18 @@ def grown_subset(nodes: DataFrame, edges: DataFrame, share: float, rounds: int,
     """G08. (graph_id, id): a connected subset from a seeded start; each round the whole frontier joins in seeded order
     until the share of the graph's nodes is reached."""
     size = nodes.groupBy("graph_id").agg(F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(1).cast("long")).alias("size"))
-    cur = group_rank(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")]).where("rn = 1").select("graph_id", "id", F.lit(0).alias("round"))
+    cur = nodes.groupBy("graph_id").agg(F.min_by("id", F.struct(md5_key(seed, "graph_id", "id"), "id")).alias("id")).withColumn("round", F.lit(0))
     for r in range(1, rounds + 1):
         near = cur.withColumnRenamed("id", "src").join(edges, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("id")).distinct()
         new = near.join(cur, ["graph_id", "id"], "left_anti").withColumn("round", F.lit(r))
         both = cur.unionByName(new).join(size, "graph_id")
-        cur = group_rank(both, ["graph_id"], [F.col("round"), md5_key(f"{seed}-{r}", "graph_id", "id"), F.col("id")]).where(F.col("rn") <= F.col("size")).select("graph_id", "id", "round")
+        cur = wide_group_rank(both, ["graph_id"], [F.col("round"), md5_key(f"{seed}-{r}", "graph_id", "id"), F.col("id")]).where(F.col("rn") <= F.col("size")).select("graph_id", "id", "round")
     return cur.select("graph_id", "id")
 
 
 def mask_typed_nodes(nodes: DataFrame, share: float, seed=0, mask: int = -1) -> DataFrame:
     """G09. int(n * share + 1) seeded nodes of each graph get the mask type; the true type stays as ``original``."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("graph_id"))
-    ranked = group_rank(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")]).withColumn("_n", n)
+    ranked = _ranked(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")])
     hit = F.col("rn") <= F.floor(F.col("_n") * share + 1)
     return ranked.select("graph_id", "id", F.col("type").alias("original"), F.when(hit, F.lit(mask)).otherwise(F.col("type")).alias("type"))
 

@@ -228,9 +228,9 @@ def class_shuffle_split(rows: DataFrame, seed=0, small: int = 20) -> DataFrame:
 
 def negated_labels(rows: DataFrame, split: str, per_class: int | None = None, key: str = "id") -> DataFrame:
     """P22. ``code`` = label inside the split (and its first ``per_class`` rows of each class), else -1 - label."""
-    ranked = group_rank(rows, ["label", "split"], [F.col(key)])
-    inside = F.col("split") == split
+    inside, ranked = F.col("split") == split, rows
     if per_class is not None:
+        ranked = wide_group_rank(rows, ["label", "split"], [F.col(key)])
         inside = inside & (F.col("rn") <= per_class)
     return ranked.withColumn("code", F.when(inside, F.col("label")).otherwise(-1 - F.col("label"))).drop("rn")
 

@@ -34,7 +34,7 @@ def block_records(lines: DataFrame, names: list[str], line: str = "line_no", val
 
 def label_texts(labels: DataFrame, descriptions: DataFrame, key: str) -> DataFrame:
     """T04. Labels with the description of their key; labels without one go."""
-    return labels.join(F.broadcast(descriptions), key)
+    return labels.join(descriptions, key)
 
 
 def logic_labels(classes: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def polarity_texts(tasks: DataFrame, n: int, tail: int = 41) -> DataFrame:
 
 def alias_labels(rows: DataFrame, aliases: DataFrame, label: str) -> DataFrame:
     """T16. The display name of each label; the label itself where there is none."""
-    return rows.join(F.broadcast(aliases.select(F.col("raw").alias(label), F.col("name").alias("_n"))), label, "left").withColumn("name", F.coalesce("_n", F.col(label))).drop("_n")
+    return rows.join(aliases.select(F.col("raw").alias(label), F.col("name").alias("_n")), label, "left").withColumn("name", F.coalesce("_n", F.col(label))).drop("_n")
 
 
 def subject_name(label: Column) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.skew import join_by_count
+from loomgraph.functions.storage import stash
 from loomgraph.operators import reduction
 
 
@@ -36,7 +38,9 @@ def sym_weights(edges: DataFrame) -> DataFrame:
 def row_weights(edges: DataFrame) -> DataFrame:
     """V02. (src, dst, w): weight over the row's sum, loops left out."""
     e = edges.where("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("w"))
-    return e.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src")))
+    sums = stash(e.groupBy("src").agg(F.sum("w").alias("t"), F.count(F.lit(1)).alias("n")), "strength")
+    size = sums.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    return join_by_count(e, sums, ["src"], size["n"] or 0, largest=size["most"] or 0).select("src", "dst", (F.col("w") / F.col("t")).alias("w"))
 
 
 def propagate(x: DataFrame, weights: DataFrame, rounds: int) -> DataFrame:

@@ -29,7 +29,7 @@ def _csv(s, d, sep, header, codec):
     p = place(s, "csv")
     t = table(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(', "big"\n'), "p_brand").alias("text"))
     t.write.csv(p, header=header, sep=sep, quote='"', escape='"', compression=codec)
-    return S.read_csv(s, p, "p_partkey long, text string", sep, header)
+    return S.read_csv(s, p, "p_partkey long, text string", sep, header, line_ends=True)
 
 
 _TXT = "SELECT p_partkey, p_name || ', \"big\"' || chr(10) || p_brand AS text FROM part"

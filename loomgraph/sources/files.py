@@ -9,10 +9,10 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 from loomgraph.functions.storage import folders
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """S01, S02, S03. Quoted fields may hold separators and line ends; .gz files are read as they are, one task for
-    each, so the rows are dealt out again by the caller."""
-    return spark.read.schema(schema).csv(path, header=header, sep=sep, quote='"', escape='"', multiLine=True)
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True, line_ends: bool = False) -> DataFrame:
+    """S01, S02, S03. Quoted fields may hold separators, and with ``line_ends`` line ends; then a file is one task. Without, plain files
+    are split; .gz files cannot be, so the rows are dealt out again by the caller."""
+    return spark.read.schema(schema).csv(path, header=header, sep=sep, quote='"', escape='"', multiLine=line_ends)
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

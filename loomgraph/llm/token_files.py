@@ -18,7 +18,7 @@ over the border of a letter and a mark, so texts are cut there, and the tokenize
 what is a word already goes straight to its model.
 
 Defined cases: a null text is an empty one, and an empty text has the end id alone; null keys come first; rows with the same
-key are ordered by their texts; a special token's name inside a text is ordinary text; a document longer than a shard is one
+key are ordered by the hash of their texts, null first; a special token's name inside a text is ordinary text; a document longer than a shard is one
 shard; an empty table writes no file; other columns, of any name, are ignored.
 """
 
@@ -398,9 +398,11 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, key:
 
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(*[q.alias(n) for q, n in zip(quoted([key, text]), ("key", "text"), strict=True)])
-    by = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ordered = plain.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    found = stash(ordered.mapInArrow(run, MANIFEST), "manifest")
+    # the range bounds are sampled on the driver, so they are of hashes, not of texts
+    by = [F.col("key").asc_nulls_first(), F.col("h").asc_nulls_first()]
+    hashed = plain.withColumn("h", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    ordered = hashed.repartitionByRange(parts, *by).sortWithinPartitions(*by, F.col("text"))
+    found = stash(ordered.select("key", "text").mapInArrow(run, MANIFEST), "manifest")
     one = wide_running_sums(found, [], [F.col("part"), F.col("seq")], {"upto": "n_tokens"})
     return stash(one.select("path", "part", "seq", "n_docs", "n_tokens", "bytes", (F.col("upto") - F.col("n_tokens")).alias("start")), "manifest")
 

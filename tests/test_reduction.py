@@ -179,8 +179,8 @@ def test_pagerank_with_many_sources_and_dead_ends(spark):
     assert max(abs(r.score - want[r.src][r.dst]) for r in got if r.src is not None) < 1e-6
 
 
-def test_pagerank_query_on_sf001(spark):
-    folder = "/root/testdata/sf0.01"
+def test_pagerank_query(spark):
+    folder = FOLDER
     from loomgraph.plans import path_queries
 
     got = path_queries.BOOK.queries["h06_ppr_power"](spark, folder).collect()

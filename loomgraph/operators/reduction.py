@@ -21,6 +21,8 @@ from loomgraph.functions.storage import stash
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Columns beside the wanted ones in the range finder, and slices in which its sums are shuffled.
 OVERSAMPLE, SLICES = 20, 32
+#: Terms up to which the products of all pairs of terms are summed, once (134 MB); with more, each round passes over the rows.
+PAIRED = 4_096
 
 
 def limited_tfidf(docs: DataFrame, max_terms: int = 3_000, text: str = "text") -> DataFrame:
@@ -88,12 +90,52 @@ def _gram_times(rows: DataFrame, right: np.ndarray) -> np.ndarray:
     return out.reshape(-1, width)
 
 
+def _gram(rows: DataFrame, terms: int) -> np.ndarray:
+    """A'A for the sparse rows A in one pass: each task sums its rows' part, the parts are added slice by slice of terms, of
+    which a slice holds the columns from its own on."""
+    step = -(-terms // SLICES)
+    bounds = [(s, min(s + step, terms)) for s in range(0, terms, step)]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1_000):
+                part = batch.slice(s, 1_000)
+                at, cols, vals = _sparse(part)
+                dense = np.zeros((part.num_rows, terms))
+                dense[at, cols] = vals
+                if total is None:
+                    total = np.zeros((terms, terms))
+                total += dense.T @ dense
+        if total is not None:
+            for i, (a, b) in enumerate(bounds):
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "part": [total[a:b, a:].tobytes()]})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column("slice").to_pylist(), batch.column("part"), strict=True):
+                held[i] = held.get(i, 0) + np.frombuffer(part.as_buffer())
+        for i, v in held.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "part": pa.array([v.tobytes()], pa.binary())})
+
+    parts = rows.select("cols", "vals").mapInArrow(partial, "slice int, part binary").repartition(SLICES, "slice").mapInArrow(added, "slice int, part binary")
+    out = np.zeros((terms, terms))
+    for r in parts.collect():
+        a, b = bounds[r["slice"]]
+        own = np.frombuffer(r["part"]).reshape(b - a, terms - a)
+        out[a:b, a:] = own
+        out[a:, a:b] = own.T
+    return out
+
+
 def tfidf_svd(docs: DataFrame, width: int = 300, max_terms: int = 3_000, rounds: int = 12, tol: float = 1e-10, seed: int = 0, text: str = "text") -> tuple[DataFrame, list[float]]:
     """V08. ((id, x), singular values): documents as L2-normalised rows of the truncated SVD of their TF-IDF table.
 
-    Randomised subspace iteration: a seeded normal matrix (terms x width + 20) is multiplied by the table and its transpose in the tasks,
+    Randomised subspace iteration: a seeded normal matrix (terms x width + 20) is multiplied by the table and its transpose,
     orthonormalised, and again, until the squared singular values change by less than ``tol`` of the largest, in at most ``rounds`` rounds;
-    their last change is then all that may be missing. The driver holds terms x (width + 20) numbers. Where the table has fewer than
+    their last change is then all that may be missing. Up to ``PAIRED`` terms the table's product with its transpose is summed once in the tasks and the driver holds
+    terms x terms numbers; with more, each round passes over the rows and the driver holds terms x (width + 20). Where the table has fewer than
     ``width`` singular values above 1e-7 of the largest, the others and their part of x are zeros. The sign of a component makes its largest loading
     positive. Documents without a known term, null and empty texts have a zero vector."""
     docs = docs.select("id", F.col(text).alias("text"))
@@ -107,9 +149,10 @@ def tfidf_svd(docs: DataFrame, width: int = 300, max_terms: int = 3_000, rounds:
         return docs.select("id", F.lit(zero).cast("array<double>").alias("x")), zero
     cols = min(len(names), width + OVERSAMPLE)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(names), cols)))[0]
+    gram = _gram(rows, len(names)) if len(names) <= PAIRED else None
     last = None
     for _ in range(rounds):
-        z = _gram_times(rows, q)
+        z = _gram_times(rows, q) if gram is None else gram @ q
         values, turn = np.linalg.eigh((t := q.T @ z) / 2 + t.T / 2)
         values, turn = values[::-1], turn[:, ::-1]
         basis = q @ turn

@@ -240,10 +240,105 @@ def mmd(a: DataFrame, b: DataFrame, kernels: int = 5, factor: float = 2.0, block
     ``block_rows``; an empty set gives null."""
     widths = [(mmd_bandwidth(a, b) or 1.0) * factor ** (k - kernels // 2) for k in range(kernels)]
 
+    squares = factor == 2.0 and kernels > 0
+
     def kernel(x: np.ndarray, y: np.ndarray) -> float:
         d = _square_distances(x, y)
-        return sum(np.exp(-d / w).sum() for w in widths)
+        if not squares:
+            return sum(np.exp(-d / w).sum() for w in widths)
+        d /= -widths[-1]
+        e = np.exp(d, out=d)  # half the width squares the kernel
+        total = e.sum()
+        for _ in widths[1:]:
+            np.multiply(e, e, out=e)
+            total += e.sum()
+        return total
 
     mean = lambda p, q, c: _block_pairs(p, q, block_rows, kernel).agg((F.sum("s") * c / F.sum("n")).alias("v"))
     parts = mean(a, a, 1).unionByName(mean(a, b, -2)).unionByName(mean(b, b, 1))
     return parts.agg(F.when(F.count("v") == 3, -F.sum("v")).alias("similarity"))
+
+
+# ---- the most similar rows ----
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products row by row, summed in the order of the dimensions."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * y[:, d]
+    return out
+
+
+def _best_of_block(ids: np.ndarray, x: np.ndarray, n: np.ndarray, others: np.ndarray, y: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, sim) of the ``k`` most similar others of each row, ties to the smaller other. A matrix product finds those within
+    rounding of the k-th best, which are then computed as in SQL. Of equal others only the first k + 1 can be among them."""
+    order = np.argsort(others, kind="stable")
+    others, y, m = others[order], y[order], m[order]
+    _, group = np.unique(y, axis=0, return_inverse=True)
+    group = group.ravel()
+    by = np.argsort(group, kind="stable")  # ascending others in each group
+    start = np.searchsorted(group[by], group[by])
+    keep = np.sort(by[np.arange(len(by)) - start <= k])
+    others, y, m = others[keep], y[keep], m[keep]
+    out: list[tuple] = []
+    with np.errstate(all="ignore"):
+        unit, right = (x / n[:, None]).astype(np.float32), (y / m[:, None]).astype(np.float32).T
+        margin = 4e-9 + (x.shape[1] + 4) * 2.4e-7  # of two products in single precision
+        rows = max(AT_ONCE * 8 // max(len(others), 1), 1)
+        sets = min(64 * k, len(others))  # the k-th of the maxima of disjoint sets is no more than the k-th best
+        for s in range(0, len(x), rows):
+            sims = unit[s : s + rows] @ right
+            sims[~np.isfinite(sims)] = np.inf  # judged below
+            sims[ids[s : s + rows, None] == others[None]] = -np.inf
+            tops = sims[:, : len(others) // sets * sets].reshape(len(sims), -1, sets).max(axis=1)
+            low = np.partition(tops, sets - k, axis=1)[:, sets - k] if sets > k else np.full(len(sims), -np.inf, np.float32)
+            r, c = np.nonzero(sims >= np.maximum(low - margin, -margin)[:, None])
+            for at in range(0, len(r), 50_000):
+                end = at + 50_000
+                i, j = r[at:end] + s, c[at:end]
+                sim = _exact(x[i], y[j]) / (n[i] * m[j])
+                rank = np.where(np.isnan(sim), np.inf, np.floor(sim * 1e9 + 0.5))
+                good = rank > 0
+                i, j, sim, rank = i[good], j[good], sim[good], rank[good]
+                best = np.lexsort((others[j], -rank, i))
+                i, j, sim = i[best], j[best], sim[best]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((i[first], others[j[first]], sim[first]))
+    if not out:
+        return np.zeros(0, dtype=int), others[:0], np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def block_top_k(x: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(id, other, sim): for each row of (id, x) and each block of the rows, of every length of vectors, the ``k`` most similar others in the block with a
+    positive or undefined cosine. Vectors with null elements or of length zero have none; a row is copied once for each block, on both sides."""
+    tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-x.count() // block_rows), 2 * math.isqrt(tasks), 1)
+    terms = F.aggregate(F.zip_with("x", "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    unit = x.select("id", F.col("x").cast("array<double>").alias("x"), F.size("x").alias("d")).withColumn("n", F.sqrt(terms)).where("n > 0")
+    of, to = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = unit.select(of.alias("b"), to.alias("c"), "d", "id", "x", "n").groupBy("b", "c", "d")
+    right = unit.select(to.alias("b"), of.alias("c"), F.col("d").alias("d"), F.col("id").alias("o"), F.col("x").alias("y"), F.col("n").alias("m")).groupBy("b", "c", "d")
+    id_type = unit.schema["id"].dataType.simpleString()
+    plain = pa.types.is_integer
+
+    def best(p: pa.Table, q: pa.Table) -> pa.Table:
+        def parts(t: pa.Table, i: str, x: str, n: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            v = np.asarray(pa.concat_arrays(t.column(x).chunks).flatten(), dtype=np.float64).reshape(t.num_rows, -1)
+            return pa.concat_arrays(t.column(i).chunks), v, t.column(n).to_numpy()
+
+        if not p.num_rows or not q.num_rows:
+            none = (p.column("id") if p.num_rows else q.column("o")).slice(0, 0)  # an empty side has no columns
+            return pa.table({"id": none, "other": none, "sim": pa.array([], pa.float64())})
+        (a, u, n), (b, v, m) = parts(p, "id", "x", "n"), parts(q, "o", "y", "m")
+        if not plain(a.type):  # numbers in the order of the ids
+            names = pa.concat_arrays([a, b]).unique().sort()
+            put = {v: i for i, v in enumerate(names.to_pylist())}
+            left_ids, right_ids = (np.array([put[v] for v in t.to_pylist()]) for t in (a, b))
+        else:
+            names, left_ids, right_ids = None, a.to_numpy(), b.to_numpy()
+        i, other, sim = _best_of_block(left_ids, u, n, right_ids, v, m, k)
+        return pa.table({"id": a.take(pa.array(i)), "other": pa.array(other, a.type) if names is None else names.take(pa.array(other)), "sim": pa.array(sim)})
+
+    return left.cogroup(right).applyInArrow(best, f"id {id_type}, other {id_type}, sim double")

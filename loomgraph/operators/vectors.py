@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,18 +95,13 @@ def tfidf(docs: DataFrame, text: str = "text") -> DataFrame:
     return w.select("id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("weight"))
 
 
-def cosine_top_k(x: DataFrame, k: int, block_rows: int = 4_096) -> DataFrame:
+def cosine_top_k(x: DataFrame, k: int, block_rows: int = 32_768) -> DataFrame:
     """V09. (id, other, sim, rank): the k most similar others with positive cosine. All pairs are compared, dealt as
     block pairs of about ``block_rows`` rows each: each row goes to one block on the left and to all on the right. The
     best of each block pair are taken before the others are met."""
-    tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(-(-x.count() // block_rows), math.isqrt(tasks), 1)
-    unit = x.select("id", F.transform("x", lambda v: v / F.lit(1.0)).alias("x"), norm("x").alias("n"))
-    left = unit.select("id", "x", "n", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"))
-    right = unit.select(F.col("id").alias("other"), F.col("x").alias("y"), F.col("n").alias("m"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    sims = left.join(right, ["b", "c"]).where("id <> other").select("id", "other", F.round(dot("x", "y") / (F.col("n") * F.col("m")), 9).alias("sim")).where("sim > 0")
+    sims = reduction.block_top_k(x, k, block_rows).withColumn("sim", F.round("sim", 9))
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # a partial top k before the shuffle
+    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def pair_cosine(links: DataFrame, x: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import reduction as R
+from loomgraph.operators import vectors as V
 
 
 def test_svd_passes_over_rows_once(spark, monkeypatch):
@@ -18,3 +19,35 @@ def test_svd_passes_over_rows_once(spark, monkeypatch):
     monkeypatch.setattr(R, "PAIRED", 10)
     _, rounds = R.tfidf_svd(docs, 6)
     assert len(passes) > 2 and np.allclose(values, rounds, rtol=1e-9)
+
+
+def plain_top_k(rows, k):
+    """(id, other) -> (sim, rank) by plain loops."""
+    out = {}
+    for i, x in rows:
+        sims = []
+        for j, y in rows:
+            if i != j:
+                dot = lambda a, b: sum(p * q for p, q in zip(a, b))
+                sims.append((-round(dot(x, y) / (dot(x, x) ** 0.5 * dot(y, y) ** 0.5), 9), j))
+        for at, (s, j) in enumerate(sorted(v for v in sims if v[0] < 0)[:k]):
+            out[i, j] = (-s, at + 1)
+    return out
+
+
+@pytest.mark.parametrize("block", [9, 4_096])
+def test_top_k_by_matrix_products(spark, block):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 5))
+    rows = [(i, [float(v) for v in base[i]]) for i in range(40)]
+    rows += [(100 + i, rows[3][1]) for i in range(30)] + [(200 + i, [2 * v for v in rows[5][1]]) for i in range(4)]  # copies and ties
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    plan = V.cosine_top_k(df, 3, block)
+    assert "zip_with" not in plan._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]  # no dot product of a pair in the JVM
+    got = {(r.id, r.other): (r.sim, r["rank"]) for r in plan.collect()}
+    want = plain_top_k(rows, 3)
+    assert got.keys() == want.keys() and all(abs(got[p][0] - want[p][0]) < 2e-9 and got[p][1] == want[p][1] for p in want)
+    odd = df.unionByName(spark.createDataFrame([(900, [0.0] * 5), (901, None), (902, [1.0, None, 1.0, 1.0, 1.0]), (903, [1.0, 2.0])], "id long, x array<double>"))
+    assert {(r.id, r.other): r["rank"] for r in V.cosine_top_k(odd, 3, block).collect()} == {p: v[1] for p, v in want.items()}
+    named = {(r.id, r.other): r["rank"] for r in V.cosine_top_k(df.withColumn("id", F.format_string("n%03d", "id")), 3, block).collect()}
+    assert named == {(f"n{i:03d}", f"n{j:03d}"): v[1] for (i, j), v in want.items()}

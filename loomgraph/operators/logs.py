@@ -111,20 +111,43 @@ def elo(battles: DataFrame, board: str, order: list[str], before: DataFrame | No
     return rows.select("_board", "_k", "model_a", "model_b", "win", "_r").mapInArrow(fold, "board string, model string, rating double")
 
 
-def elo_bootstrap(battles: DataFrame, rounds: int, seed: int = 0, **how) -> DataFrame:
+def elo_bootstrap(battles: DataFrame, rounds: int, seed: int = 0, k: float = 4.0, scale: float = 400.0, base: float = 10.0, start: float = 1000.0) -> DataFrame:
     """L03. (model, lower, rating, upper): the 2.5, 50 and 97.5 % points over resampled rounds. In each round a vote
-    is drawn a Poisson(1) number of times by the md5 of (seed, round, vote); the votes are folded in md5 order."""
-    draws = battles.select("vote_id", "model_a", "model_b", "win", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), "round", "vote_id"))
-    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    total, term, cdf = 0.0, 2.718281828459045 ** -1, []
+    is drawn a Poisson(1) number of times by the md5 of (seed, round, vote); the votes are folded in md5 order. A round is a
+    partition of its own, with one row for each drawn vote and how often it counts; Spark sorts it, and the fold holds the ratings of the models."""
+    models = [r[0] for r in battles.select("model_a").union(battles.select("model_b")).distinct().collect()]
+    spark = battles.sparkSession
+    place = lambda side: F.broadcast(spark.createDataFrame(list(enumerate(models)), f"_{side} int, _name{side} string"))
+    coded = battles.select("vote_id", "model_a", "model_b", F.when(F.col("win") == "model_a", 1.0).when(F.col("win") == "model_b", 0.0).otherwise(0.5).alias("_g"))
+    for side in "ab":  # a row for each model
+        coded = coded.join(place(side), F.col(f"model_{side}").eqNullSafe(F.col(f"_name{side}")))
+    total, term, above = 0.0, 2.718281828459045 ** -1, []
     for i in range(8):
         total += term
-        cdf.append(total)
+        above.append(f"{min(int(total * (1 << 32)), (1 << 32) - 1):08x}g")  # the first eight digits are more than the others': g is after f
         term /= i + 1
-    times = sum((u > c).cast("int") for c in cdf)
-    drawn = draws.select("*", h.alias("h"), times.alias("times")).where("times > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
-    rated = elo(drawn, "round", ["h", "copy"], **how)
+    # as generated columns, the hashes are formed once
+    one = lambda r: F.struct(r.alias("_round"), F.md5(F.concat_ws("|", F.lit(str(seed)), r, "vote_id")).alias("_h"))
+    draws = F.filter(F.transform(F.sequence(F.lit(1), F.lit(rounds)), one), lambda x: x["_h"] > above[0])
+    drawn = coded.select("_a", "_b", "_g", F.inline(draws))
+    times = sum((F.col("_h") > c).cast("int") for c in above)
+    rows = drawn.select("_round", F.unhex("_h").alias("_h"), "_a", "_b", "_g", times.alias("_n")).repartitionById(rounds, F.col("_round") - 1).sortWithinPartitions("_round", "_h")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rating, seen = [start] * len(models), set()
+        for batch in batches:
+            a, b, g, n = (batch.column(c) for c in ("_a", "_b", "_g", "_n"))
+            seen.update(a.unique().to_pylist(), b.unique().to_pylist())
+            for x, y, w, t in zip(a.to_pylist(), b.to_pylist(), g.to_pylist(), n.to_pylist(), strict=True):
+                for _ in range(t):
+                    rx, ry = rating[x], rating[y]
+                    expected = 1 / (1 + base ** ((ry - rx) / scale))
+                    back = 1 / (1 + base ** ((rx - ry) / scale))
+                    rating[x] = rx + k * (w - expected)
+                    rating[y] += k * (1 - w - back)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([models[i] for i in seen], pa.string()), "rating": pa.array([rating[i] for i in seen], pa.float64())})
+
+    rated = rows.select("_a", "_b", "_g", "_n").mapInArrow(fold, "model string, rating double")
     points = [F.expr(f"percentile(rating, {p})").alias(n) for p, n in ((0.025, "lower"), (0.5, "rating"), (0.975, "upper"))]
     return rated.groupBy("model").agg(*points)
 

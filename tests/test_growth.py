@@ -1,9 +1,13 @@
 """Steps whose cost or memory once grew faster than their input."""
 
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators import logs as L
 from loomgraph.operators import reduction as R
 from loomgraph.operators import vectors as V
 
@@ -51,3 +55,26 @@ def test_top_k_by_matrix_products(spark, block):
     assert {(r.id, r.other): r["rank"] for r in V.cosine_top_k(odd, 3, block).collect()} == {p: v[1] for p, v in want.items()}
     named = {(r.id, r.other): r["rank"] for r in V.cosine_top_k(df.withColumn("id", F.format_string("n%03d", "id")), 3, block).collect()}
     assert named == {(f"n{i:03d}", f"n{j:03d}"): v[1] for (i, j), v in want.items()}
+
+
+def test_resampled_ratings_fold_each_round_in_md5_order(spark):
+    rng = np.random.default_rng(4)
+    votes = [(i, f"m{a}", f"m{b}", w) for i, (a, b, w) in enumerate(zip(rng.integers(0, 5, 80), rng.integers(0, 5, 80), rng.choice(["model_a", "model_b", "tie"], 80)))]
+    votes = [(i, a, b, str(w)) for i, a, b, w in votes]
+    total, term, cdf = 0.0, math.e ** -1, []
+    for i in range(8):
+        total += term
+        cdf.append(total)
+        term /= i + 1
+    seen = {}
+    for r in range(1, 13):
+        keyed = sorted((hashlib.md5(f"7|{r}|{v[0]}".encode()).hexdigest(), v) for v in votes)
+        drawn = [v[1:] for h, v in keyed for _ in range(sum(int(h[:8], 16) / 2**32 > c for c in cdf))]
+        for m, x in L.elo_steps(drawn).items():
+            seen.setdefault(m, []).append(x)
+    df = spark.createDataFrame(votes, "vote_id long, model_a string, model_b string, win string").repartition(3)
+    plan = L.elo_bootstrap(df, 12, 7)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Generate") == 1  # no row for each copy of a vote
+    for r in plan.collect():
+        assert np.allclose([r.lower, r.rating, r.upper], np.percentile(seen.pop(r.model), [2.5, 50, 97.5]), rtol=1e-12)
+    assert not seen

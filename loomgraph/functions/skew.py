@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import quoted, unused
 
+#: Rows of a partition that a task sorts or aggregates at once.
+TASK_ROWS = 1_000_000
 #: A key with more than one in so many of all rows is hot; so there are fewer hot keys than this.
 HOT_KEYS = 1_000
 
 
+def spread(rows: DataFrame, total: int, *keys: str) -> DataFrame:
+    """``rows``, of which a later step makes ``total``, dealt by the keys into as many partitions as keep a task's share at about ``TASK_ROWS``;
+    as they are, where the session's number of partitions does. So a task's memory does not grow with the table."""
+    parts = -(-total // TASK_ROWS)
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def join_by_count(rows: DataFrame, per_key: DataFrame, on: list[str], total: int, n: str = "n", how: str = "inner", largest: int | None = None) -> DataFrame:
     """``rows`` joined with ``per_key``: one row for each key, in ``n`` how many of the ``total`` rows have it.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ranking
 from loomgraph.functions.fixpoint import connected_components  # noqa: F401  (E08)
-from loomgraph.functions.skew import join_by_count
+from loomgraph.functions.skew import join_by_count, spread
 from loomgraph.functions.storage import stash
 
 
@@ -20,9 +20,10 @@ def flipped(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
 
-def to_undirected(edges: DataFrame, reduce: str | None = None) -> DataFrame:
-    """E01. Both orientations once each; with ``reduce`` the weights of equal pairs are combined by that aggregate."""
-    both = edges.unionByName(flipped(edges))
+def to_undirected(edges: DataFrame, reduce: str | None = None, total: int = 0) -> DataFrame:
+    """E01. Both orientations once each; with ``reduce`` the weights of equal pairs are combined by that aggregate. Where ``total``
+    edges at most are many, they are dealt into more partitions."""
+    both = spread(edges.unionByName(flipped(edges)), 2 * total, "src", "dst")
     if reduce is None:
         return both.select("src", "dst").distinct()
     return both.groupBy("src", "dst").agg(F.expr(f"{reduce}(weight)").alias("weight"))
@@ -138,18 +139,23 @@ def bipartite_projection(links: DataFrame, key: str, node: str, min_shared: int
     find them, and only pairs found so, or by a narrow key, are looked up in the wide keys. What makes pairs of a wide
     key is dealt as pairs of blocks, so no task has more than about ``block`` x ``block`` of them. With ``min_shared`` 1 every pair
     of a wide key is in the result."""
-    one = stash(links.select(F.col(key).alias("_k"), F.col(node).alias("_n")).where("_k is not null and _n is not null").distinct(), "members")
+    told = links.select(F.col(key).alias("_k"), F.col(node).alias("_n")).where("_k is not null and _n is not null")
+    one = stash(spread(told, links.count(), "_k").distinct(), "members")
     pairs = lambda rows: rows.withColumnRenamed("_n", "src").join(rows.withColumnRenamed("_n", "dst"), "_k").where("src < dst")
     sizes = one.groupBy("_k").agg(F.count(F.lit(1)).alias("_c"))
-    widest = sizes.agg(F.max("_c").alias("m")).first()["m"] or 0
+    of = F.col("_c") * (F.col("_c") - 1) / 2
+    seen = sizes.agg(F.max("_c").alias("m"), F.sum(F.when(F.col("_c") <= wide, of)).alias("made")).first()
+    widest, made = seen["m"] or 0, int(seen["made"] or 0)
+    # a task makes and counts a bounded number of pairs
+    dealt_pairs = lambda rows: spread(pairs(spread(rows, made, "_k")), made, "src", "dst")
     if widest <= wide:
-        counted = pairs(one).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+        counted = dealt_pairs(one).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
         return counted.where(F.col("weight") >= min_shared) if min_shared > 1 else counted
     wides = stash(sizes.where(F.col("_c") > wide), "wide")  # a key for each ``wide`` rows at most
     total = one.count()
     narrow = one.join(wides.select("_k"), "_k", "left_anti")
     members = stash(join_by_count(one, wides.withColumn("n", F.col("_c")), ["_k"], total, largest=widest), "wide_members")
-    counted = pairs(narrow).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_w"))
+    counted = dealt_pairs(narrow).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_w"))
     # each node's wide keys but its widest few
     rank = F.row_number().over(Window.partitionBy("_n").orderBy(F.desc("_c"), F.desc("_k")))
     makers = stash(members.withColumn("_r", rank).where(F.col("_r") >= min_shared).select("_k", "_n"), "makers")

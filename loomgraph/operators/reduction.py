@@ -185,29 +185,39 @@ def tfidf_svd(docs: DataFrame, width: int = 300, max_terms: int = 3_000, rounds:
 # ---- all pairs of two sets of vectors ----
 
 
+#: Pairs whose values a task works on at once, few enough for the processor's cache.
+AT_ONCE = 1 << 17
+
+
 def _block_pairs(a: DataFrame, b: DataFrame, block_rows: int, run) -> DataFrame:
     """``run(left, right)`` of the matrices of every two blocks of the sets: (s, n), a sum over their pairs and the number of pairs. A row is
-    copied once for each block of the other set."""
+    copied once for each block of the other set. Where both are the same set, two different blocks meet once and count twice."""
+    same = a is b
     tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = lambda t: max(-(-t.count() // block_rows), math.isqrt(tasks), 1)
     m, n = count(a), count(b)
     of = lambda k: F.pmod(F.xxhash64("id"), F.lit(k))
-    to = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = a.select(of(m).cast("int").alias("i"), to(n).alias("j"), "x").groupBy("i", "j")
-    right = b.select(of(n).cast("int").alias("j"), to(m).alias("i"), "x").groupBy("i", "j")
+    to = lambda k, low=0, high=None: F.explode(F.sequence(F.lit(low), F.lit(k - 1) if high is None else high))
+    left = a.select(of(m).cast("int").alias("i"), "x").select("i", to(n, F.col("i") if same else 0).alias("j"), "x").groupBy("i", "j")
+    right = b.select(of(n).cast("int").alias("j"), "x").select("j", to(m, high=F.col("j") if same else None).alias("i"), "x").groupBy("i", "j")
 
-    def both(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def both(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):
             return pd.DataFrame({"s": [], "n": []})
         x, y = np.stack(p["x"].to_numpy()), np.stack(q["x"].to_numpy())
-        s = sum(float(run(x[k : k + 1_024], y)) for k in range(0, len(x), 1_024))
-        return pd.DataFrame({"s": [s], "n": [float(len(x) * len(y))]})
+        rows = max(AT_ONCE // len(y), 1)
+        s = sum(float(run(x[k : k + rows], y)) for k in range(0, len(x), rows))
+        times = 2 if same and key[0] != key[1] else 1
+        return pd.DataFrame({"s": [s * times], "n": [float(len(x) * len(y) * times)]})
 
     return left.cogroup(right).applyInPandas(both, "s double, n double")
 
 
 def _square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T, 0)
+    out = (-2 * x) @ y.T
+    out += (x * x).sum(axis=1)[:, None]
+    out += np.einsum("ij,ij->i", y, y)[None]
+    return np.maximum(out, 0, out=out)
 
 
 def mean_distance(a: DataFrame, b: DataFrame, block_rows: int = 8_192) -> DataFrame:

@@ -21,7 +21,7 @@ def _held(s, d):
 
 HELD = f"SELECT src, dst FROM pairs WHERE {X.bucket_sql('held', 'src', 'dst', buckets=10)} = 0"
 
-add("e01_to_undirected", lambda s, d: E.to_undirected(X.bought(s, d).select("src", "dst", "weight"), "sum"),
+add("e01_to_undirected", lambda s, d: E.to_undirected(X.bought(s, d).select("src", "dst", "weight"), "sum", table(s, d, "lineitem").count()),
     sql("SELECT src, dst, sum(weight)::BIGINT AS weight FROM (SELECT src, dst, weight FROM bought UNION ALL SELECT dst, src, weight FROM bought) GROUP BY 1, 2", "bought"))
 add("e02_self_loops", lambda s, d: E.add_self_loops(X.bought(s, d), X.nodes(s, d)),
     sql("SELECT src, dst FROM bought WHERE src <> dst UNION ALL SELECT id, id FROM nodes", "bought", "nodes"))

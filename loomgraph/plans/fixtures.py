@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import epoch_micros
 from loomgraph.functions.ranking import md5_bucket
+from loomgraph.functions.skew import spread
 from loomgraph.functions.storage import stash, table
 from loomgraph.operators import edges as E
 
@@ -57,10 +58,13 @@ def linked(s: SparkSession, d: str) -> DataFrame:
 
 def bought(s: SparkSession, d: str) -> DataFrame:
     """Distinct (src customer, dst part, year, weight 1)."""
-    o, l = table(s, d, "orders"), table(s, d, "lineitem")
-    return o.join(l, o["o_orderkey"] == l["l_orderkey"]).select(
+    o, l = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), table(s, d, "lineitem").select("l_orderkey", "l_partkey")
+    n = l.count()
+    o, l = spread(o, n, "o_orderkey"), spread(l, n, "l_orderkey")
+    rows = o.join(l, o["o_orderkey"] == l["l_orderkey"]).select(
         F.col("o_custkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"), F.year("o_orderdate").alias("year"), F.lit(1).alias("weight")
-    ).distinct()
+    )
+    return spread(rows, n, "src", "dst").distinct()
 
 
 def vectors(s: SparkSession, d: str) -> DataFrame:

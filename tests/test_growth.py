@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import skew
+from loomgraph.operators import edges as E
 from loomgraph.operators import logs as L
 from loomgraph.operators import reduction as R
 from loomgraph.operators import vectors as V
@@ -78,3 +80,22 @@ def test_resampled_ratings_fold_each_round_in_md5_order(spark):
     for r in plan.collect():
         assert np.allclose([r.lower, r.rating, r.upper], np.percentile(seen.pop(r.model), [2.5, 50, 97.5]), rtol=1e-12)
     assert not seen
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    links = spark.range(900).select((F.col("id") % 180).alias("k"), F.expr("id * 7 % 41").alias("n"))
+    got = E.bipartite_projection(links, "k", "n", 2)
+    assert got.rdd.getNumPartitions() > 4  # the session has 4
+    rows = [(r.k, r.n) for r in links.collect()]
+    want = {}
+    for k in range(180):
+        own = sorted({n for q, n in rows if q == k})
+        for a in own:
+            for b in own:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.src, r.dst): r.weight for r in got.collect()} == {p: w for p, w in want.items() if w > 1}
+    edges = links.select(F.col("k").alias("src"), F.col("n").alias("dst"), F.lit(1).alias("weight"))
+    wide, plain = E.to_undirected(edges, "sum", 900), E.to_undirected(edges, "sum")
+    assert wide.rdd.getNumPartitions() == 18 and sorted(wide.collect()) == sorted(plain.collect())

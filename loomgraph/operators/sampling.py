@@ -110,11 +110,14 @@ def same_source_negatives(positives: DataFrame, n_nodes: int, m: int, seed=0) ->
     return d.withColumn("neg", md5_bucket(seed, "src", "dst", "i", buckets=n_nodes))
 
 
-def complement_negatives(edges: DataFrame, nodes: DataFrame, k: int, seed=0) -> DataFrame:
+def complement_negatives(edges: DataFrame | None, nodes: DataFrame, k: int, seed=0, group: str | None = None) -> DataFrame:
     """N05. (src < dst): ``k`` of all non-edges, or all where there are fewer, in the order of seeded draws of two nodes; one order
     for every k, so a larger k takes a superset. Draws are doubled until enough differ from the edges and each other; what twice
     as many draws as there are ordered pairs have not met follows in md5 order, which is needed only where k is most of the
-    non-edges or these are few beside the edges."""
+    non-edges or these are few beside the edges. With ``group``, a column of the nodes, the edges are all pairs of nodes of one
+    group; they are then counted and told apart by the group and never made."""
+    if group is not None:
+        return _between_groups(nodes.select("id", F.col(group).alias("g")), k, seed)
     ids = stash(global_rank(nodes.select("id").distinct(), [F.col("id")], "at"), "ids")
     gone = stash(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "linked")
     n, m = ids.count(), gone.count()
@@ -134,6 +137,27 @@ def complement_negatives(edges: DataFrame, nodes: DataFrame, k: int, seed=0) ->
     return _first_drawn(draw, gone, k, int(1.5 * min(k, free) * n * n / (2 * free)) + 100, 2 * n * n, rest)
 
 
+def _between_groups(nodes: DataFrame, k: int, seed) -> DataFrame:
+    """:func:`complement_negatives` of nodes (id, g), each once, where those of one group are linked; a null group links nothing."""
+    ids = stash(global_rank(nodes, [F.col("id")], "at"), "ids")
+    n = ids.count()
+    known = ids.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    free = max(n * (n - 1) // 2 - int(known.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0), 1)
+    apart = (F.col("a_g") != F.col("b_g")) | F.col("a_g").isNull() | F.col("b_g").isNull()
+    side = lambda c, x: ids.select(F.col("id").alias(x), F.col("g").alias(f"{c}_g"), F.col("at").alias(c))
+
+    def draw(draws: int) -> DataFrame:
+        drawn = nodes.sparkSession.range(draws).select("id", (md5_bucket(f"{seed}-a", "id", buckets=n) + 1).alias("a"), (md5_bucket(f"{seed}-b", "id", buckets=n) + 1).alias("b")).where("a <> b")
+        return drawn.join(side("a", "x"), "a").join(side("b", "y"), "b").where(apart).select("id", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+
+    def rest(met: DataFrame) -> DataFrame:
+        pairs = _with_ids(side("a", "src"), 1, n, "b").where(F.col("b") > F.col("a")).join(side("b", "dst"), "b").where(apart).select("src", "dst")
+        return pairs.join(met, ["src", "dst"], "left_anti").withColumn("h", md5_key(f"{seed}-c", "src", "dst"))
+
+    none = ids.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+    return none if n < 2 else _first_drawn(draw, none, k, int(1.5 * min(k, free) * n * n / (2 * free)) + 100, 2 * n * n, rest)
+
+
 def hard_negatives(edges: DataFrame, k: int, seed=0) -> DataFrame:
     """N07. (src < dst): a seeded choice of ``k`` unlinked pairs that share a neighbour."""
     wedge = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").where("src < dst").select("src", "dst").distinct()

@@ -359,14 +359,17 @@ def mixture_multiples(metrics: DataFrame, members: DataFrame, settings: DataFram
 def anchored_episodes(queries: DataFrame, rows: DataFrame, ways: int, shots: int, seed=0) -> DataFrame:
     """N21. (query_id, way, label, id): the query's own class first, then ``ways`` - 1 seeded others, each with
     ``shots`` rows other than the query. Classes are few: each query meets all of them once."""
-    enough = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shots).select("label")
+    enough = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > shots) & F.col("label").isNotNull()).select("label")
     q = queries.select(F.col("id").alias("query_id"), F.col("label").alias("own")).join(enough.withColumnRenamed("label", "own"), "own", "left_semi")
-    classes = q.crossJoin(F.broadcast(enough))
-    first = (F.col("label") == F.col("own")).cast("int")
-    drawn = group_rank(classes, ["query_id"], [first.desc(), md5_key(seed, "query_id", "label"), F.col("label")], "way").where(F.col("way") <= ways)
-    shown = md5_rank(rows, f"{seed}-row", "id", ["label"]).where(F.col("rn") <= shots + 1)
-    pool = drawn.join(shown, "label").where("id <> query_id")
-    return group_rank(pool.drop("rn"), ["query_id", "label"], [md5_key(f"{seed}-row", "id"), F.col("id")]).where(F.col("rn") <= shots).select("query_id", (F.col("way") - 1).alias("way"), "label", "id")
+    shown = md5_rank(rows, f"{seed}-row", "id", ["label"]).where(F.col("rn") <= shots + 1).join(enough, "label", "left_semi")
+    known = shown.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda r: r["id"]).alias("ids"))
+    # one row, of every class with its first rows
+    table = known.agg(F.collect_list(F.struct("label", "ids")).alias("classes"))
+    h = lambda c: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), c["label"].cast("string")))
+    keyed = F.transform("classes", lambda c: F.struct((c["label"] != F.col("own")).alias("other"), h(c).alias("h"), c["label"].alias("label"), c["ids"].alias("ids")))
+    drawn = q.crossJoin(F.broadcast(table)).select("query_id", F.posexplode(F.slice(F.array_sort(keyed), 1, ways)).alias("way", "c"))
+    own = F.slice(F.filter("c.ids", lambda i: i != F.col("query_id")), 1, shots)
+    return drawn.select("query_id", "way", F.col("c.label").alias("label"), F.explode(own).alias("id"))
 
 
 def multiclass_shots(rows: DataFrame, shots: int, seed=0) -> DataFrame:

@@ -64,6 +64,16 @@ def wide_group_rank(df: DataFrame, group: list[str], order: list, name: str = "r
     return wide_running_sums(df.withColumn(one, F.lit(1)), group, order, {name: one}).drop(one)
 
 
+#: Rows up to which a group is ranked in one task.
+NARROW = 100_000
+
+
+def rank_for(group: list[str], *tables: DataFrame):
+    """:func:`group_rank` where no group of the tables has more than ``NARROW`` rows, else :func:`wide_group_rank`."""
+    most = [t.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for t in tables]
+    return group_rank if max(most) <= NARROW else wide_group_rank
+
+
 def wide_md5_rank(df: DataFrame, seed, key: str, group: list[str], name: str = "rn") -> DataFrame:
     """1-based seeded random rank in groups of any size."""
     h, = unused(df.columns, "h")

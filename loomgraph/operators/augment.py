@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.ranking import group_rank, md5_bucket, md5_key, wide_group_rank
+from loomgraph.functions.ranking import group_rank, md5_bucket, md5_key, rank_for, wide_group_rank
 from loomgraph.operators.edges import induced
 
 
-def _ranked(rows: DataFrame, group: list[str], order: list) -> DataFrame:
-    """Rows with their number ``rn`` in the group and the group's size ``_n``; a group may hold most rows."""
+def _ranked(rows: DataFrame, group: list[str], order: list, rank=wide_group_rank) -> DataFrame:
+    """Rows with their number ``rn`` in the group and the group's size ``_n``; a group may hold most rows, unless ``rank`` is for narrow ones."""
+    if rank is group_rank:
+        known = rows.dropna(subset=group)
+        return group_rank(known, group, order).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     return wide_group_rank(rows, group, order).join(sizes, group)
 
 
-def _dropped(nodes: DataFrame, share: float, seed) -> DataFrame:
-    ranked = _ranked(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")])
+def _dropped(nodes: DataFrame, share: float, seed, rank=wide_group_rank) -> DataFrame:
+    ranked = _ranked(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")], rank)
     return ranked.withColumn("drop", F.col("rn") <= F.floor(F.col("_n") * share)).drop("rn", "_n")
 
 
@@ -44,10 +47,10 @@ def drop_dimensions(nodes: DataFrame, width: int, percent: int, seed=0) -> DataF
     return nodes.withColumn("x", F.transform("x", lambda v, i: F.when(on[i], v).otherwise(F.lit(0.0))))
 
 
-def shuffle_features(nodes: DataFrame, seed=0) -> DataFrame:
+def shuffle_features(nodes: DataFrame, seed=0, rank=wide_group_rank) -> DataFrame:
     """G07. Vectors permuted among the nodes of each graph."""
-    own = wide_group_rank(nodes, ["graph_id"], [F.col("id")]).select("graph_id", "id", "rn")
-    other = wide_group_rank(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")]).select("graph_id", "rn", "x")
+    own = rank(nodes, ["graph_id"], [F.col("id")]).select("graph_id", "id", "rn")
+    other = rank(nodes, ["graph_id"], [md5_key(seed, "graph_id", "id"), F.col("id")]).select("graph_id", "rn", "x")
     return own.join(other, ["graph_id", "rn"]).drop("rn")
 
 
@@ -99,10 +102,11 @@ def rewire_edges(nodes: DataFrame, edges: DataFrame, share: float, seed=0) -> Da
 def noise_features(nodes: DataFrame, share: float, replace: float, seed=0) -> DataFrame:
     """G05. Of each graph's nodes a seeded share is masked; of these, the first share ``replace`` takes another node's
     vector and the rest the zero vector."""
-    masked = _dropped(nodes, share, seed).withColumnRenamed("drop", "mask")
-    ranked = _ranked(masked, ["graph_id", "mask"], [md5_key(f"{seed}-noise", "graph_id", "id"), F.col("id")])
+    rank = rank_for(["graph_id"], nodes)
+    masked = _dropped(nodes, share, seed, rank).withColumnRenamed("drop", "mask")
+    ranked = _ranked(masked, ["graph_id", "mask"], [md5_key(f"{seed}-noise", "graph_id", "id"), F.col("id")], rank)
     noisy = F.col("mask") & (F.col("rn") <= F.floor(F.col("_n") * replace))
-    other = shuffle_features(nodes, f"{seed}-pool").select("graph_id", "id", F.col("x").alias("_y"))
+    other = shuffle_features(nodes, f"{seed}-pool", rank).select("graph_id", "id", F.col("x").alias("_y"))
     zero = F.transform("x", lambda v: F.lit(0.0))
     return ranked.withColumn("noisy", noisy).join(other, ["graph_id", "id"]).withColumn("x", F.when(F.col("noisy"), F.col("_y")).when(F.col("mask"), zero).otherwise(F.col("x"))).drop("rn", "_n", "_y")
 
@@ -110,13 +114,14 @@ def noise_features(nodes: DataFrame, share: float, replace: float, seed=0) -> Da
 def grown_subset(nodes: DataFrame, edges: DataFrame, share: float, rounds: int, seed=0) -> DataFrame:
     """G08. (graph_id, id): a connected subset from a seeded start; each round the whole frontier joins in seeded order
     until the share of the graph's nodes is reached."""
+    rank = rank_for(["graph_id"], nodes, edges)
     size = nodes.groupBy("graph_id").agg(F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(1).cast("long")).alias("size"))
     cur = nodes.groupBy("graph_id").agg(F.min_by("id", F.struct(md5_key(seed, "graph_id", "id"), "id")).alias("id")).withColumn("round", F.lit(0))
     for r in range(1, rounds + 1):
         near = cur.withColumnRenamed("id", "src").join(edges, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("id")).distinct()
         new = near.join(cur, ["graph_id", "id"], "left_anti").withColumn("round", F.lit(r))
         both = cur.unionByName(new).join(size, "graph_id")
-        cur = wide_group_rank(both, ["graph_id"], [F.col("round"), md5_key(f"{seed}-{r}", "graph_id", "id"), F.col("id")]).where(F.col("rn") <= F.col("size")).select("graph_id", "id", "round")
+        cur = rank(both, ["graph_id"], [F.col("round"), md5_key(f"{seed}-{r}", "graph_id", "id"), F.col("id")]).where(F.col("rn") <= F.col("size")).select("graph_id", "id", "round")
     return cur.select("graph_id", "id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import unused
-from loomgraph.functions.ranking import first_rows, global_rank, group_rank, md5_bucket, md5_key, md5_rank, wide_group_rank, wide_md5_rank
+from loomgraph.functions.ranking import first_rows, global_rank, group_rank, md5_bucket, md5_key, md5_rank, rank_for, wide_group_rank, wide_md5_rank
 from loomgraph.functions.storage import discard, stash
 from loomgraph.operators.edges import canonical, induced
 from loomgraph.operators.paths import khop
@@ -59,7 +59,7 @@ def batched_negatives(edges: DataFrame, nodes: DataFrame, per_graph: int, seed=0
     """N02. (graph_id, src, dst): ``per_graph`` non-edges in each graph among its nodes (graph_id, id), or all where there are fewer.
     The first are found by ``over`` x ``per_graph`` draws; graphs that these leave short go on through their other pairs in md5
     order, which are few in small graphs and about as many as the edges in dense ones."""
-    idx = wide_group_rank(nodes, ["graph_id"], [F.col("id")], "pos")
+    idx = rank_for(["graph_id"], nodes)(nodes, ["graph_id"], [F.col("id")], "pos")
     n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     draws = n.select("graph_id", "n", F.explode(F.sequence(F.lit(0), F.lit(per_graph * over - 1))).alias("draw"))
     at = lambda c: (F.pmod(F.conv(F.substring(md5_key(f"{seed}-{c}", "graph_id", "draw"), 1, 8), 16, 10).cast("long"), F.col("n")) + 1).alias(c)

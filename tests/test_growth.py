@@ -99,3 +99,12 @@ def test_partitions_grow_with_the_rows(spark, monkeypatch):
     edges = links.select(F.col("k").alias("src"), F.col("n").alias("dst"), F.lit(1).alias("weight"))
     wide, plain = E.to_undirected(edges, "sum", 900), E.to_undirected(edges, "sum")
     assert wide.rdd.getNumPartitions() == 18 and sorted(wide.collect()) == sorted(plain.collect())
+
+
+def test_two_blocks_of_one_set_meet_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 3))
+    a = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    parts = R._block_pairs(a, a, 10, lambda p, q: float((p @ q.T).sum())).collect()
+    assert len(parts) <= 15 and sum(r.n for r in parts) == 2_500  # of 25 pairs of blocks
+    assert np.isclose(sum(r.s for r in parts), (x @ x.T).sum())

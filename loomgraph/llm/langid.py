@@ -17,6 +17,7 @@ those named lang_pred or score, which are replaced.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,9 +45,38 @@ def letters(text: str | None) -> str:
     return f" {words} " if words and LETTER.search(words) else ""
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """1 for each code point of category L, 2 for those of M, 0 for all others."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(len(every), dtype=np.uint8)
+    for kind, runs in ((1, r"\p{L}+"), (2, r"\p{M}+")):
+        for m in regex.finditer(runs, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def all_letters(texts: list[str | None]) -> list[str]:
+    """:func:`letters` of each text, found in arrays of the code points of ``CHUNK`` texts."""
+    kinds, out = _kinds(), []
+    for s in range(0, len(texts), CHUNK):
+        low = [t.lower() if t else "" for t in texts[s : s + CHUNK]]
+        code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = kinds[code]
+        word = kind > 0
+        keep = word.copy()
+        keep[1:] |= word[:-1]  # a word and what comes after it: a space
+        ends = np.cumsum([len(t) + 1 for t in low])
+        some = np.logical_or.reduceat(kind == 1, ends - [len(t) + 1 for t in low])
+        at = np.cumsum(np.add.reduceat(keep, ends - [len(t) + 1 for t in low], dtype=np.int64)).tolist()
+        words = np.where(word, code, np.uint32(32))[keep].tobytes().decode("utf-32-le", "surrogatepass")
+        out += [f" {words[a:b]}" if x else "" for a, b, x in zip([0, *at], at, some.tolist())]
+    return out
+
+
 def term_counts(texts: list[str | None]) -> np.ndarray:
     """(texts x DIMS) counts of hashed 1- to 3-grams."""
-    return clean_counts([letters(t) for t in texts])
+    return clean_counts(all_letters(texts))
 
 
 def clean_counts(clean: list[str]) -> np.ndarray:
@@ -57,17 +87,25 @@ def clean_counts(clean: list[str]) -> np.ndarray:
     if not total:
         return out
     code = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    row = np.repeat(np.arange(len(clean), dtype=np.int64), np.diff(ends, prepend=0)) * DIMS
+    row = np.repeat(np.arange(len(clean), dtype=np.int64) * DIMS, np.diff(ends, prepend=0))
     gram = np.zeros(total, dtype=np.uint32)
-    flat = np.zeros(out.size, dtype=np.int64)
-    for n in range(3):
-        if total <= n:
-            break
+    bins, start = np.empty(3 * total, dtype=np.int64), 0
+    for n in range(min(3, total)):
         last = total - n
-        gram = (gram[:last] if n else gram) * np.uint32(0x9E3779B1) + code[n : n + last] + np.uint32(n + 1)
-        mixed = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x85EBCA77)
-        inside = row[:last] == row[n : n + last]  # no n-gram runs over two texts
-        flat += np.bincount((row[:last] + (mixed >> np.uint32(20)))[inside], minlength=out.size)
+        gram = (gram[:last] if n else gram) * np.uint32(0x9E3779B1)
+        gram += code[n : n + last]
+        gram += np.uint32(n + 1)
+        mixed = gram >> np.uint32(15)
+        mixed ^= gram
+        mixed *= np.uint32(0x85EBCA77)
+        mixed >>= np.uint32(20)
+        part = bins[start : start + last]
+        np.add(row[:last], mixed, out=part)
+        for back in range(1, n + 1):  # no n-gram runs over two texts
+            over = ends - back
+            part[over[(over >= 0) & (over < last)]] = out.size
+        start += last
+    flat = np.bincount(bins[:start], minlength=out.size + 1)[: out.size]
     return flat.reshape(out.shape).astype(np.float32)
 
 
@@ -188,7 +226,7 @@ def predict(docs: DataFrame, model: CentroidModel, text: str = "text", max_dista
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_weight(batches, text):
-            langs, score = model.nearest([letters(t) for t in batch.column(text).to_pylist()], max_distance)
+            langs, score = model.nearest(all_letters(batch.column(text).to_pylist()), max_distance)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from loomgraph.functions.columns import quoted, unused
 from loomgraph.functions.storage import discard, stash
 from loomgraph.llm import langid
-from loomgraph.llm.langid import CentroidModel, letters
+from loomgraph.llm.langid import CHUNK, CentroidModel, all_letters
 from loomgraph.llm.text import by_weight, held_out, map_rows
 
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 15, 12, 12, (1, 2, 3)
@@ -42,8 +42,8 @@ EPOCHS, BATCH, RATE = 4, 32, 0.08
 PARTS = 4
 #: Padding after each text: a filter of the largest width fits in it.
 PADS = max(SPANS)
-#: Words whose projections a task keeps at once.
-KEPT_WORDS = 200_000
+#: Words whose hashes are computed at once, and bytes of a word that are hashed in arrays; longer words are hashed one by one.
+WORDS_AT_ONCE, ARRAY_BYTES = 1 << 15, 64
 MIN_CALIBRATION = 20
 #: Steps of a logit in the histogram, and the largest one that it tells apart.
 STEPS, MOST = 64, 100
@@ -55,6 +55,78 @@ def word_rows(word: str) -> tuple[int, int, int, int]:
     return tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 for p in parts)
 
 
+def _crc_steps() -> np.ndarray:
+    """What each byte does to a CRC-32 register."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(0xEDB88320), out >> 1).astype(np.uint32)
+    return out
+
+
+CRC = _crc_steps()
+
+
+def _after(register: np.ndarray, byte) -> np.ndarray:
+    """CRC-32 registers after one more byte of each."""
+    return CRC[(register ^ byte) & np.uint32(255)] ^ (register >> np.uint32(8))
+
+
+def _registers(text: bytes) -> list[int]:
+    """The CRC-32 register after each byte."""
+    return [zlib.crc32(text[: i + 1]) ^ 0xFFFFFFFF for i in range(len(text))]
+
+
+#: The register after "<", and by what the registers of a word after "<" and after "=" differ, by the word's bytes: a CRC is linear.
+OPEN = np.uint32(_registers(b"<")[0])
+WHOLE = np.array([a ^ b for a, b in zip(_registers(b"<" + bytes(ARRAY_BYTES)), _registers(b"=" + bytes(ARRAY_BYTES)))], dtype=np.uint32)
+
+
+def token_rows(clean: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_rows` of each word of cleaned texts, one text after another, as (PARTS, words), and the words of each text."""
+    words = np.array([max(c.count(" ") - 1, 0) for c in clean], dtype=np.int64)
+    raw = "".join(clean).encode("utf-8", "surrogatepass")
+    byte = np.frombuffer(raw, dtype=np.uint8)
+    rows = np.zeros((PARTS, int(words.sum())), dtype=np.int64)
+    if not rows.size:
+        return rows, words
+    space = byte == 32
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    if len(raw) == sum(map(len, clean)):
+        cuts = [np.minimum(ends - starts, k) for k in (3, 4, 5)]
+    else:  # bytes of the first characters
+        first = (byte & 0xC0) != 0x80
+        chars, where = np.cumsum(first), np.flatnonzero(first)
+        cuts = [where[np.minimum(chars[starts] - 1 + k, chars[ends] - 1)] - starts for k in (3, 4, 5)]
+    for s in range(0, len(starts), WORDS_AT_ONCE):
+        some = slice(s, s + WORDS_AT_ONCE)
+        rows[:, some] = _word_rows(raw, byte, starts[some], ends[some], [c[some] for c in cuts])
+    return rows, words
+
+
+def _word_rows(raw: bytes, byte: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """The rows of the words between ``starts`` and ``ends``, whose first 3, 4 and 5 characters have ``cuts`` bytes."""
+    size = ends - starts
+    short = np.minimum(size, ARRAY_BYTES).astype(np.uint8)
+    order = np.argsort(np.uint8(ARRAY_BYTES) - short, kind="stable")  # longest first: those with another byte are in front
+    start, short = starts[order], short[order].astype(np.int64)
+    longer = len(short) - np.cumsum(np.bincount(short, minlength=ARRAY_BYTES + 1))
+    register = np.empty((int(short[0]) + 1, len(short)), dtype=np.uint32)
+    register[0] = OPEN
+    for i in range(int(short[0])):
+        n = int(longer[i])
+        register[i + 1, :n] = _after(register[i, :n], byte[start[:n] + i])
+    at = np.arange(len(short))
+    three, four, five = (register[c[order], at] for c in cuts)
+    dot = np.uint32(ord("."))
+    hashes = ~np.stack([register[short, at] ^ WHOLE[short], three, _after(four, dot), _after(_after(five, dot), dot)])
+    for i in np.flatnonzero(size[order] > ARRAY_BYTES):
+        hashes[0, i] = zlib.crc32(b"=" + raw[start[i] : ends[order[i]]])
+    out = np.empty(hashes.shape, dtype=np.int64)
+    out[:, order] = hashes % np.uint32(BUCKETS - 1) + np.uint32(1)
+    return out
+
+
 @dataclass
 class TextCNN:
     emb: np.ndarray
@@ -124,51 +196,39 @@ class TextCNN:
         if len(uniq):
             self._adagrad("emb", self.emb, sums, uniq)
 
-    def projections(self, rows: np.ndarray) -> np.ndarray:
-        """What each word adds to each filter at each offset: (words, offsets * FILTERS)."""
-        x = self.emb[rows].sum(axis=1)
-        return np.concatenate([x @ w[i * WIDTH : (i + 1) * WIDTH] for n, w in zip(SPANS, self.filters, strict=True) for i in range(n)], axis=1)
-
 
 class Scorer:
-    """Logits of cleaned texts. Word projections are kept between batches, so a word is embedded once a task."""
-
-    def __init__(self, net: TextCNN, kept: int = KEPT_WORDS):
-        self.net, self.kept = net, kept
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.table = self.net.projections(np.zeros((1, 4), dtype=np.int64))
+    """Logits of cleaned texts, ``CHUNK`` texts at a time. All words are hashed and embedded anew: most words of a large
+    table are rare, so that looking them up costs more."""
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        number, new = self.number, []
-        for w in set(words).difference(number):
-            new.append(word_rows(w))
-            number[w] = len(number) + 1
-        if new:
-            self.table = np.concatenate([self.table, self.net.projections(np.array(new, dtype=np.int64))])
-        return np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    def __init__(self, net: TextCNN):
+        self.net = net
+        # of each span, what each offset's word adds to each filter: (offsets * FILTERS, WIDTH)
+        self.filters = [np.concatenate([w[i * WIDTH : (i + 1) * WIDTH].T for i in range(n)]) for n, w in zip(SPANS, net.filters, strict=True)]
 
     def logits(self, clean: list[str]) -> np.ndarray:
-        if len(self.number) > self.kept:
-            self._clear()
-        split = [c.split() for c in clean]
-        flat = [w for s in split for w in s]
-        numbers = self.numbers(flat)
-        sizes = np.array([len(s) for s in split]) + PADS
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        ids = np.zeros(int(sizes.sum()) + PADS, dtype=np.int64)
-        own = np.arange(len(flat)) + np.repeat(np.arange(len(split)) * PADS, sizes - PADS)
+        return np.concatenate([self._logits(clean[s : s + CHUNK]) for s in range(0, len(clean), CHUNK)] or [np.zeros(0, np.float32)])
+
+    def _logits(self, clean: list[str]) -> np.ndarray:
+        rows, words = token_rows(clean)
+        sizes = words + PADS
+        starts = np.cumsum(sizes) - sizes
+        size, z = int(sizes.sum()), []
+        x = np.zeros((size + PADS, WIDTH), dtype=np.float32)
+        emb = self.net.emb
+        own = emb.take(rows[0], axis=0)
+        for r in rows[1:]:
+            own += emb.take(r, axis=0)
+        x[np.arange(len(own)) + np.repeat(np.arange(len(clean)) * PADS, words)] = own
         # windows begin at a word or at the first padding after it, so none reaches the next text
-        edges = np.stack([starts, starts + sizes - PADS + 1], axis=1).ravel()
-        ids[own] = numbers
-        size, z, col = int(sizes.sum()), [], 0
-        for n, b in zip(SPANS, self.net.bias, strict=True):
-            h = sum(self.table[ids[i : size + i], (col + i) * FILTERS : (col + i + 1) * FILTERS] for i in range(n))
-            z.append(np.maximum.reduceat(h, edges, axis=0)[::2] + b)
-            col += n
-        return np.maximum(np.concatenate(z, axis=1), 0) @ self.net.out + self.net.out_bias
+        edges = np.stack([starts, starts + words + 1], axis=1).ravel()
+        for n, w, b in zip(SPANS, self.filters, self.net.bias, strict=True):
+            each = w @ x.T  # (offsets * FILTERS, words): long rows
+            h = each[:FILTERS, :size]
+            for i in range(1, n):
+                h += each[i * FILTERS : (i + 1) * FILTERS, i : size + i]
+            z.append(np.maximum.reduceat(h, edges, axis=1)[:, ::2] + b[:, None])
+        return np.maximum(np.concatenate(z), 0).T @ self.net.out + self.net.out_bias
 
 
 @dataclass
@@ -179,7 +239,7 @@ class ToxicityModel:
     slope: float = 1.0
 
     def scores(self, scorer: Scorer, texts: list[str | None]) -> np.ndarray:
-        clean = [letters(t) for t in texts]
+        clean = all_letters(texts)
         found = self.langs.nearest(clean)[0]
         at = np.array([self.thresholds.get(x, self.thresholds[None]) for x in found])
         score = 1 / (1 + np.exp(-np.clip(self.slope * (scorer.logits(clean) - at), -30, 30)))
@@ -203,7 +263,7 @@ def best_threshold(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) ->
 
 def word_table(clean: str) -> bytes:
     """The embedding rows of the words of a cleaned text, as 16-bit numbers."""
-    return np.array([word_rows(w) for w in clean.split()], dtype=np.uint16).tobytes()
+    return token_rows([clean])[0].T.astype(np.uint16).tobytes()
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> TextCNN:
@@ -233,7 +293,7 @@ def logits(docs: DataFrame, net: TextCNN, finder: CentroidModel, keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in by_weight(batches, "text", 500_000):
-            clean = [letters(t) for t in batch.column("text").to_pylist()]
+            clean = all_letters(batch.column("text").to_pylist())
             none = np.array([not c for c in clean])
             out = [pa.array(finder.nearest(clean)[0], pa.string()), pa.array(scorer.logits(clean).astype(np.float64), pa.float64(), mask=none)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *out], names=[*keep, found, logit])
@@ -297,7 +357,7 @@ def fit_scored(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EAC
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_weight(batches, "text"):
-            words = pa.array([word_table(letters(t)) for t in batch.column("text").to_pylist()], pa.binary())
+            words = pa.array([word_table(c) for c in all_letters(batch.column("text").to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("h"), words], names=["toxic", "h", "words"])
 
     sample = stash(drawn.mapInArrow(tables, "toxic int, h long, words binary"), "sample")

@@ -10,8 +10,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,35 +187,88 @@ def tfidf_svd(docs: DataFrame, width: int = 300, max_terms: int = 3_000, rounds:
 
 #: Pairs whose values a task works on at once, few enough for the processor's cache.
 AT_ONCE = 1 << 17
+#: Rows of either side of a tile, whose pairs a task works on at once; few enough for the processor's cache.
+TILE = 256
+#: Vectors in one packed row, and numbers that a task packs before it writes them.
+PACK_ROWS, PACK_NUMBERS = 1_024, 1 << 22
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors of the column x, which are there and of one length."""
+    lists = batch.column("x")
+    if lists.null_count or pc.min_max(sizes := pc.list_value_length(lists))["min"] != pc.min_max(sizes)["max"]:
+        raise ValueError("a vector is null, or vectors differ in length")
+    return np.asarray(lists.flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+
+
+def _packed(x: DataFrame, blocks: int) -> DataFrame:
+    """(block, n, dim, v): the vectors of (id, x) dealt into ``blocks`` by the id, in rows of up to ``PACK_ROWS`` vectors as bytes, in single
+    precision where that is exact. Copies of a packed row for each block of the other side are copies of bytes, not a row for each vector."""
+    of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            at, v = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held.clear()
+            order = np.argsort(at, kind="stable")
+            at, v = at[order], v[order]
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+                for s in range(0, len(part), PACK_ROWS):
+                    some = v[part[s] : part[min(s + PACK_ROWS, len(part)) - 1] + 1]
+                    with np.errstate(all="ignore"):
+                        single = some.astype(np.float32)
+                    exact = single.astype(np.float64).tobytes() == some.tobytes()
+                    row = [[int(at[part[0]])], [some.shape[0]], [some.shape[1]], [(single if exact else some).tobytes()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], names=["block", "n", "dim", "v"])
+
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch)
+                if held and held[-1][1].shape[1] != v.shape[1]:
+                    raise ValueError("vectors of different lengths")
+                held.append((batch.column("block").to_numpy(), v))
+                if sum(h[1].size for h in held) >= PACK_NUMBERS:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return x.select(of.alias("block"), "x").mapInArrow(pack, "block int, n int, dim int, v binary")
 
 
-def _block_pairs(a: DataFrame, b: DataFrame, block_rows: int, run) -> DataFrame:
-    """``run(left, right)`` of the matrices of every two blocks of the sets: (s, n), a sum over their pairs and the number of pairs. A row is
-    copied once for each block of the other set. Where both are the same set, two different blocks meet once and count twice."""
+def _block_pairs(a: DataFrame, b: DataFrame, block_rows: int, run, ready=lambda x, y: (x, y)) -> DataFrame:
+    """``run(left, right)`` of tiles of the matrices of every two blocks of the sets: (s, n), a sum over their pairs and the number of pairs.
+    ``ready`` makes of two blocks what is cut into tiles. A packed row is copied once for each block of the other set. Where both are the same set, two different blocks meet once and count twice."""
     same = a is b
     tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = lambda t: max(-(-t.count() // block_rows), math.isqrt(tasks), 1)
-    m, n = count(a), count(b)
-    of = lambda k: F.pmod(F.xxhash64("id"), F.lit(k))
+    m = count(a)
+    n = m if same else count(b)
     to = lambda k, low=0, high=None: F.explode(F.sequence(F.lit(low), F.lit(k - 1) if high is None else high))
-    left = a.select(of(m).cast("int").alias("i"), "x").select("i", to(n, F.col("i") if same else 0).alias("j"), "x").groupBy("i", "j")
-    right = b.select(of(n).cast("int").alias("j"), "x").select("j", to(m, high=F.col("j") if same else None).alias("i"), "x").groupBy("i", "j")
+    parts = min(m * n, 16 * tasks)  # so few pairs of blocks in a task that the tasks even out
+    left = _packed(a, m).withColumnRenamed("block", "i").select("i", to(n, F.col("i") if same else 0).alias("j"), "n", "dim", "v").repartition(parts, "i", "j").groupBy("i", "j")
+    right = _packed(b, n).withColumnRenamed("block", "j").select("j", to(m, high=F.col("j") if same else None).alias("i"), "n", "dim", "v").repartition(parts, "i", "j").groupBy("i", "j")
 
-    def both(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({"s": [], "n": []})
-        x, y = np.stack(p["x"].to_numpy()), np.stack(q["x"].to_numpy())
-        rows = max(AT_ONCE // len(y), 1)
-        s = sum(float(run(x[k : k + rows], y)) for k in range(0, len(x), rows))
-        times = 2 if same and key[0] != key[1] else 1
-        return pd.DataFrame({"s": [s * times], "n": [float(len(x) * len(y) * times)]})
+    def vectors(t: pa.Table) -> np.ndarray:
+        rows = zip(t.column("n").to_pylist(), t.column("dim").to_pylist(), (v.as_buffer() for v in t.column("v")))
+        return np.concatenate([np.frombuffer(v, dtype=f"f{v.size // max(n * dim, 1) or 8}").reshape(n, dim) for n, dim, v in rows], dtype=np.float64)
 
-    return left.cogroup(right).applyInPandas(both, "s double, n double")
+    def both(key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
+        if not p.num_rows or not q.num_rows:
+            return pa.table({"s": pa.array([], pa.float64()), "n": pa.array([], pa.float64())})
+        x, y = ready(vectors(p), vectors(q))
+        s = sum(float(run(x[k : k + TILE], y[i : i + TILE])) for i in range(0, len(y), TILE) for k in range(0, len(x), TILE))
+        times = 2 if same and key[0].as_py() != key[1].as_py() else 1
+        return pa.table({"s": [s * times], "n": [float(len(x) * len(y) * times)]})
+
+    return left.cogroup(right).applyInArrow(both, "s double, n double")
 
 
 def _square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = (-2 * x) @ y.T
-    out += (x * x).sum(axis=1)[:, None]
+    out += np.einsum("ij,ij->i", x, x)[:, None]
     out += np.einsum("ij,ij->i", y, y)[None]
     return np.maximum(out, 0, out=out)
 
@@ -234,7 +287,7 @@ def mmd_bandwidth(a: DataFrame, b: DataFrame) -> float:
         n, s, q = 0, 0.0, 0.0
         for batch in batches:
             if batch.num_rows:
-                x = np.asarray(batch.column("x").flatten(), dtype=float).reshape(batch.num_rows, -1)
+                x = _matrix(batch)
                 n, s, q = n + len(x), s + x.sum(axis=0), q + float((x * x).sum())
         if n:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n] + [0] * (len(s) - 1), pa.int64()), "q": [q] + [0.0] * (len(s) - 1), "dim": pa.array(range(len(s)), pa.int32()), "s": s})
@@ -244,27 +297,63 @@ def mmd_bandwidth(a: DataFrame, b: DataFrame) -> float:
     return (2 * n * q - 2 * ss) / (n * n - n) if n and n > 1 else 1.0
 
 
+#: The exponential on [-SPAN, 0] to 2e-14, highest power first, and how often it may be squared, so that an error stays below 1e-12.
+SPAN, SQUARINGS = 0.07, 12
+EXP = np.polynomial.Chebyshev.interpolate(np.exp, 6, [-SPAN, 0]).convert(kind=np.polynomial.Polynomial).coef[::-1].tolist()
+
+
+def _halves(x: np.ndarray, y: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose products are minus the squared distances over ``width``."""
+    xx, yy = (np.einsum("ij,ij->i", m, m)[:, None] / width for m in (x, y))
+    return np.hstack([x * (2 / width), -xx, np.full_like(xx, -1)]), np.hstack([y, np.ones_like(yy), yy])
+
+
+def _gaussians(u: np.ndarray, v: np.ndarray, kernels: int, room: np.ndarray) -> float:
+    """The sum over all pairs of exp(d) + exp(2 d) + exp(4 d) + ..., d the product of rows of :func:`_halves`. Where the lengths of the vectors bound d,
+    exp(d) is a polynomial of a small part of d, squared as often as d is halved; numpy's exponential takes twice as long. ``room`` has two rows of a number for each pair, at least."""
+    d, e = (r[: len(u) * len(v)].reshape(len(u), len(v)) for r in room)
+    most = (math.sqrt(max(-u[:, -2].min(), 0)) + math.sqrt(max(v[:, -1].max(), 0))) ** 2
+    times = max(math.ceil(math.log2(most / SPAN)), 0) if most > SPAN else 0 if most >= 0 else SQUARINGS + 1
+    if times <= SQUARINGS:
+        np.matmul(u * 0.5**times, v.T, out=d)
+        np.multiply(d, EXP[0], out=e)
+        for c in EXP[1:-1]:
+            e += c
+            e *= d
+        e += EXP[-1]
+        for _ in range(times):
+            np.multiply(e, e, out=e)
+    else:
+        np.matmul(u, v.T, out=e)
+        np.exp(np.minimum(e, 0, out=e), out=e)
+    e = e.ravel()
+    total = e.sum()
+    for k in range(1, kernels):
+        total += e @ e
+        if k < kernels - 1:
+            np.multiply(e, e, out=e)  # half the width squares the kernel
+    return float(total)
+
+
 def mmd(a: DataFrame, b: DataFrame, kernels: int = 5, factor: float = 2.0, block_rows: int = 8_192) -> DataFrame:
     """V15. (similarity): minus the maximum mean discrepancy of two sets (id, x): mean kernel inside a, minus twice that between,
     plus that inside b; the kernel is a sum of ``kernels`` Gaussians around the bandwidth of the data. Pairs are met in blocks of
     ``block_rows``; an empty set gives null."""
     widths = [(mmd_bandwidth(a, b) or 1.0) * factor ** (k - kernels // 2) for k in range(kernels)]
 
-    squares = factor == 2.0 and kernels > 0
+    if factor == 2.0 and kernels > 0:
+        room: list[np.ndarray] = []  # made once a task
 
-    def kernel(x: np.ndarray, y: np.ndarray) -> float:
-        d = _square_distances(x, y)
-        if not squares:
-            return sum(np.exp(-d / w).sum() for w in widths)
-        d /= -widths[-1]
-        e = np.exp(d, out=d)  # half the width squares the kernel
-        total = e.sum()
-        for _ in widths[1:]:
-            np.multiply(e, e, out=e)
-            total += e.sum()
-        return total
+        def kernel(u: np.ndarray, v: np.ndarray) -> float:
+            if not room:
+                room.append(np.empty((2, TILE * TILE)))
+            return _gaussians(u, v, kernels, room[0])
+
+        ready = lambda x, y: _halves(x, y, widths[-1])
+    else:
+        ready, kernel = lambda x, y: (x, y), lambda x, y: sum(np.exp(-_square_distances(x, y) / w).sum() for w in widths)
 
-    mean = lambda p, q, c: _block_pairs(p, q, block_rows, kernel).agg((F.sum("s") * c / F.sum("n")).alias("v"))
+    mean = lambda p, q, c: _block_pairs(p, q, block_rows, kernel, ready).agg((F.sum("s") * c / F.sum("n")).alias("v"))
     parts = mean(a, a, 1).unionByName(mean(a, b, -2)).unionByName(mean(b, b, 1))
     return parts.agg(F.when(F.count("v") == 3, -F.sum("v")).alias("similarity"))
 

@@ -108,3 +108,30 @@ def test_two_blocks_of_one_set_meet_once(spark):
     parts = R._block_pairs(a, a, 10, lambda p, q: float((p @ q.T).sum())).collect()
     assert len(parts) <= 15 and sum(r.n for r in parts) == 2_500  # of 25 pairs of blocks
     assert np.isclose(sum(r.s for r in parts), (x @ x.T).sum())
+
+
+def test_gaussian_kernels_by_squaring():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 5)), rng.normal(0.5, 1, size=(30, 5))
+    x[3] = y[4]
+    room = np.empty((2, 40 * 30))
+    for scale in (0, 1e-3, 1, 30, 1e4):  # from one value for all to exponentials that vanish
+        d = ((x[:, None] - y[None]) ** 2).sum(axis=2) * scale**2
+        got = R._gaussians(*R._halves(x * scale, y * scale, 8.0), 5, room)
+        assert np.isclose(got, sum(np.exp(-d * f / 8.0).sum() for f in (1, 2, 4, 8, 16)), rtol=1e-11, atol=0 if scale < 1e4 else 1e-3)
+
+
+def test_blocks_travel_packed(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 4))
+    frame = lambda m: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], "id long, x array<double>")
+    for m, size in ((x, 8), (x.astype(np.float32), 4)):  # single precision only where nothing is lost
+        rows = R._packed(frame(m).coalesce(1), 3).collect()
+        assert len(rows) == 3 and sum(r.n for r in rows) == 500 and all(len(r.v) == r.n * r.dim * size for r in rows)
+        got = np.concatenate([np.frombuffer(r.v, f"f{size}").reshape(r.n, r.dim) for r in rows])
+        assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, m.tolist()))
+    a, b = frame(x), frame(x[:70].astype(np.float32))
+    assert np.isclose(R._block_pairs(a, b, 60, lambda p, q: float((p @ q.T).sum())).agg(F.sum("s")).first()[0], x.sum(axis=0) @ x[:70].astype(np.float32).astype(float).sum(axis=0))
+    odd = spark.createDataFrame([(i, None if i == 1 else [1.0] * 4) for i in range(4)], "id long, x array<double>").coalesce(1)
+    with pytest.raises(Exception, match="a vector is null"):  # 12 numbers are no 4 vectors of 3
+        R.mmd_bandwidth(odd, b)
